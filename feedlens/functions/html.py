@@ -6,7 +6,7 @@ per-row Python. Patterns avoid back-references so RE2 can run the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dims import BANNER_KEYWORDS
@@ -54,17 +54,14 @@ def html_image(html) -> Column:
         _image_candidate(h, IMG_SRCSET))
 
 
-def main_text(html) -> Column:
-    """T2 (native form): main text of a page, one paragraph per line, repeats removed.
-
-    Comments and boilerplate elements go first, then the <article> region (else
-    <body>, else the whole document) is kept; block tags become line breaks, the
-    remaining tags are dropped, common entities decoded, each line whitespace-
-    collapsed, blank and repeated lines removed. Empty result -> null.
-    """
+def _main_region(html) -> Column:
     h = F.regexp_replace(col_(html), r"(?s)<!--.*?-->", "")
     for tag in DROP_ELEMENTS:
         h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}[ \t\r\n]*>", "")
+    return h
+
+
+def _region_lines(h: Column) -> Column:
     region = F.coalesce(
         F.nullif(F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*)</article[ \t\r\n]*>", 1), F.lit("")),
         F.nullif(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)</body[ \t\r\n]*>", 1), F.lit("")),
@@ -73,16 +70,31 @@ def main_text(html) -> Column:
     region = F.regexp_replace(region, r"<[^>]+>", "")
     for ent, ch in ENTITIES:
         region = F.replace(region, F.lit(ent), F.lit(ch))
-    lines = F.transform(F.split(region, "\n"), lambda l: collapse_ws(l))
+    return region
+
+
+def with_main_text(df: DataFrame, html_col: str, out: str) -> DataFrame:
+    """T2 (native form): main text of a page, one paragraph per line, repeats removed.
+
+    Comments and boilerplate elements go first, then the <article> region (else
+    <body>, else the whole document) is kept; block tags become line breaks, the
+    remaining tags are dropped, common entities decoded, each line whitespace-
+    collapsed, blank and repeated lines removed. Empty result -> null.
+
+    Staged projections keep each expensive intermediate evaluated once per row.
+    """
+    df = df.withColumn("_mt_h", _main_region(F.col(html_col)))
+    df = df.withColumn("_mt_r", _region_lines(F.col("_mt_h")))
+    lines = F.transform(F.split(F.col("_mt_r"), "\n"), lambda l: collapse_ws(l))
     lines = F.array_distinct(F.filter(lines, lambda l: l != ""))
-    return F.nullif(F.array_join(lines, "\n"), F.lit(""))
+    return df.withColumn(out, F.nullif(F.array_join(lines, "\n"), F.lit(""))).drop("_mt_h", "_mt_r")
 
 
 def banner_pattern() -> str:
     return "|".join(k.replace("-", r"\-") for k in BANNER_KEYWORDS)
 
 
-def banner_strip(content) -> Column:
+def with_banner_strip(df: DataFrame, content_col: str, out: str) -> DataFrame:
     """Drop a leading consent banner.
 
     Keyword lines are found on the lowered, stripped line. Scanning stops after the
@@ -91,15 +103,18 @@ def banner_strip(content) -> Column:
     Everything through its last line goes, then lines shorter than 20 stripped
     chars; if nothing is left the text is kept as it was.
     """
-    c = col_(content)
-    lines = F.split(c, "\n")
     pat = banner_pattern()
-    kw = F.filter(F.transform(lines, lambda l, i: F.when(F.lower(strip_ws(l)).rlike(pat), i)),
-                  lambda x: x.isNotNull())
-    n_kw = F.size(kw)
-    last = F.get(F.filter(kw, lambda k, j: (j == n_kw - 1) | (F.get(kw, j + 1) - k > 6)), 0)
-    start = F.get(F.filter(
-        F.transform(lines, lambda l, i: F.when((i > last) & (F.length(strip_ws(l)) >= 20), i)),
-        lambda x: x.isNotNull()), 0)
-    stripped = strip_ws(F.array_join(F.slice(lines, start + 1, F.size(lines)), "\n"))
-    return F.when(c.isNull() | (c == "") | last.isNull() | start.isNull(), c).otherwise(stripped)
+    df = df.withColumn("_bs_l", F.split(F.col(content_col), "\n"))
+    df = df.withColumn("_bs_k", F.filter(
+        F.transform("_bs_l", lambda l, i: F.when(F.lower(strip_ws(l)).rlike(pat), i)),
+        lambda x: x.isNotNull()))
+    df = df.withColumn("_bs_last", F.get(F.filter(
+        "_bs_k", lambda k, j: (j == F.size("_bs_k") - 1) | (F.get(F.col("_bs_k"), j + 1) - k > 6)), 0))
+    df = df.withColumn("_bs_start", F.get(F.filter(
+        F.transform("_bs_l", lambda l, i: F.when((i > F.col("_bs_last")) & (F.length(strip_ws(l)) >= 20), i)),
+        lambda x: x.isNotNull()), 0))
+    c = F.col(content_col)
+    stripped = strip_ws(F.array_join(F.slice("_bs_l", F.col("_bs_start") + 1, F.size("_bs_l")), "\n"))
+    res = F.when(c.isNull() | (c == "") | F.col("_bs_last").isNull() | F.col("_bs_start").isNull(), c) \
+        .otherwise(stripped)
+    return df.withColumn(out, res).drop("_bs_l", "_bs_k", "_bs_last", "_bs_start")

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import banner_strip, main_text, og_image
+from ..functions.html import og_image, with_banner_strip, with_main_text
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """T1+T2+T3: (url, image = og:image, content = banner-stripped main text)."""
-    return pages.select(F.col(url_col).alias("url"),
-                        og_image(F.col(html_col)).alias("image"),
-                        banner_strip(main_text(F.col(html_col))).alias("content"))
+    p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("_html"))
+    p = with_main_text(p.withColumn("image", og_image(F.col("_html"))), "_html", "_main")
+    return with_banner_strip(p, "_main", "content").select("url", "image", "content")
 
 
 def attach_content(articles: DataFrame, extracted: DataFrame, compat: bool = True) -> DataFrame:

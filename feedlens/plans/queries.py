@@ -187,14 +187,15 @@ def q_html_image(spark, sf):
 
 @register("page_content", f"SELECT page_id, {O.main_text('html')} AS content FROM ({O.page_fixture_sql()})")
 def q_page_content(spark, sf):
-    return S.page_fixture(spark, sf).select("page_id", H.main_text("html").alias("content"))
+    return H.with_main_text(S.page_fixture(spark, sf), "html", "content").select("page_id", "content")
 
 
 @register("banner_strip",
           f"SELECT page_id, {O.banner_strip('mt')} AS content FROM "
           f"(SELECT page_id, {O.main_text('html')} AS mt FROM ({O.page_fixture_sql()}))")
 def q_banner_strip(spark, sf):
-    return S.page_fixture(spark, sf).select("page_id", H.banner_strip(H.main_text("html")).alias("content"))
+    p = H.with_main_text(S.page_fixture(spark, sf), "html", "main")
+    return H.with_banner_strip(p, "main", "content").select("page_id", "content")
 
 
 def _content_attach_sql() -> str:
