@@ -41,46 +41,82 @@ def _exclusive_prefix(lengths: Column) -> Column:
 
 def sentence_starts(text, compat: bool = False) -> Column:
     """Start offset of each sentence. ``compat`` reproduces the service's walk, which
-    assumes a one-character separator and so drifts after wider gaps."""
+    assumes a one-character separator and so drifts after wider gaps.
+
+    Lambdas only touch their own arguments (arrays are passed in, never captured), so
+    Catalyst can inline the expression without re-evaluating an array per element."""
     sents = sentences(text)
     if compat:
         lens = F.transform(sents, lambda s: F.length(s).cast("long") + 1)
     else:
         seps = F.regexp_extract_all(col_(text), F.lit(SENTENCE_SEP), 1)
-        lens = F.transform(sents, lambda s, i: F.length(s).cast("long")
-                           + F.coalesce(F.length(F.get(seps, i)).cast("long"), F.lit(0).cast("long")))
+        lens = F.zip_with(sents, seps, lambda s, p: F.length(s).cast("long")
+                          + F.coalesce(F.length(p).cast("long"), F.lit(0).cast("long")))
     return _exclusive_prefix(lens)
 
 
-def context_for(text, sents: Column, starts: Column, start: Column, end: Column) -> Column:
-    """The sentence containing ``start`` (stripped); else text[start-100 : end+100]."""
-    k = F.size(F.filter(starts, lambda s: s <= start)) - 1
-    s_k = F.get(starts, k)
-    sent = F.get(sents, k)
-    inside = (k >= 0) & (start < s_k + F.length(sent))
-    lo = F.greatest(start - 100, F.lit(0))
-    window = F.substring(col_(text), (lo + 1).cast("int"), (end + 100 - lo).cast("int"))
-    return F.when(inside, strip_ws(sent)).otherwise(strip_ws(window))
+_ELEM = "struct<pos:bigint,tag:int,txt:string,n:bigint>"
+
+
+def mention_contexts(text, matches: Column, mstarts: Column, compat: bool = False) -> Column:
+    """T6 for every match of a text at once: array of
+    (matched_text, start_char, end_char, context_sentence), in match order.
+
+    Sentence starts and match starts are merged in one sorted array and a single fold
+    carries the current sentence, so each match meets its sentence in O(S + M). The
+    containing sentence is returned stripped; when the walk finds none (``compat``
+    drift) the text around the match (100 chars each side) is used, as the service
+    does."""
+    sents = sentences(text)
+    s_el = F.zip_with(sents, sentence_starts(text, compat), lambda s, st: F.struct(
+        st.alias("pos"), F.lit(0).alias("tag"), s.alias("txt"), F.length(s).cast("long").alias("n")))
+    m_el = F.zip_with(matches, mstarts, lambda m, p: F.struct(
+        p.alias("pos"), F.lit(1).alias("tag"), m.alias("txt"), F.length(m).cast("long").alias("n")))
+    merged = F.array_sort(F.concat(s_el.cast(f"array<{_ELEM}>"), m_el.cast(f"array<{_ELEM}>")))
+    out_t = "array<struct<matched_text:string,start_char:bigint,end_char:bigint,s_start:bigint,sent:string>>"
+    init = F.struct(F.lit(None).cast("bigint").alias("cs"), F.lit(None).cast("string").alias("ct"),
+                    F.array().cast(out_t).alias("out"))
+    folded = F.aggregate(merged, init, lambda acc, e: F.when(
+        e["tag"] == 0, F.struct(e["pos"].alias("cs"), e["txt"].alias("ct"), acc["out"].alias("out"))
+    ).otherwise(F.struct(acc["cs"].alias("cs"), acc["ct"].alias("ct"), F.array_append(acc["out"], F.struct(
+        e["txt"].alias("matched_text"), e["pos"].alias("start_char"), (e["pos"] + e["n"]).alias("end_char"),
+        acc["cs"].alias("s_start"), acc["ct"].alias("sent"))).alias("out"))), lambda acc: acc["out"])
+    t = col_(text)
+
+    def ctx(o):
+        inside = o["s_start"].isNotNull() & (o["start_char"] < o["s_start"] + F.length(o["sent"]))
+        lo = F.greatest(o["start_char"] - 100, F.lit(0))
+        window = F.substring(t, (lo + 1).cast("int"), (o["end_char"] + 100 - lo).cast("int"))
+        return F.left(F.when(inside, strip_ws(o["sent"])).otherwise(strip_ws(window)),
+                      F.lit(dims.CONTEXT_MAX_CHARS))
+
+    return F.transform(folded, lambda o: F.struct(o["matched_text"].alias("matched_text"),
+                                                  o["start_char"].alias("start_char"),
+                                                  o["end_char"].alias("end_char"),
+                                                  ctx(o).alias("context_sentence")))
+
+
+def match_starts(text) -> Column:
+    """Start offset of every alias match: running length of the gaps and matches
+    before it (the gaps are ``split`` on the same pattern)."""
+    matches = F.regexp_extract_all(col_(text), F.lit(ALIAS_REGEX), 1)
+    gaps = F.split(col_(text), ALIAS_REGEX, -1)
+    before = _exclusive_prefix(F.zip_with(gaps, matches, lambda g, m: F.length(g).cast("long")
+                                          + F.coalesce(F.length(m).cast("long"), F.lit(0).cast("long"))))
+    starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g).cast("long"))
+    return F.slice(starts, 1, F.size(matches))
 
 
 def regex_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article_id",
                    compat: bool = False) -> DataFrame:
     """Alias regex (longest first, case-insensitive, word-bounded, ambiguous
-    aliases excluded), non-overlapping, with offsets, context and confidence 0.9."""
+    aliases excluded), non-overlapping, with offsets, context and confidence 0.9.
+
+    One projection per text (linear regex scans + one merge fold), then one explode
+    of the small per-mention structs; the text is never copied per mention."""
     t = F.col(text_col)
     matches = F.regexp_extract_all(t, F.lit(ALIAS_REGEX), 1)
-    gaps = F.split(t, ALIAS_REGEX, -1)
-    lens = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)).cast("long") + F.length(m))
-    before = _exclusive_prefix(lens)
-    mstart = F.transform(matches, lambda m, i: F.get(before, i) + F.length(F.get(gaps, i)))
-    sents = sentences(t)
-    starts = sentence_starts(t, compat)
-    rows = F.transform(matches, lambda m, i: F.struct(
-        m.alias("matched_text"),
-        F.get(mstart, i).alias("start_char"),
-        (F.get(mstart, i) + F.length(m)).alias("end_char"),
-        F.left(context_for(t, sents, starts, F.get(mstart, i), F.get(mstart, i) + F.length(m)),
-               F.lit(dims.CONTEXT_MAX_CHARS)).alias("context_sentence")))
+    rows = mention_contexts(t, matches, match_starts(t), compat)
     out = df.select(F.col(id_col), F.posexplode(rows).alias("pos", "m"))
     info = F.try_element_at(dims.alias_map_expr(), F.lower(strip_ws(F.col("m.matched_text"))))
     return (out.select(F.col(id_col), info["name"].alias("company_name"), info["ticker"].alias("ticker"),
@@ -121,24 +157,35 @@ def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], l
                     ents.append([])
             yield pd.DataFrame({id_col: pdf[id_col], "_t": pdf["_t"], "ents": ents})
 
-    ex = cut.mapInPandas(run, out_schema)
-    e = ex.select(id_col, "_t", F.posexplode("ents").alias("pos", "e"))
-    e = e.where(F.col("e.label").isin(*ENTITY_LABELS))
-    span = F.substring(F.col("_t"), (F.col("e.start_char") + 1).cast("int"),
-                       (F.col("e.end_char") - F.col("e.start_char")).cast("int"))
-    info = F.try_element_at(dims.alias_map_expr(), F.lower(strip_ws(span)))
-    e = e.select(id_col, "_t", "pos", span.alias("matched_text"), info.alias("info"),
-                 F.col("e.start_char").alias("start_char"), F.col("e.end_char").alias("end_char"),
-                 F.coalesce(F.col("e.score"), F.lit(dims.MENTION_MODEL_CONFIDENCE)).alias("confidence"))
-    e = e.where(F.col("info").isNotNull())
-    # first occurrence of each (start, end) span wins
-    first = e.groupBy(id_col, "start_char", "end_char").agg(F.min("pos").alias("pos"))
-    e = e.join(first, [id_col, "start_char", "end_char", "pos"], "left_semi")
-    sents, starts = sentences("_t"), sentence_starts("_t")
-    ctx = F.left(context_for(F.col("_t"), sents, starts, F.col("start_char"), F.col("end_char")),
-                 F.lit(dims.CONTEXT_MAX_CHARS))
-    return e.select(id_col, F.col("info.name").alias("company_name"), F.col("info.ticker").alias("ticker"),
-                    "matched_text", "start_char", "end_char", "confidence", ctx.alias("context_sentence"))
+    ex = cut.mapInPandas(run, out_schema)  # one row per text; _t is a plain attribute below
+    amap = dims.alias_map_expr()
+
+    def span(e):
+        return F.substring(F.col("_t"), (e["start_char"] + 1).cast("int"),
+                           (e["end_char"] - e["start_char"]).cast("int"))
+
+    a = F.transform("ents", lambda e, i: F.struct(
+        e["start_char"].alias("start_char"), e["end_char"].alias("end_char"), i.alias("pos"),
+        e["label"].alias("label"),
+        F.coalesce(e["score"], F.lit(dims.MENTION_MODEL_CONFIDENCE)).alias("confidence"),
+        span(e).alias("matched_text")))
+    a = F.filter(a, lambda x: x["label"].isin(*ENTITY_LABELS)
+                 & F.try_element_at(amap, F.lower(strip_ws(x["matched_text"]))).isNotNull())
+    srt = F.array_sort(a)  # by (start, end, position): first of each span run = first seen
+    d = F.filter(F.zip_with(srt, F.concat(F.array(F.lit(None)).cast(
+        "array<struct<start_char:bigint,end_char:bigint,pos:int,label:string,confidence:double,matched_text:string>>"),
+        srt), lambda x, p: F.when(p.isNull() | (p["start_char"] != x["start_char"])
+                                   | (p["end_char"] != x["end_char"]), x)), lambda x: x.isNotNull())
+    ex = ex.withColumn("_d", d)
+    rows = mention_contexts(F.col("_t"), F.transform("_d", lambda x: x["matched_text"]),
+                            F.transform("_d", lambda x: x["start_char"]))
+    g = ex.select(id_col, F.posexplode(F.arrays_zip(F.col("_d").alias("sp"), rows.alias("cx"))).alias("pos", "z"))
+    info = F.try_element_at(amap, F.lower(strip_ws(F.col("z.sp.matched_text"))))
+    return g.select(id_col, info["name"].alias("company_name"), info["ticker"].alias("ticker"),
+                    F.col("z.sp.matched_text").alias("matched_text"),
+                    F.col("z.sp.start_char").alias("start_char"), F.col("z.sp.end_char").alias("end_char"),
+                    F.col("z.sp.confidence").alias("confidence"),
+                    F.col("z.cx.context_sentence").alias("context_sentence"))
 
 
 def extract_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article_id",

@@ -218,3 +218,80 @@ def banner_strip(x: str) -> str:
 
 
 ALIAS_PATTERN = "(?i)" + alias_pattern()
+
+
+# --- sentences, mentions, scoring -------------------------------------------------------
+
+SENT_SEP_SQL = r"[.!?](" + WS_RUN + ")"
+
+
+def sentences_list(x: str) -> str:
+    """RE2 has no look-behind: mark each separator after . ! ? with chr(1), split on it."""
+    marked = f"regexp_replace({x}, {q('([.!?])' + WS_RUN)}, '\\1' || chr(1), 'g')"
+    return f"string_split({marked}, chr(1))"
+
+
+def mentions_sql(src: str, compat: bool = False) -> str:
+    """CTE chain ``ments`` (article_id, company_name, ticker, matched_text, start_char,
+    end_char, confidence, context_sentence) for texts ``src`` (article_id, text)."""
+    pat = q(ALIAS_PATTERN)
+    sep_len = "1" if compat else "coalesce(length(seps[k]), 0)"
+    return f"""t AS ({src}),
+m AS (SELECT article_id, text, regexp_extract_all(text, {pat}, 1) AS ms,
+             regexp_split_to_array(text, {pat}) AS gs FROM t),
+e AS (SELECT article_id, text, i, ms[i] AS mt, gs[i] AS g
+      FROM (SELECT article_id, text, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m)),
+e2 AS (SELECT article_id, text, i, mt,
+         CAST(coalesce(sum(length(g) + length(mt)) OVER (PARTITION BY article_id ORDER BY i
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(g) AS BIGINT) AS start_char FROM e),
+sp AS (SELECT article_id, {sentences_list('text')} AS ss,
+              regexp_extract_all(text, {q(SENT_SEP_SQL)}, 1) AS seps FROM t),
+s1 AS (SELECT article_id, k, ss[k] AS sent, {sep_len} AS sep_len
+       FROM (SELECT article_id, ss, seps, unnest(range(1, len(ss) + 1)) AS k FROM sp)),
+s2 AS (SELECT article_id, k, sent, CAST(coalesce(sum(length(sent) + sep_len) OVER (PARTITION BY article_id
+         ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s_start FROM s1),
+jk AS (SELECT e2.article_id, e2.i, max(s2.k) AS k FROM e2 JOIN s2 ON e2.article_id = s2.article_id
+       AND s2.s_start <= e2.start_char GROUP BY e2.article_id, e2.i),
+ctx AS (SELECT e2.article_id, e2.i, e2.mt, e2.start_char, e2.start_char + length(e2.mt) AS end_char,
+          left(CASE WHEN s2.k IS NOT NULL AND e2.start_char < s2.s_start + length(s2.sent) THEN {strip('s2.sent')}
+               ELSE {strip('substr(e2.text, greatest(e2.start_char - 100, 0) + 1, e2.start_char + length(e2.mt) + 100 - greatest(e2.start_char - 100, 0))')}
+               END, 500) AS context_sentence
+        FROM e2 LEFT JOIN jk USING (article_id, i) LEFT JOIN s2 ON s2.article_id = e2.article_id AND s2.k = jk.k),
+al AS ({aliases_sql()}),
+ments AS (SELECT ctx.article_id, al.name AS company_name, al.ticker, ctx.mt AS matched_text,
+            CAST(ctx.start_char AS BIGINT) AS start_char, CAST(ctx.end_char AS BIGINT) AS end_char,
+            0.9 AS confidence, ctx.context_sentence
+          FROM ctx JOIN al ON al.alias = lower({strip('ctx.mt')}))"""
+
+
+def mention_dedup_sql() -> str:
+    """CTE ``uniq`` after ``ments``: D6."""
+    return """uniq AS (SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY article_id, ticker, left(context_sentence, 100)
+                                 ORDER BY confidence DESC, start_char) AS rn,
+              min(start_char) OVER (PARTITION BY article_id, ticker, left(context_sentence, 100)) AS key_pos
+    FROM ments) WHERE rn = 1)"""
+
+
+def lexicon_probs(x: str) -> str:
+    """Columns negative, neutral, positive of the lexicon scorer (blank -> 0, 1, 0)."""
+    from .operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS, TOKEN_SPLIT
+    toks = f"regexp_split_to_array(lower({x}), {q(TOKEN_SPLIT)})"
+    pos_l = "[" + ", ".join(q(w) for w in POSITIVE_WORDS) + "]"
+    neg_l = "[" + ", ".join(q(w) for w in NEGATIVE_WORDS) + "]"
+    p = f"CAST(len(list_filter({toks}, lambda w: list_contains({pos_l}, w))) AS DOUBLE)"
+    n = f"CAST(len(list_filter({toks}, lambda w: list_contains({neg_l}, w))) AS DOUBLE)"
+    blank = f"({x} IS NULL OR {strip(x)} = '')"
+    return (f"CASE WHEN {blank} THEN 0.0 ELSE {n} / ({p} + {n} + 1.0) END AS negative, "
+            f"CASE WHEN {blank} THEN 1.0 ELSE 1.0 / ({p} + {n} + 1.0) END AS neutral, "
+            f"CASE WHEN {blank} THEN 0.0 ELSE {p} / ({p} + {n} + 1.0) END AS positive")
+
+
+def label_sql(pos: str = "positive", neg: str = "negative", neu: str = "neutral") -> str:
+    return (f"CASE WHEN {pos} >= {neg} AND {pos} >= {neu} THEN 'positive' "
+            f"WHEN {neg} >= {pos} AND {neg} >= {neu} THEN 'negative' ELSE 'neutral' END")
+
+
+def winning_sql(pos: str = "positive", neg: str = "negative", neu: str = "neutral") -> str:
+    return (f"CASE WHEN {pos} >= {neg} AND {pos} >= {neu} THEN {pos} "
+            f"WHEN {neg} >= {pos} AND {neg} >= {neu} THEN {neg} ELSE {neu} END")

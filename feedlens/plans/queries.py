@@ -229,3 +229,138 @@ def q_text_fallback(spark, sf):
     c = F.when(F.col("ord") % 3 == 0, F.col("description")).when(F.col("ord") % 3 == 1, F.lit(""))
     d = F.when(F.col("ord") % 4 == 0, F.lit("")).otherwise(F.col("description"))
     return a.select("ord", X.text_fallback(c, d, "title").alias("text"))
+
+
+# ------------------------------------------------------------------------ mentions ----
+
+def _doc_texts(spark, sf):
+    return S.doc_mention_texts(spark, sf)
+
+
+@register("sentences",
+          f"SELECT conv_id, turn, CAST(k - 1 AS BIGINT) AS pos, ss[k] AS sentence FROM ("
+          f"SELECT conv_id, turn, ss, unnest(range(1, len(ss) + 1)) AS k FROM ("
+          f"SELECT conv_id, turn, {O.sentences_list('text')} AS ss FROM conversations))")
+def q_sentences(spark, sf):
+    c = S.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(mentions.sentences("text")).alias("pos", "sentence")) \
+        .withColumn("pos", F.col("pos").cast("long"))
+
+
+_MENT_COLS = "article_id, company_name, ticker, matched_text, start_char, end_char, confidence, context_sentence"
+
+
+@register("mention_extract", f"WITH {O.mentions_sql(O.doc_mention_texts_sql())}\nSELECT {_MENT_COLS} FROM ments")
+def q_mention_extract(spark, sf):
+    return mentions.regex_mentions(_doc_texts(spark, sf))
+
+
+@register("context_sentence",
+          f"WITH {O.mentions_sql(O.doc_mention_texts_sql())}\n"
+          "SELECT article_id, start_char, context_sentence FROM ments")
+def q_context_sentence(spark, sf):
+    return mentions.regex_mentions(_doc_texts(spark, sf)).select("article_id", "start_char", "context_sentence")
+
+
+@register("context_compat",
+          f"WITH {O.mentions_sql(O.doc_mention_texts_sql(), compat=True)}\n"
+          "SELECT article_id, start_char, context_sentence FROM ments")
+def q_context_compat(spark, sf):
+    return (mentions.regex_mentions(_doc_texts(spark, sf), compat=True)
+            .select("article_id", "start_char", "context_sentence"))
+
+
+@register("mention_dedup",
+          f"WITH {O.mentions_sql(O.doc_mention_texts_sql())},\n{O.mention_dedup_sql()}\n"
+          "SELECT article_id, ticker, context_sentence, confidence, start_char, key_pos FROM uniq")
+def q_mention_dedup(spark, sf):
+    m = mentions.regex_mentions(_doc_texts(spark, sf))
+    return dedup.dedup_mentions(m).select("article_id", "ticker", "context_sentence", "confidence",
+                                          "start_char", "key_pos")
+
+
+def _analysis_sql(src: str) -> str:
+    return (f"WITH {O.mentions_sql(src)},\n{O.mention_dedup_sql()},\n"
+            f"sc AS (SELECT *, {O.lexicon_probs('context_sentence')} FROM uniq)\n"
+            f"SELECT article_id, company_name, ticker, matched_text, start_char, confidence AS confidence_score, "
+            f"context_sentence, key_pos, round(positive - negative, 9) AS sentiment_score, "
+            f"{O.label_sql()} AS sentiment_label, round(positive, 9) AS positive_prob, "
+            f"round(negative, 9) AS negative_prob, round(neutral, 9) AS neutral_prob FROM sc")
+
+
+def _analysis_cols(df):
+    return df.select("article_id", "company_name", "ticker", "matched_text", "start_char", "confidence_score",
+                     "context_sentence", "key_pos", r9("sentiment_score").alias("sentiment_score"),
+                     "sentiment_label", r9("positive_prob").alias("positive_prob"),
+                     r9("negative_prob").alias("negative_prob"), r9("neutral_prob").alias("neutral_prob"))
+
+
+@register("company_mentions",
+          _analysis_sql(f"SELECT * FROM ({O.doc_mention_texts_sql()}) WHERE length({O.strip('text')}) >= 10"))
+def q_company_mentions(spark, sf):
+    return _analysis_cols(mentions.analyze_text(_doc_texts(spark, sf)))
+
+
+@register("article_mentions",
+          _analysis_sql(f"SELECT article_id, CASE WHEN title IS NOT NULL AND title <> '' "
+                        f"THEN title || chr(10) || chr(10) || text ELSE text END AS text "
+                        f"FROM ({O.doc_mention_texts_sql()}) WHERE text IS NOT NULL AND text <> ''"))
+def q_article_mentions(spark, sf):
+    d = _doc_texts(spark, sf).withColumnRenamed("text", "content")
+    return _analysis_cols(mentions.analyze_articles(d))
+
+
+# ------------------------------------------------------------------------- scoring ----
+
+@register("sentiment_score",
+          f"SELECT doc_id, round(negative, 9) AS negative, round(neutral, 9) AS neutral, "
+          f"round(positive, 9) AS positive FROM (SELECT doc_id, {O.lexicon_probs('text')} FROM documents)")
+def q_sentiment_score(spark, sf):
+    d = scoring.sentiment(S.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", r9("negative").alias("negative"), r9("neutral").alias("neutral"),
+                    r9("positive").alias("positive"))
+
+
+@register("sentiment_label",
+          f"SELECT doc_id, round(positive - negative, 9) AS compound, {O.label_sql()} AS label FROM "
+          f"(SELECT doc_id, {O.lexicon_probs(O.doc_mention_texts_sql().split(' AS text')[0].split('title,')[-1].strip() if False else 'text')} "
+          f"FROM ({O.doc_mention_texts_sql().replace('doc_id AS article_id', 'doc_id')}))")
+def q_sentiment_label(spark, sf):
+    d = S.doc_mention_texts(spark, sf).withColumnRenamed("article_id", "doc_id")
+    d = scoring.sentiment(d, "text")
+    return d.select("doc_id", r9("compound").alias("compound"), "label")
+
+
+@register("financial_score",
+          f"SELECT conv_id, turn, {O.label_sql()} AS sentiment_label, round({O.winning_sql()}, 9) AS score, "
+          f"round(positive, 9) AS positive_prob, round(negative, 9) AS negative_prob, "
+          f"round(neutral, 9) AS neutral_prob, round(positive - negative, 9) AS sentiment_score "
+          f"FROM (SELECT conv_id, turn, {O.lexicon_probs('text')} FROM conversations)")
+def q_financial_score(spark, sf):
+    c = S.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    f = scoring.financial_sentiment(c, "text")
+    return f.select("conv_id", "turn", "sentiment_label", r9("score").alias("score"),
+                    r9("positive_prob").alias("positive_prob"), r9("negative_prob").alias("negative_prob"),
+                    r9("neutral_prob").alias("neutral_prob"), r9("sentiment_score").alias("sentiment_score"))
+
+
+# ---------------------------------------------------------------------- mention fold --
+
+def _fold_sql() -> str:
+    return f"""WITH m AS ({O.event_mentions_sql()}),
+r AS (SELECT *, max(confidence_score) OVER (PARTITION BY article_id, company_id ORDER BY ord
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM m),
+rec AS (SELECT * FROM r WHERE prev_max IS NULL OR confidence_score > prev_max)
+SELECT article_id, company_id,
+  round(list_reduce(list(sentiment_score ORDER BY ord), lambda a, b: (a + b) / 2), 9) AS sentiment_score,
+  round(arg_max(confidence_score, ord), 9) AS confidence_score, arg_max(context_sentence, ord) AS context_sentence,
+  max(ord) AS ord, CAST(count(*) - 1 AS BIGINT) AS replacements
+FROM rec GROUP BY article_id, company_id"""
+
+
+@register("mention_fold", _fold_sql())
+def q_mention_fold(spark, sf):
+    f = dedup.fold_mentions(S.event_mentions(spark, sf))
+    return f.select("article_id", "company_id", r9("sentiment_score").alias("sentiment_score"),
+                    r9("confidence_score").alias("confidence_score"), "context_sentence", "ord",
+                    "replacements")
