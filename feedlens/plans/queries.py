@@ -364,3 +364,263 @@ def q_mention_fold(spark, sf):
     return f.select("article_id", "company_id", r9("sentiment_score").alias("sentiment_score"),
                     r9("confidence_score").alias("confidence_score"), "context_sentence", "ord",
                     "replacements")
+
+
+# ------------------------------------------------------------------- stores / upserts --
+from ..operators import metrics as M  # noqa: E402
+from ..operators import upsert as U  # noqa: E402
+from ..session import DEFAULT_AS_OF  # noqa: E402
+from ..sources import stores as ST  # noqa: E402
+
+AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def _sources_cte() -> str:
+    return f"""pa AS ({O.page_articles_sql()}),
+src_f AS (SELECT {O.url_domain('link')} AS domain, arg_min(source, ord) AS name, min(ord) AS first
+          FROM pa GROUP BY 1),
+src AS (SELECT CAST(row_number() OVER (ORDER BY first) AS BIGINT) AS id, name, domain,
+               0.5 AS reliability_score, CAST(NULL AS VARCHAR) AS logo_url FROM src_f)"""
+
+
+def _store_cte(content_mod: int = 3) -> str:
+    return _sources_cte() + f""",
+rows AS (SELECT pa.ord, title, link AS url, description AS summary, image AS image_url, published_at,
+                category, CASE WHEN pa.ord % {content_mod} <> 0 THEN description END AS full_content,
+                s.id AS source_id
+         FROM pa LEFT JOIN src s ON s.domain = {O.url_domain('pa.link')}),
+lastrow AS (SELECT url, arg_max({{'title': title, 'summary': summary, 'image_url': image_url,
+                   'published_at': published_at, 'category': category, 'source_id': source_id}}, ord) AS r,
+                   arg_max(full_content, ord) FILTER (WHERE full_content IS NOT NULL) AS full_content,
+                   min(ord) AS first FROM rows GROUP BY url),
+store AS (SELECT CAST(row_number() OVER (ORDER BY first) AS BIGINT) AS id, r.title AS title, url,
+                 r.summary AS summary, r.image_url AS image_url, r.published_at AS published_at,
+                 r.category AS category, full_content, r.source_id AS source_id,
+                 CAST(NULL AS DOUBLE) AS overall_sentiment FROM lastrow)"""
+
+
+@register("upsert_sources", f"WITH {_sources_cte()}\nSELECT * FROM src")
+def q_upsert_sources(spark, sf):
+    return ST.sources_store(spark, sf)
+
+
+@register("upsert_articles",
+          f"WITH {_store_cte()}\nSELECT id, title, url, summary, {O.fmt_ts('published_at')} AS published_at, "
+          "full_content, source_id FROM store")
+def q_upsert_articles(spark, sf):
+    return ST.articles_store(spark, sf).select("id", "title", "url", "summary",
+                                               ts_str("published_at").alias("published_at"),
+                                               "full_content", "source_id")
+
+
+@register("article_source_join",
+          f"WITH {_sources_cte()}\nSELECT pa.ord, s.id AS source_id FROM pa LEFT JOIN src s "
+          f"ON s.domain = {O.url_domain('pa.link')}")
+def q_article_source_join(spark, sf):
+    src = ST.sources_store(spark, sf).select("domain", F.col("id").alias("source_id"))
+    a = S.page_articles(spark, sf).select("ord", X.url_domain("link").alias("domain"))
+    return a.join(src, "domain", "left").select("ord", "source_id")
+
+
+@register("preserve_content",
+          f"WITH {_store_cte()},\nb2 AS (SELECT link AS url, arg_max(CASE WHEN ord % 2 = 0 THEN description END, ord) "
+          "FILTER (WHERE ord % 2 = 0 AND description IS NOT NULL) AS c2 FROM pa GROUP BY link)\n"
+          "SELECT s.id, s.url, coalesce(b2.c2, s.full_content) AS full_content FROM store s JOIN b2 USING (url)")
+def q_preserve_content(spark, sf):
+    store = ST.articles_store(spark, sf)
+    b2 = S.page_articles(spark, sf).withColumn("content", F.when(F.col("ord") % 2 == 0, F.col("description")))
+    out = U.upsert_articles(store, ST.sources_store(spark, sf), b2)
+    return out.select("id", "url", "full_content")
+
+
+@register("urls_with_content", f"WITH {_store_cte()}\nSELECT url FROM store WHERE full_content IS NOT NULL")
+def q_urls_with_content(spark, sf):
+    return ST.articles_store(spark, sf).where(F.col("full_content").isNotNull()).select("url")
+
+
+@register("dim_sources_by_name",
+          f"WITH {_sources_cte()}\nSELECT CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS pos, id, name, "
+          "domain FROM src")
+def q_dim_sources_by_name(spark, sf):
+    src = ST.sources_store(spark, sf)
+    w = Window.orderBy("name", "id")  # dimension-sized (one row per domain)
+    return src.withColumn("pos", F.row_number().over(w).cast("long")).select("pos", "id", "name", "domain")
+
+
+ARTICLE_SOURCE = "blog.tionsh.example.net"
+
+
+@register("articles_with_source",
+          f"WITH {_store_cte()}\nSELECT a.id, a.url, s.name AS source_name, s.domain, "
+          f"{O.fmt_ts('a.published_at')} AS published_at FROM store a JOIN src s ON a.source_id = s.id "
+          f"WHERE s.name = {O.q(ARTICLE_SOURCE)} ORDER BY a.published_at DESC, a.id LIMIT 50")
+def q_articles_with_source(spark, sf):
+    from ..operators import reads
+    return reads.articles_with_source(ST.articles_store(spark, sf), ST.sources_store(spark, sf),
+                                      ARTICLE_SOURCE, 50)
+
+
+def _sent_cte() -> str:
+    t = "coalesce(nullif(full_content, ''), nullif(summary, ''), title)"
+    return f"sc AS (SELECT url, id AS ord, {O.lexicon_probs(t)} FROM store)"
+
+
+@register("update_sentiment",
+          f"WITH {_store_cte()},\n{_sent_cte()}\nSELECT s.id, s.url, round(coalesce(sc.positive - sc.negative, "
+          "s.overall_sentiment), 9) AS overall_sentiment FROM store s LEFT JOIN sc USING (url)")
+def q_update_sentiment(spark, sf):
+    store = ST.articles_store(spark, sf)
+    texts = store.select("url", F.col("id").alias("ord"),
+                         X.text_fallback("full_content", "summary", "title").alias("text"))
+    scores = scoring.sentiment(texts, "text")
+    out = U.update_sentiment(store, scores)
+    return out.select("id", "url", r9("overall_sentiment").alias("overall_sentiment"))
+
+
+@register("retention",
+          f"WITH {_store_cte()}\nSELECT CAST(count(*) FILTER (WHERE published_at < {AS_OF_SQL} - INTERVAL 30 DAY) "
+          "AS BIGINT) AS deleted, CAST(count(*) FILTER (WHERE NOT (published_at < "
+          f"{AS_OF_SQL} - INTERVAL 30 DAY) OR published_at IS NULL) AS BIGINT) AS kept FROM store")
+def q_retention(spark, sf):
+    from ..operators import reads
+    return reads.retention_counts(ST.articles_store(spark, sf), 30, DEFAULT_AS_OF)
+
+
+# ------------------------------------------------------------------------- mentions/metrics
+
+def _mstore_cte() -> str:
+    return f"""em AS ({O.event_mentions_sql()}),
+r AS (SELECT *, max(confidence_score) OVER (PARTITION BY article_id, company_id ORDER BY ord
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM em),
+rec AS (SELECT * FROM r WHERE prev_max IS NULL OR confidence_score > prev_max),
+ms AS (SELECT article_id, company_id,
+          list_reduce(list(sentiment_score ORDER BY ord), lambda a, b: (a + b) / 2) AS sentiment_score,
+          arg_max(confidence_score, ord) AS confidence_score, arg_max(context_sentence, ord) AS context_sentence,
+          arg_max(created_at, ord) AS created_at FROM rec GROUP BY article_id, company_id)"""
+
+
+@register("upsert_mentions",
+          f"WITH {_mstore_cte()}\nSELECT article_id, company_id, round(sentiment_score, 9) AS sentiment_score, "
+          f"confidence_score, context_sentence, {O.fmt_ts('created_at')} AS created_at FROM ms")
+def q_upsert_mentions(spark, sf):
+    m = ST.mentions_store(spark, sf)
+    return m.select("article_id", "company_id", r9("sentiment_score").alias("sentiment_score"),
+                    "confidence_score", "context_sentence", ts_str("created_at").alias("created_at"))
+
+
+def _daily_sql(compat: bool) -> str:
+    cond = "WHERE CAST(created_at AS TIME) < TIME '23:59:59'" if compat else ""
+    return (f"WITH em AS ({O.event_mentions_sql()})\nSELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, "
+            f"company_id, round(avg(sentiment_score), 9) AS avg_sentiment, CAST(count(*) AS BIGINT) AS article_volume "
+            f"FROM em {cond} GROUP BY 1, 2")
+
+
+def _daily(spark, sf, compat):
+    d = M.daily_metrics(S.event_mentions(spark, sf), compat)
+    return d.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+@register("daily_metrics", _daily_sql(False))
+def q_daily_metrics(spark, sf):
+    return _daily(spark, sf, False)
+
+
+@register("daily_metrics_compat", _daily_sql(True))
+def q_daily_metrics_compat(spark, sf):
+    return _daily(spark, sf, True)
+
+
+@register("company_metrics",
+          f"WITH d AS ({_daily_sql(False)}), c AS ({O.companies_sql()})\n"
+          "SELECT d.date, d.company_id, c.name, c.ticker, d.avg_sentiment, d.article_volume FROM d "
+          "JOIN c ON c.id = d.company_id WHERE c.ticker = 'NVDA' AND d.date >= '2024-01-25'")
+def q_company_metrics(spark, sf):
+    d = _daily(spark, sf, False)
+    out = M.company_metric_series(d, ST.companies(spark), "NVDA", 7, DEFAULT_AS_OF)
+    return out.select("date", "company_id", "name", "ticker", "avg_sentiment", "article_volume")
+
+
+@register("recent_mentions",
+          f"WITH {_mstore_cte()}\nSELECT article_id, company_id, {O.fmt_ts('created_at')} AS created_at FROM ms "
+          f"WHERE created_at >= {AS_OF_SQL} - INTERVAL 7 DAY ORDER BY created_at DESC, article_id, company_id LIMIT 50")
+def q_recent_mentions(spark, sf):
+    from ..operators import reads
+    m = reads.recent_mentions(ST.mentions_store(spark, sf), DEFAULT_AS_OF, days=7, limit=50)
+    return m.select("article_id", "company_id", ts_str("created_at").alias("created_at"))
+
+
+@register("mention_company_join",
+          f"WITH {O.mentions_sql(O.doc_mention_texts_sql())}, c AS ({O.companies_sql()})\n"
+          "SELECT ments.article_id, ments.start_char, c.id AS company_id FROM ments JOIN c USING (ticker)")
+def q_mention_company_join(spark, sf):
+    from ..operators import reads
+    m = mentions.regex_mentions(_doc_texts(spark, sf))
+    return reads.mention_company_ids(m, ST.companies(spark)).select("article_id", "start_char", "company_id")
+
+
+@register("mentions_enriched",
+          f"WITH {_mstore_cte()}, c AS ({O.companies_sql()}), "
+          f"d AS ({O.doc_articles_sql()})\nSELECT ms.article_id, ms.company_id, d.title AS article_title, "
+          "c.name AS company_name, c.ticker FROM ms LEFT JOIN d ON d.ord = ms.article_id "
+          "LEFT JOIN c ON c.id = ms.company_id WHERE c.ticker = 'TSLA'")
+def q_mentions_enriched(spark, sf):
+    from ..operators import reads
+    arts = S.doc_articles(spark, sf).select(F.col("ord").alias("id"), "title", F.col("link").alias("url"),
+                                            "published_at")
+    out = reads.mentions_enriched(ST.mentions_store(spark, sf), arts, ST.companies(spark), ticker="TSLA")
+    return out.select("article_id", "company_id", "article_title", "company_name", "ticker")
+
+
+def _analysis_cte() -> str:
+    return (f"{O.mentions_sql(O.doc_mention_texts_sql())},\n{O.mention_dedup_sql()},\n"
+            f"sc AS (SELECT *, {O.lexicon_probs('context_sentence')} FROM uniq),\n"
+            f"an AS (SELECT *, positive - negative AS sentiment_score, {O.label_sql()} AS sentiment_label FROM sc)")
+
+
+@register("company_summary",
+          f"WITH {_analysis_cte()}\nSELECT ticker, arg_min(company_name, (article_id, key_pos)) AS company_name, "
+          "CAST(count(*) AS BIGINT) AS mention_count, round(sum(sentiment_score), 9) AS total_sentiment, "
+          "round(avg(sentiment_score), 9) AS avg_sentiment, "
+          "CAST(count(*) FILTER (WHERE sentiment_label = 'positive') AS BIGINT) AS positive_count, "
+          "CAST(count(*) FILTER (WHERE sentiment_label = 'negative') AS BIGINT) AS negative_count, "
+          "CAST(count(*) FILTER (WHERE sentiment_label NOT IN ('positive', 'negative')) AS BIGINT) AS neutral_count, "
+          "array_to_string(list(left(context_sentence, 200) ORDER BY article_id, key_pos)[1:5], '|') AS contexts "
+          "FROM an GROUP BY ticker")
+def q_company_summary(spark, sf):
+    a = mentions.analyze_text(_doc_texts(spark, sf))
+    s = M.company_summary(a)
+    return s.select("ticker", "company_name", "mention_count", r9("total_sentiment").alias("total_sentiment"),
+                    r9("avg_sentiment").alias("avg_sentiment"), "positive_count", "negative_count",
+                    "neutral_count", "contexts")
+
+
+@register("article_company_counts",
+          f"WITH {_analysis_cte()}\nSELECT article_id, CAST(count(DISTINCT ticker) AS BIGINT) AS companies_found, "
+          "CAST(count(*) AS BIGINT) AS total_mentions FROM an GROUP BY article_id")
+def q_article_company_counts(spark, sf):
+    return M.article_company_counts(mentions.analyze_text(_doc_texts(spark, sf)))
+
+
+@register("avg_sentiment",
+          f"SELECT round(coalesce(avg(negative), 0.0), 9) AS negative, round(coalesce(avg(neutral), 1.0), 9) AS neutral, "
+          f"round(coalesce(avg(positive), 0.0), 9) AS positive, round(coalesce(avg(positive - negative), 0.0), 9) "
+          f"AS compound, CASE WHEN coalesce(avg(positive - negative), 0) >= 0.05 THEN 'positive' "
+          f"WHEN coalesce(avg(positive - negative), 0) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label, "
+          f"CAST(count(*) AS BIGINT) AS texts FROM (SELECT {O.lexicon_probs('text')} FROM conversations)")
+def q_avg_sentiment(spark, sf):
+    c = scoring.sentiment(S.table(spark, sf, "conversations").select("text"), "text")
+    a = M.average_sentiment(c)
+    return a.select(*[r9(x).alias(x) for x in ("negative", "neutral", "positive", "compound")], "label", "texts")
+
+
+@register("sentiment_by_source",
+          f"WITH a AS ({O.doc_articles_sql()}), top AS (SELECT * FROM a QUALIFY row_number() OVER "
+          "(PARTITION BY source ORDER BY published_at DESC, ord) <= 20), "
+          f"sc AS (SELECT source, {O.lexicon_probs("coalesce(nullif(content, ''), nullif(description, ''), title)")} FROM top)\n"
+          "SELECT source, CAST(count(*) AS BIGINT) AS articles_analyzed, round(avg(positive - negative), 4) AS "
+          "average_compound, CASE WHEN avg(positive - negative) >= 0.05 THEN 'positive' WHEN avg(positive - negative) "
+          "<= -0.05 THEN 'negative' ELSE 'neutral' END AS overall_label FROM sc GROUP BY source")
+def q_sentiment_by_source(spark, sf):
+    top = M.newest_per_group(S.doc_articles(spark, sf), "source", 20)
+    t = top.select("source", X.text_fallback("content", "description", "title").alias("text"))
+    return M.sentiment_report(scoring.sentiment(t, "text"))
