@@ -39,26 +39,35 @@ def _exclusive_prefix(lengths: Column) -> Column:
                        lambda acc: acc["a"])
 
 
-def sentence_starts(text, compat: bool = False) -> Column:
-    """Start offset of each sentence. ``compat`` reproduces the service's walk, which
-    assumes a one-character separator and so drifts after wider gaps.
+def sentence_starts(sents: Column, seps: Column | None) -> Column:
+    """Start offset of each sentence from the sentence array and the separator array.
+    With ``seps`` None (compat) every separator counts as one character, as in the
+    service's walk, which drifts after wider gaps.
 
     Lambdas only touch their own arguments (arrays are passed in, never captured), so
     Catalyst can inline the expression without re-evaluating an array per element."""
-    sents = sentences(text)
-    if compat:
+    if seps is None:
         lens = F.transform(sents, lambda s: F.length(s).cast("long") + 1)
     else:
-        seps = F.regexp_extract_all(col_(text), F.lit(SENTENCE_SEP), 1)
         lens = F.zip_with(sents, seps, lambda s, p: F.length(s).cast("long")
                           + F.coalesce(F.length(p).cast("long"), F.lit(0).cast("long")))
     return _exclusive_prefix(lens)
 
 
+def with_sentences(df: DataFrame, text_col: str, compat: bool = False) -> DataFrame:
+    """Adds ``_sents`` and ``_starts``. Each stage is its own projection: a column
+    used twice by the next stage is computed once (Catalyst keeps the projection)."""
+    df = df.withColumn("_sents", sentences(text_col))
+    if compat:
+        return df.withColumn("_starts", sentence_starts(F.col("_sents"), None))
+    df = df.withColumn("_seps", F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_SEP), 1))
+    return df.withColumn("_starts", sentence_starts(F.col("_sents"), F.col("_seps"))).drop("_seps")
+
+
 _ELEM = "struct<pos:bigint,tag:int,txt:string,n:bigint>"
 
 
-def mention_contexts(text, matches: Column, mstarts: Column, compat: bool = False) -> Column:
+def mention_contexts(text, sents: Column, starts: Column, matches: Column, mstarts: Column) -> Column:
     """T6 for every match of a text at once: array of
     (matched_text, start_char, end_char, context_sentence), in match order.
 
@@ -67,8 +76,7 @@ def mention_contexts(text, matches: Column, mstarts: Column, compat: bool = Fals
     containing sentence is returned stripped; when the walk finds none (``compat``
     drift) the text around the match (100 chars each side) is used, as the service
     does."""
-    sents = sentences(text)
-    s_el = F.zip_with(sents, sentence_starts(text, compat), lambda s, st: F.struct(
+    s_el = F.zip_with(sents, starts, lambda s, st: F.struct(
         st.alias("pos"), F.lit(0).alias("tag"), s.alias("txt"), F.length(s).cast("long").alias("n")))
     m_el = F.zip_with(matches, mstarts, lambda m, p: F.struct(
         p.alias("pos"), F.lit(1).alias("tag"), m.alias("txt"), F.length(m).cast("long").alias("n")))
@@ -96,11 +104,9 @@ def mention_contexts(text, matches: Column, mstarts: Column, compat: bool = Fals
                                                   ctx(o).alias("context_sentence")))
 
 
-def match_starts(text) -> Column:
+def match_starts(matches: Column, gaps: Column) -> Column:
     """Start offset of every alias match: running length of the gaps and matches
     before it (the gaps are ``split`` on the same pattern)."""
-    matches = F.regexp_extract_all(col_(text), F.lit(ALIAS_REGEX), 1)
-    gaps = F.split(col_(text), ALIAS_REGEX, -1)
     before = _exclusive_prefix(F.zip_with(gaps, matches, lambda g, m: F.length(g).cast("long")
                                           + F.coalesce(F.length(m).cast("long"), F.lit(0).cast("long"))))
     starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g).cast("long"))
@@ -112,12 +118,16 @@ def regex_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article
     """Alias regex (longest first, case-insensitive, word-bounded, ambiguous
     aliases excluded), non-overlapping, with offsets, context and confidence 0.9.
 
-    One projection per text (linear regex scans + one merge fold), then one explode
-    of the small per-mention structs; the text is never copied per mention."""
-    t = F.col(text_col)
-    matches = F.regexp_extract_all(t, F.lit(ALIAS_REGEX), 1)
-    rows = mention_contexts(t, matches, match_starts(t), compat)
-    out = df.select(F.col(id_col), F.posexplode(rows).alias("pos", "m"))
+    Per text: two linear regex scans (matches, and the gaps between them), the
+    sentence split, one merge fold; then one explode of the small per-mention structs,
+    so the text is never copied per mention and nothing shuffles."""
+    d = df.select(F.col(id_col), F.col(text_col).alias("_t"))
+    d = (d.withColumn("_ms", F.regexp_extract_all(F.col("_t"), F.lit(ALIAS_REGEX), 1))
+         .withColumn("_gs", F.split(F.col("_t"), ALIAS_REGEX, -1)))
+    d = d.withColumn("_mst", match_starts(F.col("_ms"), F.col("_gs"))).drop("_gs")
+    d = with_sentences(d, "_t", compat)
+    rows = mention_contexts(F.col("_t"), F.col("_sents"), F.col("_starts"), F.col("_ms"), F.col("_mst"))
+    out = d.select(F.col(id_col), F.posexplode(rows).alias("pos", "m"))
     info = F.try_element_at(dims.alias_map_expr(), F.lower(strip_ws(F.col("m.matched_text"))))
     return (out.select(F.col(id_col), info["name"].alias("company_name"), info["ticker"].alias("ticker"),
                        "m.matched_text", F.col("m.start_char").cast("long").alias("start_char"),
@@ -176,8 +186,9 @@ def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], l
         "array<struct<start_char:bigint,end_char:bigint,pos:int,label:string,confidence:double,matched_text:string>>"),
         srt), lambda x, p: F.when(p.isNull() | (p["start_char"] != x["start_char"])
                                    | (p["end_char"] != x["end_char"]), x)), lambda x: x.isNotNull())
-    ex = ex.withColumn("_d", d)
-    rows = mention_contexts(F.col("_t"), F.transform("_d", lambda x: x["matched_text"]),
+    ex = with_sentences(ex.withColumn("_d", d), "_t")
+    rows = mention_contexts(F.col("_t"), F.col("_sents"), F.col("_starts"),
+                            F.transform("_d", lambda x: x["matched_text"]),
                             F.transform("_d", lambda x: x["start_char"]))
     g = ex.select(id_col, F.posexplode(F.arrays_zip(F.col("_d").alias("sp"), rows.alias("cx"))).alias("pos", "z"))
     info = F.try_element_at(amap, F.lower(strip_ws(F.col("z.sp.matched_text"))))
