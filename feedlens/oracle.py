@@ -295,3 +295,113 @@ def label_sql(pos: str = "positive", neg: str = "negative", neu: str = "neutral"
 def winning_sql(pos: str = "positive", neg: str = "negative", neu: str = "neutral") -> str:
     return (f"CASE WHEN {pos} >= {neg} AND {pos} >= {neu} THEN {pos} "
             f"WHEN {neg} >= {pos} AND {neg} >= {neu} THEN {neg} ELSE {neu} END")
+
+
+# --- raw feed entries and normalization ---------------------------------------------------
+
+def raw_items_sql() -> str:
+    ts = "(TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 1 HOUR)"
+    title = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    body = r"regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
+    m6 = "page_id % 6"
+    published = (f"CASE WHEN {m6} = 0 THEN strftime({ts}, '%a, %d %b %Y %H:%M:%S') || ' +0000' "
+                 f"WHEN {m6} = 1 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%SZ') "
+                 f"WHEN {m6} = 2 THEN strftime({ts} + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00' "
+                 f"WHEN {m6} = 3 THEN 'not a date' WHEN {m6} = 5 THEN strftime({ts}, '%Y-%m-%d %H:%M:%S') END")
+    pub_date = f"CASE WHEN {m6} = 3 THEN strftime({ts}, '%a, %d %b %Y %H:%M:%S') || ' GMT' END"
+    updated = (f"CASE WHEN {m6} = 4 AND page_id % 4 <> 0 THEN strftime({ts}, '%Y-%m-%d') "
+               f"WHEN {m6} = 4 THEN 'garbage' END")
+    m11 = "page_id % 11"
+
+    def tag(*terms):
+        return "[" + ", ".join("{'term': " + ("CAST(NULL AS VARCHAR)" if t is None else q(t)) + "}"
+                               for t in terms) + "]"
+    tags = (f"CASE WHEN {m11} = 0 THEN {tag(' Top BM ', 'tech')} WHEN {m11} = 1 THEN {tag(' Tech ', 'science')} "
+            f"WHEN {m11} = 2 THEN {tag('unknown', 'Venture Capital')} "
+            f"WHEN {m11} = 3 THEN CAST([] AS STRUCT(term VARCHAR)[]) WHEN {m11} = 5 THEN {tag(None, 'F1')} "
+            f"WHEN {m11} <> 4 THEN {tag('misc')} END")
+    m7 = "page_id % 7"
+    thumb = (f"CASE WHEN {m7} = 0 THEN [{{'url': 'https://img.example/t' || page_id || '.jpg'}}] "
+             f"WHEN {m7} = 1 THEN [{{'url': CAST(NULL AS VARCHAR)}}] END")
+    mc = (f"CASE WHEN {m7} = 2 THEN [{{'url': 'https://img.example/v.mp4', 'medium': 'video', 'type': 'video/mp4'}}, "
+          f"{{'url': 'https://img.example/m' || page_id || '.jpg', 'medium': CAST(NULL AS VARCHAR), "
+          f"'type': 'image/jpeg'}}] END")
+    enc = (f"CASE WHEN {m7} = 3 THEN [{{'href': CAST(NULL AS VARCHAR), 'url': 'https://img.example/e' || page_id "
+           f"|| '.gif', 'type': 'image/gif'}}] END")
+    image = (f"CASE WHEN {m7} = 4 THEN {{'href': 'https://img.example/h' || page_id || '.png', "
+             f"'url': CAST(NULL AS VARCHAR)}} END")
+    content = (f"CASE WHEN page_id % 5 = 0 THEN [{{'value': {body}}}] WHEN page_id % 5 = 1 THEN "
+               f"[{{'value': '<img src=\"//cdn.example/c' || page_id || '.png\">short'}}] END")
+    return f"""SELECT CAST(page_id % 4 AS INTEGER) AS feed_ord, CAST(page_id // 4 AS BIGINT) AS entry_ord,
+      CASE WHEN page_id % 13 = 0 THEN '  ' ELSE {title} END AS title,
+      CASE WHEN page_id % 17 = 0 THEN '' WHEN page_id % 17 = 1 THEN ' ' || url || chr(10) ELSE url END AS link,
+      {published} AS published, {pub_date} AS pubDate, {updated} AS updated, CAST(NULL AS VARCHAR) AS created,
+      CASE WHEN page_id % 3 = 0 THEN {body} WHEN page_id % 3 = 1 THEN '   ' END AS summary,
+      CASE WHEN page_id % 2 = 0 THEN '<p>' || {title} || '</p>' END AS description,
+      {content} AS content, {tags} AS tags, {thumb} AS media_thumbnail, {mc} AS media_content,
+      {enc} AS enclosures, {image} AS image FROM pages"""
+
+
+def feed_sources_sql(extra=()) -> str:
+    from .sources.dims import FEED_SOURCES
+    rows = ", ".join(f"({i}, {q(n)}, {q(u)}, {q(c)}, {str(f).lower()}, {str(s).lower()})"
+                     for i, (n, u, c, f, s) in enumerate(list(FEED_SOURCES) + list(extra)))
+    return f"SELECT * FROM (VALUES {rows}) AS f(feed_ord, name, url, category, full_content_in_feed, is_sitemap)"
+
+
+def parse_date_sql(x: str) -> str:
+    s = rr(strip(x), r"\A[A-Za-z]{3}," + WS + "*")
+    rfc_num = f"make_timestamp(epoch_us(try_strptime({s}, '%d %b %Y %H:%M:%S %z')))"
+    rfc_gmt = (f"CASE WHEN regexp_matches({s}, ' (GMT|UT|UTC|Z)\\z') THEN "
+               f"try_strptime({rr(s, ' (GMT|UT|UTC|Z)\\z')}, '%d %b %Y %H:%M:%S') END")
+    iso = (f"CASE WHEN regexp_matches({s}, '\\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN "
+           f"CASE WHEN regexp_matches({s}, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})\\z') "
+           f"THEN make_timestamp(epoch_us(TRY_CAST({s} AS TIMESTAMPTZ))) ELSE TRY_CAST({s} AS TIMESTAMP) END END")
+    return f"coalesce({rfc_num}, {rfc_gmt}, {iso})"
+
+
+def normalized_sql(as_of: str = "TIMESTAMP '2024-02-01 00:00:00'") -> str:
+    """CTE chain ending in ``arts`` (normalized feed articles) over ``raw_items_sql``."""
+    from .sources.dims import CATEGORY_TERMS, EXCLUDED_TAG
+    cat_map = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in CATEGORY_TERMS.items()) + "}"
+    s = strip("coalesce(summary, '')")
+    d = strip("coalesce(description, '')")
+    term = strip("coalesce(t.term, '')")
+    c0 = "content[1].value"
+    is_blank_ = lambda v: f"({v} IS NULL OR {strip(v)} = '')"
+    cands = (f"list_concat(list_transform(list_filter(coalesce(content, CAST([] AS STRUCT(value VARCHAR)[])), "
+             f"lambda c: NOT {is_blank_('c.value')}), lambda c: c.value), "
+             f"[CASE WHEN NOT {is_blank_('summary')} THEN summary END], "
+             f"[CASE WHEN NOT {is_blank_('description')} THEN description END])")
+    from_html = (f"(list_filter(list_transform(list_filter({cands}, lambda h: h IS NOT NULL), "
+                 f"lambda h: {html_image('h')}), lambda u: u IS NOT NULL))[1]")
+    mc = ("list_filter(media_content, lambda m: m.medium = 'image' OR "
+          "starts_with(coalesce(m.type, ''), 'image'))")
+    en = "list_filter(enclosures, lambda e: starts_with(coalesce(e.type, ''), 'image'))"
+    image = (f"CASE WHEN len(media_thumbnail) > 0 THEN media_thumbnail[1].url "
+             f"WHEN len({mc}) > 0 THEN ({mc})[1].url "
+             f"WHEN len({en}) > 0 THEN coalesce(nullif(({en})[1].href, ''), ({en})[1].url) "
+             f"WHEN image IS NOT NULL THEN coalesce(nullif(image.href, ''), image.url) ELSE {from_html} END")
+    cat_hit = (f"(list_filter(list_transform(tags, lambda t: {cat_map}[lower({term})]), "
+               f"lambda c: c IS NOT NULL))[1]")
+    excluded = (f"coalesce(list_bool_or(list_transform(tags, lambda t: lower({term}) = "
+                f"{q(EXCLUDED_TAG)})), false)")
+    full = (f"CASE WHEN full_content_in_feed THEN nullif(CASE WHEN length({s}) > 500 THEN {clean_html(s)} "
+            f"WHEN length({d}) > 500 THEN {clean_html(d)} WHEN length(coalesce({c0}, '')) > 500 "
+            f"THEN {clean_html(c0)} END, '') END")
+    desc = (f"CASE WHEN {s} <> '' THEN left({clean_html(s)}, 500) WHEN {d} <> '' THEN left({clean_html(d)}, 500) "
+            f"WHEN coalesce({c0}, '') <> '' THEN left({clean_html(c0)}, 500) END")
+    date = (f"coalesce({parse_date_sql('published')}, {parse_date_sql('pubDate')}, {parse_date_sql('updated')}, "
+            f"{parse_date_sql('created')}, {as_of})")
+    title = strip("coalesce(title, '')")
+    link = strip("coalesce(link, '')")
+    return f"""raw AS ({raw_items_sql()}),
+capped AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY feed_ord ORDER BY entry_ord) <= 50),
+srcs AS ({feed_sources_sql()}),
+j AS (SELECT c.*, s.name AS src_name, s.category AS src_cat, s.full_content_in_feed FROM capped c
+      JOIN srcs s USING (feed_ord)),
+arts AS (SELECT CAST(feed_ord AS BIGINT) * 1000000000 + entry_ord AS ord, {title} AS title, {link} AS link,
+       src_name AS source, {date} AS published_at, {desc} AS description, {image} AS image,
+       coalesce({cat_hit}, nullif(src_cat, ''), 'general') AS category, {full} AS content,
+       ({full}) IS NOT NULL AS content_extracted
+     FROM j WHERE NOT {excluded} AND {title} <> '' AND {link} <> '')"""

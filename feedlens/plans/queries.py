@@ -624,3 +624,131 @@ def q_sentiment_by_source(spark, sf):
     top = M.newest_per_group(S.doc_articles(spark, sf), "source", 20)
     t = top.select("source", X.text_fallback("content", "description", "title").alias("text"))
     return M.sentiment_report(scoring.sentiment(t, "text"))
+
+
+# -------------------------------------------------------------------- normalization ----
+from ..operators import normalize as NZ  # noqa: E402
+from ..sources import dims as D  # noqa: E402
+from ..sources import feeds as FD  # noqa: E402
+
+
+def _feed_articles(spark, sf):
+    return NZ.normalize_entries(FD.raw_items_from_pages(spark, sf), D.feed_sources(spark), DEFAULT_AS_OF)
+
+
+def _arts_sql(select: str) -> str:
+    return f"WITH {O.normalized_sql()}\nSELECT {select} FROM arts"
+
+
+@register("feed_scan_cap",
+          f"WITH raw AS ({O.raw_items_sql()})\nSELECT feed_ord, entry_ord FROM raw "
+          "QUALIFY row_number() OVER (PARTITION BY feed_ord ORDER BY entry_ord) <= 50")
+def q_feed_scan_cap(spark, sf):
+    return NZ.cap_per_feed(FD.raw_items_from_pages(spark, sf)).select("feed_ord", "entry_ord")
+
+
+@register("tag_exclude",
+          f"WITH raw AS ({O.raw_items_sql()})\nSELECT feed_ord, entry_ord, coalesce(list_bool_or(list_transform("
+          f"tags, lambda t: lower({O.strip(chr(39) * 0 + 'coalesce(t.term, ' + chr(39) * 2 + ')')}) = 'top bm')), "
+          "false) AS excluded FROM raw")
+def q_tag_exclude(spark, sf):
+    r = FD.raw_items_from_pages(spark, sf)
+    return r.select("feed_ord", "entry_ord", NZ.excluded_by_tag("tags").alias("excluded"))
+
+
+@register("entry_required", _arts_sql("ord, title, link, source"))
+def q_entry_required(spark, sf):
+    return _feed_articles(spark, sf).select("ord", "title", "link", "source")
+
+
+@register("category_infer", _arts_sql("ord, category"))
+def q_category_infer(spark, sf):
+    return _feed_articles(spark, sf).select("ord", "category")
+
+
+@register("date_parse", _arts_sql(f"ord, {O.fmt_ts('published_at')} AS published_at"))
+def q_date_parse(spark, sf):
+    return _feed_articles(spark, sf).select("ord", ts_str("published_at").alias("published_at"))
+
+
+@register("entry_description", _arts_sql("ord, description"))
+def q_entry_description(spark, sf):
+    return _feed_articles(spark, sf).select("ord", "description")
+
+
+@register("feed_full_content", _arts_sql("ord, content, content_extracted"))
+def q_feed_full_content(spark, sf):
+    return _feed_articles(spark, sf).select("ord", "content", "content_extracted")
+
+
+@register("entry_image", _arts_sql("ord, image"))
+def q_entry_image(spark, sf):
+    return _feed_articles(spark, sf).select("ord", "image")
+
+
+SITEMAP_SOURCE = ("Reuters", "https://www.reuters.com/arc/outboundfeeds/news-sitemap/?outputType=xml",
+                  "news", False, True)
+
+
+def _sitemap_sql() -> str:
+    title = O.strip("coalesce(title, '')")
+    ts = "(TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 1 HOUR)"
+    items = (f"SELECT 10 AS feed_ord, page_id AS entry_ord, CASE WHEN page_id % 3 = 0 THEN "
+             r"regexp_replace(url, '(://[^/]+)/[a-z]{2}/', '\1/news/') ELSE url END AS loc, CASE WHEN page_id % 9 = 0 THEN ' ' ELSE "
+             r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) END AS title, "
+             f"CASE WHEN page_id % 4 <> 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%SZ') END AS publication_date, "
+             "CASE WHEN page_id % 3 = 0 THEN 'https://img.example/s' || page_id || '.jpg' END AS image_loc FROM pages")
+    seg = f"split_part(regexp_replace({O.url_path('loc')}, '\\A/+|/+\\z', '', 'g'), '/', 1)"
+    pub = (f"CASE WHEN NOT (publication_date IS NULL OR {O.strip('publication_date')} = '') THEN "
+           f"coalesce({O.parse_date_sql('publication_date')}, {AS_OF_SQL}) END")
+    return f"""WITH it AS ({items}), srcs AS ({O.feed_sources_sql([SITEMAP_SOURCE])}),
+capped AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY feed_ord ORDER BY entry_ord) <= 50)
+SELECT CAST(c.feed_ord AS BIGINT) * 1000000000 + entry_ord AS ord, {title} AS title, loc AS link,
+  s.name AS source, {O.fmt_ts(f'coalesce({pub}, {AS_OF_SQL})')} AS published_at, image_loc AS image,
+  s.category AS category
+FROM capped c JOIN srcs s USING (feed_ord)
+WHERE loc IS NOT NULL AND loc <> '' AND NOT regexp_matches({seg}, '\\A\\p{{L}}{{2}}\\z') AND {title} <> ''"""
+
+
+@register("url_lang_prefix", _sitemap_sql())
+def q_url_lang_prefix(spark, sf):
+    srcs = D.add_feed_source(D.feed_sources(spark), *SITEMAP_SOURCE)
+    out = NZ.normalize_sitemap(FD.sitemap_items_from_pages(spark, sf), srcs, DEFAULT_AS_OF)
+    return out.select("ord", "title", "link", "source", ts_str("published_at").alias("published_at"), "image",
+                      "category")
+
+
+@register("resolve_redirects",
+          f"WITH a AS ({O.page_articles_sql()}), r AS (SELECT url AS l, 'https://decoded.example/' || page_id "
+          "AS decoded_url FROM pages WHERE page_id % 5 <> 4)\n"
+          "SELECT a.ord, coalesce(nullif(r.decoded_url, ''), a.link) AS link FROM a LEFT JOIN r ON a.link = r.l")
+def q_resolve_redirects(spark, sf):
+    p = S.table(spark, sf, "pages")
+    rmap = p.where(F.col("page_id") % 5 != 4).select(  # pages whose decoder succeeded
+        F.col("url").alias("link"), F.concat(F.lit("https://decoded.example/"), F.col("page_id").cast("string"))
+        .alias("decoded_url"))
+    return NZ.resolve_redirects(S.page_articles(spark, sf), rmap).select("ord", "link")
+
+
+def _feed_status_sql() -> str:
+    return (f"WITH {O.normalized_sql()},\ngot AS (SELECT feed_ord, count(*) AS n FROM raw GROUP BY 1),\n"
+            "made AS (SELECT CAST(ord // 1000000000 AS INTEGER) AS feed_ord, count(*) AS n FROM arts GROUP BY 1)\n"
+            "SELECT s.feed_ord, s.name, CAST(coalesce(made.n, 0) AS BIGINT) AS articles, CASE WHEN got.n IS NULL "
+            "THEN 'Failed to parse feed: ' || s.name END AS error FROM srcs s LEFT JOIN got USING (feed_ord) "
+            "LEFT JOIN made USING (feed_ord)")
+
+
+@register("feed_status", _feed_status_sql())
+def q_feed_status(spark, sf):
+    raw = FD.raw_items_from_pages(spark, sf)
+    srcs = D.feed_sources(spark)
+    return NZ.feed_status(raw, NZ.normalize_entries(raw, srcs, DEFAULT_AS_OF), srcs)
+
+
+@register("run_result",
+          f"WITH st AS ({_feed_status_sql()})\nSELECT CAST(sum(articles) AS BIGINT) AS total_count, "
+          "CAST(count(*) AS BIGINT) AS sources_fetched, CAST(count(error) AS BIGINT) AS sources_failed, "
+          "string_agg(error, chr(10) ORDER BY feed_ord) AS errors, count(error) < count(*) AS success FROM st")
+def q_run_result(spark, sf):
+    st = q_feed_status(spark, sf)
+    return M.run_result(st).select("total_count", "sources_fetched", "sources_failed", "errors", "success")
