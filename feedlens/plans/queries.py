@@ -752,3 +752,125 @@ def q_feed_status(spark, sf):
 def q_run_result(spark, sf):
     st = q_feed_status(spark, sf)
     return M.run_result(st).select("total_count", "sources_fetched", "sources_failed", "errors", "success")
+
+
+# -------------------------------------------------------------- snapshot / pending ----
+
+def _snap_sql_cols(cols: str) -> str:
+    return _snapshot_sql() + f"\nSELECT {cols} FROM snap"
+
+
+@register("pending_extract", _snapshot_sql() + "\nSELECT pos, ord, link FROM snap WHERE NOT content_extracted "
+          "ORDER BY pos LIMIT 10")
+def q_pending_extract(spark, sf):
+    return content.pending_extraction(snapshot(spark, sf), 10).select("pos", "ord", "link")
+
+
+@register("needs_content",
+          _snapshot_sql() + ",\n" + _store_cte() +
+          "\nSELECT pos, ord, link FROM snap WHERE link NOT IN (SELECT url FROM store WHERE full_content IS NOT NULL) "
+          "AND NOT content_extracted ORDER BY pos LIMIT 60")
+def q_needs_content(spark, sf):
+    return content.needs_content(snapshot(spark, sf), ST.articles_store(spark, sf), 60).select("pos", "ord", "link")
+
+
+@register("snapshot_status",
+          _snapshot_sql() + "\nSELECT CAST(count(*) AS BIGINT) AS articles_in_cache, CAST(120 AS BIGINT) AS "
+          "cache_age_seconds, count(*) > 0 AND 120 <= 300 AS is_valid FROM snap")
+def q_snapshot_status(spark, sf):
+    from datetime import timedelta
+    snap = snapshot(spark, sf).withColumn("snapshot_ts", F.lit(DEFAULT_AS_OF - timedelta(seconds=120)))
+    return M.snapshot_status(snap, DEFAULT_AS_OF).select(
+        "articles_in_cache", F.col("cache_age_seconds").cast("long").alias("cache_age_seconds"), "is_valid")
+
+
+def _snapshot_update_sql() -> str:
+    ex = (f"SELECT url AS x_url, {O.og_image('html')} AS og, {O.banner_strip('mt')} AS x_content FROM "
+          f"(SELECT url, html, {O.main_text('html')} AS mt FROM ({O.page_fixture_sql()}))")
+    return (_snapshot_sql() + f",\npend AS (SELECT * FROM snap WHERE NOT content_extracted ORDER BY pos LIMIT 10),\n"
+            f"upd AS (SELECT p.link, coalesce(nullif(p.image, ''), e.og) AS image, e.x_content AS content "
+            f"FROM pend p LEFT JOIN ({ex}) e ON p.link = e.x_url)\n"
+            "SELECT s.pos, s.ord, CASE WHEN u.link IS NOT NULL THEN true ELSE s.content_extracted END AS "
+            "content_extracted, CASE WHEN u.link IS NOT NULL THEN u.image ELSE s.image END AS image, "
+            "CASE WHEN u.link IS NOT NULL THEN u.content ELSE s.content END AS content "
+            "FROM snap s LEFT JOIN upd u ON s.link = u.link AND s.pos = (SELECT min(pos) FROM snap s2 "
+            "WHERE s2.link = u.link)")
+
+
+@register("snapshot_update", _snapshot_update_sql())
+def q_snapshot_update(spark, sf):
+    snap = snapshot(spark, sf)
+    pend = content.pending_extraction(snap, 10)
+    upd = content.attach_content(pend.drop("pos"), content.extract_pages(S.page_fixture(spark, sf)))
+    out = U.replace_in_snapshot(snap, upd)
+    return out.select("pos", "ord", "content_extracted", "image", "content")
+
+
+def _metrics_upsert_sql() -> str:
+    def daily(cond):
+        return (f"SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, company_id, avg(sentiment_score) "
+                f"AS avg_sentiment, count(*) AS article_volume FROM em WHERE {cond} GROUP BY 1, 2")
+    t_sql = daily("created_at < TIMESTAMP '2024-01-20'")
+    b_sql = daily("created_at >= TIMESTAMP '2024-01-15'")
+    return (f"WITH em AS ({O.event_mentions_sql()}), t AS ({t_sql}), b AS ({b_sql})\n"
+            "SELECT coalesce(b.date, t.date) AS date, coalesce(b.company_id, t.company_id) AS company_id, "
+            "round(CASE WHEN b.date IS NOT NULL THEN b.avg_sentiment ELSE t.avg_sentiment END, 9) AS avg_sentiment, "
+            "CAST(CASE WHEN b.date IS NOT NULL THEN b.article_volume ELSE t.article_volume END AS BIGINT) "
+            "AS article_volume FROM t FULL OUTER JOIN b ON t.date = b.date AND t.company_id = b.company_id")
+
+
+@register("upsert_generic", _metrics_upsert_sql())
+def q_upsert_generic(spark, sf):
+    from datetime import datetime
+    em = S.event_mentions(spark, sf)
+    target = M.daily_metrics(em.where(F.col("created_at") < F.lit(datetime(2024, 1, 20))))
+    batch = M.daily_metrics(em.where(F.col("created_at") >= F.lit(datetime(2024, 1, 15))))
+    out = U.upsert(target, batch, ["date", "company_id"])
+    return out.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+@register("unanalyzed_articles",
+          f"WITH {_analysis_cte()},\nd AS ({O.doc_articles_sql()}),\ntop AS (SELECT ord AS id, link AS url FROM d "
+          "WHERE content IS NOT NULL ORDER BY published_at DESC, ord LIMIT 50)\n"
+          "SELECT id, url FROM top WHERE id NOT IN (SELECT article_id FROM an)")
+def q_unanalyzed_articles(spark, sf):
+    from ..operators import reads
+    arts = S.doc_articles(spark, sf).select(F.col("ord").alias("id"), F.col("link").alias("url"), "title",
+                                            F.col("content").alias("full_content"), "published_at")
+    found = mentions.analyze_text(_doc_texts(spark, sf))
+    return reads.unanalyzed_articles(arts, found, 50).select("id", "url")
+
+
+# ------------------------------------------------------------------------ summaries ----
+from ..operators import summarize as SM  # noqa: E402
+
+
+def _words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({O.strip(x)}, {O.q(X.WS_RUN)}), lambda w: w <> '')"
+
+
+def _truncate_sql(x: str, n: int) -> str:
+    w = _words_sql(x)
+    return f"CASE WHEN len({w}) <= {n} THEN {x} ELSE array_to_string({w}[1:{n}], ' ') || '...' END"
+
+
+@register("summary_truncate", f"SELECT doc_id, {_truncate_sql('text', 50)} AS summary FROM documents")
+def q_summary_truncate(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", X.truncate_words("text", 50).alias("summary"))
+
+
+def _summary_record_sql() -> str:
+    t = "coalesce(nullif(content, ''), nullif(description, ''), '')"
+    summ = _truncate_sql("t", 200)
+    return (f"SELECT ord, title AS original_title, source, CASE WHEN t = '' THEN 'No content available to summarize.' "
+            f"ELSE {summ} END AS summary, 'truncate' AS summarized_by, CASE WHEN t = '' THEN 0 ELSE "
+            f"CAST(len({_words_sql('t')}) AS BIGINT) END AS original_length, CASE WHEN t = '' THEN 0 ELSE "
+            f"CAST(len({_words_sql(summ)}) AS BIGINT) END AS summary_length FROM (SELECT *, {t} AS t "
+            f"FROM ({O.doc_articles_sql()}))")
+
+
+@register("summary_record", _summary_record_sql())
+def q_summary_record(spark, sf):
+    return SM.summary_record(S.doc_articles(spark, sf), SM.TruncateSummarizer(), 200) \
+        .select("ord", "original_title", "source", "summary", "summarized_by", "original_length", "summary_length")
