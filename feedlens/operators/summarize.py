@@ -46,3 +46,153 @@ def summary_record(articles: DataFrame, summarizer: Summarizer, max_length: int
         F.lit(summarizer.name).alias("summarized_by"),
         F.when(empty, F.lit(0)).otherwise(word_count("_t")).cast("long").alias("original_length"),
         F.when(empty, F.lit(0)).otherwise(word_count("summary")).cast("long").alias("summary_length"))
+
+
+# --- extractive rankers (T19) -------------------------------------------------------------
+
+# Function words left out of sentence scoring (our list; the ranking is our own
+# re-statement of the classic methods, not a copy of any library's).
+STOP_WORDS = ("a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "with",
+              "from", "as", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that",
+              "these", "those", "he", "she", "they", "we", "you", "i", "not", "no", "so", "if", "than")
+MIN_CHARS = 100
+
+
+def sentence_count(max_length: int) -> int:
+    return max(2, max_length // 20)
+
+
+def _sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    from .mentions import sentences
+    return df.select(F.col(id_col).alias("_id"), F.posexplode(sentences(text_col)).alias("k", "sentence"))
+
+
+class LuhnSummarizer(Summarizer):
+    """Luhn: words (lowercased, function words dropped) seen at least twice in the
+    document are significant; a sentence scores sig^2 / words; the best n sentences
+    (ties: earlier first) are joined in document order. Token counts are a Spark
+    aggregation keyed by (document, word)."""
+    name = "sumy-luhn"
+
+    def summarize(self, df, id_col, text_col, max_length):
+        from .scoring import TOKEN_SPLIT
+        n = sentence_count(max_length)
+        long_ = df.where(F.length(strip_ws(F.col(text_col))) >= MIN_CHARS)
+        sents = _sentences(long_, id_col, text_col)
+        toks = sents.select("_id", "k", F.explode(F.filter(F.split(F.lower("sentence"), TOKEN_SPLIT),
+                                                            lambda t: (t != "") & ~t.isin(*STOP_WORDS))).alias("tok"))
+        freq = toks.groupBy("_id", "tok").agg(F.count(F.lit(1)).alias("f"))
+        scored = (toks.join(freq, ["_id", "tok"])
+                  .groupBy("_id", "k").agg(F.count_if(F.col("f") >= 2).alias("sig"), F.count(F.lit(1)).alias("w")))
+        scored = scored.withColumn("score", F.col("sig") * F.col("sig") / F.col("w"))
+        return _pick(df, sents, scored, id_col, text_col, n)
+
+
+def _pick(df, sents, scored, id_col, text_col, n):
+    from pyspark.sql import Window
+    s = sents.join(scored.select("_id", "k", "score"), ["_id", "k"], "left") \
+        .withColumn("score", F.coalesce("score", F.lit(0.0)))
+    w = Window.partitionBy("_id").orderBy(F.desc("score"), F.asc("k"))
+    top = s.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    summ = top.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sentence"))),
+                                                           lambda x: x["sentence"]), " ").alias("_s"))
+    out = df.join(summ, df[id_col] == summ["_id"], "left")
+    t = F.col(text_col)
+    summary = (F.when(t.isNull() | (F.length(strip_ws(t)) < MIN_CHARS), t)
+               .when(F.coalesce(F.col("_s"), F.lit("")) == "", F.left(t, F.lit(500))).otherwise(F.col("_s")))
+    return out.withColumn("summary", summary).drop("_id", "_s")
+
+
+class MatrixSummarizer(Summarizer):
+    """textrank / lexrank / lsa: rank one document's sentences from its sentence-term
+    matrix in numpy (per document row inside ``mapInPandas``; no shuffle).
+
+    * lexrank: tf-idf cosine graph (edges >= 0.1), degree-normalized, power iteration
+    * textrank: word-overlap similarity / (log|a| + log|b|), damping 0.85
+    * lsa: SVD of the term-sentence matrix, score = sqrt(sum_k (s_k v_k)^2)
+    """
+
+    def __init__(self, algorithm: str):
+        if algorithm not in ("lexrank", "textrank", "lsa"):
+            raise ValueError("algorithm must be one of: lsa, textrank, lexrank, luhn")
+        self.algorithm = algorithm
+        self.name = f"sumy-{algorithm}"
+
+    def summarize(self, df, id_col, text_col, max_length):
+        from .mentions import sentences
+        algo, n = self.algorithm, sentence_count(max_length)
+        d = df.withColumn("_sents", sentences(text_col))
+
+        def run(it):
+            for pdf in it:
+                pdf = pdf.copy()
+                pdf["summary"] = [_rank_sentences(t, s, algo, n) for t, s in zip(pdf[text_col], pdf["_sents"])]
+                yield pdf.drop(columns=["_sents"])
+
+        schema = df.schema.add("summary", "string")
+        return d.mapInPandas(run, schema)
+
+
+def _rank_sentences(text, sents, algo: str, n: int):
+    import math
+    import re
+
+    import numpy as np
+    if text is None or len(text.strip()) < MIN_CHARS:
+        return text
+    sents = list(sents) if sents is not None else []
+    toks = [[w for w in re.split(r"[^\w]+", s.lower()) if w and w not in STOP_WORDS] for s in sents]
+    vocab = {w: i for i, w in enumerate(sorted({w for t in toks for w in t}))}
+    m = len(sents)
+    if m == 0 or not vocab:
+        return text[:500]
+    tf = np.zeros((m, len(vocab)))
+    for i, t in enumerate(toks):
+        for w in t:
+            tf[i, vocab[w]] += 1
+    if algo == "lsa":
+        u, s, vt = np.linalg.svd(tf.T, full_matrices=False)
+        k = max(1, min(len(s), 3))
+        score = np.sqrt(((s[:k, None] * vt[:k, :]) ** 2).sum(axis=0))
+    else:
+        if algo == "lexrank":
+            idf = np.log(m / (1 + (tf > 0).sum(axis=0))) + 1.0
+            v = tf * idf
+            norm = np.linalg.norm(v, axis=1)
+            norm[norm == 0] = 1.0
+            sim = (v @ v.T) / np.outer(norm, norm)
+            adj = (sim >= 0.1).astype(float)
+        else:
+            sets = [set(t) for t in toks]
+            adj = np.zeros((m, m))
+            for i in range(m):
+                for j in range(i + 1, m):
+                    den = math.log(len(sets[i]) + 1) + math.log(len(sets[j]) + 1)
+                    val = len(sets[i] & sets[j]) / den if den > 0 else 0.0
+                    adj[i, j] = adj[j, i] = val
+        row = adj.sum(axis=1)
+        row[row == 0] = 1.0
+        p = adj / row[:, None]
+        damp = 0.85
+        score = np.ones(m) / m
+        for _ in range(100):
+            nxt = (1 - damp) / m + damp * p.T @ score
+            if np.abs(nxt - score).sum() < 1e-9:
+                score = nxt
+                break
+            score = nxt
+    order = sorted(range(m), key=lambda i: (-score[i], i))[:n]
+    out = " ".join(sents[i] for i in sorted(order))
+    return out if out else text[:500]
+
+
+SUMMARIZERS = {"truncate": TruncateSummarizer, "luhn": LuhnSummarizer}
+
+
+def configure_summarizer(algorithm: str) -> Summarizer:
+    """Summarizer by name; unknown names raise."""
+    if algorithm in ("lsa", "textrank", "lexrank"):
+        return MatrixSummarizer(algorithm)
+    if algorithm in SUMMARIZERS:
+        return SUMMARIZERS[algorithm]()
+    raise ValueError("algorithm must be one of: lsa, textrank, lexrank, luhn")

@@ -874,3 +874,43 @@ def _summary_record_sql() -> str:
 def q_summary_record(spark, sf):
     return SM.summary_record(S.doc_articles(spark, sf), SM.TruncateSummarizer(), 200) \
         .select("ord", "original_title", "source", "summary", "summarized_by", "original_length", "summary_length")
+
+
+def _luhn_sql(max_length: int = 200) -> str:
+    from ..operators.scoring import TOKEN_SPLIT
+    n = SM.sentence_count(max_length)
+    stop = "[" + ", ".join(O.q(w) for w in SM.STOP_WORDS) + "]"
+    return f"""WITH d AS (SELECT doc_id, text FROM documents),
+lg AS (SELECT * FROM d WHERE length({O.strip('text')}) >= {SM.MIN_CHARS}),
+sp AS (SELECT doc_id, {O.sentences_list('text')} AS ss FROM lg),
+se AS (SELECT doc_id, k - 1 AS k, ss[k] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS k FROM sp)),
+tk AS (SELECT doc_id, k, unnest(list_filter(regexp_split_to_array(lower(sentence), {O.q(TOKEN_SPLIT)}),
+          lambda t: t <> '' AND NOT list_contains({stop}, t))) AS tok FROM se),
+fq AS (SELECT doc_id, tok, count(*) AS f FROM tk GROUP BY 1, 2),
+sc AS (SELECT doc_id, k, count(*) FILTER (WHERE f >= 2) AS sig, count(*) AS w FROM tk JOIN fq USING (doc_id, tok)
+       GROUP BY 1, 2),
+ranked AS (SELECT se.doc_id, se.k, se.sentence, coalesce(sc.sig * sc.sig / sc.w, 0.0) AS score FROM se
+           LEFT JOIN sc USING (doc_id, k)
+           QUALIFY row_number() OVER (PARTITION BY se.doc_id ORDER BY coalesce(sc.sig * sc.sig / sc.w, 0.0) DESC,
+                                      se.k) <= {n}),
+summ AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY k) AS s FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR length({O.strip('d.text')}) < {SM.MIN_CHARS} THEN d.text
+  WHEN coalesce(summ.s, '') = '' THEN left(d.text, 500) ELSE summ.s END AS summary
+FROM d LEFT JOIN summ USING (doc_id)"""
+
+
+@register("summary_luhn", _luhn_sql())
+def q_summary_luhn(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    return SM.LuhnSummarizer().summarize(d, "doc_id", "text", 200).select("doc_id", "summary")
+
+
+def _matrix_summary(algo):
+    def q(spark, sf):
+        d = S.table(spark, sf, "documents").select("doc_id", "text")
+        return SM.MatrixSummarizer(algo).summarize(d, "doc_id", "text", 200).select("doc_id", "summary")
+    return q
+
+
+for _algo in ("textrank", "lexrank", "lsa"):
+    QUERIES[f"summary_{_algo}"] = _matrix_summary(_algo)
