@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ts_lit
+
 
 def label_of_compound(c) -> F.Column:
     return (F.when(c >= 0.05, "positive").when(c <= -0.05, "negative").otherwise("neutral"))
@@ -109,6 +111,6 @@ def run_result(status: DataFrame) -> DataFrame:
 def snapshot_status(snapshot: DataFrame, as_of: datetime, ttl_seconds: int = 300) -> DataFrame:
     """Article count, age of the snapshot and whether it is still valid (non-empty
     and age <= TTL)."""
-    age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(F.max("snapshot_ts"))
+    age = F.unix_timestamp(ts_lit(as_of)) - F.unix_timestamp(F.max("snapshot_ts"))
     return snapshot.agg(F.count(F.lit(1)).alias("articles_in_cache"), age.alias("cache_age_seconds")) \
         .withColumn("is_valid", (F.col("articles_in_cache") > 0) & (F.col("cache_age_seconds") <= ttl_seconds))

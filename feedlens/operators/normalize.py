@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_image
 from ..functions.text import WS, clean_html, col_, is_blank, strip_ws, url_has_lang_prefix
+from ..session import ts_lit
 from ..sources import dims
 
 ORD_FEED_SHIFT = 1_000_000_000  # ord = feed_ord * shift + entry_ord (source order, then position)
@@ -57,7 +58,7 @@ def entry_date(published, pub_date, updated, created, as_of: datetime) -> Column
     """Published -> pubDate -> updated -> created; a field that fails to parse is
     skipped; none -> ``as_of`` (the run's "now")."""
     return F.coalesce(parse_date(published), parse_date(pub_date), parse_date(updated),
-                      parse_date(created), F.lit(as_of))
+                      parse_date(created), ts_lit(as_of))
 
 
 def entry_description(summary, description, content) -> Column:
@@ -130,11 +131,11 @@ def normalize_sitemap(items: DataFrame, sources: DataFrame, as_of: datetime) ->
     title = strip_ws(F.coalesce("title", F.lit("")))
     loc = F.col("loc")
     e = e.where(loc.isNotNull() & (loc != "") & ~url_has_lang_prefix(loc) & (title != ""))
-    pub = F.when(~is_blank("publication_date"), F.coalesce(parse_date("publication_date"), F.lit(as_of)))
+    pub = F.when(~is_blank("publication_date"), F.coalesce(parse_date("publication_date"), ts_lit(as_of)))
     return e.select(
         (F.col("feed_ord").cast("long") * ORD_FEED_SHIFT + F.col("entry_ord")).alias("ord"),
         title.alias("title"), loc.alias("link"), F.col("_src_name").alias("source"),
-        F.coalesce(pub, F.lit(as_of)).alias("published_at"), F.lit(None).cast("string").alias("description"),
+        F.coalesce(pub, ts_lit(as_of)).alias("published_at"), F.lit(None).cast("string").alias("description"),
         F.col("image_loc").alias("image"), F.col("_src_cat").alias("category"),
         F.lit(None).cast("string").alias("content"), F.lit(False).alias("content_extracted"))
 

@@ -10,6 +10,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ts_lit
+
 
 def filter_source(snapshot: DataFrame, source: str) -> DataFrame:
     """case-insensitive source equality."""
@@ -41,13 +43,13 @@ def retention(articles: DataFrame, days: int, as_of: datetime) -> tuple[DataFram
     """(kept, deleted) split at published_at < as_of - days. The kept side is the
     new table snapshot (parquet has no DELETE)."""
     cutoff = as_of - timedelta(days=days)
-    old = F.col("published_at") < F.lit(cutoff)
+    old = F.col("published_at") < ts_lit(cutoff)
     return articles.where(~old | F.col("published_at").isNull()), articles.where(old)
 
 
 def retention_counts(articles: DataFrame, days: int, as_of: datetime) -> DataFrame:
     cutoff = as_of - timedelta(days=days)
-    old = F.col("published_at") < F.lit(cutoff)
+    old = F.col("published_at") < ts_lit(cutoff)
     return articles.agg(F.count_if(old).cast("long").alias("deleted"),
                         F.count_if(~old | F.col("published_at").isNull()).cast("long").alias("kept"))
 
@@ -55,7 +57,7 @@ def retention_counts(articles: DataFrame, days: int, as_of: datetime) -> DataFra
 def recent_mentions(mentions: DataFrame, as_of: datetime, days: int = 7, limit: int = 50,
                     company_id: int | None = None) -> DataFrame:
     """created_at >= as_of - days, newest first, limit (optional company)."""
-    m = mentions.where(F.col("created_at") >= F.lit(as_of - timedelta(days=days)))
+    m = mentions.where(F.col("created_at") >= ts_lit(as_of - timedelta(days=days)))
     if company_id is not None:
         m = m.where(F.col("company_id") == company_id)
     return m.orderBy(F.desc("created_at"), "article_id", "company_id").limit(limit)

@@ -369,7 +369,7 @@ def q_mention_fold(spark, sf):
 # ------------------------------------------------------------------- stores / upserts --
 from ..operators import metrics as M  # noqa: E402
 from ..operators import upsert as U  # noqa: E402
-from ..session import DEFAULT_AS_OF  # noqa: E402
+from ..session import DEFAULT_AS_OF, ts_lit  # noqa: E402
 from ..sources import stores as ST  # noqa: E402
 
 AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -779,7 +779,7 @@ def q_needs_content(spark, sf):
           "cache_age_seconds, count(*) > 0 AND 120 <= 300 AS is_valid FROM snap")
 def q_snapshot_status(spark, sf):
     from datetime import timedelta
-    snap = snapshot(spark, sf).withColumn("snapshot_ts", F.lit(DEFAULT_AS_OF - timedelta(seconds=120)))
+    snap = snapshot(spark, sf).withColumn("snapshot_ts", ts_lit(DEFAULT_AS_OF - timedelta(seconds=120)))
     return M.snapshot_status(snap, DEFAULT_AS_OF).select(
         "articles_in_cache", F.col("cache_age_seconds").cast("long").alias("cache_age_seconds"), "is_valid")
 
@@ -823,8 +823,8 @@ def _metrics_upsert_sql() -> str:
 def q_upsert_generic(spark, sf):
     from datetime import datetime
     em = S.event_mentions(spark, sf)
-    target = M.daily_metrics(em.where(F.col("created_at") < F.lit(datetime(2024, 1, 20))))
-    batch = M.daily_metrics(em.where(F.col("created_at") >= F.lit(datetime(2024, 1, 15))))
+    target = M.daily_metrics(em.where(F.col("created_at") < ts_lit(datetime(2024, 1, 20))))
+    batch = M.daily_metrics(em.where(F.col("created_at") >= ts_lit(datetime(2024, 1, 15))))
     out = U.upsert(target, batch, ["date", "company_id"])
     return out.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
 
@@ -914,3 +914,12 @@ def _matrix_summary(algo):
 
 for _algo in ("textrank", "lexrank", "lsa"):
     QUERIES[f"summary_{_algo}"] = _matrix_summary(_algo)
+
+
+# ------------------------------------------------------------------------ streaming ----
+
+@register("stream_daily_metrics", _daily_sql(False))
+def q_stream_daily_metrics(spark, sf):
+    from ..streaming.ingest import daily_metrics_via_stream
+    t = daily_metrics_via_stream(spark, sf, "events.parquet", S.events_to_mentions)
+    return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")

@@ -75,3 +75,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 # Fixed "now" used by tests and the registered queries so results are reproducible.
 DEFAULT_AS_OF = datetime(2024, 2, 1, 0, 0, 0)
+
+
+def ts_lit(dt: datetime):
+    """A UTC timestamp literal that does not depend on the Python process time zone."""
+    from pyspark.sql import functions as F
+    return F.to_timestamp(F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")))

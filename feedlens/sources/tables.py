@@ -134,7 +134,11 @@ def doc_mention_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mention records from events, in arrival order ``ord``."""
-    e = table(spark, sf_dir, "events")
+    return events_to_mentions(table(spark, sf_dir, "events"))
+
+
+def events_to_mentions(e: DataFrame) -> DataFrame:
+    """Projection events -> mention records (batch or stream)."""
     conf = F.regexp_extract("props", r"([0-9]+)", 1).cast("int") / F.lit(100.0)
     sent = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50.0) / 50.0))
     return e.select(
@@ -144,5 +148,5 @@ def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sent.alias("sentiment_score"),
         conf.alias("confidence_score"),
         F.concat(F.col("event_type"), F.lit(" event "), F.col("event_id").cast("string")).alias("context_sentence"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").cast("timestamp").alias("created_at"),
     )
