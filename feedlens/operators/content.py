@@ -47,7 +47,12 @@ def pending_extraction(snapshot: DataFrame, limit: int = 10) -> DataFrame:
 
 def needs_content(snapshot: DataFrame, stored: DataFrame, limit: int = 60) -> DataFrame:
     """Snapshot articles whose URL has no stored content and that are not yet
-    extracted, first ``limit`` in snapshot order."""
-    have = stored.where(F.col("full_content").isNotNull()).select(F.col("url").alias("link"))
+    extracted, first ``limit`` in snapshot order.
+
+    The snapshot is capped (F4, 200 rows), so its links are broadcast into a semi
+    join over the stored table: the store is scanned once and never shuffled."""
+    links = F.broadcast(snapshot.select("link"))
+    have = (stored.where(F.col("full_content").isNotNull()).select(F.col("url").alias("link"))
+            .join(links, "link", "left_semi"))
     return (snapshot.join(have, "link", "left_anti").where(~F.col("content_extracted"))
             .orderBy("pos").limit(limit))

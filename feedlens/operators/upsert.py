@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import url_domain
+from ..session import cut_lineage
 from ..sources.dims import NEW_SOURCE_RELIABILITY
 from . import dedup
 
@@ -51,10 +52,12 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], preserve: tuple[
 
 def assign_dense_ids(new_rows: DataFrame, order_col: str, start_after: int, id_col: str = "id") -> DataFrame:
     """ids start_after+1, start_after+2, ... in ``order_col`` order, computed like
-    zipWithIndex: range-partition by order, count rows per partition (one number per
-    partition reaches the driver), add the partition's offset to a local row number."""
-    parts = new_rows.repartitionByRange(order_col).sortWithinPartitions(order_col) \
-        .withColumn("_p", F.spark_partition_id())
+    zipWithIndex: range-partition by order, count rows per partition (one small row
+    per partition), add the partition's offset to a local row number. The partitioned
+    rows are checkpointed first so the count and the numbering see the same
+    partitioning (range bounds come from a sample)."""
+    parts = cut_lineage(new_rows.repartitionByRange(order_col).sortWithinPartitions(order_col)
+                        .withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
