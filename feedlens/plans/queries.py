@@ -923,3 +923,52 @@ def q_stream_daily_metrics(spark, sf):
     from ..streaming.ingest import daily_metrics_via_stream
     t = daily_metrics_via_stream(spark, sf, "events.parquet", S.events_to_mentions)
     return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+# ------------------------------------------------------------- sitemap / lookup / model --
+
+@register("sitemap_items",
+          "SELECT 10 AS feed_ord, page_id AS entry_ord, CASE WHEN page_id % 3 = 0 THEN "
+          r"regexp_replace(url, '(://[^/]+)/[a-z]{2}/', '\1/news/') ELSE url END AS loc, "
+          "CASE WHEN page_id % 9 = 0 THEN ' ' ELSE "
+          r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) END AS title "
+          "FROM pages QUALIFY row_number() OVER (ORDER BY page_id) <= 50")
+def q_sitemap_items(spark, sf):
+    it = NZ.cap_per_feed(FD.sitemap_items_from_pages(spark, sf))
+    return it.select(F.col("feed_ord"), F.col("entry_ord"), "loc", "title")
+
+
+@register("alias_lookup",
+          f"WITH {O.mentions_sql(O.doc_mention_texts_sql())},\n"
+          "cand AS (SELECT article_id, matched_text AS t FROM ments UNION ALL "
+          f"SELECT doc_id, split_part({O.strip('text')}, ' ', 1) FROM documents)\n"
+          f"SELECT cand.article_id, cand.t AS candidate, al.name AS company_name, al.ticker FROM cand "
+          f"LEFT JOIN al ON al.alias = lower({O.strip('cand.t')})")
+def q_alias_lookup(spark, sf):
+    m = mentions.regex_mentions(_doc_texts(spark, sf)).select("article_id", F.col("matched_text").alias("t"))
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"),
+                                               F.split(X.strip_ws("text"), " ").getItem(0).alias("t"))
+    out = mentions.alias_lookup(m.unionByName(d), "t")
+    return out.select("article_id", F.col("t").alias("candidate"), "company_name", "ticker")
+
+
+def capitalized_span_model():
+    """Stand-in entity model for the model slot (T8): capitalized word runs are
+    ORG candidates with score 0.85. Loaded once per Python worker."""
+    import re
+    pat = re.compile(r"[A-Z][A-Za-z]*(?:\.com)?(?: [A-Z][A-Za-z]*\.?)*")
+
+    def extract(text):
+        return [{"start_char": m.start(), "end_char": m.end(), "label": "ORG", "score": 0.85}
+                for m in pat.finditer(text)]
+    return extract
+
+
+@register("mention_model")
+def q_mention_model(spark, sf):
+    return mentions.model_mentions(_doc_texts(spark, sf), capitalized_span_model)
+
+
+@register("mention_fallback")
+def q_mention_fallback(spark, sf):
+    return mentions.extract_mentions(_doc_texts(spark, sf), load_extractor=capitalized_span_model)
