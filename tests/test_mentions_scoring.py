@@ -109,3 +109,11 @@ def test_pandas_model_scorer_and_label_alias(spark):
     assert [x.label for x in r] == ["positive", "positive"] and abs(r[0].compound - 0.6) < 1e-9
     df = spark.createDataFrame([("LABEL_0",), ("Positive",)], "l string")
     assert [x[0] for x in df.select(SC.label_alias(F.col("l"))).collect()] == ["negative", "positive"]
+
+
+def test_prefilter_keeps_every_mention(spark):
+    texts = TEXTS + ["Teſla and ＡＷＳ are odd", "plain text"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "article_id long, text string")
+    a = sorted(tuple(r) for r in MN.regex_mentions(df).collect())
+    b = sorted(tuple(r) for r in MN.regex_mentions(df, prefilter=True).collect())
+    assert a == b and len(a) > 5
