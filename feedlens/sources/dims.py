@@ -216,3 +216,33 @@ def alias_pattern() -> str:
     """``\\b(alt|alt|...)\\b`` valid in both Java regex and RE2 (only '.' needs escaping)."""
     alts = [a.replace(".", "\\.") for a in regex_aliases()]
     return "\\b(" + "|".join(alts) + ")\\b"
+
+
+def _trie(words: list[str]) -> str:
+    """Regex for a set of literal words as a character trie; at every branch point
+    longer continuations are optional groups tried before stopping, so the first
+    match at a position is the longest word that also passes the trailing check —
+    the same match a longest-first alternation gives, with far fewer alternatives
+    tried per position."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        branches = [(re.escape(ch).replace("\\ ", " ")) + emit(node[ch]) for ch in sorted(k for k in node if k)]
+        if not branches:
+            return ""
+        if len(branches) == 1 and not end:
+            return branches[0]
+        return "(?:" + "|".join(branches) + ")" + ("?" if end else "")
+
+    return emit(root)
+
+
+def alias_trie_pattern() -> str:
+    """``\\b(trie)\\b`` over the regex-path aliases (Java regex)."""
+    return "\\b(" + _trie(regex_aliases()) + ")\\b"

@@ -117,3 +117,16 @@ def test_prefilter_keeps_every_mention(spark):
     a = sorted(tuple(r) for r in MN.regex_mentions(df).collect())
     b = sorted(tuple(r) for r in MN.regex_mentions(df, prefilter=True).collect())
     assert a == b and len(a) > 5
+
+
+def test_trie_pattern_equals_longest_first_alternation():
+    import random
+    flat = r"\b(" + "|".join(re.escape(a) for a in dims.regex_aliases()) + r")\b"
+    trie = dims.alias_trie_pattern()
+    rnd = random.Random(11)
+    pieces = dims.regex_aliases() + ["x", " ", ".", "s", "Inc", "inc.", "Corp", "web", "-", "é", "googles", "aw"]
+    for _ in range(5000):
+        t = "".join(rnd.choice(pieces) + rnd.choice(["", " ", ".", "!"]) for _ in range(rnd.randint(1, 8)))
+        a = [(m.start(), m.group(1)) for m in re.finditer(flat, t, re.I)]
+        b = [(m.start(), m.group(1)) for m in re.finditer(trie, t, re.I)]
+        assert a == b, t
