@@ -129,7 +129,8 @@ class MatrixSummarizer(Summarizer):
                 pdf["summary"] = [_rank_sentences(t, s, algo, n) for t, s in zip(pdf[text_col], pdf["_sents"])]
                 yield pdf.drop(columns=["_sents"])
 
-        schema = df.schema.add("summary", "string")
+        from pyspark.sql import types as T
+        schema = T.StructType(list(df.schema.fields) + [T.StructField("summary", T.StringType())])
         return d.mapInPandas(run, schema)
 
 
