@@ -130,7 +130,7 @@ def event_mentions_sql() -> str:
 
 
 def companies_sql() -> str:
-    rows = ", ".join(f"({i + 1}, {q(n)}, {q(t)}, {q(u)})" for i, (n, t, u) in enumerate(COMPANIES))
+    rows = ", ".join(f"(CAST({i + 1} AS BIGINT), {q(n)}, {q(t)}, {q(u)})" for i, (n, t, u) in enumerate(COMPANIES))
     return f"SELECT * FROM (VALUES {rows}) AS c(id, name, ticker, icon_url)"
 
 
@@ -260,7 +260,7 @@ ctx AS (SELECT e2.article_id, e2.i, e2.mt, e2.start_char, e2.start_char + length
 al AS ({aliases_sql()}),
 ments AS (SELECT ctx.article_id, al.name AS company_name, al.ticker, ctx.mt AS matched_text,
             CAST(ctx.start_char AS BIGINT) AS start_char, CAST(ctx.end_char AS BIGINT) AS end_char,
-            0.9 AS confidence, ctx.context_sentence
+            CAST(0.9 AS DOUBLE) AS confidence, ctx.context_sentence
           FROM ctx JOIN al ON al.alias = lower({strip('ctx.mt')}))"""
 
 

@@ -130,7 +130,8 @@ def snapshot(spark, sf, cap: int = 200) -> DataFrame:
     """§3.1 without the network: D4 -> newest first (stable) -> cap; ``pos`` = rank."""
     arts = dedup.dedup_articles(S.page_articles(spark, sf))
     top = arts.orderBy(F.desc("published_at"), F.asc("ord")).limit(cap)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("published_at"), F.asc("ord"))))
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("published_at"), F.asc("ord")))
+                          .cast("long"))
 
 
 def _snapshot_sql(cap: int = 200) -> str:
@@ -380,7 +381,7 @@ def _sources_cte() -> str:
 src_f AS (SELECT {O.url_domain('link')} AS domain, arg_min(source, ord) AS name, min(ord) AS first
           FROM pa GROUP BY 1),
 src AS (SELECT CAST(row_number() OVER (ORDER BY first) AS BIGINT) AS id, name, domain,
-               0.5 AS reliability_score, CAST(NULL AS VARCHAR) AS logo_url FROM src_f)"""
+               CAST(0.5 AS DOUBLE) AS reliability_score, CAST(NULL AS VARCHAR) AS logo_url FROM src_f)"""
 
 
 def _store_cte(content_mod: int = 3) -> str:
