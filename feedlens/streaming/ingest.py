@@ -20,36 +20,7 @@ from ..functions.text import normalize_url
 from ..operators import dedup, metrics, normalize, reads
 from ..operators import upsert as U
 from ..session import checkpoint_dir
-
-
-class VersionedTable:
-    """A parquet table kept as versions v=0,1,2,...; readers take the newest."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def latest(self, before: int | None = None) -> DataFrame:
-        vs = [v for v in self._versions() if before is None or v < before]
-        if not vs:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={vs[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+from ..sources.sinks import VersionedTable
 
 
 def scratch(spark: SparkSession, name: str) -> str:

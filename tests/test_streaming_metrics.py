@@ -111,3 +111,14 @@ def test_attach_content_compat_and_retryable(spark):
     r = content.attach_content(arts, ex, compat=False)
     assert r.where("content_extracted").count() == 0 and r.where("content_error").count() == arts.count()
     assert os.path.isdir(SF001)
+
+
+def test_versioned_table_replace_and_clear(spark):
+    from feedlens.sources.sinks import VersionedTable
+    t = VersionedTable(spark, f"{_root(spark)}/tbl", "k long, v string")
+    assert t.latest().count() == 0
+    assert t.append_version(spark.createDataFrame([(1, "a")], t.schema)) == 0
+    assert t.append_version(spark.createDataFrame([(1, "b"), (2, "c")], t.schema)) == 1
+    assert sorted(tuple(r) for r in t.latest().collect()) == [(1, "b"), (2, "c")]
+    assert t.clear() == 2 and t.latest().count() == 0
+    assert t.latest(before=2).count() == 2
