@@ -83,7 +83,7 @@ def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None
     if feed_files is None:
         feed_files = (x.select("_file").distinct()
                       .withColumn("feed_ord", (F.dense_rank().over(Window.orderBy("_file")) - 1).cast("int")))
-    x = x.join(F.broadcast(feed_files), "_file")
+    x = x.join(feed_files, "_file")  # AQE broadcasts it when the file list is small
     content = F.when(F.col("`content:encoded`").isNotNull(),
                      F.array(F.struct(F.col("`content:encoded`").alias("value"))))
     return x.select(
