@@ -973,3 +973,37 @@ def q_mention_model(spark, sf):
 @register("mention_fallback")
 def q_mention_fallback(spark, sf):
     return mentions.extract_mentions(_doc_texts(spark, sf), load_extractor=capitalized_span_model)
+
+
+# ------------------------------------------------------------------ T22, A7 ---------------
+
+@register("text_sentiment",
+          f"SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS text_length, round(positive - negative, 9) AS "
+          f"compound, {O.label_sql()} AS label FROM (SELECT conv_id, turn, text, {O.lexicon_probs('text')} "
+          "FROM conversations)")
+def q_text_sentiment(spark, sf):
+    """Sentiment and length of arbitrary text."""
+    c = S.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    s = scoring.sentiment(c, "text")
+    return s.select("conv_id", "turn", F.length("text").cast("long").alias("text_length"),
+                    r9("compound").alias("compound"), "label")
+
+
+@register("touched_companies",
+          f"WITH em AS ({O.event_mentions_sql()}), batch AS (SELECT * FROM em WHERE created_at >= "
+          "TIMESTAMP '2024-01-29'), touched AS (SELECT DISTINCT company_id FROM batch)\n"
+          "SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, company_id, "
+          "round(avg(sentiment_score), 9) AS avg_sentiment, CAST(count(*) AS BIGINT) AS article_volume "
+          "FROM em WHERE company_id IN (SELECT company_id FROM touched) AND CAST(created_at AS DATE) IN "
+          "(SELECT DISTINCT CAST(created_at AS DATE) FROM batch) GROUP BY 1, 2")
+def q_touched_companies(spark, sf):
+    """A7 -> A4: metrics recomputed only for the (day, company) pairs a batch touched."""
+    from datetime import datetime
+    em = S.event_mentions(spark, sf)
+    batch = em.where(F.col("created_at") >= ts_lit(datetime(2024, 1, 29)))
+    touched = batch.select("company_id").distinct()
+    days = batch.select(F.to_date("created_at").alias("_d")).distinct()
+    scope = (em.join(touched, "company_id", "left_semi")
+             .join(days, F.to_date(em["created_at"]) == days["_d"], "left_semi"))
+    d = M.daily_metrics(scope)
+    return d.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
