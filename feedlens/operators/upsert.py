@@ -34,20 +34,33 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], preserve: tuple[
     """A batch row replaces the target row of its key (all provided columns,
     nulls included, except ``preserve`` columns which fall back to the old value and
     ``keep_target`` columns which are never overwritten); unseen keys are inserted.
-    ``batch`` must hold one row per key (see ``latest_per_key``)."""
+    ``batch`` must hold one row per key (see ``latest_per_key``).
+
+    Written batch-side: the target is only ever probed by the batch (inner join) and
+    filtered by the batch keys (anti join), so for the usual small incremental batch
+    AQE broadcasts the batch and the big table is scanned, not shuffled; a large batch
+    falls back to sort-merge joins."""
     provided = [c for c in batch.columns if c not in key]
-    b = batch.select(*key, *[F.col(c).alias(f"_n_{c}") for c in provided]).withColumn("_in_b", F.lit(True))
-    j = target.join(b, key, "full_outer")
-    hit = F.coalesce(F.col("_in_b"), F.lit(False))
-    exprs = []
+    b = batch.select(*key, *[F.col(c).alias(f"_n_{c}") for c in provided])
+    untouched = target.join(b.select(*key), key, "left_anti")
+    hit = target.join(b, key, "inner")
+    inserted = b.join(hit.select(*key), key, "left_anti")
+    merged_exprs, insert_exprs = [], []
     for c in target.columns:
-        if c in key or c not in provided or c in keep_target:
-            exprs.append(F.col(c))
+        dtype = target.schema[c].dataType
+        if c in key:
+            merged_exprs.append(F.col(c))
+            insert_exprs.append(F.col(c))
+        elif c not in provided or c in keep_target:
+            merged_exprs.append(F.col(c))
+            insert_exprs.append((F.col(f"_n_{c}") if c in provided else F.lit(None)).cast(dtype).alias(c))
         elif c in preserve:
-            exprs.append(F.when(hit, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)).alias(c))
+            merged_exprs.append(F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c))
+            insert_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
         else:
-            exprs.append(F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
-    return j.select(*exprs)
+            merged_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
+            insert_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
+    return untouched.unionByName(hit.select(*merged_exprs)).unionByName(inserted.select(*insert_exprs))
 
 
 def assign_dense_ids(new_rows: DataFrame, order_col: str, start_after: int, id_col: str = "id") -> DataFrame:
