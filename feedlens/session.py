@@ -81,3 +81,24 @@ def ts_lit(dt: datetime):
     """A UTC timestamp literal that does not depend on the Python process time zone."""
     from pyspark.sql import functions as F
     return F.to_timestamp(F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")))
+
+
+def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Starting settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions target ~256 MB each (AQE coalesces small ones and splits skewed
+    ones at run time); scans use 256 MB splits for the text-heavy tables; the
+    broadcast threshold stays at the default so only measured-small sides broadcast.
+    """
+    parts = max(total_cores * 2, int(input_bytes // (256 * 1024 * 1024)) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
