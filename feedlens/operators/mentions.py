@@ -54,13 +54,16 @@ def sentence_starts(sents: Column, seps: Column | None) -> Column:
     return _exclusive_prefix(lens)
 
 
-def with_sentences(df: DataFrame, text_col: str, compat: bool = False) -> DataFrame:
+def with_sentences(df: DataFrame, text_col: str, compat: bool = False, only_if: Column | None = None) -> DataFrame:
     """Adds ``_sents`` and ``_starts``. Each stage is its own projection: a column
-    used twice by the next stage is computed once (Catalyst keeps the projection)."""
-    df = df.withColumn("_sents", sentences(text_col))
+    used twice by the next stage is computed once (Catalyst keeps the projection).
+    With ``only_if`` the sentence scans run only on rows where it holds."""
+    def gate(c):
+        return c if only_if is None else F.when(only_if, c)
+    df = df.withColumn("_sents", gate(sentences(text_col)))
     if compat:
         return df.withColumn("_starts", sentence_starts(F.col("_sents"), None))
-    df = df.withColumn("_seps", F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_SEP), 1))
+    df = df.withColumn("_seps", gate(F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_SEP), 1)))
     return df.withColumn("_starts", sentence_starts(F.col("_sents"), F.col("_seps"))).drop("_seps")
 
 
@@ -150,9 +153,10 @@ def regex_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article
     if prefilter:  # pays off when few texts name a tracked company (measured: ~half a regex pass)
         d = d.where(may_mention(F.col("_t")))
     d = (d.withColumn("_ms", F.regexp_extract_all(F.col("_t"), F.lit(ALIAS_REGEX), 1))
-         .withColumn("_gs", F.split(F.col("_t"), ALIAS_REGEX, -1)))
+         .withColumn("_gs", F.when(F.size("_ms") > 0, F.split(F.col("_t"), ALIAS_REGEX, -1))))
     d = d.withColumn("_mst", match_starts(F.col("_ms"), F.col("_gs"))).drop("_gs")
-    d = with_sentences(d, "_t", compat)
+    # texts without a match produce no rows: skip their gap and sentence scans
+    d = with_sentences(d, "_t", compat, only_if=F.size("_ms") > 0)
     rows = mention_contexts(F.col("_t"), F.col("_sents"), F.col("_starts"), F.col("_ms"), F.col("_mst"))
     out = d.select(F.col(id_col), F.posexplode(rows).alias("pos", "m"))
     info = F.try_element_at(dims.alias_map_expr(), F.lower(strip_ws(F.col("m.matched_text"))))
