@@ -104,7 +104,9 @@ def with_banner_strip(df: DataFrame, content_col: str, out: str) -> DataFrame:
     chars; if nothing is left the text is kept as it was.
     """
     pat = banner_pattern()
-    df = df.withColumn("_bs_l", F.split(F.col(content_col), "\n"))
+    # one pass over the whole text first: only texts holding a keyword are split into lines
+    has_kw = F.lower(F.col(content_col)).rlike(pat)
+    df = df.withColumn("_bs_l", F.when(has_kw, F.split(F.col(content_col), "\n")))
     df = df.withColumn("_bs_k", F.filter(
         F.transform("_bs_l", lambda l, i: F.when(F.lower(strip_ws(l)).rlike(pat), i)),
         lambda x: x.isNotNull()))
