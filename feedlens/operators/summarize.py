@@ -70,22 +70,37 @@ def _sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class LuhnSummarizer(Summarizer):
     """Luhn: words (lowercased, function words dropped) seen at least twice in the
     document are significant; a sentence scores sig^2 / words; the best n sentences
-    (ties: earlier first) are joined in document order. Token counts are a Spark
-    aggregation keyed by (document, word)."""
+    (ties: earlier first) are joined in document order.
+
+    Done inside each document row (a document is one row already): the repeated
+    words come from one sort of the document's tokens, so no token is shuffled. Every
+    lambda receives the arrays it reads as arguments (``array_repeat``), never as
+    captured columns, so nothing is re-evaluated per element."""
     name = "sumy-luhn"
 
     def summarize(self, df, id_col, text_col, max_length):
+        from .mentions import sentences
         from .scoring import TOKEN_SPLIT
         n = sentence_count(max_length)
-        long_ = df.where(F.length(strip_ws(F.col(text_col))) >= MIN_CHARS)
-        sents = _sentences(long_, id_col, text_col)
-        toks = sents.select("_id", "k", F.explode(F.filter(F.split(F.lower("sentence"), TOKEN_SPLIT),
-                                                            lambda t: (t != "") & ~t.isin(*STOP_WORDS))).alias("tok"))
-        freq = toks.groupBy("_id", "tok").agg(F.count(F.lit(1)).alias("f"))
-        scored = (toks.join(freq, ["_id", "tok"])
-                  .groupBy("_id", "k").agg(F.count_if(F.col("f") >= 2).alias("sig"), F.count(F.lit(1)).alias("w")))
-        scored = scored.withColumn("score", F.col("sig") * F.col("sig") / F.col("w"))
-        return _pick(df, sents, scored, id_col, text_col, n)
+        d = df.withColumn("_ss", sentences(text_col))
+        d = d.withColumn("_tk", F.transform("_ss", lambda s: F.filter(
+            F.split(F.lower(s), TOKEN_SPLIT), lambda t: (t != "") & ~t.isin(*STOP_WORDS))))
+        srt = F.array_sort(F.flatten("_tk"))
+        rep = F.array_distinct(F.filter(F.zip_with(srt, F.slice(srt, 2, F.size(srt)),
+                                                   lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+        d = d.withColumn("_rep", rep)
+        scored = F.zip_with(F.col("_tk"), F.array_repeat(F.col("_rep"), F.size("_tk")), lambda tk, r: F.when(
+            F.size(tk) > 0, F.pow(F.size(F.filter(tk, lambda t: F.array_contains(r, t))), 2) / F.size(tk)
+        ).otherwise(F.lit(0.0)))
+        ranked = F.transform(scored, lambda sc, k: F.struct((-sc).alias("ns"), k.alias("k")))
+        chosen = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, n), lambda x: x["k"]))
+        d = d.withColumn("_ch", chosen)
+        joined = F.array_join(F.zip_with(F.col("_ch"), F.array_repeat(F.col("_ss"), F.size("_ch")),
+                                         lambda k, ss: F.get(ss, k)), " ")
+        t = F.col(text_col)
+        summary = (F.when(t.isNull() | (F.length(strip_ws(t)) < MIN_CHARS), t)
+                   .when(F.coalesce(joined, F.lit("")) == "", F.left(t, F.lit(500))).otherwise(joined))
+        return d.withColumn("summary", summary).drop("_ss", "_tk", "_rep", "_ch")
 
 
 def _pick(df, sents, scored, id_col, text_col, n):
