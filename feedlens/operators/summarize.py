@@ -2,9 +2,9 @@
 
 ``Summarizer`` is a ``DataFrame -> DataFrame`` transform over (id, text) with a name
 that fills ``summarized_by``. The truncation summarizer is a projection. Extractive
-rankers split sentences in Spark; Luhn is a plain token aggregation; the graph and
-SVD rankers work on one document's sentence matrix at a time in numpy inside
-``mapInPandas`` (a document is one row, so nothing is shuffled or gathered).
+rankers split sentences in Spark; Luhn is array work inside each document row; the
+graph and SVD rankers work on one document's sentence matrix at a time in numpy
+inside ``mapInPandas`` (a document is one row, so nothing is shuffled or gathered).
 """
 
 from __future__ import annotations
