@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WS, WS_RUN, col_, strip_ws
+from ..functions.text import WS_RUN, col_, strip_ws
 from ..sources import dims
 from . import dedup, scoring
 

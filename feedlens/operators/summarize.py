@@ -62,11 +62,6 @@ def sentence_count(max_length: int) -> int:
     return max(2, max_length // 20)
 
 
-def _sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    from .mentions import sentences
-    return df.select(F.col(id_col).alias("_id"), F.posexplode(sentences(text_col)).alias("k", "sentence"))
-
-
 class LuhnSummarizer(Summarizer):
     """Luhn: words (lowercased, function words dropped) seen at least twice in the
     document are significant; a sentence scores sig^2 / words; the best n sentences
@@ -103,21 +98,6 @@ class LuhnSummarizer(Summarizer):
         return d.withColumn("summary", summary).drop("_ss", "_tk", "_rep", "_ch")
 
 
-def _pick(df, sents, scored, id_col, text_col, n):
-    from pyspark.sql import Window
-    s = sents.join(scored.select("_id", "k", "score"), ["_id", "k"], "left") \
-        .withColumn("score", F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy("_id").orderBy(F.desc("score"), F.asc("k"))
-    top = s.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    summ = top.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sentence"))),
-                                                           lambda x: x["sentence"]), " ").alias("_s"))
-    out = df.join(summ, df[id_col] == summ["_id"], "left")
-    t = F.col(text_col)
-    summary = (F.when(t.isNull() | (F.length(strip_ws(t)) < MIN_CHARS), t)
-               .when(F.coalesce(F.col("_s"), F.lit("")) == "", F.left(t, F.lit(500))).otherwise(F.col("_s")))
-    return out.withColumn("summary", summary).drop("_id", "_s")
-
-
 class MatrixSummarizer(Summarizer):
     """textrank / lexrank / lsa: rank one document's sentences from its sentence-term
     matrix in numpy (per document row inside ``mapInPandas``; no shuffle).

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_url
-from ..operators import dedup, metrics, normalize, reads
+from ..operators import dedup, reads
 from ..operators import upsert as U
 from ..session import checkpoint_dir
 from ..sources.sinks import VersionedTable
@@ -120,4 +120,4 @@ def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: s
 
 
 __all__ = ["VersionedTable", "stream_articles", "stream_url_dedup", "stream_daily_metrics",
-           "stream_company_mentions", "stream_retention", "daily_metrics_via_stream", "metrics", "normalize"]
+           "stream_company_mentions", "stream_retention", "daily_metrics_via_stream"]
