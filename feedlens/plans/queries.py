@@ -443,9 +443,10 @@ def q_urls_with_content(spark, sf):
           f"WITH {_sources_cte()}\nSELECT CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS pos, id, name, "
           "domain FROM src")
 def q_dim_sources_by_name(spark, sf):
-    src = ST.sources_store(spark, sf)
-    w = Window.orderBy("name", "id")  # dimension-sized (one row per domain)
-    return src.withColumn("pos", F.row_number().over(w).cast("long")).select("pos", "id", "name", "domain")
+    src = ST.sources_store(spark, sf).withColumn("_o", F.struct("name", "id"))
+    # rank by (name, id) without a single-partition window: range partitions + offsets
+    out = U.assign_dense_ids(src, "_o", 0, id_col="pos")
+    return out.select("pos", "id", "name", "domain")
 
 
 ARTICLE_SOURCE = "blog.tionsh.example.net"

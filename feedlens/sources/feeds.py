@@ -69,9 +69,13 @@ SITEMAP_XML_SCHEMA = T.StructType([
 
 def _positions(df: DataFrame) -> DataFrame:
     """file path + position of each row inside its file (scan order)."""
-    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_mid", F.monotonically_increasing_id())
-    w = Window.partitionBy("_file").orderBy("_mid")
-    return df.withColumn("entry_ord", (F.row_number().over(w) - 1).cast("long")).drop("_mid")
+    # a file split over several tasks: block start orders the splits, the id orders rows
+    # inside one split (it grows with the row position within a task)
+    df = (df.withColumn("_file", F.col("_metadata.file_path"))
+          .withColumn("_blk", F.col("_metadata.file_block_start"))
+          .withColumn("_mid", F.monotonically_increasing_id()))
+    w = Window.partitionBy("_file").orderBy("_blk", "_mid")
+    return df.withColumn("entry_ord", (F.row_number().over(w) - 1).cast("long")).drop("_mid", "_blk")
 
 
 def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
@@ -81,8 +85,10 @@ def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None
          .schema(RSS_ITEM_XML_SCHEMA).load(path))
     x = _positions(x)
     if feed_files is None:
-        feed_files = (x.select("_file").distinct()
-                      .withColumn("feed_ord", (F.dense_rank().over(Window.orderBy("_file")) - 1).cast("int")))
+        from ..operators.upsert import assign_dense_ids
+        files = x.select("_file").distinct()
+        feed_files = (assign_dense_ids(files, "_file", -1, id_col="feed_ord")
+                      .select("_file", F.col("feed_ord").cast("int")))
     x = x.join(feed_files, "_file")  # AQE broadcasts it when the file list is small
     content = F.when(F.col("`content:encoded`").isNotNull(),
                      F.array(F.struct(F.col("`content:encoded`").alias("value"))))
