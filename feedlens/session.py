@@ -40,11 +40,36 @@ def build_session(master: str | None = None, app: str = "feedlens",
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings every operator relies on (idempotent, runtime-settable only)."""
+    """Pin the settings every operator relies on (idempotent, runtime-settable only)
+    and make the package importable in the Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package as a zip to the context (``addPyFile``) once per context, so
+    functions of the package pickled into Python workers (model slots, matrix
+    summarizers) import on every executor, wherever the driver was started."""
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="feedlens-py-"), "feedlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("feedlens", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
