@@ -130,3 +130,17 @@ def test_trie_pattern_equals_longest_first_alternation():
         a = [(m.start(), m.group(1)) for m in re.finditer(flat, t, re.I)]
         b = [(m.start(), m.group(1)) for m in re.finditer(trie, t, re.I)]
         assert a == b, t
+
+
+def test_regex_mentions_random_texts(spark):
+    import random
+    rnd = random.Random(21)
+    pieces = [a for a, _, _ in dims.COMPANY_ALIASES] + ["Shares", "rose", "fell", "today", "x", "Inc", "the"]
+    seps = [" ", " ", ".  ", "! ", "?\n\n", ", ", "-", "\t", ". "]
+    texts = ["".join(rnd.choice(pieces).upper() if rnd.random() < .2 else rnd.choice(pieces) + rnd.choice(seps)
+                     for _ in range(rnd.randint(1, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "article_id long, text string")
+    got = sorted(tuple(r) for r in MN.regex_mentions(df, compat=True).select(
+        "article_id", "ticker", "matched_text", "start_char", "end_char", "context_sentence").collect())
+    want = sorted((i, *m) for i, t in enumerate(texts) for m in _py_extract(t))
+    assert got == want
