@@ -1008,3 +1008,34 @@ def q_touched_companies(spark, sf):
              .join(days, F.to_date(em["created_at"]) == days["_d"], "left_semi"))
     d = M.daily_metrics(scope)
     return d.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+def _stream_mentions_sql() -> str:
+    return (f"WITH {_analysis_cte()}, c AS ({O.companies_sql()}),\n"
+            "rows AS (SELECT an.key_pos AS ord, an.article_id, c.id AS company_id, an.sentiment_score, "
+            "an.confidence AS confidence_score, an.context_sentence FROM an JOIN c USING (ticker)),\n"
+            "r AS (SELECT *, max(confidence_score) OVER (PARTITION BY article_id, company_id ORDER BY ord "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM rows),\n"
+            "rec AS (SELECT * FROM r WHERE prev_max IS NULL OR confidence_score > prev_max)\n"
+            "SELECT article_id, company_id, round(list_reduce(list(sentiment_score ORDER BY ord), "
+            "lambda a, b: (a + b) / 2), 9) AS sentiment_score, arg_max(confidence_score, ord) AS confidence_score, "
+            "arg_max(context_sentence, ord) AS context_sentence FROM rec GROUP BY article_id, company_id")
+
+
+@register("stream_company_mentions", _stream_mentions_sql())
+def q_stream_company_mentions(spark, sf):
+    """Documents arriving on a stream are analysed and their mentions folded and
+    upserted (T15 -> J5 -> D7 -> U5) micro-batch by micro-batch."""
+    from ..operators import reads
+    from ..sources import dims as _d
+    from ..streaming.ingest import mentions_via_stream
+
+    def to_rows(texts):
+        a = mentions.analyze_text(texts)
+        return reads.mention_company_ids(a, _d.companies(texts.sparkSession)).select(
+            F.col("key_pos").alias("ord"), "article_id", "company_id", "sentiment_score", "confidence_score",
+            "context_sentence")
+
+    t = mentions_via_stream(spark, sf, "documents.parquet", S.docs_to_mention_texts, to_rows)
+    return t.select("article_id", "company_id", r9("sentiment_score").alias("sentiment_score"),
+                    "confidence_score", "context_sentence")

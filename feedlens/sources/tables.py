@@ -124,7 +124,11 @@ def doc_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_mention_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a company-name fixture sentence appended (doc_id % 8)."""
-    d = table(spark, sf_dir, "documents")
+    return docs_to_mention_texts(table(spark, sf_dir, "documents"))
+
+
+def docs_to_mention_texts(d: DataFrame) -> DataFrame:
+    """Projection documents -> (article_id, title, text, source) (batch or stream)."""
     suffix = F.element_at(F.array(*[F.lit(s) for s in DOC_SUFFIXES]), (F.col("doc_id") % 8 + 1).cast("int"))
     return d.select(F.col("doc_id").alias("article_id"),
                     strip_ws(F.substring_index("text", "\n", 1)).alias("title"),

@@ -121,3 +121,20 @@ def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: s
 
 __all__ = ["VersionedTable", "stream_articles", "stream_url_dedup", "stream_daily_metrics",
            "stream_company_mentions", "stream_retention", "daily_metrics_via_stream"]
+
+
+def mentions_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, to_texts, to_rows) -> DataFrame:
+    """Run R4 over landed document files to completion and return the mention table:
+    each micro-batch is analysed (``to_rows``: texts -> mention rows with ``ord``) and
+    folded/upserted into the table."""
+    root = scratch(spark, "mentions")
+    schema = spark.read.option("pathGlobFilter", file_glob).parquet(landing_dir).schema
+    t = VersionedTable(spark, f"{root}/table", "article_id long, company_id long, sentiment_score double, "
+                                              "confidence_score double, context_sentence string")
+    src = to_texts(_file_stream(spark, landing_dir, schema, file_glob))
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        t.write(U.upsert_mentions(t.latest(before=epoch), to_rows(df)), epoch)
+
+    _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/_checkpoint"))
+    return t.latest()
