@@ -22,9 +22,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as a plain string, from the rule (Python's str.isspace; the largest
+# whitespace code point is U+3000).
+WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: removes every Unicode whitespace, not only spaces."""
-    return F.regexp_replace(col_(c), rf"\A{WS_RUN}|{WS_RUN}\z", "")
+    """Python ``str.strip()``: removes every Unicode whitespace, not only spaces.
+    A character-set trim from both ends (no regex scan of the whole string)."""
+    return F.trim(col_(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -33,7 +39,16 @@ def collapse_ws(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    return col_(c).isNull() | (strip_ws(c) == "")
+    """Null, empty or whitespace only. Looks for the first non-whitespace character
+    (stops at once on ordinary text) instead of stripping the whole string."""
+    return col_(c).isNull() | ~col_(c).rlike(WS.replace("[", "[^", 1))
+
+
+def stripped_length_at_least(c, n: int) -> Column:
+    """``length(strip(c)) >= n`` without stripping: a non-whitespace character, at
+    least n-2 more characters, and a later non-whitespace character (n >= 2)."""
+    nws = WS.replace("[", "[^", 1)
+    return F.coalesce(col_(c).rlike(rf"(?s){nws}.{{{n - 2},}}{nws}"), F.lit(False))
 
 
 def clean_html(c) -> Column:
@@ -107,8 +122,7 @@ def text_fallback(content, description, title=None) -> Column:
 
 def split_words(c) -> Column:
     """Python ``str.split()`` as an array (no empty tokens)."""
-    s = strip_ws(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_RUN))
+    return F.filter(F.split(col_(c), WS_RUN), lambda w: w != "")
 
 
 def word_count(c) -> Column:

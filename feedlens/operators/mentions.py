@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WS_RUN, col_, strip_ws
+from ..functions.text import WS_RUN, col_, strip_ws, stripped_length_at_least
 from ..sources import dims
 from . import dedup, scoring
 
@@ -247,7 +247,7 @@ def analyze_text(df: DataFrame, text_col: str = "text", id_col: str = "article_i
     """Gate (>= 10 stripped chars) -> T9 -> D6 -> financial score.
 
     Scoring joins on the mention key, not on list position."""
-    gated = df.where(F.length(strip_ws(F.col(text_col))) >= 10)
+    gated = df.where(stripped_length_at_least(F.col(text_col), 10))
     ents = extract_mentions(gated, text_col, id_col, load_extractor, compat)
     uniq = dedup.dedup_mentions(ents, id_col)
     scored = scoring.financial_sentiment(uniq, "context_sentence", scorer)

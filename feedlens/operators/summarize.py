@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws, truncate_words, word_count
+from ..functions.text import stripped_length_at_least, truncate_words, word_count
 
 NO_CONTENT = "No content available to summarize."
 
@@ -93,7 +93,7 @@ class LuhnSummarizer(Summarizer):
         joined = F.array_join(F.zip_with(F.col("_ch"), F.array_repeat(F.col("_ss"), F.size("_ch")),
                                          lambda k, ss: F.get(ss, k)), " ")
         t = F.col(text_col)
-        summary = (F.when(t.isNull() | (F.length(strip_ws(t)) < MIN_CHARS), t)
+        summary = (F.when(t.isNull() | ~stripped_length_at_least(t, MIN_CHARS), t)
                    .when(F.coalesce(joined, F.lit("")) == "", F.left(t, F.lit(500))).otherwise(joined))
         return d.withColumn("summary", summary).drop("_ss", "_tk", "_rep", "_ch")
 
