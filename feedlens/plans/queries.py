@@ -649,10 +649,12 @@ def q_feed_scan_cap(spark, sf):
     return NZ.cap_per_feed(FD.raw_items_from_pages(spark, sf)).select("feed_ord", "entry_ord")
 
 
+_TERM_SQL = O.strip("coalesce(t.term, '')")
+
+
 @register("tag_exclude",
           f"WITH raw AS ({O.raw_items_sql()})\nSELECT feed_ord, entry_ord, coalesce(list_bool_or(list_transform("
-          f"tags, lambda t: lower({O.strip(chr(39) * 0 + 'coalesce(t.term, ' + chr(39) * 2 + ')')}) = 'top bm')), "
-          "false) AS excluded FROM raw")
+          f"tags, lambda t: lower({_TERM_SQL}) = 'top bm')), false) AS excluded FROM raw")
 def q_tag_exclude(spark, sf):
     r = FD.raw_items_from_pages(spark, sf)
     return r.select("feed_ord", "entry_ord", NZ.excluded_by_tag("tags").alias("excluded"))
