@@ -121,3 +121,14 @@ def test_dedup_uses_shared_checkpoint_dir(spark):
     from feedlens.session import checkpoint_dir
     assert checkpoint_dir(spark)
     assert F is not None
+
+
+def test_merge_matches_sequential_scan_on_random_batches(spark):
+    rnd = random.Random(13)
+    old = [(i, f"t{rnd.randint(0, 9)}", f"https://u/{rnd.randint(0, 9)}", rnd.choice(["a", "b"])) for i in range(40)]
+    old_kept = [o for o in old if o[0] in set(_py_greedy(old))]
+    new = [(i, f"t{rnd.randint(0, 9)}", f"https://u/{rnd.randint(0, 9)}/", rnd.choice(["A", "b"])) for i in range(60)]
+    want = _py_greedy([(("e", o[0]),) + o[1:] for o in old_kept] + [(("n", n[0]),) + n[1:] for n in new])
+    out = dedup.merge_and_dedup(make_articles(spark, old_kept), make_articles(spark, new))
+    got = sorted(("e" if r.batch_ord == 0 else "n", r.ord) for r in out.collect())
+    assert got == sorted(want)
