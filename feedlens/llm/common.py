@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.tables import table
 
 # Rows per Arrow batch: documents reach 10^5 characters, so 1,000 rows stay near 10 MB.
@@ -23,6 +25,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for large intermediate results, which
+    a checkpoint would hold uncompressed."""
+    at = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for the actions inside (few rows that are large)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``fn`` over every Arrow batch of ``df`` (``None``: no rows for this batch)."""
     def run(batches: Iterator[pa.RecordBatch]):
@@ -41,6 +63,17 @@ def extended(schema: StructType, **columns: str) -> StructType:
     return out
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until they clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's strings as UTF-8 bytes, null as empty."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
@@ -52,6 +85,13 @@ def fingerprint_col(c: str):
     return F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of uint64 numbers (a bijection)."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of 0..n-1 over the links a[i]-b[i]."""
     lab = np.arange(n)

@@ -1,48 +1,54 @@
 """Language-model scoring by deleted interpolation.
 
-Tokens are the words of a text (A-Z lower-cased) and one end. A word is spelled in bytes and
-closed by a space; the end is the empty word. The model mixes maximum-likelihood estimates:
-
-* bytes: order 3 (two bytes before), 2, 1 and the uniform one, with weights for each bucket
-  of the context's frequency (powers of two). At most 256^3 counts, whatever the corpus.
-* words: the word's share of all training tokens, mixed with its spelling's probability,
-  so unknown words have one too and the probabilities of all texts sum to 1 at most.
-
-All mixture weights are learned by expectation-maximisation on held-out counts: estimates
-come from the learning documents without fold ``EM_FOLD``, the counts that they must
-explain from that fold. The final estimates use all learning documents.
-
-On Spark: documents are dealt by hash into groups of about ``GROUP_BYTES``. A group reports
-each of its distinct words once, with counts; a word's scores come back to the groups that
-hold it by a join on the word, and the group adds them up document by document. So rows
-follow the distinct words per group, not the tokens, and a word that all documents hold is
-one row per group.
-
-Defined cases: null text is empty (one token, the end); a null doc_id is never held out;
-with nothing learned every estimate is the uniform one; rows that share a doc_id are scored
-each; empty tables give no rows; extra columns are ignored.
+Tokens are the words of a text (A-Z lower-cased) and one end; all words that the learning
+documents don't hold are one unknown token. The model mixes, for a token after another,
+
+* the maximum-likelihood bigram estimate, * the unigram estimate, * the uniform
+distribution over known words and the unknown one, * all on the unknown one,
+
+with weights for each bucket of the context's frequency (powers of two). The weights are
+learned by expectation-maximisation: estimates come from the learning documents without
+fold ``EM_FOLD``, the held-out counts that they must explain from that fold. The final
+estimates use the counts of all learning documents. A start mark is the first context.
+
+On Spark, documents are first written as chunks of about ``CHUNK_BYTES`` (rows of a Parquet
+table in the shared folder), so a chunk is the same in every later pass. A chunk reports
+each of its distinct n-grams once, as 64-bit keys with its counts, packed by key range; a
+task adds up one range of keys from all chunks and answers each chunk with the corpus counts
+of its keys. So what is shuffled follows the distinct n-grams per chunk in eight bytes each,
+however hot an n-gram is, and no table of n-grams is ever in one place.
+
+Defined cases: null text is empty (one token, the end); a null doc_id is never held out and
+learned from; with nothing learned every token is unknown and scores 0; rows that share a
+doc_id are scored each; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .common import arrow_map
+from ..session import checkpoint_dir, cut_lineage
+from .common import batch_rows, mix64
 
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
-GROUP_BYTES = 24 << 20
-MIN_GROUPS = 48
-ROUNDS = 30
-BINS = 100    # bins per power of ten of (word estimate / spelling estimate)
-SPACE = 0x20
+CHUNK_BYTES = 12 << 20
+RANGE_BYTES = 12 << 20     # bytes of text for which one range of keys is made
+MIN_RANGES = 48
+ROUNDS = 60
+BINS = 20                  # bins per power of ten of an estimate, for the held-out counts
+NEVER = -10_000            # bin of an estimate that is 0
+BUCKETS = 64
+START = np.uint64(0x5354415254)  # hash of the first context
+RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+          "base_score double, score double")
 
 
 def fold(doc_id) -> int:
@@ -53,177 +59,217 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-# --- spelling ---------------------------------------------------------------------------
-
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, word of each code): the bytes of every word and its closing space, each with
-    the two bytes before it; a word starts behind two spaces."""
-    data = np.frombuffer(b"  " + b"  ".join(words) + b"  ", dtype=np.uint8).astype(np.int32)
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    which = np.repeat(np.arange(len(words)), n + 1)
-    at = np.arange(len(which)) + 2 + which  # one separator byte per word before is no event
-    return data[at - 2] << 16 | data[at - 1] << 8 | data[at], which
-
-
-class Spelling:
-    """Interpolated byte trigrams: sorted codes and their counts, and the bucket weights."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None):
-        self.codes, self.counts = codes, counts.astype(np.float64)
-        self.context = np.bincount(codes >> 8, self.counts, 1 << 16)
-        self.pair = np.bincount(codes & 0xFFFF, self.counts, 1 << 16)
-        self.before = np.bincount((codes >> 8) & 0xFF, self.counts, 1 << 8)
-        self.single = np.bincount(codes & 0xFF, self.counts, 1 << 8)
-        self.weights = np.full((48, 4), 0.25) if weights is None else weights
-
-    def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimates of order 3, 2, 1, 0; bucket) of each event."""
-        out = np.zeros((len(codes), 4))
-        if len(self.codes):
-            i = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            three = np.where(self.codes[i] == codes, self.counts[i], 0.0)
-            out[:, 0] = three / np.maximum(self.context[codes >> 8], 1)
-            out[:, 1] = self.pair[codes & 0xFFFF] / np.maximum(self.before[(codes >> 8) & 0xFF], 1)
-            out[:, 2] = self.single[codes & 0xFF] / self.counts.sum()
-        out[:, 3] = 1 / 256
-        return out, np.ceil(np.log2(self.context[codes >> 8] + 1)).astype(np.int64)
-
-    def learn(self, codes: np.ndarray, held: np.ndarray) -> None:
-        """EM: the weights of each bucket from held-out counts of events."""
-        est, bucket = self.parts(codes)
-        for _ in range(ROUNDS):
-            share = est * self.weights[bucket]
-            share *= (held / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-            total = np.stack([np.bincount(bucket, share[:, j], len(self.weights)) for j in range(4)], axis=1)
-            total += 0.01  # a bucket without events keeps even weights; none becomes 0
-            self.weights = total / total.sum(axis=1, keepdims=True)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's spelling."""
-        if not words:
-            return np.zeros(0)
-        codes, which = trigrams(words)
-        est, bucket = self.parts(codes)
-        return np.bincount(which, np.log10((est * self.weights[bucket]).sum(axis=1)), len(words))
-
-
-def fit_spelling(counts: DataFrame) -> Spelling:
-    """From (word, fit, em): estimates, weights on held-out counts, then all counts."""
-    def run(batches):
-        codes, fit, em = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
-        parts: list[tuple] = []
-
-        def add_up() -> tuple:
-            all_codes, back = np.unique(np.concatenate([codes, *(p[0] for p in parts)]), return_inverse=True)
-            return all_codes, *(np.bincount(back, np.concatenate([old, *(p[i] for p in parts)])) for i, old in ((1, fit), (2, em)))
+class Chunk:
+    """Documents as arrays: for every token the places of its unigram and bigram among the
+    chunk's sorted keys."""
+
+    def __init__(self, docs: pa.Table):
+        self.doc_ids = docs.column("doc_id").to_pylist()
+        self.folds = np.array([fold(d) for d in self.doc_ids], dtype=np.int64)
+        known: dict[bytes, int] = {}
+        lists = [np.fromiter((known.setdefault(w, len(known)) for w in tokens(t)), dtype=np.int64)
+                 for t in docs.column("text").to_pylist()]
+        self.lengths = np.array([len(x) for x in lists], dtype=np.int64)
+        words = np.concatenate(lists)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), dtype=np.uint64, count=len(known))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.uni_keys, self.uni = hashes[order], place[words]
+        before = np.concatenate([[0], self.uni[:-1]])
+        context = self.uni_keys[before]
+        context[self.starts] = START
+        pairs = mix64(context * np.uint64(0x9E3779B97F4A7C15) + self.uni_keys[self.uni])
+        self.bi_keys, first, self.bi = np.unique(pairs, return_index=True, return_inverse=True)
+        # of each distinct bigram: the place of its word, and of its context (-1: start)
+        before[self.starts] = -1
+        self.bi_word, self.bi_context = self.uni[first], before[first]
+        self.end = int(place[known[b""]])
+
+    def counts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unigram, bigram) counts over the documents of ``which``."""
+        use = np.repeat(which, self.lengths)
+        return (np.bincount(self.uni[use], minlength=len(self.uni_keys)), np.bincount(self.bi[use], minlength=len(self.bi_keys)))
+
+
+def range_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Range of each key; it grows with the key."""
+    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
+# --- passes -----------------------------------------------------------------------------
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """chunk, em, bytes, data: documents packed as compressed Arrow streams, those of the EM
+    fold apart from the others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def flush(em: bool) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                ids, texts = zip(*held[em])
+                w.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}))
+            out = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([em]), pa.array([size[em]], pa.int64()),
+                                              pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "em", "bytes", "data"])
+            held[em], size[em] = [], 0
+            return out
 
         for b in batches:
-            if b.num_rows:
-                c, which = trigrams(b.column(0).to_pylist())
-                parts.append((c, *(b.column(i).to_numpy(zero_copy_only=False)[which] for i in (1, 2))))
-                if len(parts) == 64:
-                    codes, fit, em = add_up()
-                    parts.clear()
-        if parts:
-            codes, fit, em = add_up()
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(fit), pa.array(em)], ["code", "fit", "em"])
-
-    table = (counts.mapInArrow(run, "code long, fit double, em double").groupBy("code")
-             .agg(F.sum("fit").alias("fit"), F.sum("em").alias("em")).toArrow())  # 256^3 rows at most
-    table = table.sort_by("code")
-    codes, fit, em = (table.column(c).to_numpy() for c in ("code", "fit", "em"))
-    kept = fit > 0
-    first = Spelling(codes[kept], fit[kept])
-    first.learn(codes[em > 0], em[em > 0])
-    kept = fit + em > 0
-    return Spelling(codes[kept], (fit + em)[kept], first.weights)
-
-
-def mix_weight(bins: dict[int | None, float]) -> float:
-    """EM for the weight of the word estimate; bins: log10(word / spelling) * BINS -> held-out
-    count (None: the word estimate is 0)."""
-    ratio = np.array([0.0 if b is None else 10.0 ** min(b / BINS, 300) for b in bins])
-    held = np.array(list(bins.values()), dtype=np.float64)
-    weight = 0.5
-    for _ in range(ROUNDS * 5):
-        if not held.sum():
-            break
-        weight = float((held * weight * ratio / (weight * ratio + 1 - weight)).sum() / held.sum())
-        weight = min(max(weight, 1e-4), 1 - 1e-4)
-    return weight
-
-
-# --- on Spark --------------------------------------------------------------------------
-
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the group (hash of id and length) of each document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(MIN_GROUPS, -(-size // GROUP_BYTES))
-    return d.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")), n
-
-
-def group_words(table: pa.Table) -> pa.Table:
-    """Distinct words of one group with their counts in the two learning parts."""
-    fit, em, rest = Counter(), Counter(), Counter()
-    for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
-        f = fold(doc)
-        (rest if f == HELD_OUT else em if f == EM_FOLD else fit).update(tokens(text))
-    words = list(fit | em | rest)
-    return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()),
-                     "fit": pa.array([fit[w] for w in words], pa.int64()), "em": pa.array([em[w] for w in words], pa.int64())})
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                em = fold(doc_id) == EM_FOLD
+                held[em].append((doc_id, text))
+                size[em] += len(text or "")
+                if size[em] >= CHUNK_BYTES:
+                    yield flush(em)
+        for em in held:
+            if held[em]:
+                yield flush(em)
+
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .mapInArrow(run, "chunk string, em boolean, bytes long, data binary"))
+
+
+KEYS = "range int, chunk string, kind int, keys binary, fit binary, em binary"
+
+
+def keys_of(table: DataFrame, ranges: int) -> DataFrame:
+    """The distinct n-grams of each chunk with its counts, one row per range and order."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for name, em, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                c = Chunk(unpack(data))
+                rows = []
+                learn = c.counts(c.folds != HELD_OUT)
+                for kind, keys, n in ((1, c.uni_keys, learn[0]), (2, c.bi_keys, learn[1])):
+                    n = n.astype("<u4")
+                    own = range_of(keys, ranges)
+                    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+                    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                        part = n[i:j].tobytes()
+                        rows.append((int(own[i]), name, kind, keys[i:j].tobytes(), b"" if em else part, part if em else b""))
+                types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                for at in range(0, len(rows), 256):
+                    cols = zip(*rows[at:at + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], [x.split()[0] for x in KEYS.split(", ")])
+    return table.select("chunk", "em", "data").mapInArrow(run, KEYS)
+
+
+COUNTS = "chunk string, range int, kind int, fit binary, em binary, known long, fit_n long, em_n long"
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    """Corpus counts of one range of keys: an answer to each chunk, and once (chunk null)
+    the range's known unigrams and their counts."""
+    out = []
+    for kind in (1, 2):
+        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+        if not rows:
+            continue
+        lists = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        kinds, back = np.unique(np.concatenate(lists), return_inverse=True)
+        total = {}
+        for part in ("fit", "em"):
+            n = [np.frombuffer(r[part], dtype="<u4") if r[part] else np.zeros(len(x), dtype="<u4") for r, x in zip(rows, lists)]
+            total[part] = np.bincount(back, np.concatenate(n), len(kinds)).astype("<u4")
+        if kind == 1:
+            out.append((None, rows[0]["range"], 0, None, None, int(((total["fit"] > 0) | (total["em"] > 0)).sum()),
+                        int(total["fit"].sum(dtype=np.int64)), int(total["em"].sum(dtype=np.int64))))
+        at = 0
+        for r, x in zip(rows, lists):
+            mine = back[at:at + len(x)]
+            out.append((r["chunk"], r["range"], kind, total["fit"][mine].tobytes(), total["em"][mine].tobytes(), 0, 0, 0))
+            at += len(x)
+    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in COUNTS.split(", ")])
+
+
+def answers(table: pa.Table) -> dict[tuple[int, str], np.ndarray]:
+    """(kind, part) -> corpus counts in the order of a chunk's keys."""
+    rows = sorted(table.select(["range", "kind", "fit", "em"]).to_pylist(), key=lambda r: r["range"])
+    return {(kind, part): np.frombuffer(b"".join(r[part] for r in rows if r["kind"] == kind), dtype="<u4").astype(np.float64)
+            for kind in (1, 2) for part in ("fit", "em")}
+
+
+def estimates(c: Chunk, uni: np.ndarray, bi: np.ndarray, starts: float, total: float) -> tuple[np.ndarray, ...]:
+    """For each distinct bigram of a chunk: bigram and unigram estimate, bucket of the context."""
+    context = np.where(c.bi_context < 0, starts, uni[c.bi_context])
+    return (bi / np.maximum(context, 1), uni[c.bi_word] / max(total, 1),
+            np.ceil(np.log2(context + 1)).astype(np.int64))
+
+
+def bin_of(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.round(np.log10(p) * BINS), NEVER).astype(np.int64)
+
+
+def learn(held: list[tuple[int, int, int, float]], uniform: float) -> np.ndarray:
+    """EM: weights (bucket x bigram, unigram, uniform, unknown) from held-out counts by
+    (bucket, bin of the bigram estimate, bin of the unigram estimate)."""
+    weights = np.tile([0.3, 0.3, 0.1, 0.3], (BUCKETS, 1))
+    if not held:
+        return weights
+    bucket, two, one, n = (np.array(x) for x in zip(*held))
+    est = np.zeros((len(n), 4))
+    est[:, 0] = np.where(two == NEVER, 0, 10.0 ** (two / BINS))
+    est[:, 1] = np.where(one == NEVER, 0, 10.0 ** (one / BINS))
+    est[:, 2] = uniform
+    est[:, 3] = one == NEVER
+    for _ in range(ROUNDS):
+        share = est * weights[bucket]
+        share *= (n / share.sum(axis=1))[:, None]
+        total = np.stack([np.bincount(bucket, share[:, j], BUCKETS) for j in range(4)], axis=1)
+        total += 0.01  # no weight becomes 0; a bucket without events keeps even ones
+        weights = total / total.sum(axis=1, keepdims=True)
+    return weights
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    d, n_groups = grouped(docs)
     at = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
-    d.groupBy("g").applyInArrow(group_words, "g int, word binary, fit long, em long").write.parquet(f"{at}/words")
-    words = spark.read.schema("g int, word binary, fit long, em long").parquet(f"{at}/words")
-    (words.groupBy("word").agg(F.sum("fit").alias("fit"), F.sum("em").alias("em")).write.parquet(f"{at}/counts"))
-    counts = spark.read.schema("word binary, fit long, em long").parquet(f"{at}/counts")
-    fit_n, em_n, kinds = counts.agg(F.sum("fit"), F.sum("em"), F.count(F.when(F.col("fit") + F.col("em") > 0, 1))).first()
-    fit_n, total = fit_n or 0, (fit_n or 0) + (em_n or 0)
-    spelling = fit_spelling(counts)
-    shared = spark.sparkContext.broadcast(spelling)  # 256^3 counts at most
-
-    def bins(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = batch.filter(pa.compute.greater(batch.column(2), 0))
-        spelled = shared.value.log10(held.column(0).to_pylist())
-        f = held.column(1).to_numpy(zero_copy_only=False)
-        with np.errstate(divide="ignore"):
-            level = np.round((np.log10(f / max(fit_n, 1)) - spelled) * BINS)
-        return pa.RecordBatch.from_arrays([pa.array(np.where(f > 0, level, 0).astype(np.int64), mask=f == 0), held.column(2)], ["bin", "em"])
-
-    got = arrow_map(counts, bins, "bin long, em long").groupBy("bin").agg(F.sum("em").alias("em")).collect()
-    weight = mix_weight({r["bin"]: float(r["em"]) for r in got}) if total else 0.0
-
-    def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = sum(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-        base = np.log10((c + 1) / (total + 1 * (kinds + 1)))
-        spelled = shared.value.log10(batch.column(0).to_pylist())
-        if weight:  # in logarithms: a long word's spelling may underflow
-            with np.errstate(divide="ignore"):
-                own = np.log10(weight * c / total)
-            hi = np.maximum(own, spelled + np.log10(1 - weight))
-            spelled = hi + np.log10(10.0 ** (own - hi) + 10.0 ** (spelled + np.log10(1 - weight) - hi))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(spelled)], ["word", "known", "base", "model"])
-
-    rated = arrow_map(counts, rate, "word binary, known boolean, base double, model double")
-    needed = words.select("g", "word").join(rated, "word").select("g", "word", "known", "base", "model")
-
-    def add_up(texts: pa.Table, values: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(values.column("word").to_pylist())}
-        known, base, model = (values.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "model"))
-        rows = []
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
-            ids = np.fromiter(map(place.__getitem__, tokens(text)), dtype=np.int64)
-            rows.append((doc, fold(doc) == HELD_OUT, len(ids), int(known[ids].sum()), total, float(base[ids].sum()), float(model[ids].sum())))
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types],
-                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return (d.groupBy("g").cogroup(needed.groupBy("g"))
-            .applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, "
-                                  "train_tokens long, base_score double, score double"))
+    chunks(docs).write.parquet(f"{at}/chunks")
+    table = spark.read.schema("chunk string, em boolean, bytes long, data binary").parquet(f"{at}/chunks")
+    with batch_rows(spark, 4):
+        size = table.agg(F.sum("bytes")).first()[0] or 0
+        ranges = max(MIN_RANGES, -(-size // RANGE_BYTES))
+        (keys_of(table, ranges).groupBy("range").applyInArrow(add_up, COUNTS).write.parquet(f"{at}/counts"))
+        counts = spark.read.schema(COUNTS).parquet(f"{at}/counts")
+        known, fit_n, em_n = (x or 0 for x in counts.where("chunk is null").agg(F.sum("known"), F.sum("fit_n"), F.sum("em_n")).first())
+        answered = counts.where("chunk is not null").select("chunk", "range", "kind", "fit", "em")
+        total = fit_n + em_n
+
+        def held_counts(docs_of: pa.Table, answer: pa.Table) -> pa.Table:
+            c, n = Chunk(unpack(docs_of.column("data")[0].as_py())), answers(answer)
+            two, one, bucket = estimates(c, n[1, "fit"], n[2, "fit"], n[1, "fit"][c.end], fit_n)
+            events = np.stack([bucket, bin_of(two), bin_of(one)])
+            kinds, back = np.unique(events, axis=1, return_inverse=True)
+            found = np.bincount(back.ravel(), np.bincount(c.bi, minlength=len(c.bi_keys)), kinds.shape[1])
+            return pa.table([*(pa.array(x) for x in kinds), pa.array(found)], names=["bucket", "two", "one", "n"])
+
+        em = (table.where("em").select("chunk", "data").groupBy("chunk")
+              .cogroup(answered.join(table.where("em").select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+              .applyInArrow(held_counts, "bucket long, two long, one long, n double"))
+        weights = learn([tuple(r) for r in em.groupBy("bucket", "two", "one").agg(F.sum("n")).collect()], 1 / (known + 1))
+
+        def rate(docs_of: pa.Table, answer: pa.Table) -> pa.Table:
+            c, n = Chunk(unpack(docs_of.column("data")[0].as_py())), answers(answer)
+            uni, bi = n[1, "fit"] + n[1, "em"], n[2, "fit"] + n[2, "em"]
+            two, one, bucket = estimates(c, uni, bi, uni[c.end], total)
+            w = weights[bucket]
+            model = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (known + 1) + w[:, 3] * (one == 0)) if total else np.zeros(len(two))
+            base = np.log10((uni + 1) / (total + 1 * (known + 1)))
+            sums = [np.add.reduceat(x, c.starts) for x in (uni[c.uni] > 0, base[c.uni], model[c.bi])]
+            return pa.table([pa.array(c.doc_ids, pa.int64()), pa.array(c.folds == HELD_OUT), pa.array(c.lengths),
+                             pa.array(sums[0].astype(np.int64)), pa.array([total] * len(c.doc_ids), pa.int64()),
+                             pa.array(sums[1]), pa.array(sums[2])], names=[x.split()[0] for x in RESULT.split(", ")])
+
+        return cut_lineage(table.select("chunk", "data").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(rate, RESULT))
