@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extended, texts_of
+from .common import arrow_map, extended, texts_of, unused
 
 DIM = 1024
 NGRAM = 3
@@ -153,27 +153,27 @@ def held_out(modulus: int = 3, fold: int = 1, c: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % modulus == fold, F.lit(False))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` and lang_pred, score, cosine (to the nearest prototype)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_pred: str = "lang_pred", score: str = "score",
+            cosine: str = "cosine") -> DataFrame:
+    """``docs`` and the named columns: language, score, cosine to the nearest prototype."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores, cosines = classifier(prototypes)(texts_of(batch))
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64())],
-            [*batch.schema.names, "__lang_pred", "__score", "__cosine"])
-    return arrow_map(docs, run, extended(docs.schema, __lang_pred="string", __score="double", __cosine="double"))
+            [*batch.schema.names, lang_pred, score, cosine])
+    return arrow_map(docs, run, extended(docs.schema, **{lang_pred: "string", score: "double", cosine: "double"}))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that aren't held out."""
     d = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = train(d.where(~F.col("held_out")))
-    return predict(d.select("doc_id", "held_out", "text"), model).select(
-        "doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return predict(d.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_language(docs: DataFrame, min_cosine: float = 0.0) -> DataFrame:
     """The documents whose language is known; rejected are texts without letters and those
     whose nearest prototype has a cosine below ``min_cosine``. Columns as in ``docs``."""
-    model = train(docs.where(~held_out()))
-    scored = predict(docs, model)
-    return scored.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__cosine") >= min_cosine)).select(*docs.columns)
+    lang_pred, score, cosine = unused(docs.columns, "__lang_pred", "__score", "__cosine")
+    scored = predict(docs, train(docs.where(~held_out())), lang_pred, score, cosine)
+    return scored.where((F.col(lang_pred) != UNKNOWN) & (F.col(cosine) >= min_cosine)).select(*docs.columns)

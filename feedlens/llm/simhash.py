@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_map, components, extended, fingerprint_col, local_labels, texts_of
+from .common import arrow_map, components, extended, fingerprint_col, local_labels, texts_of, unused
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -226,11 +226,11 @@ def near_duplicates(docs: DataFrame, r: int = MAX_BITS, shingle: int = SHINGLE)
 def keep_one(docs: DataFrame, r: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """The documents of ``docs``, one of each component: that with the smallest doc_id
     (null ids only where a component has no other; of rows that share it, one)."""
-    fp = "__fp"
-    held = add_fingerprint(docs, fp, shingle)
+    fp, own, last = unused(docs.columns, "__fp", "__own", "__last")
     rows = cut_lineage(add_fingerprint(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"))
     kept = (rows.join(grouped(rows, r), "fp").where(F.col("doc_id").eqNullSafe(F.col("first")))
-            .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.doc_id", "x.fp"))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept")).distinct()
-    got = held.join(kept, held["doc_id"].eqNullSafe(kept["__id"]) & (held[fp] == kept["__kept"]))
-    return got.dropDuplicates(["__id", "__kept"]).select(*[got[c] for c in docs.columns])
+            .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+            .select(F.col("x.doc_id").alias(own), F.col("x.fp").alias(last)).distinct())
+    held = add_fingerprint(docs, fp, shingle)
+    got = held.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(last)))
+    return got.dropDuplicates([own, last]).select(*docs.columns)

@@ -94,7 +94,7 @@ def directory(file, size: int) -> dict[str, tuple[int, int]]:
     ``read_at(n, offset)``. Members that are compressed are left out."""
     tail_at = max(0, size - 22 - LIMIT16)
     tail = file.read_at(size - tail_at, tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))  # the record has 22 bytes at least
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
