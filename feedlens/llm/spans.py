@@ -5,7 +5,7 @@ k-mers in a window of ``WINDOW`` words the one with the least hash (leftmost of
 the window's vertex; it depends on the window's words only, so equal windows have the same
 vertex in the same place. The consecutive windows of a document that share a vertex
 occurrence are one edge of the graph: an occurrence of the vertex with the words around it
-that those windows reach. About one word in twelve starts an edge.
+that those windows reach. About one word in thirteen starts an edge.
 
 * A vertex that occurs once (its windows occur once) leaves the graph.
 * A vertex whose edges all carry the same words doesn't branch: its path compacts, all its
@@ -35,11 +35,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import arrow_map, texts_of
+from .common import arrow_map, mix64, staged, texts_of, unused
 
 WINDOW = 35   # words in a span that must not repeat
-K = 12        # words in a k-mer
+K = 10        # words in a k-mer
 MULT = np.uint64(0x9E3779B97F4A7C15)  # odd: has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 
@@ -62,12 +61,6 @@ class Powers:
 _POWERS = Powers()
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -107,17 +100,21 @@ def edges_of(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     return h[at[first]], at[first], first, last
 
 
-ROW_KEY = "doc_id long, text_hash long"
+def identity(text="text") -> tuple[F.Column, F.Column]:
+    """What identifies a row: its doc_id (without one, a hash of its text) and a check of its
+    text, which tells rows apart that share a doc_id."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(t)), F.hash(t)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text: what identifies a row, and its words."""
-    t = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    """id, check, text of each row."""
+    row_id, check = identity()
+    return docs.select(row_id.alias("id"), check.alias("check"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def edges(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, text_hash, vertex, words (digest), spot: first window << 16 | windows - 1 << 8
+    """id, check, vertex, words (digest), spot: first window << 16 | windows - 1 << 8
     | place of the vertex in the first window."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         which, cols = [], ([], [], [])
@@ -136,26 +133,26 @@ def edges(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
         row = pa.array(np.concatenate(which))
         return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
                                            *(pa.array(np.concatenate(c)) for c in cols)],
-                                          ["doc_id", "text_hash", "vertex", "words", "spot"])
-    return arrow_map(keyed(docs), run, ROW_KEY + ", vertex long, words long, spot long")
+                                          ["id", "check", "vertex", "words", "spot"])
+    return arrow_map(keyed(docs), run, "id long, check int, vertex long, words long, spot long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, text_hash, first, mask: window first + i repeats if bit i of mask is set."""
+    """id, check, first, mask: window first + i repeats if bit i of mask is set."""
     every = edges(docs, window, k)
     vertices = (every.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("lo"), F.max("words").alias("hi"))
                 .where("n > 1").select("vertex", (F.col("lo") != F.col("hi")).alias("branching")))
-    held = cut_lineage(every.join(vertices, "vertex"))
+    held = staged(every.join(vertices, "vertex"), "edges")
     full = F.expr("shiftleft(1L, cast(shiftright(spot, 8) & 255 as int) + 1) - 1")
     first = F.shiftright(F.col("spot"), 16)
-    straight = held.where(~F.col("branching")).select("doc_id", "text_hash", first.alias("first"), full.alias("mask"))
+    straight = held.where(~F.col("branching")).select("id", "check", first.alias("first"), full.alias("mask"))
 
     # One occurrence of each distinct edge at a branching vertex, read again at its source.
     forks = held.where("branching")
     distinct = (forks.groupBy("vertex", "words").agg(F.count(F.lit(1)).alias("n"),
-                                                     F.min(F.struct("doc_id", "text_hash", "spot")).alias("at")))
-    asked = (distinct.select("at.doc_id", "at.text_hash", F.struct("vertex", "words", "n", "at.spot").alias("e"))
-             .groupBy("doc_id", "text_hash").agg(F.collect_list("e").alias("edges")))
+                                                     F.min(F.struct("id", "check", "spot")).alias("at")))
+    asked = (distinct.select("at.id", "at.check", F.struct("vertex", "words", "n", "at.spot").alias("e"))
+             .groupBy("id", "check").agg(F.collect_list("e").alias("edges")))
 
     def look_up(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         vertex, words, n, bit, place, digest = [], [], [], [], [], []
@@ -174,15 +171,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
              pa.array(place, pa.int32()), pa.array(np.array(digest, dtype=np.uint64).view(np.int64))],
             ["vertex", "words", "n", "bit", "place", "digest"])
 
-    t, a = keyed(docs).alias("t"), asked.alias("a")
-    on = F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.text_hash") == F.col("a.text_hash"))
-    found = cut_lineage(arrow_map(t.join(a, on).select("t.text", "a.edges"), look_up,
-                                  "vertex long, words long, n long, bit int, place int, digest long")
-                        .distinct())
-    seen = found.groupBy("vertex", "place", "digest").agg(F.sum("n").alias("total")).where("total > 1")
-    masks = (found.join(seen, ["vertex", "place", "digest"], "left_semi")
+    # Equal rows look up the same windows twice; they repeat each other, so counts stay above 1.
+    found = staged(arrow_map(keyed(docs).join(asked, ["id", "check"]).select("text", "edges"), look_up,
+                             "vertex long, words long, n long, bit int, place int, digest long"), "windows")
+    seen = found.groupBy("vertex", "place", "digest").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    masks = (found.drop("n").join(seen, ["vertex", "place", "digest"], "left_semi")
              .groupBy("vertex", "words").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")))
-    branched = forks.join(masks, ["vertex", "words"]).select("doc_id", "text_hash", first.alias("first"), "mask")
+    branched = forks.join(masks, ["vertex", "words"]).select("id", "check", first.alias("first"), "mask")
     return straight.unionByName(branched)
 
 
@@ -201,13 +196,14 @@ def covered(n: int, spans: list, window: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """``docs`` and __spans, the repeated windows of each row."""
-    spans = (repeated_windows(docs, window, k).groupBy("doc_id", "text_hash")
-             .agg(F.collect_set(F.struct("first", "mask")).alias("__spans"))
-             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans"))
-    d = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = d["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (d["__own"] == spans["__hash"])
-    return d.join(spans, on, "left").drop("__own", "__id", "__hash")
+    """``docs`` and, as last column, the repeated windows of each row."""
+    row_id, check, own_id, own_check, found = unused(docs.columns, "__id", "__check", "__own", "__text", "__spans")
+    spans = (repeated_windows(docs, window, k).groupBy("id", "check")
+             .agg(F.collect_set(F.struct("first", "mask")).alias(found))
+             .select(F.col("id").alias(row_id), F.col("check").alias(check), found))
+    a, b = identity()
+    on = (F.col(own_id) == F.col(row_id)) & (F.col(own_check) == F.col(check))
+    return docs.withColumns({own_id: a, own_check: b}).join(spans, on, "left").select(*docs.columns, found)
 
 
 def _kept(text: bytes, spans, window: int) -> tuple[int, list[bytes]]:
@@ -244,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
         cols = list(batch.columns[:len(names)])
         cols[at] = pa.array(new, pa.string())
         return pa.RecordBatch.from_arrays(cols, names)
-    return arrow_map(_with_spans(docs, window, k).select(*names, "__spans"), run, docs.schema)
+    return arrow_map(_with_spans(docs, window, k), run, docs.schema)
 
 
 ORACLE = r"""
