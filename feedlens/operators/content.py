@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.html import og_image, with_banner_strip, with_main_text
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """T1+T2+T3: (url, image = og:image, content = banner-stripped main text)."""
-    p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("_html"))
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html",
+                  landed_col: str | None = None) -> DataFrame:
+    """T1+T2+T3: (url, image = og:image, content = banner-stripped main text). With
+    ``landed_col`` only the newest landing of each URL is extracted."""
+    p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("_html"),
+                     *([F.col(landed_col).alias("_landed")] if landed_col else []))
+    if landed_col:
+        newest = p.groupBy("url").agg(F.max("_landed").alias("_landed"))
+        p = p.join(newest, ["url", "_landed"]).dropDuplicates(["url"]).drop("_landed")
     p = with_main_text(p.withColumn("image", og_image(F.col("_html"))), "_html", "_main")
     return with_banner_strip(p, "_main", "content").select("url", "image", "content")
 
@@ -25,9 +31,11 @@ def attach_content(articles: DataFrame, extracted: DataFrame, compat: bool = Tru
 
     ``compat`` (the service's rule) marks every attempted article extracted even when
     nothing came back; otherwise a failed extraction stays retryable and is flagged
-    in ``content_error``. Articles already extracted are returned unchanged."""
-    ex = extracted.select(F.col("url").alias("_url"), F.col("image").alias("_og"),
-                          F.col("content").alias("_content"))
+    in ``content_error``. Articles already extracted are returned unchanged. Each article
+    comes back once: of several extractions of a URL one with content is taken."""
+    one = extracted.groupBy(F.col("url").alias("_url")).agg(
+        F.max(F.struct(F.col("content").isNotNull().alias("has"), "content", "image")).alias("_x"))
+    ex = one.select("_url", F.col("_x.image").alias("_og"), F.col("_x.content").alias("_content"))
     j = articles.join(ex, articles["link"] == ex["_url"], "left")
     todo = ~F.col("content_extracted")
     image = F.when(todo, F.coalesce(F.nullif(F.col("image"), F.lit("")), F.col("_og"))).otherwise(F.col("image"))
@@ -45,14 +53,14 @@ def pending_extraction(snapshot: DataFrame, limit: int = 10) -> DataFrame:
     return snapshot.where(~F.col("content_extracted")).orderBy("pos").limit(limit)
 
 
-def needs_content(snapshot: DataFrame, stored: DataFrame, limit: int = 60) -> DataFrame:
+def needs_content(snapshot: DataFrame, stored: DataFrame, limit: int | None = 60) -> DataFrame:
     """Snapshot articles whose URL has no stored content and that are not yet
-    extracted, first ``limit`` in snapshot order.
+    extracted, first ``limit`` in snapshot order (None: all).
 
-    The snapshot is capped (F4, 200 rows), so its links are broadcast into a semi
-    join over the stored table: the store is scanned once and never shuffled."""
-    links = F.broadcast(snapshot.select("link"))
+    The store is first reduced to the snapshot's links by a semi join; AQE broadcasts them
+    while they are few, so a big store is scanned once and not shuffled."""
+    links = snapshot.select("link")
     have = (stored.where(F.col("full_content").isNotNull()).select(F.col("url").alias("link"))
             .join(links, "link", "left_semi"))
-    return (snapshot.join(have, "link", "left_anti").where(~F.col("content_extracted"))
-            .orderBy("pos").limit(limit))
+    todo = snapshot.join(have, "link", "left_anti").where(~F.col("content_extracted"))
+    return todo if limit is None else todo.orderBy("pos").limit(limit)

@@ -78,6 +78,19 @@ def merge_and_dedup(existing: DataFrame, new: DataFrame, order_col: str = "ord")
     return both.join(kept.withColumnRenamed("ord", "_mord"), "_mord", "left_semi").drop("_mord")
 
 
+def dedup_against(existing: DataFrame, new: DataFrame, order_col: str = "ord") -> DataFrame:
+    """D5 for an ``existing`` table that is clean already: the rows of ``new`` that D4 keeps
+    after all existing ones. New rows that share a key with an existing row go (the existing
+    one comes first and is kept), D4 runs on the others; existing rows are never compared
+    among themselves and only their two 16-byte keys are read."""
+    keys = dedup_keys(new, order_col)
+    have = dedup_keys(existing, order_col)
+    fresh = (keys.join(have.select("uk").distinct(), "uk", "left_anti")
+             .join(have.select("tk").distinct(), "tk", "left_anti"))
+    kept = greedy_keep(fresh.select("ord", "uk", "tk"))
+    return new.join(kept.withColumnRenamed("ord", order_col), order_col, "left_semi")
+
+
 def dedup_mentions(mentions: DataFrame, group: str = "article_id") -> DataFrame:
     """Per (article, ticker, first 100 chars of context) keep the highest
     confidence, earliest start on ties; ``key_pos`` = first sight of the key."""
@@ -97,37 +110,28 @@ def fold_mentions(mentions: DataFrame, bucket_rows: int = 1 << 16) -> DataFrame:
 
     Closed form: the rows that replace are the prefix maxima ("records") of the
     confidence sequence; with records r1..rk the result is r_k's row with sentiment
-    s1/2^(k-1) + sum_{j>=2} s_j/2^(k-j+1). Records are found without sorting a whole
-    group in one task: rows are cut into ``ord`` buckets, each (key, bucket) window is
-    bounded, and earlier buckets contribute their maximum through a small per-bucket
-    table. The number of later records (the weight exponent) is found the same way.
+    s1/2^(k-1) + sum_{j>=2} s_j/2^(k-j+1). Rows are cut into ``ord`` buckets, so no window
+    sorts a whole group; only each bucket's own running maxima go on (a few per bucket: ln n
+    of n rows in random order), and those of a key meet in one window. The windows after the
+    first share its partitioning by key.
     """
     key = ["article_id", "company_id"]
+    # 1. candidates: the running maxima inside each (key, bucket), found in one bounded window;
+    # everything else is dropped before any further step
     m = mentions.withColumn("_b", F.floor(F.col("ord") / bucket_rows))
     wb = Window.partitionBy(*key, "_b").orderBy("ord")
-    m = m.withColumn("_local_prev", F.max("confidence_score").over(
-        wb.rowsBetween(Window.unboundedPreceding, -1)))
-    bmax = m.groupBy(*key, "_b").agg(F.max("confidence_score").alias("_bmax"))
-    wk = Window.partitionBy(*key).orderBy("_b")
-    bmax = bmax.withColumn("_prev_bmax", F.max("_bmax").over(
-        wk.rowsBetween(Window.unboundedPreceding, -1))).drop("_bmax")
-    m = m.join(bmax, key + ["_b"])
-    prev = F.greatest(F.col("_local_prev"), F.col("_prev_bmax"))
-    rec = m.where(prev.isNull() | (F.col("confidence_score") > prev)).withColumn(
-        "_first", F.col("_local_prev").isNull() & F.col("_prev_bmax").isNull())
-    # number of records after each record
-    wbd = Window.partitionBy(*key, "_b").orderBy(F.desc("ord"))
-    rec = rec.withColumn("_after_local", F.count(F.lit(1)).over(
-        wbd.rowsBetween(Window.unboundedPreceding, -1)))
-    bcnt = rec.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_bcnt"))
-    wkd = Window.partitionBy(*key).orderBy(F.desc("_b"))
-    bcnt = bcnt.withColumn("_after_b", F.coalesce(F.sum("_bcnt").over(
-        wkd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bcnt")
-    rec = rec.join(bcnt, key + ["_b"]).withColumn("_after", F.col("_after_local") + F.col("_after_b"))
-    weight = F.when(F.col("_first"), F.pow(F.lit(0.5), F.col("_after"))).otherwise(
-        F.pow(F.lit(0.5), F.col("_after") + 1))
+    before = F.max("confidence_score").over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    cand = m.withColumn("_prev", before).where(F.col("_prev").isNull() | (F.col("confidence_score") > F.col("_prev"))).drop("_prev")
+    # 2. confidences of candidates grow inside a bucket, so the records over all buckets are the
+    # candidates above the best of the earlier ones, and one window per key sees them in order
+    wk = Window.partitionBy(*key).orderBy("ord")
+    best = F.max("confidence_score").over(wk.rowsBetween(Window.unboundedPreceding, -1))
+    rec = cand.withColumn("_prev", best).where(F.col("_prev").isNull() | (F.col("confidence_score") > F.col("_prev")))
+    rec = rec.withColumn("_n", F.row_number().over(wk))
     payload = [c for c in mentions.columns if c not in key + ["sentiment_score"]]
-    agg = rec.groupBy(*key).agg(
+    last = F.max("_n").over(Window.partitionBy(*key))
+    weight = F.pow(F.lit(0.5), F.when(F.col("_n") == 1, F.col("_last_n") - 1).otherwise(F.col("_last_n") - F.col("_n") + 1))
+    agg = rec.withColumn("_last_n", last).groupBy(*key).agg(
         F.sum(F.col("sentiment_score") * weight).alias("sentiment_score"),
         F.max_by(F.struct(*[F.col(c) for c in payload]), F.col("ord")).alias("_last"),
         F.count(F.lit(1)).alias("replacements"))

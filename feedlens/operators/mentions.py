@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WS_RUN, col_, strip_ws, stripped_length_at_least
+from ..session import cut_lineage
 from ..sources import dims
 from . import dedup, scoring
 
@@ -30,90 +31,90 @@ def sentences(text) -> Column:
     return F.split(col_(text), SENTENCE_SPLIT, -1)
 
 
-def _exclusive_prefix(lengths: Column) -> Column:
-    """[0, l0, l0+l1, ...] (same size as ``lengths``)."""
-    init = F.struct(F.array().cast("array<long>").alias("a"), F.lit(0).cast("long").alias("s"))
+BLOCK = 256  # array elements per block: keeps the work per text linear in its length
+
+
+def _running(lengths: Column, start: Column) -> Column:
+    """[start, start+l0, start+l0+l1, ...] (same size as ``lengths``, short arrays only)."""
+    init = F.struct(F.array().cast("array<long>").alias("a"), start.cast("long").alias("s"))
     return F.aggregate(lengths, init,
                        lambda acc, x: F.struct(F.array_append(acc["a"], acc["s"]).alias("a"),
                                                (acc["s"] + x).alias("s")),
                        lambda acc: acc["a"])
 
 
-def sentence_starts(sents: Column, seps: Column | None) -> Column:
-    """Start offset of each sentence from the sentence array and the separator array.
-    With ``seps`` None (compat) every separator counts as one character, as in the
-    service's walk, which drifts after wider gaps.
+def with_prefix(df: DataFrame, lengths: Column, into: str) -> DataFrame:
+    """Adds ``into`` = [0, l0, l0+l1, ...], block by block: an append copies its array, so
+    running sums are built over blocks of ``BLOCK`` lengths and shifted by the blocks before.
 
-    Lambdas only touch their own arguments (arrays are passed in, never captured), so
-    Catalyst can inline the expression without re-evaluating an array per element."""
-    if seps is None:
-        lens = F.transform(sents, lambda s: F.length(s).cast("long") + 1)
-    else:
-        lens = F.zip_with(sents, seps, lambda s, p: F.length(s).cast("long")
-                          + F.coalesce(F.length(p).cast("long"), F.lit(0).cast("long")))
-    return _exclusive_prefix(lens)
+    Each stage is its own projection and every staged array is named twice by its consumer:
+    Catalyst then keeps the projection instead of inlining it into a lambda."""
+    d = df.withColumn("_len", lengths)
+    n = F.greatest(F.ceil(F.size("_len") / BLOCK).cast("int"), F.lit(1))
+    d = d.withColumn("_blk", F.transform(F.sequence(F.lit(0), n - 1),
+                                         lambda b: F.slice(F.col("_len"), b * BLOCK + 1, F.lit(BLOCK))))
+    sums = F.transform("_blk", lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v))
+    d = d.withColumn("_at", _running(sums, F.lit(0)))
+    return d.withColumn(into, F.flatten(F.zip_with("_blk", "_at", _running))).drop("_len", "_blk", "_at")
 
 
 def with_sentences(df: DataFrame, text_col: str, compat: bool = False, only_if: Column | None = None) -> DataFrame:
-    """Adds ``_sents`` and ``_starts``. Each stage is its own projection: a column
-    used twice by the next stage is computed once (Catalyst keeps the projection).
-    With ``only_if`` the sentence scans run only on rows where it holds."""
+    """Adds ``_sents`` and ``_starts`` (start offset of each sentence). With ``compat`` every
+    separator counts as one character, as in the service's walk, which drifts after wider
+    gaps. With ``only_if`` the sentence scans run only on rows where it holds."""
     def gate(c):
         return c if only_if is None else F.when(only_if, c)
     df = df.withColumn("_sents", gate(sentences(text_col)))
     if compat:
-        return df.withColumn("_starts", sentence_starts(F.col("_sents"), None))
+        return with_prefix(df, F.transform("_sents", lambda s: F.length(s).cast("long") + 1), "_starts")
     df = df.withColumn("_seps", gate(F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_SEP), 1)))
-    return df.withColumn("_starts", sentence_starts(F.col("_sents"), F.col("_seps"))).drop("_seps")
-
-
-_ELEM = "struct<pos:bigint,tag:int,txt:string,n:bigint>"
-
-
-def mention_contexts(text, sents: Column, starts: Column, matches: Column, mstarts: Column) -> Column:
-    """T6 for every match of a text at once: array of
-    (matched_text, start_char, end_char, context_sentence), in match order.
-
-    Sentence starts and match starts are merged in one sorted array and a single fold
-    carries the current sentence, so each match meets its sentence in O(S + M). The
-    containing sentence is returned stripped; when the walk finds none (``compat``
-    drift) the text around the match (100 chars each side) is used, as the service
-    does."""
-    s_el = F.zip_with(sents, starts, lambda s, st: F.struct(
-        st.alias("pos"), F.lit(0).alias("tag"), s.alias("txt"), F.length(s).cast("long").alias("n")))
-    m_el = F.zip_with(matches, mstarts, lambda m, p: F.struct(
-        p.alias("pos"), F.lit(1).alias("tag"), m.alias("txt"), F.length(m).cast("long").alias("n")))
-    merged = F.array_sort(F.concat(s_el.cast(f"array<{_ELEM}>"), m_el.cast(f"array<{_ELEM}>")))
-    out_t = "array<struct<matched_text:string,start_char:bigint,end_char:bigint,s_start:bigint,sent:string>>"
-    init = F.struct(F.lit(None).cast("bigint").alias("cs"), F.lit(None).cast("string").alias("ct"),
-                    F.array().cast(out_t).alias("out"))
-    folded = F.aggregate(merged, init, lambda acc, e: F.when(
-        e["tag"] == 0, F.struct(e["pos"].alias("cs"), e["txt"].alias("ct"), acc["out"].alias("out"))
-    ).otherwise(F.struct(acc["cs"].alias("cs"), acc["ct"].alias("ct"), F.array_append(acc["out"], F.struct(
-        e["txt"].alias("matched_text"), e["pos"].alias("start_char"), (e["pos"] + e["n"]).alias("end_char"),
-        acc["cs"].alias("s_start"), acc["ct"].alias("sent"))).alias("out"))), lambda acc: acc["out"])
-    t = col_(text)
+    lens = F.zip_with("_sents", "_seps", lambda s, p: F.length(s).cast("long")
+                      + F.coalesce(F.length(p).cast("long"), F.lit(0).cast("long")))
+    return with_prefix(df, lens, "_starts").drop("_seps")
+
+
+def with_contexts(df: DataFrame, text: str, matches: str, mstarts: str, into: str) -> DataFrame:
+    """T6 for every match of a text at once: adds an array of (matched_text, start_char,
+    end_char, context_sentence), in match order, from ``_sents`` and ``_starts``.
+
+    A match's sentence is the last one that starts at or before it, found in the starts of
+    every ``BLOCK``-th sentence first and then inside one block. The containing sentence is
+    returned stripped; when the match lies behind its end (``compat`` drift) the text around
+    the match (100 chars each side) is used, as the service does."""
+    d = df.withColumn("_coarse", F.filter("_starts", lambda x, i: i % BLOCK == 0))
+
+    def spot(m, p):
+        upto = F.least(F.size(F.filter("_coarse", lambda c: c <= p)), F.size("_coarse"))
+        lo = (F.greatest(upto, F.lit(1)) - 1) * BLOCK
+        k = F.least(lo + F.size(F.filter(F.slice(F.col("_starts"), lo + 1, F.lit(BLOCK)), lambda x: x <= p)), F.size("_starts"))
+        return F.struct(m.alias("matched_text"), p.alias("start_char"), (p + F.length(m)).cast("long").alias("end_char"),
+                        k.cast("int").alias("k"))
+
+    d = d.withColumn("_spots", F.zip_with(matches, mstarts, spot))
+    t = F.col(text)
 
     def ctx(o):
-        inside = o["s_start"].isNotNull() & (o["start_char"] < o["s_start"] + F.length(o["sent"]))
+        # (both arrays are read twice: for the sentence and for where it ends)
+        sent, start = F.get(F.col("_sents"), o["k"] - 1), F.get(F.col("_starts"), o["k"] - 1)
+        inside = (o["k"] > 0) & (o["start_char"] < start + F.length(sent))
         lo = F.greatest(o["start_char"] - 100, F.lit(0))
         window = F.substring(t, (lo + 1).cast("int"), (o["end_char"] + 100 - lo).cast("int"))
-        return F.left(F.when(inside, strip_ws(o["sent"])).otherwise(strip_ws(window)),
+        return F.left(F.when((F.size("_starts") > 0) & inside, strip_ws(sent)).otherwise(strip_ws(window)),
                       F.lit(dims.CONTEXT_MAX_CHARS))
 
-    return F.transform(folded, lambda o: F.struct(o["matched_text"].alias("matched_text"),
-                                                  o["start_char"].alias("start_char"),
-                                                  o["end_char"].alias("end_char"),
-                                                  ctx(o).alias("context_sentence")))
+    return d.withColumn(into, F.transform("_spots", lambda o: F.struct(
+        o["matched_text"].alias("matched_text"), o["start_char"].alias("start_char"),
+        o["end_char"].alias("end_char"), ctx(o).alias("context_sentence")))).drop("_coarse", "_spots")
 
 
-def match_starts(matches: Column, gaps: Column) -> Column:
-    """Start offset of every alias match: running length of the gaps and matches
+def with_match_starts(df: DataFrame, matches: str, gaps: str, into: str) -> DataFrame:
+    """Adds the start offset of every alias match: running length of the gaps and matches
     before it (the gaps are ``split`` on the same pattern)."""
-    before = _exclusive_prefix(F.zip_with(gaps, matches, lambda g, m: F.length(g).cast("long")
-                                          + F.coalesce(F.length(m).cast("long"), F.lit(0).cast("long"))))
-    starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g).cast("long"))
-    return F.slice(starts, 1, F.size(matches))
+    steps = F.zip_with(gaps, matches, lambda g, m: F.length(g).cast("long")
+                       + F.coalesce(F.length(m).cast("long"), F.lit(0).cast("long")))
+    d = with_prefix(df, steps, "_before")
+    starts = F.zip_with("_before", gaps, lambda b, g: b + F.length(g).cast("long"))
+    return d.withColumn(into, F.slice(starts, 1, F.size(matches))).drop("_before")
 
 
 # Characters outside ASCII whose simple case mapping lands on an ASCII letter; with them
@@ -146,19 +147,20 @@ def regex_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article
     """Alias regex (longest first, case-insensitive, word-bounded, ambiguous
     aliases excluded), non-overlapping, with offsets, context and confidence 0.9.
 
-    Per text: two linear regex scans (matches, and the gaps between them), the
-    sentence split, one merge fold; then one explode of the small per-mention structs,
-    so the text is never copied per mention and nothing shuffles."""
+    Per text: two linear regex scans (matches, and the gaps between them), the sentence
+    split, block-wise offsets; then one explode of the small per-mention structs, so the
+    text is never copied per mention and nothing shuffles."""
     d = df.select(F.col(id_col), F.col(text_col).alias("_t"))
     if prefilter:  # pays off when few texts name a tracked company (measured: ~half a regex pass)
         d = d.where(may_mention(F.col("_t")))
     d = (d.withColumn("_ms", F.regexp_extract_all(F.col("_t"), F.lit(ALIAS_REGEX), 1))
          .withColumn("_gs", F.when(F.size("_ms") > 0, F.split(F.col("_t"), ALIAS_REGEX, -1))))
-    d = d.withColumn("_mst", match_starts(F.col("_ms"), F.col("_gs"))).drop("_gs")
+    d = with_match_starts(d, "_ms", "_gs", "_mst").drop("_gs")
     # texts without a match produce no rows: skip their gap and sentence scans
     d = with_sentences(d, "_t", compat, only_if=F.size("_ms") > 0)
-    rows = mention_contexts(F.col("_t"), F.col("_sents"), F.col("_starts"), F.col("_ms"), F.col("_mst"))
-    out = d.select(F.col(id_col), F.posexplode(rows).alias("pos", "m"))
+    d = with_contexts(d, "_t", "_ms", "_mst", "_rows")
+    # (outer: otherwise Catalyst infers a "not empty" filter and pushes all of this into the scan)
+    out = d.select(F.col(id_col), F.posexplode_outer("_rows").alias("pos", "m")).where(F.col("pos").isNotNull())
     info = F.try_element_at(dims.alias_map_expr(), F.lower(strip_ws(F.col("m.matched_text"))))
     return (out.select(F.col(id_col), info["name"].alias("company_name"), info["ticker"].alias("ticker"),
                        "m.matched_text", F.col("m.start_char").cast("long").alias("start_char"),
@@ -173,32 +175,45 @@ ENTITY_SCHEMA = T.StructType([
 ])
 
 
-def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], list[dict]]],
-                   text_col: str = "text", id_col: str = "article_id") -> DataFrame:
-    """Pluggable entity model. ``load_extractor()`` runs once per Python worker and
-    returns ``extract(text) -> [{start_char, end_char, label, score?}]``. The text is
-    cut to 10,000 chars first; label filter, alias filter, distinct spans and context
-    are native column work after the model."""
-    cut = df.select(F.col(id_col), F.left(F.col(text_col), F.lit(dims.MODEL_TEXT_MAX_CHARS)).alias("_t"))
-    out_schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("_t", T.StringType()),
-                               T.StructField("ents", T.ArrayType(ENTITY_SCHEMA))])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, int, int]]:
+    """(offset, window, first, last): consecutive windows of a text that overlap; spans that
+    start in [first, last) are taken from this window, so every place counts once."""
+    step = size - overlap
+    for at in range(0, max(1, len(text) - overlap), step):
+        last = at + size >= len(text)
+        yield at, text[at:at + size], at + (overlap // 2 if at else 0), len(text) if last else at + step + overlap // 2
+
+
+def with_model_spans(df: DataFrame, load_extractor: Callable[[], Callable[[str], list[dict]]], text_col: str,
+                     into: str, max_chars: int = dims.MODEL_TEXT_MAX_CHARS, overlap: int = 500) -> DataFrame:
+    """Adds the model's spans as an array of (start_char, end_char, label, score). The model
+    sees windows of ``max_chars`` that overlap, so whole texts are read; a window that it
+    fails on has no spans. Only offsets come back: the text stays where it is."""
+    @F.pandas_udf(T.ArrayType(ENTITY_SCHEMA))
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         extract = load_extractor()
-        for pdf in it:
-            ents = []
-            for text in pdf["_t"].tolist():
-                if text is None or len(text.strip()) < 10:
-                    ents.append([])
-                    continue
+
+        def of(text) -> list[dict]:
+            if text is None or len(text.strip()) < 10:
+                return []
+            out = []
+            for at, window, first, last in _windows(text, max_chars, overlap):
                 try:
-                    ents.append([{"start_char": int(e["start_char"]), "end_char": int(e["end_char"]),
-                                  "label": e.get("label"), "score": e.get("score")} for e in extract(text)])
-                except Exception:
-                    ents.append([])
-            yield pd.DataFrame({id_col: pdf[id_col], "_t": pdf["_t"], "ents": ents})
+                    found = extract(window)
+                except Exception:  # noqa: BLE001  any failure of a plugged-in model
+                    continue
+                out += [{"start_char": at + int(e["start_char"]), "end_char": at + int(e["end_char"]), "label": e.get("label"),
+                         "score": e.get("score")} for e in found if first <= at + int(e["start_char"]) < last]
+            return out
+
+        for texts in batches:
+            yield texts.map(of, na_action=None)
+
+    return df.withColumn(into, spans(F.col(text_col)))
+
 
-    ex = cut.mapInPandas(run, out_schema)  # one row per text; _t is a plain attribute below
+def _model_rows(ex: DataFrame, id_col: str) -> DataFrame:
+    """Mention rows from ``_t`` and ``ents``: label and alias filter, distinct spans, context."""
     amap = dims.alias_map_expr()
 
     def span(e):
@@ -212,16 +227,17 @@ def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], l
         span(e).alias("matched_text")))
     a = F.filter(a, lambda x: x["label"].isin(*ENTITY_LABELS)
                  & F.try_element_at(amap, F.lower(strip_ws(x["matched_text"]))).isNotNull())
-    srt = F.array_sort(a)  # by (start, end, position): first of each span run = first seen
-    d = F.filter(F.zip_with(srt, F.concat(F.array(F.lit(None)).cast(
+    ex = ex.withColumn("_srt", F.array_sort(a))  # by (start, end, position): first of each span run = first seen
+    d = F.filter(F.zip_with("_srt", F.concat(F.array(F.lit(None)).cast(
         "array<struct<start_char:bigint,end_char:bigint,pos:int,label:string,confidence:double,matched_text:string>>"),
-        srt), lambda x, p: F.when(p.isNull() | (p["start_char"] != x["start_char"])
+        F.col("_srt")), lambda x, p: F.when(p.isNull() | (p["start_char"] != x["start_char"])
                                    | (p["end_char"] != x["end_char"]), x)), lambda x: x.isNotNull())
-    ex = with_sentences(ex.withColumn("_d", d), "_t")
-    rows = mention_contexts(F.col("_t"), F.col("_sents"), F.col("_starts"),
-                            F.transform("_d", lambda x: x["matched_text"]),
-                            F.transform("_d", lambda x: x["start_char"]))
-    g = ex.select(id_col, F.posexplode(F.arrays_zip(F.col("_d").alias("sp"), rows.alias("cx"))).alias("pos", "z"))
+    ex = ex.withColumn("_d", d)
+    ex = (ex.withColumn("_ms", F.transform("_d", lambda x: x["matched_text"]))
+          .withColumn("_mst", F.transform("_d", lambda x: x["start_char"])))
+    ex = with_contexts(with_sentences(ex, "_t", only_if=F.size("_d") > 0), "_t", "_ms", "_mst", "_rows")
+    g = ex.select(id_col, F.posexplode_outer(F.arrays_zip(F.col("_d").alias("sp"), F.col("_rows").alias("cx"))).alias("pos", "z"))
+    g = g.where(F.col("pos").isNotNull())
     info = F.try_element_at(amap, F.lower(strip_ws(F.col("z.sp.matched_text"))))
     return g.select(id_col, info["name"].alias("company_name"), info["ticker"].alias("ticker"),
                     F.col("z.sp.matched_text").alias("matched_text"),
@@ -230,15 +246,24 @@ def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], l
                     F.col("z.cx.context_sentence").alias("context_sentence"))
 
 
+def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], list[dict]]],
+                   text_col: str = "text", id_col: str = "article_id") -> DataFrame:
+    """Pluggable entity model. ``load_extractor()`` runs once per Python worker and
+    returns ``extract(text) -> [{start_char, end_char, label, score?}]``."""
+    ex = with_model_spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), load_extractor, "_t", "ents")
+    return _model_rows(ex, id_col)
+
+
 def extract_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article_id",
                      load_extractor=None, compat: bool = False) -> DataFrame:
-    """Model rows where the model found something, regex rows for the rest."""
+    """Model rows where the model found something, regex rows for the rest. The model
+    runs once per text; its spans are staged so that both branches read the same ones."""
     if load_extractor is None:
         return regex_mentions(df, text_col, id_col, compat)
-    model = model_mentions(df, load_extractor, text_col, id_col)
-    found = model.select(id_col).distinct()
-    rest = df.join(found, id_col, "left_anti")
-    return model.unionByName(regex_mentions(rest, text_col, id_col, compat))
+    ex = cut_lineage(with_model_spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), load_extractor, "_t", "ents"))
+    model = _model_rows(ex, id_col)
+    rest = ex.join(model.select(id_col).distinct(), id_col, "left_anti")
+    return model.unionByName(regex_mentions(rest, "_t", id_col, compat))
 
 
 def analyze_text(df: DataFrame, text_col: str = "text", id_col: str = "article_id",

@@ -1,8 +1,9 @@
 """Entry normalization (N1-N11, S1 cap): raw feed/sitemap entries -> articles.
 
-One projection over the entries joined to the (broadcast, fixed-size) feed source
-dimension; the per-feed cap is a ``row_number() <= 50`` rank filter that Spark plans
-as a partial WindowGroupLimit before the shuffle, so a huge feed is cut map-side.
+One projection over the entries joined to the feed source dimension (AQE broadcasts it
+while it is small). Every entry is normalized unless the caller asks for the per-feed cap
+(``per_feed``), a ``row_number() <= n`` rank filter that Spark plans as a partial
+WindowGroupLimit before the shuffle, so a huge feed is cut map-side.
 """
 
 from __future__ import annotations
@@ -18,8 +19,20 @@ from ..session import ts_lit
 from ..sources import dims
 
 ORD_FEED_SHIFT = 1_000_000_000  # ord = feed_ord * shift + entry_ord (source order, then position)
-ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
-ISO_ZONE = r"(Z|[+-][0-9]{2}:?[0-9]{2})\z"
+
+# Date forms, each rewritten to year|month|day|hour|minute|second|zone.
+_TIME = r"(?:,?[T\s]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,6})?)[0-9]*)?)?\s*"
+_ZONE = r"(|Z|[+-][0-9]{2}:?[0-9]{2}|[A-Z]{2,5})\z"
+_DAY_NAME = r"\A(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s*)?"
+_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?")
+DATE_FORMS = (
+    ("(?i)" + _DAY_NAME + r"([0-9]{1,2})[\s-]+" + _MONTH + r"[\s-]+([0-9]{4}|[0-9]{2})" + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7"),
+    ("(?i)" + _DAY_NAME + _MONTH + r"\s+([0-9]{1,2}),?\s+([0-9]{4})" + _TIME + _ZONE, "$3|$1|$2|$4|$5|$6|$7"),
+    (r"(?i)\A([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME + _ZONE, "$1|$2|$3|$4|$5|$6|$7"),
+    (r"(?i)\A([0-9]{4})([0-9]{2})([0-9]{2})(?:T([0-9]{2}):?([0-9]{2}):?([0-9]{2})?)?\s*" + _ZONE, "$1|$2|$3|$4|$5|$6|$7"),
+)
+CENTURY_TURN = 74  # two-digit years below lie in this century
 
 
 def cap_per_feed(entries: DataFrame, n: int = dims.MAX_ARTICLES_PER_FEED) -> DataFrame:
@@ -44,14 +57,26 @@ def infer_category(tags, source_category) -> Column:
 
 
 def parse_date(c) -> Column:
-    """One date string -> UTC timestamp or null. Accepted: RFC 822 with a numeric zone
-    or GMT/UT/UTC/Z (weekday optional), ISO 8601 with or without a zone (naive = UTC)."""
-    s = F.regexp_replace(strip_ws(c), r"\A[A-Za-z]{3}," + WS + "*", "")
-    rfc_num = F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z"))
-    rfc_gmt = F.when(s.rlike(r" (GMT|UT|UTC|Z)\z"), F.try_to_timestamp(
-        F.regexp_replace(s, r" (GMT|UT|UTC|Z)\z", ""), F.lit("d MMM yyyy HH:mm:ss")))
-    iso = F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))
-    return F.coalesce(rfc_num, rfc_gmt, iso)
+    """One date string -> UTC timestamp or null: RFC 822 and its variants (weekday or not,
+    long or short names, two-digit year, no seconds), month-first, year-first with dashes or
+    slashes, and compact ISO forms. A numeric zone is applied; GMT, UT, UTC, Z, no zone and
+    zone names without an offset of their own mean UTC. Invalid dates are null."""
+    # the one-element arrays bind what is computed once to a lambda's argument
+    parts = F.transform(F.transform(F.array(c), strip_ws), lambda s: F.split(F.coalesce(
+        *[F.when(s.rlike(p), F.regexp_replace(s, p, to)) for p, to in DATE_FORMS]), r"\|"))
+    return F.get(F.transform(parts, _iso), 0).try_cast("timestamp")
+
+
+def _iso(parts: Column) -> Column:
+    """[year, month, day, hour, minute, second, zone] -> ISO 8601."""
+    year, month, day, hour, minute, second, zone = (F.get(parts, i) for i in range(7))
+    short = F.when(year.cast("int") < CENTURY_TURN, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
+    by_name = F.floor((F.call_function("locate", F.lower(F.left(month, F.lit(3))), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3)
+    number = F.when(month.rlike("[a-zA-Z]"), by_name.cast("string")).otherwise(month)
+    two = lambda x: F.lpad(F.when(x == "", F.lit("0")).otherwise(x), 2, "0")
+    offset = F.when(zone.rlike("[0-9]"), F.regexp_replace(zone, r"\A([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")).otherwise(F.lit("+00:00"))
+    return F.concat(F.when(F.length(year) == 2, short).otherwise(year), F.lit("-"), two(number), F.lit("-"), two(day), F.lit("T"),
+                    two(hour), F.lit(":"), two(minute), F.lit(":"), F.when(F.length(second) > 2, second).otherwise(two(second)), offset)
 
 
 def entry_date(published, pub_date, updated, created, as_of: datetime) -> Column:
@@ -102,11 +127,17 @@ def entry_image(thumbs, media, enclosures, image, content, summary, description)
             .otherwise(from_html))
 
 
-def normalize_entries(entries: DataFrame, sources: DataFrame, as_of: datetime) -> DataFrame:
-    """S1 + N1-N8: capped, validated entries -> article rows (with ``ord``)."""
-    src = F.broadcast(sources.select("feed_ord", F.col("name").alias("_src_name"),
-                                     F.col("category").alias("_src_cat"), "full_content_in_feed"))
-    e = cap_per_feed(entries).join(src, "feed_ord")
+def _entries_of(entries: DataFrame, per_feed: int | None) -> DataFrame:
+    return entries if per_feed is None else cap_per_feed(entries, per_feed)
+
+
+def normalize_entries(entries: DataFrame, sources: DataFrame, as_of: datetime,
+                      per_feed: int | None = None) -> DataFrame:
+    """Validated entries -> article rows (with ``ord``); with ``per_feed`` only the
+    first so many entries of each feed (S1)."""
+    src = sources.select("feed_ord", F.col("name").alias("_src_name"),
+                         F.col("category").alias("_src_cat"), "full_content_in_feed")
+    e = _entries_of(entries, per_feed).join(src, "feed_ord")
     title, link = strip_ws(F.coalesce("title", F.lit(""))), strip_ws(F.coalesce("link", F.lit("")))
     e = e.where(~excluded_by_tag("tags") & (title != "") & (link != ""))
     full = F.when(F.col("full_content_in_feed"), feed_full_content("summary", "description", "content"))
@@ -121,13 +152,13 @@ def normalize_entries(entries: DataFrame, sources: DataFrame, as_of: datetime) -
         full.alias("content"), full.isNotNull().alias("content_extracted"))
 
 
-def normalize_sitemap(items: DataFrame, sources: DataFrame, as_of: datetime) -> DataFrame:
+def normalize_sitemap(items: DataFrame, sources: DataFrame, as_of: datetime,
+                      per_feed: int | None = None) -> DataFrame:
     """Sitemap <url> entries: skip two-letter language paths, require loc and a
     title; date default ``as_of``; no description; category = the source's (no
     'general' default)."""
-    src = F.broadcast(sources.select("feed_ord", F.col("name").alias("_src_name"),
-                                     F.col("category").alias("_src_cat")))
-    e = cap_per_feed(items).join(src, "feed_ord")
+    src = sources.select("feed_ord", F.col("name").alias("_src_name"), F.col("category").alias("_src_cat"))
+    e = _entries_of(items, per_feed).join(src, "feed_ord")
     title = strip_ws(F.coalesce("title", F.lit("")))
     loc = F.col("loc")
     e = e.where(loc.isNotNull() & (loc != "") & ~url_has_lang_prefix(loc) & (title != ""))
@@ -140,13 +171,24 @@ def normalize_sitemap(items: DataFrame, sources: DataFrame, as_of: datetime) ->
         F.lit(None).cast("string").alias("content"), F.lit(False).alias("content_extracted"))
 
 
-def resolve_redirects(articles: DataFrame, redirect_map: DataFrame) -> DataFrame:
-    """Replace aggregator links by their decoded URL where one is known; keep the
-    original otherwise. ``redirect_map`` (link, decoded_url) is a landed table."""
-    r = redirect_map.select(F.col("link").alias("_l"), "decoded_url").dropDuplicates(["_l"])
-    return (articles.join(r, articles["link"] == r["_l"], "left")
-            .withColumn("link", F.coalesce(F.nullif(F.col("decoded_url"), F.lit("")), F.col("link")))
-            .drop("_l", "decoded_url"))
+def resolve_redirects(articles: DataFrame, redirect_map: DataFrame, sources: DataFrame | None = None,
+                      host: str = dims.AGGREGATOR_HOST) -> DataFrame:
+    """Replace aggregator links (those that name ``host``) by their decoded URL where one
+    is known; keep the original otherwise. With ``sources`` only articles of feeds served by
+    ``host`` are touched. ``redirect_map`` (link, decoded_url[, ord]) is a landed table; of
+    several decodings of a link the first by ``ord`` (else by URL) counts."""
+    order = F.col("ord") if "ord" in redirect_map.columns else F.col("decoded_url")
+    known = redirect_map.where((F.col("decoded_url") != "") & F.col("link").contains(f"{host}/"))
+    r = known.groupBy(F.col("link").alias("_l")).agg(F.min_by("decoded_url", order).alias("decoded_url"))
+    gate = F.col("link").contains(f"{host}/")
+    a = articles
+    if sources is not None:
+        served = sources.where(F.col("url").contains(host)).select(F.col("name").alias("_served")).distinct()
+        a = a.join(served, a["source"] == served["_served"], "left")
+        gate = gate & F.col("_served").isNotNull()
+    return (a.join(r, F.when(gate, F.col("link")) == r["_l"], "left")
+            .withColumn("link", F.coalesce("decoded_url", "link"))
+            .select(*articles.columns))
 
 
 def feed_status(entries: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:

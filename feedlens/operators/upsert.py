@@ -1,7 +1,8 @@
 """Keyed upserts and table maintenance.
 
-Parquet tables have no MERGE, so an upsert is a full outer join of the current table
-with the keyed batch, written as a new snapshot (or used directly as a DataFrame).
+Parquet tables have no MERGE, so an upsert probes the current table with the keyed batch
+(inner join), keeps the other rows (anti join) and adds the unseen keys; the result is
+written as a new snapshot (or used directly as a DataFrame).
 Within one batch, later rows of a key win (the order of sequential upserts);
 "preserved" columns keep the last non-null value instead. Surrogate ids are dense
 and assigned in order of first appearance without a single-partition window.
@@ -36,15 +37,16 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], preserve: tuple[
     ``keep_target`` columns which are never overwritten); unseen keys are inserted.
     ``batch`` must hold one row per key (see ``latest_per_key``).
 
-    Written batch-side: the target is only ever probed by the batch (inner join) and
-    filtered by the batch keys (anti join), so for the usual small incremental batch
-    AQE broadcasts the batch and the big table is scanned, not shuffled; a large batch
-    falls back to sort-merge joins."""
+    Written batch-side: the target is probed by the batch (left join), and the batch's unseen
+    keys are those that the target, reduced to the batch's keys, doesn't hold. For the usual
+    small incremental batch AQE broadcasts the batch, and the target is scanned twice (once
+    for its keys only) and never shuffled; a large batch falls back to sort-merge joins."""
     provided = [c for c in batch.columns if c not in key]
     b = batch.select(*key, *[F.col(c).alias(f"_n_{c}") for c in provided])
-    untouched = target.join(b.select(*key), key, "left_anti")
-    hit = target.join(b, key, "inner")
-    inserted = b.join(hit.select(*key), key, "left_anti")
+    probed = target.join(b.withColumn("_hit", F.lit(True)), key, "left")
+    found = target.select(*key).join(b.select(*key), key, "left_semi")
+    inserted = b.join(found, key, "left_anti")
+    hit = F.col("_hit").isNotNull()
     merged_exprs, insert_exprs = [], []
     for c in target.columns:
         dtype = target.schema[c].dataType
@@ -55,12 +57,12 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], preserve: tuple[
             merged_exprs.append(F.col(c))
             insert_exprs.append((F.col(f"_n_{c}") if c in provided else F.lit(None)).cast(dtype).alias(c))
         elif c in preserve:
-            merged_exprs.append(F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c))
+            merged_exprs.append(F.coalesce(F.col(f"_n_{c}").cast(dtype), F.col(c)).alias(c))
             insert_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
         else:
-            merged_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
+            merged_exprs.append(F.when(hit, F.col(f"_n_{c}").cast(dtype)).otherwise(F.col(c)).alias(c))
             insert_exprs.append(F.col(f"_n_{c}").cast(dtype).alias(c))
-    return untouched.unionByName(hit.select(*merged_exprs)).unionByName(inserted.select(*insert_exprs))
+    return probed.select(*merged_exprs).unionByName(inserted.select(*insert_exprs))
 
 
 def assign_dense_ids(new_rows: DataFrame, order_col: str, start_after: int, id_col: str = "id") -> DataFrame:
@@ -105,19 +107,21 @@ def upsert_articles(store: DataFrame, sources: DataFrame, articles: DataFrame) -
     columns are overwritten (nulls included); overall_sentiment untouched. New URLs
     get dense ids in arrival order."""
     src = sources.select(F.col("domain"), F.col("id").alias("source_id"))
-    rows = (articles.select("ord", "title", F.col("link").alias("url"), F.col("description").alias("summary"),
-                            F.col("image").alias("image_url"), "published_at", "category",
-                            F.col("content").alias("full_content"), url_domain("link").alias("domain"))
-            .join(src, "domain", "left").drop("domain"))
-    batch = latest_per_key(rows, ["url"], "ord", preserve=("full_content",))
-    first_ord = rows.groupBy("url").agg(F.min("ord").alias("_first"))
-    new_urls = first_ord.join(store.select("url"), "url", "left_anti")
+    # the source of each domain is looked up for distinct domains, so no text is shuffled by
+    # a key that very many articles share
+    domain = articles.select(url_domain("link").alias("domain")).distinct().join(src, "domain", "left")
+    rows = articles.select("ord", "title", F.col("link").alias("url"), F.col("description").alias("summary"),
+                           F.col("image").alias("image_url"), "published_at", "category",
+                           F.col("content").alias("full_content"), url_domain("link").alias("domain"))
+    batch = (latest_per_key(rows, ["url"], "ord", preserve=("full_content",)).drop("ord")
+             .join(domain, "domain", "left").drop("domain"))
+    first_ord = articles.groupBy(F.col("link").alias("url")).agg(F.min("ord").alias("_first"))
+    fresh = first_ord.join(store.select("url"), "url", "left_anti")
     max_id = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    new_ids = assign_dense_ids(new_urls, "_first", int(max_id)).select("url", F.col("id").alias("_new_id"))
-    merged = upsert(store, batch.drop("ord"), ["url"], preserve=("full_content",))
-    return (merged.join(new_ids, "url", "left")
-            .withColumn("id", F.coalesce(F.col("id"), F.col("_new_id"))).drop("_new_id")
-            .select(*store.columns))
+    new_ids = assign_dense_ids(fresh, "_first", int(max_id)).select("url", F.col("id").alias("_new_id"))
+    # ids go to the batch (only inserts take them), so the store never joins the id table
+    numbered = batch.join(new_ids, "url", "left").withColumnRenamed("_new_id", "id")
+    return upsert(store, numbered, ["url"], preserve=("full_content",), keep_target=("id",)).select(*store.columns)
 
 
 def update_sentiment(store: DataFrame, scores: DataFrame) -> DataFrame:
@@ -129,9 +133,10 @@ def update_sentiment(store: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def upsert_mentions(store: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Fold the batch per (article_id, company_id) (D7), then upsert on that key."""
+    """Fold the batch per (article_id, company_id) (D7), then upsert on that key. A stored
+    mention keeps its ``created_at``: analysing an article again doesn't move it in time."""
     folded = dedup.fold_mentions(mentions).drop("replacements", "ord")
-    return upsert(store, folded.select(*store.columns), ["article_id", "company_id"])
+    return upsert(store, folded.select(*store.columns), ["article_id", "company_id"], keep_target=("created_at",))
 
 
 def replace_in_snapshot(snapshot: DataFrame, updated: DataFrame) -> DataFrame:

@@ -143,12 +143,17 @@ snap AS (SELECT a.*, row_number() OVER (ORDER BY published_at DESC, ord) AS pos
 
 @register("newest_first",
           _kept_sql(O.page_articles_sql()) +
-          f"\nSELECT a.ord, {O.fmt_ts('a.published_at')} AS published_at, a.link FROM ({O.page_articles_sql()}) a "
-          "JOIN kept USING (ord)")
+          f"\nSELECT CAST(row_number() OVER (ORDER BY a.published_at DESC, a.ord) AS BIGINT) AS pos, a.ord, "
+          f"{O.fmt_ts('a.published_at')} AS published_at, a.link FROM ({O.page_articles_sql()}) a JOIN kept USING (ord)")
 def q_newest_first(spark, sf):
     arts = dedup.dedup_articles(S.page_articles(spark, sf))
-    return (arts.orderBy(F.desc("published_at"), F.asc("ord"))
-            .select("ord", ts_str("published_at").alias("published_at"), "link"))
+    return ranked(arts).select("pos", "ord", ts_str("published_at").alias("published_at"), "link")
+
+
+def ranked(arts: DataFrame) -> DataFrame:
+    """``pos`` 1, 2, ... newest first, then by arrival; no window over all rows."""
+    o = F.struct(-F.unix_micros("published_at"), F.col("ord"))
+    return U.assign_dense_ids(arts.withColumn("_o", o), "_o", 0, id_col="pos").drop("_o")
 
 
 @register("top_n_articles",
@@ -214,7 +219,11 @@ def q_content_attach(spark, sf):
     arts = arts.withColumn("image", F.when(F.col("ord") % 3 == 0, F.concat(
         F.lit("https://feed.example/i"), F.col("ord").cast("string"), F.lit(".jpg")))
         .when(F.col("ord") % 3 == 1, F.lit("")))
-    ex = content.extract_pages(S.page_fixture(spark, sf))
+    # every third page landed before, with other content: the newest landing counts
+    pages = S.page_fixture(spark, sf).withColumn("landed", F.lit(2))
+    earlier = (pages.where(F.col("page_id") % 3 == 0).withColumn("landed", F.lit(1))
+               .withColumn("html", F.lit("<article><p>an older landing of this page</p></article>")))
+    ex = content.extract_pages(pages.unionByName(earlier), landed_col="landed")
     return content.attach_content(arts, ex).select("ord", "image", "content", "content_extracted")
 
 
@@ -324,7 +333,7 @@ def q_sentiment_score(spark, sf):
 
 @register("sentiment_label",
           f"SELECT doc_id, round(positive - negative, 9) AS compound, {O.label_sql()} AS label FROM "
-          f"(SELECT doc_id, {O.lexicon_probs(O.doc_mention_texts_sql().split(' AS text')[0].split('title,')[-1].strip() if False else 'text')} "
+          f"(SELECT doc_id, {O.lexicon_probs('text')} "
           f"FROM ({O.doc_mention_texts_sql().replace('doc_id AS article_id', 'doc_id')}))")
 def q_sentiment_label(spark, sf):
     d = S.doc_mention_texts(spark, sf).withColumnRenamed("article_id", "doc_id")
@@ -502,10 +511,22 @@ ms AS (SELECT article_id, company_id,
 
 
 @register("upsert_mentions",
-          f"WITH {_mstore_cte()}\nSELECT article_id, company_id, round(sentiment_score, 9) AS sentiment_score, "
-          f"confidence_score, context_sentence, {O.fmt_ts('created_at')} AS created_at FROM ms")
+          f"WITH {_mstore_cte()},\nold AS (SELECT article_id, company_id, min(created_at) - INTERVAL 40 DAY AS created_at "
+          "FROM em WHERE article_id % 3 = 0 GROUP BY 1, 2)\n"
+          "SELECT article_id, company_id, round(sentiment_score, 9) AS sentiment_score, confidence_score, context_sentence, "
+          f"{O.fmt_ts('created_at')} AS created_at FROM (SELECT ms.* REPLACE (coalesce(old.created_at, ms.created_at) AS created_at) "
+          "FROM ms LEFT JOIN old USING (article_id, company_id) UNION ALL SELECT -1 - article_id, company_id, "
+          "0.25::DOUBLE, 0.5::DOUBLE, 'stored', created_at FROM old)")
 def q_upsert_mentions(spark, sf):
-    m = ST.mentions_store(spark, sf)
+    """The store holds mentions of a third of the articles, 40 days older, and some of
+    articles that the batch doesn't touch."""
+    em = S.event_mentions(spark, sf)
+    old = (em.where(F.col("article_id") % 3 == 0).groupBy("article_id", "company_id")
+           .agg((F.min("created_at") - F.expr("INTERVAL 40 DAYS")).alias("created_at"))
+           .select("article_id", "company_id", F.lit(0.25).alias("sentiment_score"), F.lit(0.5).alias("confidence_score"),
+                   F.lit("stored").alias("context_sentence"), "created_at"))
+    store = old.unionByName(old.withColumn("article_id", -1 - F.col("article_id")))
+    m = U.upsert_mentions(store, em)
     return m.select("article_id", "company_id", r9("sentiment_score").alias("sentiment_score"),
                     "confidence_score", "context_sentence", ts_str("created_at").alias("created_at"))
 
@@ -703,14 +724,12 @@ def _sitemap_sql() -> str:
              f"CASE WHEN page_id % 4 <> 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%SZ') END AS publication_date, "
              "CASE WHEN page_id % 3 = 0 THEN 'https://img.example/s' || page_id || '.jpg' END AS image_loc FROM pages")
     seg = f"split_part(regexp_replace({O.url_path('loc')}, '\\A/+|/+\\z', '', 'g'), '/', 1)"
-    pub = (f"CASE WHEN NOT (publication_date IS NULL OR {O.strip('publication_date')} = '') THEN "
-           f"coalesce({O.parse_date_sql('publication_date')}, {AS_OF_SQL}) END")
-    return f"""WITH it AS ({items}), srcs AS ({O.feed_sources_sql([SITEMAP_SOURCE])}),
-capped AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY feed_ord ORDER BY entry_ord) <= 50)
+    pub = "CASE WHEN entry_ord % 4 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + entry_ord * INTERVAL 1 HOUR END"
+    return f"""WITH it AS ({items}), srcs AS ({O.feed_sources_sql([SITEMAP_SOURCE])})
 SELECT CAST(c.feed_ord AS BIGINT) * 1000000000 + entry_ord AS ord, {title} AS title, loc AS link,
   s.name AS source, {O.fmt_ts(f'coalesce({pub}, {AS_OF_SQL})')} AS published_at, image_loc AS image,
   s.category AS category
-FROM capped c JOIN srcs s USING (feed_ord)
+FROM it c JOIN srcs s USING (feed_ord)
 WHERE loc IS NOT NULL AND loc <> '' AND NOT regexp_matches({seg}, '\\A\\p{{L}}{{2}}\\z') AND {title} <> ''"""
 
 
@@ -723,15 +742,22 @@ def q_url_lang_prefix(spark, sf):
 
 
 @register("resolve_redirects",
-          f"WITH a AS ({O.page_articles_sql()}), r AS (SELECT url AS l, 'https://decoded.example/' || page_id "
-          "AS decoded_url FROM pages WHERE page_id % 5 <> 4)\n"
-          "SELECT a.ord, coalesce(nullif(r.decoded_url, ''), a.link) AS link FROM a LEFT JOIN r ON a.link = r.l")
+          f"WITH a AS (SELECT ord, source, CASE WHEN ord % 2 = 0 THEN 'https://news.google.com/rss/' || link ELSE link END "
+          f"AS link FROM ({O.page_articles_sql()}))\n"
+          "SELECT ord, CASE WHEN ord % 2 = 0 AND ord % 5 <> 4 AND ord % 7 <> 0 THEN "
+          "'https://decoded.example/' || md5(link) ELSE link END AS link FROM a")
 def q_resolve_redirects(spark, sf):
-    p = S.table(spark, sf, "pages")
-    rmap = p.where(F.col("page_id") % 5 != 4).select(  # pages whose decoder succeeded
-        F.col("url").alias("link"), F.concat(F.lit("https://decoded.example/"), F.col("page_id").cast("string"))
-        .alias("decoded_url"))
-    return NZ.resolve_redirects(S.page_articles(spark, sf), rmap).select("ord", "link")
+    """Links of one host; the feeds of ord % 7 = 0 aren't that host's; ord % 5 = 4 weren't
+    decoded; other hosts' links have decodings that must not be used, and so have second ones."""
+    link = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("https://news.google.com/rss/"), "link")).otherwise(F.col("link"))
+    a = (S.page_articles(spark, sf).withColumn("link", link)
+         .withColumn("source", F.when(F.col("ord") % 7 == 0, F.lit("Other")).otherwise(F.lit("Aggregator"))))
+    rmap = a.where(F.col("ord") % 5 != 4).select("ord", "link", F.concat(
+        F.lit("https://decoded.example/"), F.md5(F.col("link").cast("binary"))).alias("decoded_url"))
+    later = rmap.select((F.col("ord") + 1_000_000_000).alias("ord"), "link", F.lit("https://a-later.example/").alias("decoded_url"))
+    srcs = D.add_feed_source(D.add_feed_source(D.feed_sources(spark), "Aggregator", "https://news.google.com/rss/x", "news"),
+                             "Other", "https://other.example/rss", "news")
+    return NZ.resolve_redirects(a, rmap.unionByName(later), srcs).select("ord", "link")
 
 
 def _feed_status_sql() -> str:
@@ -758,6 +784,27 @@ def q_run_result(spark, sf):
     return M.run_result(st).select("total_count", "sources_fetched", "sources_failed", "errors", "success")
 
 
+def _aggregate_flow_sql() -> str:
+    sm = _sitemap_sql()
+    both = (f"arts AS (SELECT ord, title, link, source, published_at, 1 AS k FROM feed_arts UNION ALL "
+            f"SELECT ord, title, link, source, CAST(published_at AS TIMESTAMP), 2 FROM ({sm}))")
+    head = f"WITH {O.normalized_sql().replace('arts AS (SELECT CAST(feed_ord', 'feed_arts AS (SELECT CAST(feed_ord')},\n{both}"
+    kept = O.greedy_keep_sql(O.dedup_keys_sql("SELECT * FROM arts", "ord"))
+    kept = kept.replace("WITH RECURSIVE", "", 1) if kept.lstrip().startswith("WITH RECURSIVE") else kept.replace("WITH", "", 1)
+    return (head.replace("WITH", "WITH RECURSIVE", 1) + "," + kept +
+            f"\nSELECT CAST(row_number() OVER (ORDER BY published_at DESC, ord) AS BIGINT) AS pos, ord, title, link, source, "
+            f"{O.fmt_ts('published_at')} AS published_at FROM arts JOIN kept USING (ord)")
+
+
+@register("aggregate_flow", _aggregate_flow_sql())
+def q_aggregate_flow(spark, sf):
+    """§3.1 over all rows: feed entries and sitemap items, D4, newest first with ranks."""
+    from .sync import collect_articles
+    srcs = D.add_feed_source(D.feed_sources(spark), *SITEMAP_SOURCE)
+    arts = collect_articles(FD.raw_items_from_pages(spark, sf), srcs, DEFAULT_AS_OF, FD.sitemap_items_from_pages(spark, sf))
+    return ranked(arts).select("pos", "ord", "title", "link", "source", ts_str("published_at").alias("published_at"))
+
+
 # -------------------------------------------------------------- snapshot / pending ----
 
 def _snap_sql_cols(cols: str) -> str:
@@ -929,6 +976,18 @@ def q_stream_daily_metrics(spark, sf):
     return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
 
 
+@register("stream_daily_metrics_late", _daily_sql(False))
+def q_stream_daily_metrics_late(spark, sf):
+    """R3 over two files, one micro-batch each: the later half of the month lands first."""
+    from ..streaming.ingest import daily_metrics_via_stream, scratch
+    e = S.table(spark, sf, "events")
+    root = scratch(spark, "late")
+    for n, part in enumerate((F.dayofmonth("ts") >= 16, F.dayofmonth("ts") < 16)):
+        e.where(part).coalesce(1).write.parquet(f"{root}/in/{n}")
+    t = daily_metrics_via_stream(spark, f"{root}/in/*", "*.parquet", S.events_to_mentions, files_per_trigger=1)
+    return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
 # ------------------------------------------------------------- sitemap / lookup / model --
 
 @register("sitemap_items",

@@ -26,10 +26,23 @@ from ..session import cut_lineage, ts_lit
 from ..sources import dims
 
 
+def collect_articles(entries: DataFrame, sources: DataFrame, as_of: datetime, sitemap: DataFrame | None = None,
+                     redirects: DataFrame | None = None, per_feed: int | None = None) -> DataFrame:
+    """§3.1, first half: feed entries and sitemap items normalized, aggregator links decoded,
+    united and deduplicated (D4). Nothing is capped unless ``per_feed`` is given."""
+    arts = normalize.normalize_entries(entries, sources, as_of, per_feed)
+    if redirects is not None:
+        arts = normalize.resolve_redirects(arts, redirects, sources)
+    if sitemap is not None:
+        arts = arts.unionByName(normalize.normalize_sitemap(sitemap, sources.where("is_sitemap"), as_of, per_feed))
+    return dedup.dedup_articles(arts)
+
+
 def aggregate_snapshot(entries: DataFrame, sources: DataFrame, as_of: datetime,
-                       cap: int = dims.MAX_TOTAL_ARTICLES) -> DataFrame:
-    """§3.1 without the network."""
-    arts = dedup.dedup_articles(normalize.normalize_entries(entries, sources, as_of))
+                       cap: int = dims.MAX_TOTAL_ARTICLES, sitemap: DataFrame | None = None,
+                       redirects: DataFrame | None = None, per_feed: int | None = dims.MAX_ARTICLES_PER_FEED) -> DataFrame:
+    """§3.1 without the network; ``cap`` and ``per_feed`` are the service's own limits."""
+    arts = collect_articles(entries, sources, as_of, sitemap, redirects, per_feed)
     top = arts.orderBy(F.desc("published_at"), F.asc("ord")).limit(cap)
     w = Window.orderBy(F.desc("published_at"), F.asc("ord"))  # over <= cap rows
     return (top.withColumn("pos", F.row_number().over(w).cast("long"))
@@ -47,15 +60,17 @@ class SyncResult:
 
 def sync_all(snapshot: DataFrame, pages: DataFrame, sources: DataFrame, articles: DataFrame,
              mention_store: DataFrame, metric_store: DataFrame, companies: DataFrame,
-             as_of: datetime, extract_limit: int = dims.EXTRACTION_BATCH,
+             as_of: datetime, extract_limit: int | None = None,
              scorer: scoring.Scorer | None = None) -> SyncResult:
     """§3.2. ``pages`` are the landed pages (url, html) of this run. Every step's
     result is checkpointed to the shared folder, as the service writes a table after
-    each step: plans stay small and a lost executor reruns one step only."""
+    each step: plans stay small and a lost executor reruns one step only. All landed pages
+    that are needed are extracted unless ``extract_limit`` says otherwise (the service's
+    limit paces its fetches)."""
     snapshot = cut_lineage(snapshot)
-    # 2-3: extract content for articles without stored content, first 60 in order
+    # 2-3: extract content for articles without stored content
     todo = content.needs_content(snapshot, articles, extract_limit)
-    pages_needed = pages.join(F.broadcast(todo.select(F.col("link").alias("url"))), "url", "left_semi")
+    pages_needed = pages.join(todo.select(F.col("link").alias("url")), "url", "left_semi")
     extracted = content.attach_content(todo.drop("pos"), content.extract_pages(pages_needed))
     snap = cut_lineage(U.replace_in_snapshot(snapshot, extracted))
     # 4: sources + articles upsert
@@ -77,10 +92,13 @@ def sync_all(snapshot: DataFrame, pages: DataFrame, sources: DataFrame, articles
                     .alias("context_sentence"), ts_lit(as_of).alias("created_at")))
     new_mentions = cut_lineage(U.upsert_mentions(mention_store, rows.select(
         "ord", *[c for c in mention_store.columns])))
-    # 8: metrics for the touched (day, company) pairs
-    touched = rows.select("company_id", F.to_date("created_at").alias("_d")).distinct()
-    scope = new_mentions.join(touched, (new_mentions["company_id"] == touched["company_id"])
-                              & (F.to_date(new_mentions["created_at"]) == touched["_d"]), "left_semi")
+    # 8: metrics for the touched (day, company) pairs; the day is that of the stored mention,
+    # which an upsert leaves where it was
+    batch_keys = rows.select("article_id", "company_id").distinct()
+    touched = (new_mentions.join(batch_keys, ["article_id", "company_id"], "left_semi")
+               .select("company_id", F.to_date("created_at").alias("_d")).distinct())
+    days = new_mentions.withColumn("_d", F.to_date("created_at"))
+    scope = days.join(touched, ["company_id", "_d"], "left_semi").drop("_d")
     new_metrics = U.upsert(metric_store, metrics.daily_metrics(scope), ["date", "company_id"])
     return SyncResult(snap, new_sources, new_articles, new_mentions, new_metrics)
 

@@ -129,6 +129,8 @@ BROWSER_REQUIRED_DOMAINS = ("reuters.com", "arstechnica.com")
 # Tag whose presence drops an entry.
 EXCLUDED_TAG = "top bm"
 
+AGGREGATOR_HOST = "news.google.com"  # links there are decoded to the article's own URL
+
 # Numeric defaults.
 MAX_ARTICLES_PER_FEED = 50
 MAX_TOTAL_ARTICLES = 200

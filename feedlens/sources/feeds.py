@@ -63,48 +63,105 @@ SITEMAP_XML_SCHEMA = T.StructType([
     T.StructField("news:news", T.StructType([
         T.StructField("news:title", T.StringType()),
         T.StructField("news:publication_date", T.StringType())])),
-    T.StructField("image:image", T.StructType([T.StructField("image:loc", T.StringType())])),
+    T.StructField("image:image", T.ArrayType(T.StructType([T.StructField("image:loc", T.StringType())]))),
+])
+
+# Atom <entry>; text constructs may carry attributes, so each is a struct with its value.
+_ATOM_TEXT = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_type", T.StringType())])
+ATOM_ENTRY_XML_SCHEMA = T.StructType([
+    T.StructField("title", _ATOM_TEXT),
+    T.StructField("link", T.ArrayType(T.StructType([
+        T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType()),
+        T.StructField("_type", T.StringType())]))),
+    T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()),
+    T.StructField("summary", _ATOM_TEXT),
+    T.StructField("content", _ATOM_TEXT),
+    T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", T.StringType())]))),
+    T.StructField("media:thumbnail", T.ArrayType(T.StructType([T.StructField("_url", T.StringType())]))),
+    T.StructField("media:content", T.ArrayType(T.StructType([
+        T.StructField("_url", T.StringType()), T.StructField("_medium", T.StringType()),
+        T.StructField("_type", T.StringType())]))),
 ])
 
 
 def _positions(df: DataFrame) -> DataFrame:
-    """file path + position of each row inside its file (scan order)."""
-    # a file split over several tasks: block start orders the splits, the id orders rows
-    # inside one split (it grows with the row position within a task)
-    df = (df.withColumn("_file", F.col("_metadata.file_path"))
-          .withColumn("_blk", F.col("_metadata.file_block_start"))
-          .withColumn("_mid", F.monotonically_increasing_id()))
-    w = Window.partitionBy("_file").orderBy("_blk", "_mid")
-    return df.withColumn("entry_ord", (F.row_number().over(w) - 1).cast("long")).drop("_mid", "_blk")
+    """file path + position of each row inside its file (scan order).
+
+    Rows are numbered inside their (file, block); the rows of the blocks before are added
+    from a table with one row per block, so a large file isn't sorted in one task. The id
+    grows with the row inside a task, and a block is read by one task."""
+    from ..session import cut_lineage
+    df = cut_lineage(df.withColumn("_file", F.col("_metadata.file_path"))
+                     .withColumn("_blk", F.col("_metadata.file_block_start"))
+                     .withColumn("_mid", F.monotonically_increasing_id()))
+    before = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (df.groupBy("_file", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_file", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    here = Window.partitionBy("_file", "_blk").orderBy("_mid")
+    return (df.join(blocks, ["_file", "_blk"])
+            .withColumn("entry_ord", (F.col("_before") + F.row_number().over(here) - 1).cast("long"))
+            .drop("_mid", "_blk", "_before"))
+
+
+def _with_feed_ord(x: DataFrame, feed_files: DataFrame | None) -> DataFrame:
+    """Joins the feed of each file; by default files sorted by name are feeds 0, 1, ..."""
+    if feed_files is None:
+        from ..operators.upsert import assign_dense_ids
+        feed_files = (assign_dense_ids(x.select("_file").distinct(), "_file", -1, id_col="feed_ord")
+                      .select("_file", F.col("feed_ord").cast("int")))
+    return x.join(feed_files, "_file")  # AQE broadcasts it when the file list is small
+
+
+def _media(x: DataFrame) -> list:
+    return [F.transform("`media:thumbnail`", lambda m: F.struct(m["_url"].alias("url"))).alias("media_thumbnail"),
+            F.transform("`media:content`", lambda m: F.struct(m["_url"].alias("url"), m["_medium"].alias("medium"),
+                                                             m["_type"].alias("type"))).alias("media_content")]
 
 
 def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
-    """Landed RSS files -> raw entries. ``feed_files`` maps file name -> feed_ord
-    (default: files sorted by name get feed_ord 0, 1, ...)."""
+    """Landed RSS files -> raw entries. ``feed_files`` maps file path -> feed_ord."""
     x = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
          .schema(RSS_ITEM_XML_SCHEMA).load(path))
-    x = _positions(x)
-    if feed_files is None:
-        from ..operators.upsert import assign_dense_ids
-        files = x.select("_file").distinct()
-        feed_files = (assign_dense_ids(files, "_file", -1, id_col="feed_ord")
-                      .select("_file", F.col("feed_ord").cast("int")))
-    x = x.join(feed_files, "_file")  # AQE broadcasts it when the file list is small
+    x = _with_feed_ord(_positions(x), feed_files)
     content = F.when(F.col("`content:encoded`").isNotNull(),
                      F.array(F.struct(F.col("`content:encoded`").alias("value"))))
     return x.select(
         "feed_ord", "entry_ord", "title", "link", "published", "pubDate", "updated",
         F.lit(None).cast("string").alias("created"), "summary", "description", content.alias("content"),
-        F.transform("category", lambda c: F.struct(c.alias("term"))).alias("tags"),
-        F.transform("`media:thumbnail`", lambda m: F.struct(m["_url"].alias("url"))).alias("media_thumbnail"),
-        F.transform("`media:content`", lambda m: F.struct(m["_url"].alias("url"), m["_medium"].alias("medium"),
-                                                         m["_type"].alias("type"))).alias("media_content"),
+        F.transform("category", lambda c: F.struct(c.alias("term"))).alias("tags"), *_media(x),
         F.transform("enclosure", lambda e: F.struct(F.lit(None).cast("string").alias("href"),
                                                     e["_url"].alias("url"), e["_type"].alias("type")))
         .alias("enclosures"),
         F.lit(None).cast("struct<href:string,url:string>").alias("image"))
 
 
+def read_atom(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
+    """Landed Atom files -> raw entries in the same shape. The link is the alternate one
+    (no ``rel`` means alternate), else the first; links with rel ``enclosure`` are
+    enclosures. An entry without ``published`` is dated by ``updated``."""
+    x = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
+         .schema(ATOM_ENTRY_XML_SCHEMA).load(path))
+    x = _with_feed_ord(_positions(x), feed_files)
+    usual = F.filter("link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    text = F.col("content._VALUE")
+    return x.select(
+        "feed_ord", "entry_ord", F.col("title._VALUE").alias("title"),
+        F.coalesce(F.get(usual, 0)["_href"], F.get("link", 0)["_href"]).alias("link"), "published",
+        F.lit(None).cast("string").alias("pubDate"), "updated", F.lit(None).cast("string").alias("created"),
+        F.col("summary._VALUE").alias("summary"), F.lit(None).cast("string").alias("description"),
+        F.when(text.isNotNull(), F.array(F.struct(text.alias("value")))).alias("content"),
+        F.transform("category", lambda c: F.struct(c["_term"].alias("term"))).alias("tags"), *_media(x),
+        F.transform(F.filter("link", lambda k: k["_rel"] == "enclosure"), lambda k: F.struct(
+            k["_href"].alias("href"), F.lit(None).cast("string").alias("url"), k["_type"].alias("type"))).alias("enclosures"),
+        F.lit(None).cast("struct<href:string,url:string>").alias("image"))
+
+
+def read_feeds(spark: SparkSession, path: str, feed_files: DataFrame) -> DataFrame:
+    """RSS and Atom files together: a file's entries are found by whichever form it has."""
+    return read_rss(spark, path, feed_files).unionByName(read_atom(spark, path, feed_files))
+
+
 def read_sitemap(spark: SparkSession, path: str, feed_ord: int) -> DataFrame:
     """Landed news-sitemap files -> sitemap entries (loc, title, date, image)."""
     x = (spark.read.format("xml").option("rowTag", "url").schema(SITEMAP_XML_SCHEMA).load(path))
@@ -112,15 +169,11 @@ def read_sitemap(spark: SparkSession, path: str, feed_ord: int) -> DataFrame:
     return x.select(F.lit(feed_ord).cast("int").alias("feed_ord"), "entry_ord", "loc",
                     F.col("`news:news`.`news:title`").alias("title"),
                     F.col("`news:news`.`news:publication_date`").alias("publication_date"),
-                    F.col("`image:image`.`image:loc`").alias("image_loc"))
+                    F.get(F.col("`image:image`"), 0)["image:loc"].alias("image_loc"))
 
 
 # --- raw entries derived from the driver's pages table -----------------------------------
 
-def _rfc822(ts) -> F.Column:
-    return F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
-
-
 def raw_items_from_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One raw feed entry per page, spread over the first 4 configured feeds (the other
     six deliver nothing, like failed fetches), exercising every branch of entry
@@ -132,7 +185,13 @@ def raw_items_from_pages(spark: SparkSession, sf: str) -> DataFrame:
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     body = F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)
     m6 = pid % 6
-    published = (F.when(m6 == 0, _rfc822(ts))
+    form = F.floor(pid / 6) % 8
+    forms = ["EEE, dd MMM yyyy HH:mm:ss '+0000'", "EEE, dd MMM yyyy HH:mm:ss 'EST'", "dd MMM yyyy HH:mm '+0100'",
+             "EEEE, dd MMMM yyyy HH:mm:ss 'GMT'", "EEE, dd MMM yy HH:mm:ss '+0000'", "EEE, dd MMM yyyy HH:mm:ss '+00:00'",
+             "MMM d, yyyy HH:mm", "yyyy/MM/dd HH:mm:ss"]
+    by_form = F.coalesce(*[F.when(form == i, F.date_format(ts, f)) for i, f in enumerate(forms)])
+    published = (F.when(m6 == 0, by_form)
+                 .when((m6 == 1) & (F.floor(pid / 6) % 2 == 1), F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"))
                  .when(m6 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
                  .when(m6 == 2, F.concat(F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"),
                                          F.lit("+02:00")))

@@ -12,25 +12,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-class VersionedTable:
-    """A parquet table kept as versions v=0,1,2,...; readers take the newest."""
+class _Versions:
+    """Folders v=0,1,2,... of one table; complete ones hold ``_SUCCESS``."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
+    def _fs(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(conf)
+        p, fs = self._fs()
         if not fs.exists(p):
             return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+        names = [st.getPath() for st in fs.listStatus(p)]
+        return sorted(int(n.getName()[2:]) for n in names
+                      if n.getName().startswith("v=") and fs.exists(Path(n, "_SUCCESS")))
+
+    def write(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+
+
+class AppendTable(_Versions):
+    """A parquet table that only grows: version n holds the rows added by batch n."""
+
+    def read(self, before: int | None = None) -> DataFrame:
+        vs = [f"{self.path}/v={v}" for v in self._versions() if before is None or v < before]
+        return self.spark.read.schema(self.schema).parquet(*vs) if vs else self.spark.createDataFrame([], self.schema)
+
+    def append(self, df: DataFrame, version: int) -> None:
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        self.write(df.select(*names), version)
+
+
+class VersionedTable(_Versions):
+    """A parquet table kept as versions; readers take the newest. ``keep`` versions stay (the
+    newest ones; at least two, as a retried batch starts from the one before)."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 3):
+        super().__init__(spark, path, schema)
+        self.keep = max(2, keep)
 
     def latest(self, before: int | None = None) -> DataFrame:
         vs = [v for v in self._versions() if before is None or v < before]
@@ -39,7 +62,10 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={vs[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        super().write(df, version)
+        for old in self._versions()[:-self.keep]:
+            p, fs = self._fs()
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, f"v={old}"), True)
 
     def append_version(self, df: DataFrame) -> int:
         """Write ``df`` as the next version; returns the version number."""

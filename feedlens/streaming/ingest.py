@@ -2,25 +2,27 @@
 
 The service polls its feeds every few minutes; here landed files are a file-source
 stream processed with ``trigger(availableNow=True)`` (or a processing-time trigger
-in production). Tables are versioned parquet folders: micro-batch ``n`` writes
-``<table>/v=<n>`` from the previous version and its input, so a retried batch
-rewrites the same version (idempotent) and a lost executor only reruns tasks.
+in production). The article table only grows: micro-batch ``n`` writes its new rows to
+``<table>/v=<n>``. Small tables that change (metric sums, mentions) are versioned folders:
+micro-batch ``n`` writes ``v=<n>`` from the version before and its input. Either way a
+retried batch rewrites its own folder (idempotent) and a lost executor only reruns tasks.
 Checkpoints and tables live under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_url
-from ..operators import dedup, reads
+from ..operators import dedup, normalize, reads
 from ..operators import upsert as U
 from ..session import checkpoint_dir
-from ..sources.sinks import VersionedTable
+from ..sources import feeds
+from ..sources.sinks import AppendTable, VersionedTable
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,106 +37,147 @@ def _run(writer, once: bool = True):
     return q
 
 
-def stream_articles(spark: SparkSession, source_dir: str, schema, table: VersionedTable, checkpoint: str,
-                    once: bool = True):
-    """R1+R2: landed article files -> snapshot table; each micro-batch is merged with
-    the current table, existing rows first, and deduplicated on both keys (D5)."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
+def stream_articles(spark: SparkSession, source_dir: str, schema, table: AppendTable, checkpoint: str,
+                    once: bool = True, files_per_trigger: int | None = None):
+    """R1+R2: landed article files -> article table. The table is clean already, so a
+    micro-batch is deduplicated against its two stored keys (D5: existing rows first) and only
+    the kept new rows are appended. They get ``ord`` after all stored ones, in the batch's
+    order, so the table keeps one order over all batches; ``batch_ord`` is their own."""
+    src = spark.readStream.schema(schema)
+    if files_per_trigger:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        cur = table.latest(before=epoch)
-        merged = dedup.merge_and_dedup(cur.drop("batch_ord") if "batch_ord" in cur.columns else cur, df)
-        table.write(merged.drop("batch_ord"), epoch)
+        cur = table.read(before=epoch)
+        last = cur.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+        new = dedup.dedup_against(cur, df)
+        numbered = U.assign_dense_ids(new.withColumnRenamed("ord", "batch_ord"), "batch_ord", int(last), id_col="ord")
+        table.append(numbered, epoch)
 
-    return _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
+    return _run(src.parquet(source_dir).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
+
+
+def stream_xml_articles(spark: SparkSession, source_dir: str, sources: DataFrame, table: AppendTable, checkpoint: str,
+                        as_of: datetime, feed_of=None, once: bool = True):
+    """R1 for feeds: landed RSS and Atom files are picked up as they come (a stream of their
+    paths), read as XML, normalized and appended like ``stream_articles``. ``feed_of`` maps a
+    path column to feed_ord (default: digits at the end of the file's name)."""
+    feed_of = feed_of or (lambda path: F.regexp_extract(path, r"([0-9]+)\.[a-z]+\z", 1).cast("int"))
+    names = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary")
+             .format("binaryFile").option("pathGlobFilter", "*.xml").load(source_dir).select("path"))  # only paths: the content column is pruned from the scan
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        files = df.select(F.col("path").alias("_file"), feed_of(F.col("path")).alias("feed_ord"))
+        paths = [r[0] for r in files.select("_file").collect()]  # the files of one micro-batch
+        if not paths:
+            return
+        entries = feeds.read_feeds(spark, paths, files)
+        arts = normalize.normalize_entries(entries, sources, as_of)
+        cur = table.read(before=epoch)
+        last = cur.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+        new = dedup.dedup_against(cur, arts)
+        table.append(U.assign_dense_ids(new.withColumnRenamed("ord", "batch_ord"), "batch_ord", int(last), id_col="ord"), epoch)
+
+    return _run(names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
 
 
 def stream_url_dedup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """R2, bounded-state form: drop repeats of a URL key seen within the watermark."""
+    """R2, bounded-state form: drop repeats of a URL key seen within the watermark. Rows that
+    come later than ``delay`` are not compared; use ``stream_articles`` where none may be lost."""
     return (stream.withColumn("url_key", normalize_url("link"))
             .withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["url_key"]))
 
 
-def _file_stream(spark: SparkSession, source: str, schema, glob: str | None = None) -> DataFrame:
+def _file_stream(spark: SparkSession, source: str, schema, glob: str | None = None,
+                 files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.parquet(source)
 
 
+SUMS = "date string, company_id long, sentiment_sum double, scored long, article_volume long"
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """The daily metrics that a table of additive sums stands for."""
+    return sums.select("date", "company_id", F.when(F.col("scored") > 0, F.col("sentiment_sum") / F.col("scored"))
+                       .alias("avg_sentiment"), "article_volume")
+
+
 def stream_daily_metrics(spark: SparkSession, source: str, schema, table: VersionedTable, checkpoint: str,
-                         to_mentions=None, once: bool = True, delay: str = "1 day", glob: str | None = None):
-    """Per (UTC day, company) metrics from a mention stream: event-time windows of
-    one day with a watermark; each trigger's updated windows are upserted (U6) into
-    the metrics table, so the table equals the batch result once the input is read."""
-    s = _file_stream(spark, source, schema, glob)
+                         to_mentions=None, once: bool = True, glob: str | None = None,
+                         files_per_trigger: int | None = None):
+    """Per (UTC day, company) metrics from a mention stream. A micro-batch is summed per
+    day and company and added to the stored sums (``SUMS``), so a file that lands late, however
+    old its days, counts like any other; nothing waits for a watermark."""
+    s = _file_stream(spark, source, schema, glob, files_per_trigger)
     if to_mentions is not None:
         s = to_mentions(s)
-    agg = (s.withWatermark("created_at", delay)
-           .groupBy(F.window("created_at", "1 day").alias("w"), "company_id")
-           .agg(F.sum("sentiment_score").alias("_sum"), F.count(F.lit(1)).alias("article_volume")))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        upd = df.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("date"), "company_id",
-                        (F.col("_sum") / F.col("article_volume")).alias("avg_sentiment"), "article_volume")
-        table.write(U.upsert(table.latest(before=epoch), upd, ["date", "company_id"]), epoch)
-
-    writer = agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return _run(writer, once)
+        new = (df.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("date"), "company_id")
+               .agg(F.coalesce(F.sum("sentiment_score"), F.lit(0.0)).alias("sentiment_sum"),
+                    F.count("sentiment_score").alias("scored"), F.count(F.lit(1)).alias("article_volume")))
+        both = table.latest(before=epoch).unionByName(new)
+        table.write(both.groupBy("date", "company_id").agg(*[F.sum(c).alias(c) for c in ("sentiment_sum", "scored", "article_volume")]), epoch)
 
+    return _run(s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
 
-def stream_company_mentions(spark: SparkSession, source_dir: str, schema, table: VersionedTable,
-                            checkpoint: str, analyze, once: bool = True):
-    """Articles arriving on the stream are analysed (T16) and their mentions
-    upserted (D7 + U5); an article is analysed when it arrives, never again."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
 
+def stream_mentions(texts: DataFrame, table: VersionedTable, checkpoint: str, to_rows, once: bool = True):
+    """Texts arriving on a stream are analysed (``to_rows``: texts -> mention rows with
+    ``ord``) and their mentions folded and upserted (D7 + U5), micro-batch by micro-batch; an
+    article is analysed when it arrives, never again."""
     def batch(df: DataFrame, epoch: int) -> None:
-        found = analyze(df)
-        table.write(U.upsert_mentions(table.latest(before=epoch), found), epoch)
+        table.write(U.upsert_mentions(table.latest(before=epoch), to_rows(df)), epoch)
 
-    return _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
+    return _run(texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
+
+
+def stream_company_mentions(spark: SparkSession, source_dir: str, schema, table: VersionedTable,
+                            checkpoint: str, analyze, once: bool = True):
+    """R4 over landed article files."""
+    return stream_mentions(_file_stream(spark, source_dir, schema), table, checkpoint, analyze, once)
 
 
 def stream_retention(spark: SparkSession, source_dir: str, schema, table: VersionedTable, checkpoint: str,
-                     days: int, as_of: datetime, once: bool = True):
-    """Each micro-batch appends its articles and applies the retention rule."""
+                     days: int, as_of=None, once: bool = True):
+    """Each micro-batch adds its articles and applies the retention rule (F7). ``as_of`` is a
+    function that gives the run's "now" (default: the clock), asked at every micro-batch."""
+    as_of = as_of or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
     src = spark.readStream.schema(schema).parquet(source_dir)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        kept, _ = reads.retention(table.latest(before=epoch).unionByName(df), days, as_of)
+        kept, _ = reads.retention(table.latest(before=epoch).unionByName(df), days, as_of())
         table.write(kept, epoch)
 
     return _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
 
 
-def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, to_mentions) -> DataFrame:
-    """Run R3 over landed event files to completion and return the metrics table."""
+def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, to_mentions,
+                             files_per_trigger: int | None = None) -> DataFrame:
+    """Run R3 over landed event files to completion and return the metrics."""
     root = scratch(spark, "metrics")
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(landing_dir).schema
-    t = VersionedTable(spark, f"{root}/table", "date string, company_id long, avg_sentiment double, "
-                                              "article_volume long")
+    t = VersionedTable(spark, f"{root}/table", SUMS)
     stream_daily_metrics(spark, landing_dir, schema, t, f"{root}/_checkpoint", to_mentions=to_mentions,
-                         glob=file_glob)
-    return t.latest()
-
-
-__all__ = ["VersionedTable", "stream_articles", "stream_url_dedup", "stream_daily_metrics",
-           "stream_company_mentions", "stream_retention", "daily_metrics_via_stream"]
+                         glob=file_glob, files_per_trigger=files_per_trigger)
+    return metrics_of(t.latest())
 
 
 def mentions_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, to_texts, to_rows) -> DataFrame:
-    """Run R4 over landed document files to completion and return the mention table:
-    each micro-batch is analysed (``to_rows``: texts -> mention rows with ``ord``) and
-    folded/upserted into the table."""
+    """Run R4 over landed document files to completion and return the mention table."""
     root = scratch(spark, "mentions")
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(landing_dir).schema
     t = VersionedTable(spark, f"{root}/table", "article_id long, company_id long, sentiment_score double, "
                                               "confidence_score double, context_sentence string")
-    src = to_texts(_file_stream(spark, landing_dir, schema, file_glob))
+    stream_mentions(to_texts(_file_stream(spark, landing_dir, schema, file_glob)), t, f"{root}/_checkpoint", to_rows)
+    return t.latest()
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        t.write(U.upsert_mentions(t.latest(before=epoch), to_rows(df)), epoch)
 
-    _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/_checkpoint"))
-    return t.latest()
+__all__ = ["AppendTable", "VersionedTable", "stream_articles", "stream_xml_articles", "stream_url_dedup",
+           "stream_daily_metrics", "metrics_of", "SUMS", "stream_mentions", "stream_company_mentions",
+           "stream_retention", "daily_metrics_via_stream", "mentions_via_stream"]

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -26,17 +27,20 @@ def test_fingerprint_is_md5_of_url_key(spark):
     assert df.select(X.fingerprint("u")).first()[0] == hashlib.md5(b"https://ex.com/x/").hexdigest()
 
 
-def _py_greedy(items):
-    seen_u, seen_t, kept = set(), set(), []
-    for o, title, link, src in items:
-        u = link.strip().lower().rstrip("/").split("?")[0].split("#")[0]
-        t = (" ".join(title.lower().split()), src.lower())
-        if u in seen_u or t in seen_t:
-            continue
-        seen_u.add(u)
-        seen_t.add(t)
-        kept.append(o)
-    return kept
+def check_greedy(items, kept):
+    """The greedy choice is the one set of rows without a shared key in which every row left
+    out shares a key with an earlier row of the set. items: (order, title, url, source)."""
+    def keys(item):
+        _, title, url, source = item
+        return {("url", url.lower().rstrip("/")), ("title", " ".join(title.lower().split()), source.lower())}
+    taken = {}
+    for item in items:
+        if item[0] in kept:
+            assert not keys(item) & taken.keys()
+            taken |= dict.fromkeys(keys(item), item[0])
+        else:
+            assert any(taken.get(k) in kept for k in keys(item)), item
+    assert set(kept) <= {i[0] for i in items}
 
 
 def test_exact_url_duplicate_first_wins(spark):
@@ -67,8 +71,7 @@ def test_greedy_matches_sequential_scan_on_random_chains(spark):
     items = [(i, f"t{rnd.randint(0, 12)}", f"https://u/{rnd.randint(0, 12)}", rnd.choice(["a", "b"]))
              for i in range(120)]
     a = make_articles(spark, items)
-    got = sorted(r[0] for r in rows(dedup.dedup_articles(a), "ord"))
-    assert got == _py_greedy(items)
+    check_greedy(items, [r[0] for r in rows(dedup.dedup_articles(a), "ord")])
 
 
 def test_merge_keeps_existing_first(spark):
@@ -87,34 +90,33 @@ def test_mention_dedup_highest_confidence_first_on_ties(spark):
     assert out == [("MSFT", 5, 5), ("NVDA", 50, 10), ("NVDA", 70, 70)]
 
 
-def _py_fold(ms):
-    kept = {}
-    for m in ms:
-        k = (m["article_id"], m["company_id"])
-        if k not in kept:
-            kept[k] = dict(m)
-        elif m["confidence_score"] > kept[k]["confidence_score"]:
-            n = dict(m)
-            n["sentiment_score"] = (kept[k]["sentiment_score"] + m["sentiment_score"]) / 2
-            kept[k] = n
-    return kept
+MENTION = "ord long, article_id long, company_id long, sentiment_score double, confidence_score double, context_sentence string"
 
 
-def test_fold_matches_sequential_fold_with_small_buckets(spark):
+def test_fold_of_one_pair(spark):
+    # 0.5 replaces 0.1: (1 + 0) / 2; 0.3 and the equal 0.5 don't count; 0.9 replaces: (0.5 + 0.7) / 2
+    rows_ = [(0, 1, 1, 1.0, 0.1, "a"), (1, 1, 1, 0.0, 0.5, "b"), (2, 1, 1, 9.0, 0.3, "c"), (3, 1, 1, 9.0, 0.5, "d"),
+             (4, 1, 1, 0.7, 0.9, "e"), (5, 1, 2, -0.2, 0.4, "f")]
+    df = spark.createDataFrame(rows_, MENTION)
+    for bucket in (1, 2, 1 << 16):
+        got = {r.company_id: r for r in dedup.fold_mentions(df, bucket_rows=bucket).collect()}
+        assert abs(got[1].sentiment_score - 0.6) < 1e-12 and got[1].context_sentence == "e" and got[1].replacements == 2
+        assert (got[2].sentiment_score, got[2].context_sentence, got[2].replacements) == (-0.2, "f", 0)
+
+
+def test_fold_does_not_depend_on_buckets(spark):
     rnd = random.Random(3)
-    ms = [{"ord": i, "article_id": rnd.randint(0, 3), "company_id": 1 + rnd.randint(0, 1),
-           "sentiment_score": rnd.uniform(-1, 1), "confidence_score": round(rnd.uniform(0, 1), 2),
-           "context_sentence": f"c{i}"} for i in range(300)]
-    df = spark.createDataFrame(ms).select("ord", "article_id", "company_id", "sentiment_score",
-                                          "confidence_score", "context_sentence")
-    # a tiny bucket size forces the cross-bucket path (hot keys split over many tasks)
-    got = {(r.article_id, r.company_id): r for r in dedup.fold_mentions(df, bucket_rows=7).collect()}
-    want = _py_fold(ms)
-    assert set(got) == set(want)
-    for k, w in want.items():
-        assert abs(got[k].sentiment_score - w["sentiment_score"]) < 1e-12
-        assert got[k].confidence_score == w["confidence_score"]
-        assert got[k].context_sentence == w["context_sentence"]
+    ms = [(i, rnd.randint(0, 3), 1 + rnd.randint(0, 1), rnd.uniform(-1, 1), round(rnd.uniform(0, 1), 2), f"c{i}") for i in range(300)]
+    df = spark.createDataFrame(ms, MENTION)
+    by_size = [{(r.article_id, r.company_id): r for r in dedup.fold_mentions(df, bucket_rows=n).collect()} for n in (1, 7, 1 << 16)]
+    for key, r in by_size[0].items():
+        own = [m for m in ms if (m[1], m[2]) == key]
+        best = max(m[4] for m in own)
+        peaks = list(itertools.accumulate((m[4] for m in own), max))
+        assert r.confidence_score == best and r.context_sentence == next(m[5] for m in own if m[4] == best)
+        assert r.replacements == len(set(peaks)) - 1
+        assert all(abs(other[key].sentiment_score - r.sentiment_score) < 1e-12 for other in by_size)
+    assert len(by_size[0]) == len({(m[1], m[2]) for m in ms})
 
 
 def test_dedup_uses_shared_checkpoint_dir(spark):
@@ -123,12 +125,14 @@ def test_dedup_uses_shared_checkpoint_dir(spark):
     assert F is not None
 
 
-def test_merge_matches_sequential_scan_on_random_batches(spark):
+def test_merge_is_greedy_with_existing_rows_first(spark):
     rnd = random.Random(13)
-    old = [(i, f"t{rnd.randint(0, 9)}", f"https://u/{rnd.randint(0, 9)}", rnd.choice(["a", "b"])) for i in range(40)]
-    old_kept = [o for o in old if o[0] in set(_py_greedy(old))]
-    new = [(i, f"t{rnd.randint(0, 9)}", f"https://u/{rnd.randint(0, 9)}/", rnd.choice(["A", "b"])) for i in range(60)]
-    want = _py_greedy([(("e", o[0]),) + o[1:] for o in old_kept] + [(("n", n[0]),) + n[1:] for n in new])
-    out = dedup.merge_and_dedup(make_articles(spark, old_kept), make_articles(spark, new))
-    got = sorted(("e" if r.batch_ord == 0 else "n", r.ord) for r in out.collect())
-    assert got == sorted(want)
+    made = lambda n, tail: [(i, f"t{rnd.randint(0, 9)}", f"https://u/{rnd.randint(0, 9)}{tail}", rnd.choice(["a", "B"])) for i in range(n)]
+    first, new = made(40, ""), made(60, "/")
+    clean = [r[0] for r in rows(dedup.dedup_articles(make_articles(spark, first)), "ord")]
+    old = [x for x in first if x[0] in clean]
+    every = [(x[0] - 1000, *x[1:]) for x in old] + new
+    out = dedup.merge_and_dedup(make_articles(spark, old), make_articles(spark, new)).collect()
+    check_greedy(every, [r.ord - 1000 if r.batch_ord == 0 else r.ord for r in out])
+    added = dedup.dedup_against(make_articles(spark, old), make_articles(spark, new)).collect()
+    assert sorted(r.ord for r in added) == sorted(r.ord for r in out if r.batch_ord == 1)

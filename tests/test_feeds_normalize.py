@@ -58,11 +58,72 @@ def test_sitemap_scan_and_normalize(spark, tmp_path):
 
 
 def test_date_formats(spark):
-    df = spark.createDataFrame([("Tue, 02 Jan 2024 03:00:00 GMT",), ("02 Jan 2024 03:00:00 -0100",),
-                                ("2024-01-02T05:00:00+02:00",), ("2024-01-02",), ("nope",), (None,)], "d string")
-    got = [r[0] for r in df.select(NZ.parse_date("d")).collect()]
-    assert got == [datetime(2024, 1, 2, 3), datetime(2024, 1, 2, 4), datetime(2024, 1, 2, 3),
-                   datetime(2024, 1, 2), None, None]
+    cases = {
+        "Tue, 02 Jan 2024 03:00:00 GMT": datetime(2024, 1, 2, 3), "02 Jan 2024 03:00:00 -0100": datetime(2024, 1, 2, 4),
+        "2024-01-02T05:00:00+02:00": datetime(2024, 1, 2, 3), "2024-01-02": datetime(2024, 1, 2), "nope": None, None: None,
+        "Tue, 02 Jan 2024 03:00:00 EST": datetime(2024, 1, 2, 3), "Tue, 02 Jan 2024 03:00 +0100": datetime(2024, 1, 2, 2),
+        "Tuesday, 02 January 2024 03:00:00 GMT": datetime(2024, 1, 2, 3), "Tue, 02 Jan 24 03:00:00 +0000": datetime(2024, 1, 2, 3),
+        "Tue, 02 Jan 2024 03:00:00 +05:30": datetime(2024, 1, 1, 21, 30), "Jan 2, 2024 03:00": datetime(2024, 1, 2, 3),
+        "2024/01/02 03:00:00": datetime(2024, 1, 2, 3), "20240102T030000Z": datetime(2024, 1, 2, 3),
+        " 2024-01-02 03:04:05.678 ": datetime(2024, 1, 2, 3, 4, 5, 678000), "2 Sept 1999 23:59:59 Z": datetime(1999, 9, 2, 23, 59, 59),
+        "31 Feb 2024 00:00:00 GMT": None, "02 Foo 2024 03:00:00 GMT": None, "Mon, 5 Feb 74 01:02:03 UT": datetime(1974, 2, 5, 1, 2, 3),
+        "": None, "2024-13-02": None, "December 31, 2023": datetime(2023, 12, 31),
+    }
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(cases)], "i int, d string")
+    got = [r[1] for r in sorted(df.select("i", NZ.parse_date("d")).collect())]
+    assert got == list(cases.values())
+
+
+ATOM = """<?xml version="1.0"?>
+<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/"><title>T</title>
+<entry><title type="html">One</title><link rel="self" href="https://a.com/self"/><link href="https://a.com/1"/>
+<published>2024-01-03T04:00:00Z</published><updated>2024-01-09T04:00:00Z</updated>
+<summary type="html">&lt;b&gt;Short&lt;/b&gt; text</summary><category term="Tech"/>
+<link rel="enclosure" href="https://img/x.png" type="image/png"/></entry>
+<entry><title>Two</title><link rel="alternate" href="https://a.com/2"/><updated>2024-01-04T00:00:00+01:00</updated>
+<content type="html">&lt;p&gt;Body&lt;/p&gt;</content></entry>
+</feed>"""
+
+
+def test_atom_scan_and_normalize(spark, tmp_path):
+    (tmp_path / "feed0.xml").write_text(ATOM)
+    raw = FD.read_atom(spark, str(tmp_path / "feed0.xml"))
+    one, two = NZ.normalize_entries(raw, dims.feed_sources(spark), AS_OF).orderBy("ord").collect()
+    assert (one.title, one.link, one.description, one.category, one.image) == (
+        "One", "https://a.com/1", "Short text", "technology", "https://img/x.png")
+    assert one.published_at == datetime(2024, 1, 3, 4) and two.published_at == datetime(2024, 1, 3, 23)
+    assert (two.title, two.link, two.description) == ("Two", "https://a.com/2", "Body")
+
+
+def test_positions_over_many_blocks(spark, tmp_path):
+    items = "".join(f"<item><title>t{i}</title><link>https://x/{i}</link></item>\n" for i in range(3000))
+    (tmp_path / "feed0.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+    (tmp_path / "feed1.xml").write_text("<rss><channel><item><title>u0</title><link>l</link></item></channel></rss>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = FD.read_rss(spark, f"{tmp_path}/*.xml")
+        got = sorted((r.feed_ord, r.entry_ord, r.title) for r in raw.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(0, i, f"t{i}") for i in range(3000)] + [(1, 0, "u0")]
+
+
+def test_first_sitemap_image(spark, tmp_path):
+    (tmp_path / "s.xml").write_text(SITEMAP.replace("</image:image></url>", "</image:image><image:image>"
+                                                    "<image:loc>https://r.com/second.jpg</image:loc></image:image></url>"))
+    got = FD.read_sitemap(spark, str(tmp_path / "s.xml"), feed_ord=10).orderBy("entry_ord").first()
+    assert got.image_loc == "https://r.com/i.jpg"
+
+
+def test_entries_are_capped_only_on_request(spark):
+    rows = [(0, i, f"t{i}", f"https://x/{i}") for i in range(60)]
+    df = FD.raw_items_from_pages(spark, "/root/testdata/sf0.001").limit(0)
+    have = spark.createDataFrame(rows, "feed_ord int, entry_ord long, title string, link string")
+    df = df.unionByName(have, allowMissingColumns=True)
+    srcs = dims.feed_sources(spark)
+    assert NZ.normalize_entries(df, srcs, AS_OF).count() == 60
+    assert NZ.normalize_entries(df, srcs, AS_OF, per_feed=50).count() == 50
 
 
 def test_feed_cap_before_validation(spark):
@@ -73,6 +134,11 @@ def test_feed_cap_before_validation(spark):
 
 
 def test_redirects(spark):
-    a = spark.createDataFrame([(1, "https://news.google.com/x"), (2, "https://y")], "ord long, link string")
-    m = spark.createDataFrame([("https://news.google.com/x", "https://real/x")], "link string, decoded_url string")
-    assert sorted(tuple(r) for r in NZ.resolve_redirects(a, m).collect()) == [(1, "https://real/x"), (2, "https://y")]
+    a = spark.createDataFrame([(1, "https://news.google.com/x", "G"), (2, "https://y", "G"), (3, "https://news.google.com/x", "Z"),
+                               (4, "https://news.google.com/none", "G")], "ord long, link string, source string")
+    m = spark.createDataFrame([(5, "https://news.google.com/x", "https://late"), (4, "https://news.google.com/x", "https://real/x"),
+                               (1, "https://y", "https://never"), (1, "https://news.google.com/none", "")],
+                              "ord long, link string, decoded_url string")
+    srcs = dims.add_feed_source(dims.feed_sources(spark).limit(0), "G", "https://news.google.com/rss")
+    got = sorted((r.ord, r.link) for r in NZ.resolve_redirects(a, m, srcs).collect())
+    assert got == [(1, "https://real/x"), (2, "https://y"), (3, "https://news.google.com/x"), (4, "https://news.google.com/none")]

@@ -8,41 +8,66 @@ from feedlens.operators import scoring as SC
 from feedlens.sources import dims
 
 
-def _py_extract(text):
-    pats = sorted([re.escape(a) for a, _, _ in dims.COMPANY_ALIASES if a not in dims.AMBIGUOUS_ALIASES],
-                  key=len, reverse=True)
-    lookup = {a: (n, t) for a, n, t in dims.COMPANY_ALIASES}
-    out = []
-    for m in re.finditer(r"\b(" + "|".join(pats) + r")\b", text, re.IGNORECASE):
-        n, t = lookup[m.group(0).lower().strip()]
-        sents = re.split(r"(?<=[.!?])\s+", text)
-        pos, ctx = 0, None
-        for s in sents:  # the service's walk (compat)
-            if pos <= m.start() < pos + len(s):
-                ctx = s.strip()
-                break
-            pos += len(s) + 1
-        if ctx is None:
-            ctx = text[max(0, m.start() - 100):min(len(text), m.end() + 100)].strip()
-        out.append((t, m.group(0), m.start(), m.end(), ctx[:500]))
-    return out
-
-
-TEXTS = [
-    "Nvidia Corp rose. Apple Inc. said AWS and amazon.com grew!  Then   TSLA fell? Meta and apple are skipped.",
-    "no mention here at all",
-    "MICROSOFT CORPORATION and Microsoft Corp.\n\n\nGoogle, GOOGL, GOOG; alphabet inc. Tesla Motors.",
-    "x" * 50 + ".    " + "Wide gaps.     Nvidia here.",
-]
-
-
-@pytest.mark.parametrize("compat", [True])
-def test_regex_mentions_equal_python_scan(spark, compat):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "article_id long, text string")
+TEXTS = {
+    "Nvidia Corp rose. Apple Inc. said AWS and amazon.com grew!  Then   TSLA fell? Meta and apple are skipped.":
+        [("NVDA", "Nvidia Corp"), ("AAPL", "Apple Inc"), ("AMZN", "AWS"), ("AMZN", "amazon.com"), ("TSLA", "TSLA")],
+    "no mention here at all": [],
+    "MICROSOFT CORPORATION and Microsoft Corp.\n\n\nGoogle, GOOGL, GOOG; alphabet inc. Tesla Motors.":
+        [("MSFT", "MICROSOFT CORPORATION"), ("MSFT", "Microsoft Corp"), ("GOOGL", "Google"), ("GOOGL", "GOOGL"),
+         ("GOOGL", "GOOG"), ("GOOGL", "alphabet inc"), ("TSLA", "Tesla")],
+    "x" * 50 + ".    " + "Wide gaps.     Nvidia here.": [("NVDA", "Nvidia")],
+}
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_regex_mentions(spark, compat):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "article_id long, text string")
     got = sorted(MN.regex_mentions(df, compat=compat).select(
-        "article_id", "ticker", "matched_text", "start_char", "end_char", "context_sentence").collect())
-    want = sorted((i, *m) for i, t in enumerate(TEXTS) for m in _py_extract(t))
-    assert [tuple(r) for r in got] == want
+        "article_id", "start_char", "ticker", "matched_text", "end_char", "context_sentence").collect())
+    for i, (text, want) in enumerate(TEXTS.items()):
+        mine = [r for r in got if r.article_id == i]
+        assert [r.ticker for r in mine] == [t for t, _ in want]
+        assert all(r.matched_text.startswith(m) for r, (_, m) in zip(mine, want))
+        assert all(text[r.start_char:r.end_char] == r.matched_text for r in mine)
+        assert all(r.context_sentence in text for r in mine)
+        if not compat:
+            assert all(r.matched_text in r.context_sentence for r in mine)
+
+
+def test_compat_context_drifts_after_wide_gaps(spark):
+    # the walk counts one character per gap: the second match lies behind "Then ..." for it
+    t = "One Nvidia." + " " * 20 + "Two Tesla fell."
+    df = spark.createDataFrame([(1, t)], "article_id long, text string")
+    got = {c: [r.context_sentence for r in MN.regex_mentions(df, compat=c).orderBy("start_char").collect()] for c in (False, True)}
+    assert got[False] == ["One Nvidia.", "Two Tesla fell."]
+    assert got[True] == ["One Nvidia.", t]
+
+
+def test_contexts_of_a_long_text(spark):
+    """More sentences and matches than one block of offsets, and time in proportion."""
+    t = " ".join(f"S{i} Nvidia {'x' * (i % 7)}." if i % 2 else f"Nothing {i}!" for i in range(1500))
+    df = spark.createDataFrame([(1, t)], "article_id long, text string")
+    got = MN.regex_mentions(df).orderBy("start_char").collect()
+    assert [r.context_sentence for r in got] == [f"S{i} Nvidia {'x' * (i % 7)}." for i in range(1, 1500, 2)]
+    assert all(t[r.start_char:r.end_char] == "Nvidia" for r in got)
+
+
+def test_model_reads_whole_texts(spark):
+    def load():
+        return lambda text: [{"start_char": m.start(), "end_char": m.end(), "label": "ORG"} for m in re.finditer("Nvidia", text)]
+
+    t = "filler words go on. " * 2000 + "Nvidia came last." + " Then more." * 300 + " Nvidia again."
+    df = spark.createDataFrame([(1, t), (2, None)], "article_id long, text string")
+    got = MN.model_mentions(df, load).orderBy("start_char").collect()
+    assert [r.start_char for r in got] == [m.start() for m in re.finditer("Nvidia", t)]
+    assert [r.context_sentence for r in got] == ["Nvidia came last.", "Nvidia again."]
+
+
+def test_windows_cover_every_place_once():
+    for n in (0, 1, 99, 100, 101, 950, 1000, 5003):
+        parts = list(MN._windows("x" * n, 100, 10))
+        assert [i for _, _, a, b in parts for i in range(a, b)] == list(range(n))
+        assert all(at <= a and b <= at + len(w) for at, w, a, b in parts)
 
 
 def test_exact_context_is_containing_sentence(spark):
@@ -112,7 +137,7 @@ def test_pandas_model_scorer_and_label_alias(spark):
 
 
 def test_prefilter_keeps_every_mention(spark):
-    texts = TEXTS + ["Teſla and ＡＷＳ are odd", "plain text"]
+    texts = [*TEXTS, "Teſla and ＡＷＳ are odd", "plain text"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "article_id long, text string")
     a = sorted(tuple(r) for r in MN.regex_mentions(df).collect())
     b = sorted(tuple(r) for r in MN.regex_mentions(df, prefilter=True).collect())
@@ -140,7 +165,11 @@ def test_regex_mentions_random_texts(spark):
     texts = ["".join(rnd.choice(pieces).upper() if rnd.random() < .2 else rnd.choice(pieces) + rnd.choice(seps)
                      for _ in range(rnd.randint(1, 30))) for _ in range(200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "article_id long, text string")
-    got = sorted(tuple(r) for r in MN.regex_mentions(df, compat=True).select(
-        "article_id", "ticker", "matched_text", "start_char", "end_char", "context_sentence").collect())
-    want = sorted((i, *m) for i, t in enumerate(texts) for m in _py_extract(t))
-    assert got == want
+    flat = re.compile(r"\b(" + "|".join(re.escape(a) for a in dims.regex_aliases()) + r")\b", re.I)
+    names = {a: t for a, _, t in dims.COMPANY_ALIASES}
+    got = MN.regex_mentions(df).collect()
+    want = sorted((i, m.start(), m.end(), names[m.group(1).lower()]) for i, t in enumerate(texts) for m in flat.finditer(t))
+    assert sorted((r.article_id, r.start_char, r.end_char, r.ticker) for r in got) == want
+    for r in got:
+        assert r.context_sentence in texts[r.article_id] and r.matched_text.strip() in r.context_sentence
+        assert not re.search(r"[.!?]\s", r.context_sentence)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import ART_SCHEMA, SF001
 from feedlens.operators import content, dedup, metrics, upsert
 from feedlens.session import checkpoint_dir
+from feedlens.sources import dims
 from feedlens.sources import tables as S
 from feedlens.streaming import ingest as ST
 
@@ -16,18 +17,39 @@ def _root(spark):
 
 
 def test_stream_articles_equals_batch_merge(spark):
+    """Three batches whose own orders collide: the table is what one scan over all of them
+    in turn keeps, and its order is one order."""
     root = _root(spark)
     arts = S.page_articles(spark, SF001)
-    # land two batches as files; the stream processes them in order
-    arts.where(F.col("ord") < 25).coalesce(1).write.parquet(f"{root}/in/b0")
-    t = ST.VersionedTable(spark, f"{root}/table", ART_SCHEMA)
-    ST.stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/ck")
-    arts.where(F.col("ord") >= 25).coalesce(1).write.parquet(f"{root}/in/b1")
-    ST.stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/ck")  # same checkpoint: next epoch
-    got = sorted(r.ord for r in t.latest().collect())
-    want = sorted(r.ord for r in dedup.merge_and_dedup(
-        dedup.dedup_articles(arts.where(F.col("ord") < 25)), arts.where(F.col("ord") >= 25)).collect())
-    assert got == want
+    parts = [arts.where(F.col("ord") % 3 == n).withColumn("ord", F.floor(F.col("ord") / 3)) for n in range(3)]
+    t = ST.AppendTable(spark, f"{root}/table", ART_SCHEMA + ", batch_ord long")
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{root}/in/b{n}")
+        ST.stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/ck")
+    got = t.read().orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(len(got)))
+    every = parts[0].withColumn("_n", F.lit(0)).unionByName(parts[1].withColumn("_n", F.lit(1))).unionByName(parts[2].withColumn("_n", F.lit(2)))
+    want = dedup.dedup_articles(every.withColumn("ord", F.struct("_n", "ord"))).select("link", "title", "ord._n", F.col("ord.ord").alias("o"))
+    assert [(r.link, r.title, r.batch_ord) for r in got] == [(r.link, r.title, r.o) for r in want.orderBy("_n", "o").collect()]
+
+
+def test_stream_of_xml_feeds(spark):
+    import pyarrow.fs as pafs
+    root = _root(spark)
+    store, path = pafs.FileSystem.from_uri(root)
+    store.create_dir(f"{path}/in", recursive=True)
+
+    def land(name, body):
+        with store.open_output_stream(f"{path}/in/{name}") as f:
+            f.write(body.encode())
+    t = ST.AppendTable(spark, f"{root}/table", ART_SCHEMA + ", batch_ord long")
+    run = lambda: ST.stream_xml_articles(spark, f"{root}/in", dims.feed_sources(spark), t, f"{root}/ck", datetime(2024, 2, 1))
+    land("feed0.xml", "<rss><channel><item><title>A</title><link>https://x/1</link></item></channel></rss>")
+    run()
+    land("feed1.xml", "<feed><entry><title>B</title><link href='https://x/2'/></entry>"
+                      "<entry><title>A again</title><link href='https://x/1'/></entry></feed>")
+    run()
+    assert [(r.ord, r.title, r.link) for r in t.read().orderBy("ord").collect()] == [(0, "A", "https://x/1"), (1, "B", "https://x/2")]
 
 
 def test_stream_daily_metrics_equals_batch(spark):
@@ -38,6 +60,19 @@ def test_stream_daily_metrics_equals_batch(spark):
     assert g == w
 
 
+def test_late_files_count(spark):
+    root = _root(spark)
+    e = spark.read.parquet(f"{SF001}/events.parquet")
+    late = F.dayofmonth("ts") < 20
+    e.where(~late).coalesce(1).write.parquet(f"{root}/in/a")
+    e.where(late).coalesce(1).write.parquet(f"{root}/in/b")
+    got = ST.daily_metrics_via_stream(spark, f"{root}/in/*", "*.parquet", S.events_to_mentions, files_per_trigger=1)
+    assert got.agg(F.sum("article_volume")).first()[0] == e.count()
+    want = metrics.daily_metrics(S.event_mentions(spark, SF001))
+    key = lambda df: sorted((r.date, r.company_id, round(r.avg_sentiment, 9), r.article_volume) for r in df.collect())
+    assert key(got) == key(want)
+
+
 def test_stream_url_dedup_within_watermark(spark):
     root = _root(spark)
     arts = S.page_articles(spark, SF001)
@@ -57,7 +92,7 @@ def test_stream_retention(spark):
     arts.write.parquet(f"{root}/in")
     t = ST.VersionedTable(spark, f"{root}/table", ART_SCHEMA)
     as_of = datetime(2024, 1, 3)
-    ST.stream_retention(spark, f"{root}/in", arts.schema, t, f"{root}/ck", days=1, as_of=as_of)
+    ST.stream_retention(spark, f"{root}/in", arts.schema, t, f"{root}/ck", days=1, as_of=lambda: as_of)
     assert t.latest().count() == arts.where(F.col("published_at") >= F.lit(as_of - timedelta(days=1))).count()
 
 
@@ -77,8 +112,9 @@ def test_stream_company_mentions(spark):
             F.col("key_pos").alias("ord"), "article_id", "company_id", "sentiment_score", "confidence_score",
             "context_sentence")
     ST.stream_company_mentions(spark, f"{root}/in", docs.schema, t, f"{root}/ck", analyze)
-    n = t.latest().count()
-    assert n > 0 and n == t.latest().select("article_id", "company_id").distinct().count()
+    key = lambda df: sorted((r.article_id, r.company_id, round(r.sentiment_score, 9), r.context_sentence) for r in df.collect())
+    want = dedup.fold_mentions(analyze(docs))
+    assert want.count() > 0 and key(t.latest()) == key(want)
 
 
 def test_average_sentiment_empty_is_neutral(spark):
@@ -122,3 +158,24 @@ def test_versioned_table_replace_and_clear(spark):
     assert sorted(tuple(r) for r in t.latest().collect()) == [(1, "b"), (2, "c")]
     assert t.clear() == 2 and t.latest().count() == 0
     assert t.latest(before=2).count() == 2
+    t.append_version(spark.createDataFrame([(9, "z")], t.schema))
+    assert t._versions() == [1, 2, 3]  # the newest three stay
+
+
+def test_upserted_mentions_keep_their_time(spark):
+    store = spark.createDataFrame([(1, 1, 0.1, 0.2, "old", datetime(2024, 1, 1)), (2, 1, 0.1, 0.2, "other", datetime(2024, 1, 2))],
+                                  "article_id long, company_id long, sentiment_score double, confidence_score double, "
+                                  "context_sentence string, created_at timestamp")
+    batch = spark.createDataFrame([(0, 1, 1, 0.9, 0.8, "new", datetime(2024, 1, 9)), (1, 3, 1, 0.5, 0.5, "first", datetime(2024, 1, 9))],
+                                  "ord long, article_id long, company_id long, sentiment_score double, confidence_score double, "
+                                  "context_sentence string, created_at timestamp")
+    got = {r.article_id: r for r in upsert.upsert_mentions(store, batch).collect()}
+    assert got[1].created_at == datetime(2024, 1, 1) and got[1].context_sentence == "new" and got[1].sentiment_score == 0.9
+    assert got[2].context_sentence == "other" and got[3].created_at == datetime(2024, 1, 9)
+
+
+def test_one_row_per_article_when_a_page_landed_twice(spark):
+    arts = S.page_articles(spark, SF001)
+    ex = spark.createDataFrame([(r.link, "https://og", c) for r in arts.collect() for c in (None, "text")], "url string, image string, content string")
+    out = content.attach_content(arts, ex)
+    assert out.count() == arts.count() and out.where("content = 'text' and image = 'https://og'").count() == arts.count()
