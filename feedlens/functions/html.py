@@ -23,9 +23,6 @@ IMG_SRCSET = r"""(?i)<img[^>]+srcset=["']([^"']+)["']"""
 DROP_ELEMENTS = ("script", "style", "noscript", "template", "svg", "iframe", "nav",
                  "header", "footer", "aside", "form", "table")
 BLOCK_TAGS = "p|div|br|h[1-6]|li|ul|ol|tr|blockquote|section|article|pre|dd|dt|main"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"),
-            ("&amp;", "&"))
 
 
 def og_image(html) -> Column:
@@ -68,23 +65,49 @@ def _region_lines(h: Column) -> Column:
         h)
     region = F.regexp_replace(region, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     region = F.regexp_replace(region, r"<[^>]+>", "")
-    for ent, ch in ENTITIES:
-        region = F.replace(region, F.lit(ent), F.lit(ch))
     return region
 
 
+_NUMERIC = r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
+_NAMED = r"&([A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _from_code(code: Column) -> Column:
+    """Character of a code point; null where there is none."""
+    ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric and named character references, each decoded once; unknown ones stay. The text
+    between references is split off and joined again with what they stand for."""
+    from html.entities import name2codepoint
+    names = F.create_map(*[F.lit(x) for k, v in {**name2codepoint, "apos": 39}.items() for x in (k, chr(v))])
+    both = f"(?:{_NUMERIC}|{_NAMED})"
+
+    def of(ref: Column) -> Column:
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(ref, _NUMERIC, 1), F.lit("")), 16, 10),
+                          F.nullif(F.regexp_extract(ref, _NUMERIC, 2), F.lit(""))).cast("long")
+        return F.coalesce(_from_code(code), F.try_element_at(names, F.regexp_extract(ref, _NAMED, 1)), ref)
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(f"({both})"), F.lit(1)), of)
+    joined = F.array_join(F.zip_with(F.split(text, both, -1), refs, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.rlike(both), joined).otherwise(text)
+
+
 def with_main_text(df: DataFrame, html_col: str, out: str) -> DataFrame:
     """T2 (native form): main text of a page, one paragraph per line, repeats removed.
 
     Comments and boilerplate elements go first, then the <article> region (else
     <body>, else the whole document) is kept; block tags become line breaks, the
-    remaining tags are dropped, common entities decoded, each line whitespace-
+    remaining tags are dropped, character references decoded, each line whitespace-
     collapsed, blank and repeated lines removed. Empty result -> null.
 
     Staged projections keep each expensive intermediate evaluated once per row.
     """
     df = df.withColumn("_mt_h", _main_region(F.col(html_col)))
     df = df.withColumn("_mt_r", _region_lines(F.col("_mt_h")))
+    df = df.withColumn("_mt_r", decode_entities(F.col("_mt_r")))
     lines = F.transform(F.split(F.col("_mt_r"), "\n"), lambda l: collapse_ws(l))
     lines = F.array_distinct(F.filter(lines, lambda l: l != ""))
     return df.withColumn(out, F.nullif(F.array_join(lines, "\n"), F.lit(""))).drop("_mt_h", "_mt_r")

