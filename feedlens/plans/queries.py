@@ -988,6 +988,162 @@ def q_stream_daily_metrics_late(spark, sf):
     return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
 
 
+@register("stream_articles",
+          O.greedy_keep_sql(O.dedup_keys_sql(f"SELECT (ord % 3) * 1000000000 + ord // 3 AS ord, title, link, source FROM ({O.page_articles_sql()})"))
+          + "\nSELECT CAST(row_number() OVER (ORDER BY kept.ord) - 1 AS BIGINT) AS ord, CAST(kept.ord % 1000000000 AS BIGINT) "
+          "AS batch_ord, a.link FROM kept JOIN (SELECT (ord % 3) * 1000000000 + ord // 3 AS ord, link FROM "
+          f"({O.page_articles_sql()})) a ON a.ord = kept.ord")
+def q_stream_articles(spark, sf):
+    """R1+R2: three files, one micro-batch each, whose own orders collide."""
+    from ..streaming.ingest import AppendTable, scratch, stream_articles
+    root = scratch(spark, "articles")
+    arts = S.page_articles(spark, sf)
+    for n in range(3):
+        part = arts.where(F.col("ord") % 3 == n).withColumn("ord", F.floor(F.col("ord") / 3))
+        part.coalesce(1).write.parquet(f"{root}/in/{n}")
+    t = AppendTable(spark, f"{root}/table", ", ".join(f"{c} {k}" for c, k in arts.dtypes) + ", batch_ord long")
+    stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/_checkpoint", files_per_trigger=1)
+    return t.read().select("ord", "batch_ord", "link")
+
+
+@register("stream_retention",
+          f"SELECT ord, link FROM ({O.page_articles_sql()}) WHERE published_at >= TIMESTAMP '2024-01-03 00:00:00'")
+def q_stream_retention(spark, sf):
+    """Two micro-batches, one day kept, seen from 4 January."""
+    from datetime import datetime
+
+    from ..streaming.ingest import VersionedTable, scratch, stream_retention
+    root = scratch(spark, "retention")
+    arts = S.page_articles(spark, sf)
+    t = VersionedTable(spark, f"{root}/table", ", ".join(f"{c} {k}" for c, k in arts.dtypes))
+    for n in range(2):
+        arts.where(F.col("ord") % 2 == n).write.parquet(f"{root}/in/{n}")
+        stream_retention(spark, f"{root}/in/*", arts.schema, t, f"{root}/_checkpoint", days=1, as_of=lambda: datetime(2024, 1, 4))
+    return t.latest().select("ord", "link")
+
+
+@register("table_replace",
+          f"SELECT ord, link, CAST(0 AS BIGINT) AS rows_after_clear FROM ({O.page_articles_sql()}) WHERE ord % 2 = 1")
+def q_table_replace(spark, sf):
+    """A table written, replaced and cleared; what it held before the clearing."""
+    from ..streaming.ingest import VersionedTable, scratch
+    arts = S.page_articles(spark, sf).select("ord", "link")
+    t = VersionedTable(spark, f"{scratch(spark, 'replace')}/table", "ord long, link string")
+    t.append_version(arts)
+    t.append_version(arts.where(F.col("ord") % 2 == 1))
+    cleared = t.clear()
+    return t.latest(before=cleared).withColumn("rows_after_clear", F.lit(t.latest().count()).cast("long"))
+
+
+# ----------------------------------------------------------------------- XML round trips --
+
+def _xml(c) -> F.Column:
+    c = X.col_(c)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+XML_ROOT = ('<root xmlns:news="http://news.example/" xmlns:image="http://image.example/">', "</root>")
+
+
+def _land_xml(spark, rows: DataFrame, name: str):
+    """Writes (feed_ord, entry_ord, xml) as one XML file per feed, entries in order; returns
+    the folder and the feed of each file."""
+    from ..streaming.ingest import scratch
+    at = scratch(spark, name)
+    ends = rows.select("feed_ord").distinct().select("feed_ord", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("entry_ord"), F.lit(XML_ROOT[0]).alias("xml")),
+        F.struct(F.lit(2 ** 62).alias("entry_ord"), F.lit(XML_ROOT[1]).alias("xml")))).alias("e")).select("feed_ord", "e.*")
+    (rows.select("feed_ord", "entry_ord", "xml").unionByName(ends)
+     .repartition("feed_ord").sortWithinPartitions("feed_ord", "entry_ord")
+     .select("feed_ord", "xml").write.partitionBy("feed_ord").text(at))
+    files = (spark.read.text(at).select(F.col("_metadata.file_path").alias("_file"), F.col("feed_ord").cast("int"))
+             .distinct())
+    return f"{at}/*", files
+
+
+def _pages_with_titles(spark, sf) -> DataFrame:
+    p = S.page_articles(spark, sf)
+    return p.select((F.col("ord") % 4).cast("int").alias("feed_ord"), F.floor(F.col("ord") / 4).cast("long").alias("entry_ord"),
+                    "title", "link", "published_at")
+
+
+def _xml_sql(extra: str = "") -> str:
+    return (f"SELECT CAST(ord % 4 AS INTEGER) AS feed_ord, CAST(row_number() OVER (PARTITION BY ord % 4 ORDER BY ord) - 1 AS BIGINT) "
+            f"AS entry_ord, nullif(title, '') AS title, link, {O.fmt_ts('published_at')} AS published_at{extra} FROM ({O.page_articles_sql()})")
+
+
+@register("xml_rss_entries", _xml_sql())
+def q_xml_rss_entries(spark, sf):
+    """Pages written as RSS files and read back."""
+    p = _pages_with_titles(spark, sf)
+    xml = F.concat(F.lit("<item><title>"), _xml("title"), F.lit("</title><link>"), _xml("link"), F.lit("</link><pubDate>"),
+                   F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate></item>"))
+    path, files = _land_xml(spark, p.withColumn("xml", xml), "rss")
+    r = FD.read_rss(spark, path, files)
+    return r.select("feed_ord", "entry_ord", "title", "link", ts_str(NZ.parse_date("pubDate")).alias("published_at"))
+
+
+@register("xml_atom_entries", _xml_sql())
+def q_xml_atom_entries(spark, sf):
+    """Pages written as Atom files (with another link before the right one) and read back."""
+    p = _pages_with_titles(spark, sf)
+    xml = F.concat(F.lit('<entry><title type="text">'), _xml("title"), F.lit('</title><link rel="self" href="https://self.example/"/>'
+                   '<link rel="alternate" href="'), _xml("link"), F.lit('"/><published>'),
+                   F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published></entry>"))
+    path, files = _land_xml(spark, p.withColumn("xml", xml), "atom")
+    r = FD.read_atom(spark, path, files)
+    return r.select("feed_ord", "entry_ord", "title", "link", ts_str(NZ.parse_date("published")).alias("published_at"))
+
+
+@register("xml_sitemap_items",
+          f"SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS entry_ord, link AS loc, nullif(title, '') AS title, 'https://img.example/1-' || ord AS image_loc "
+          f"FROM ({O.page_articles_sql()})")
+def q_xml_sitemap_items(spark, sf):
+    """Pages written as a news sitemap with two images an entry and read back."""
+    p = S.page_articles(spark, sf)
+    image = lambda n: F.concat(F.lit(f"<image:image><image:loc>https://img.example/{n}-"), F.col("ord").cast("string"),
+                               F.lit("</image:loc></image:image>"))
+    xml = F.concat(F.lit("<url><loc>"), _xml("link"), F.lit("</loc><news:news><news:title>"), _xml("title"),
+                   F.lit("</news:title></news:news>"), image(1), image(2), F.lit("</url>"))
+    path, _ = _land_xml(spark, p.select(F.lit(10).alias("feed_ord"), F.col("ord").alias("entry_ord"), xml.alias("xml")), "sitemap")
+    return FD.read_sitemap(spark, path, feed_ord=10).select("entry_ord", "loc", "title", "image_loc")
+
+
+# ---------------------------------------------------------------- labels, ids, selection --
+
+@register("label_alias",
+          "SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' "
+          "WHEN 3 THEN 'positive' ELSE lower(event_type) END AS label FROM events")
+def q_label_alias(spark, sf):
+    """Model labels 0-2 and a name, and labels that are only lower-cased."""
+    u = F.col("user_id") % 5
+    raw = (F.when(u < 3, F.concat(F.lit("LABEL_"), u.cast("string"))).when(u == 3, F.lit("positive"))
+           .otherwise(F.upper("event_type")))
+    return S.table(spark, sf, "events").select("event_id", scoring.label_alias(raw).alias("label"))
+
+
+@register("mention_article_ids",
+          f"WITH {_store_cte()}\nSELECT pa.ord, s.id AS article_id FROM pa JOIN store s ON s.url = pa.link")
+def q_mention_article_ids(spark, sf):
+    """Records that name an article by its URL get its stored id."""
+    a = S.page_articles(spark, sf).select("ord", F.col("link").alias("url"))
+    ids = ST.articles_store(spark, sf).select("url", F.col("id").alias("article_id"))
+    return a.join(ids, "url").select("ord", "article_id")
+
+
+@register("summary_selected",
+          f"SELECT doc_id, 'sumy-luhn' AS summarized_by, summary FROM ({_luhn_sql(100)}) UNION ALL "
+          f"SELECT doc_id, 'truncate', {_truncate_sql('text', 100)} FROM documents")
+def q_summary_selected(spark, sf):
+    """Summarizers chosen by name."""
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    chosen = [SM.configure_summarizer(n) for n in ("luhn", "truncate")]
+    one, two = [s.summarize(d, "doc_id", "text", 100).select("doc_id", F.lit(s.name).alias("summarized_by"), "summary") for s in chosen]
+    return one.unionByName(two)
+
+
 # ------------------------------------------------------------- sitemap / lookup / model --
 
 @register("sitemap_items",
