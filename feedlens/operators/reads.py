@@ -64,22 +64,21 @@ def recent_mentions(mentions: DataFrame, as_of: datetime, days: int = 7, limit:
 
 
 def mention_company_ids(mentions: DataFrame, companies: DataFrame) -> DataFrame:
-    """Ticker -> company id; unknown tickers dropped (companies: fixed 7 rows)."""
-    c = F.broadcast(companies.select(F.col("id").alias("company_id"), "ticker"))
+    """Ticker -> company id; unknown tickers dropped."""
+    c = companies.select(F.col("id").alias("company_id"), "ticker")
     return mentions.join(c, "ticker")
 
 
 def mentions_enriched(mentions: DataFrame, articles: DataFrame, companies: DataFrame,
                       ticker: str | None = None) -> DataFrame:
     """Mentions with article (id, title, url, published_at) and company columns."""
-    c = F.broadcast(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"),
-                                     "ticker"))
+    c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), "ticker")
     a = articles.select(F.col("id").alias("article_id"), F.col("title").alias("article_title"),
                         F.col("url").alias("article_url"), F.col("published_at").alias("article_published_at"))
-    out = mentions.join(a, "article_id", "left").join(c, "company_id", "left")
-    if ticker is not None:
-        out = out.where(F.col("ticker") == ticker)
-    return out
+    # one company's mentions are picked before any article is looked up
+    m = (mentions.join(c, "company_id", "left") if ticker is None
+         else mentions.join(c.where(F.col("ticker") == ticker), "company_id"))
+    return m.join(a, "article_id", "left")
 
 
 def unanalyzed_articles(articles: DataFrame, mentions: DataFrame, limit: int = 50) -> DataFrame:

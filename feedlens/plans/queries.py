@@ -852,7 +852,8 @@ def _snapshot_update_sql() -> str:
 def q_snapshot_update(spark, sf):
     snap = snapshot(spark, sf)
     pend = content.pending_extraction(snap, 10)
-    upd = content.attach_content(pend.drop("pos"), content.extract_pages(S.page_fixture(spark, sf)))
+    pages = S.page_fixture(spark, sf).join(pend.select(F.col("link").alias("url")), "url", "left_semi")
+    upd = content.attach_content(pend.drop("pos"), content.extract_pages(pages))
     out = U.replace_in_snapshot(snap, upd)
     return out.select("pos", "ord", "content_extracted", "image", "content")
 
