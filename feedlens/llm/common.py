@@ -12,16 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, prepare
 from ..sources.tables import table
 
-# Rows per Arrow batch: documents reach 10^5 characters, so 1,000 rows stay near 10 MB.
-BATCH_ROWS = 1000
+# Rows per Arrow batch: documents reach 10^5 characters, so 400 rows stay at a few MB.
+BATCH_ROWS = 400
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, with Arrow batches sized for long texts."""
+def ready(spark: SparkSession) -> None:
+    """Session settings of the operators: the package on the workers, Arrow batches sized for
+    long texts."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, in a session made ready."""
+    ready(spark)
     return table(spark, sf_dir, name)
 
 
@@ -33,6 +40,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of staged tables once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Arrow batches of ``rows`` rows for the actions inside (few rows that are large)."""

@@ -31,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .common import batch_rows, mix64
+from .common import batch_rows, discard, mix64
 
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20     # bytes of text for which one range of keys is made
 MIN_RANGES = 48
 ROUNDS = 60
@@ -98,6 +99,18 @@ def range_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: the high bytes of small numbers vanish."""
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.copy()
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def loosen(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return planes.reshape(size, n).T.copy().view(kind).ravel()
+
+
 def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
@@ -138,32 +151,36 @@ def chunks(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, "chunk string, em boolean, bytes long, data binary"))
 
 
-KEYS = "range int, chunk string, kind int, keys binary, fit binary, em binary"
+KEYS = "range int, chunk string, em boolean, kind int, n int, keys binary, counts binary"
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def keys_of(table: DataFrame, ranges: int) -> DataFrame:
-    """The distinct n-grams of each chunk with its counts, one row per range and order."""
+    """The distinct n-grams of each chunk with its counts, one row per range and order: steps
+    between the sorted keys, and counts over the chunk's learning documents."""
     def run(batches: Iterator[pa.RecordBatch]):
+        types = [pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
             for name, em, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 c = Chunk(unpack(data))
                 rows = []
-                learn = c.counts(c.folds != HELD_OUT)
-                for kind, keys, n in ((1, c.uni_keys, learn[0]), (2, c.bi_keys, learn[1])):
+                learned = c.counts(c.folds != HELD_OUT)
+                for kind, keys, n in ((1, c.uni_keys, learned[0]), (2, c.bi_keys, learned[1])):
                     n = n.astype("<u4")
                     own = range_of(keys, ranges)
                     cuts = np.flatnonzero(np.diff(own, prepend=-1))
                     for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-                        part = n[i:j].tobytes()
-                        rows.append((int(own[i]), name, kind, keys[i:j].tobytes(), b"" if em else part, part if em else b""))
-                types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                        rows.append((int(own[i]), name, em, kind, j - i, squeeze(np.diff(keys[i:j], prepend=np.uint64(0))), squeeze(n[i:j])))
                 for at in range(0, len(rows), 256):
                     cols = zip(*rows[at:at + 256])
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], [x.split()[0] for x in KEYS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names_of(KEYS))
     return table.select("chunk", "em", "data").mapInArrow(run, KEYS)
 
 
-COUNTS = "chunk string, range int, kind int, fit binary, em binary, known long, fit_n long, em_n long"
+COUNTS = "chunk string, of_em boolean, range int, kind int, n int, fit binary, em binary, known long, fit_n long, em_n long"
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -171,31 +188,30 @@ def add_up(table: pa.Table) -> pa.Table:
     the range's known unigrams and their counts."""
     out = []
     for kind in (1, 2):
-        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+        rows = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
         if not rows:
             continue
-        lists = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
-        kinds, back = np.unique(np.concatenate(lists), return_inverse=True)
-        total = {}
-        for part in ("fit", "em"):
-            n = [np.frombuffer(r[part], dtype="<u4") if r[part] else np.zeros(len(x), dtype="<u4") for r, x in zip(rows, lists)]
-            total[part] = np.bincount(back, np.concatenate(n), len(kinds)).astype("<u4")
+        keys = np.concatenate([np.cumsum(loosen(r["keys"], r["n"], "<u8"), dtype=np.uint64) for r in rows])
+        kinds, back = np.unique(keys, return_inverse=True)
+        counts = np.concatenate([loosen(r["counts"], r["n"], "<u4") for r in rows]).astype(np.float64)
+        of_em = np.repeat([r["em"] for r in rows], [r["n"] for r in rows])
+        fit, em = (np.bincount(back, counts * part, len(kinds)).astype("<u4") for part in (~of_em, of_em))
         if kind == 1:
-            out.append((None, rows[0]["range"], 0, None, None, int(((total["fit"] > 0) | (total["em"] > 0)).sum()),
-                        int(total["fit"].sum(dtype=np.int64)), int(total["em"].sum(dtype=np.int64))))
+            out.append((None, None, rows[0]["range"], 0, 0, None, None, int(((fit > 0) | (em > 0)).sum()),
+                        int(fit.sum(dtype=np.int64)), int(em.sum(dtype=np.int64))))
         at = 0
-        for r, x in zip(rows, lists):
-            mine = back[at:at + len(x)]
-            out.append((r["chunk"], r["range"], kind, total["fit"][mine].tobytes(), total["em"][mine].tobytes(), 0, 0, 0))
-            at += len(x)
-    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in COUNTS.split(", ")])
+        for r in rows:
+            mine = back[at:at + r["n"]]
+            out.append((r["chunk"], r["em"], r["range"], kind, r["n"], squeeze(fit[mine]), squeeze(em[mine]), 0, 0, 0))
+            at += r["n"]
+    types = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names_of(COUNTS))
 
 
 def answers(table: pa.Table) -> dict[tuple[int, str], np.ndarray]:
     """(kind, part) -> corpus counts in the order of a chunk's keys."""
-    rows = sorted(table.select(["range", "kind", "fit", "em"]).to_pylist(), key=lambda r: r["range"])
-    return {(kind, part): np.frombuffer(b"".join(r[part] for r in rows if r["kind"] == kind), dtype="<u4").astype(np.float64)
+    rows = sorted(table.select(["range", "kind", "n", "fit", "em"]).to_pylist(), key=lambda r: r["range"])
+    return {(kind, part): np.concatenate([loosen(r[part], r["n"], "<u4") for r in rows if r["kind"] == kind]).astype(np.float64)
             for kind in (1, 2) for part in ("fit", "em")}
 
 
@@ -244,7 +260,7 @@ def score(docs: DataFrame) -> DataFrame:
         (keys_of(table, ranges).groupBy("range").applyInArrow(add_up, COUNTS).write.parquet(f"{at}/counts"))
         counts = spark.read.schema(COUNTS).parquet(f"{at}/counts")
         known, fit_n, em_n = (x or 0 for x in counts.where("chunk is null").agg(F.sum("known"), F.sum("fit_n"), F.sum("em_n")).first())
-        answered = counts.where("chunk is not null").select("chunk", "range", "kind", "fit", "em")
+        answered = counts.where("chunk is not null").select("chunk", "of_em", "range", "kind", "n", "fit", "em")
         total = fit_n + em_n
 
         def held_counts(docs_of: pa.Table, answer: pa.Table) -> pa.Table:
@@ -256,7 +272,7 @@ def score(docs: DataFrame) -> DataFrame:
             return pa.table([*(pa.array(x) for x in kinds), pa.array(found)], names=["bucket", "two", "one", "n"])
 
         em = (table.where("em").select("chunk", "data").groupBy("chunk")
-              .cogroup(answered.join(table.where("em").select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+              .cogroup(answered.where("of_em").groupBy("chunk"))
               .applyInArrow(held_counts, "bucket long, two long, one long, n double"))
         weights = learn([tuple(r) for r in em.groupBy("bucket", "two", "one").agg(F.sum("n")).collect()], 1 / (known + 1))
 
@@ -270,6 +286,8 @@ def score(docs: DataFrame) -> DataFrame:
             sums = [np.add.reduceat(x, c.starts) for x in (uni[c.uni] > 0, base[c.uni], model[c.bi])]
             return pa.table([pa.array(c.doc_ids, pa.int64()), pa.array(c.folds == HELD_OUT), pa.array(c.lengths),
                              pa.array(sums[0].astype(np.int64)), pa.array([total] * len(c.doc_ids), pa.int64()),
-                             pa.array(sums[1]), pa.array(sums[2])], names=[x.split()[0] for x in RESULT.split(", ")])
+                             pa.array(sums[1]), pa.array(sums[2])], names=names_of(RESULT))
 
-        return cut_lineage(table.select("chunk", "data").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(rate, RESULT))
+        scored = cut_lineage(table.select("chunk", "data").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(rate, RESULT))
+    discard(spark, at)
+    return scored
