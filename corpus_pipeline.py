@@ -10,32 +10,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlens.llm import langid, mixing, simhash, spans, tokens
-from feedlens.llm.common import load
+from feedlens.llm.common import load, ready
 from feedlens.session import checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
+    ready(spark)
     return langid.keep_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    ready(spark)
     return simhash.keep_one(docs)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that repeat go."""
+    ready(spark)
     return spans.remove_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or cut to their target weights."""
+    ready(spark)
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded documents in sequences of at most 1024 ids."""
+    ready(spark)
     return tokens.pack(docs)
 
 

@@ -35,6 +35,7 @@ NGRAM = 3
 SEED = 2024
 SHARPNESS = 12.0
 MAX_LANGUAGES = 2000
+MIN_COSINE = 0.05    # below: none of the learned languages (any text in one of them lies far above)
 UNKNOWN = "und"
 SPACE = 32
 NOT_LETTERS = re.compile(r"[\W\d_]+")  # letters are word characters but digits and "_"
@@ -49,9 +50,9 @@ def placed(code: int, place: int) -> np.ndarray:
 
 class NGrams:
     """Vectors of the n-grams that this worker has met, ``limit`` of them at most at a time
-    (64 MB): beyond that it starts anew."""
+    (32 MB): beyond that it starts anew."""
 
-    def __init__(self, limit: int = 1 << 16):
+    def __init__(self, limit: int = 1 << 15):
         self.limit, self.rows, self.table = limit, {}, np.empty((1 << 12, DIM), dtype=np.int8)
 
     def at(self, codes: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ class NGrams:
         if len(new) + len(self.rows) > self.limit:
             self.rows, new = {}, listed
         if len(new) + len(self.rows) > len(self.table):
-            bigger = np.empty((2 * (len(new) + len(self.rows)), DIM), dtype=np.int8)
+            bigger = np.empty((min(self.limit, 2 * (len(new) + len(self.rows))), DIM), dtype=np.int8)
             bigger[:len(self.rows)] = self.table[:len(self.rows)]
             self.table = bigger
         for code in new:
@@ -171,7 +172,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(d.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_language(docs: DataFrame, min_cosine: float = 0.0) -> DataFrame:
+def keep_language(docs: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The documents whose language is known; rejected are texts without letters and those
     whose nearest prototype has a cosine below ``min_cosine``. Columns as in ``docs``."""
     lang_pred, score, cosine = unused(docs.columns, "__lang_pred", "__score", "__cosine")
