@@ -22,7 +22,7 @@ from .common import arrow_map, texts_of
 END_ID = 0          # closes a document
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128)  # upper lengths of the packing tiers
-BLOCK = 1024        # lengths per block of the suffix sums
+BLOCK = 256         # lengths per block of the suffix sums
 
 
 def default_tokenizer() -> str:
@@ -80,7 +80,7 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     share_upto          share of documents of length L or less (read quantiles from it)
 
     Documents are aggregated before anything is shuffled; the suffix sums run per block of
-    1,024 lengths over the totals of the blocks above, so no task holds all lengths.
+    ``BLOCK`` lengths over the totals of the blocks above, so no task holds all lengths.
     Empty and null texts count as length 0; an empty table gives no rows; repeated rows
     count as often as they occur; other columns are not read."""
     hist = (encoded_lengths(docs, path or default_tokenizer()).groupBy("length")
