@@ -254,13 +254,23 @@ def model_mentions(df: DataFrame, load_extractor: Callable[[], Callable[[str], l
     return _model_rows(ex, id_col)
 
 
+def landed_mentions(df: DataFrame, spans_col: str, text_col: str = "text", id_col: str = "article_id") -> DataFrame:
+    """T8 from spans that a model has landed: an array of (start_char, end_char, label, score)
+    per text."""
+    return _model_rows(df.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(spans_col).alias("ents")), id_col)
+
+
 def extract_mentions(df: DataFrame, text_col: str = "text", id_col: str = "article_id",
-                     load_extractor=None, compat: bool = False) -> DataFrame:
-    """Model rows where the model found something, regex rows for the rest. The model
-    runs once per text; its spans are staged so that both branches read the same ones."""
-    if load_extractor is None:
+                     load_extractor=None, compat: bool = False, spans_col: str | None = None) -> DataFrame:
+    """Model rows where the model found something, regex rows for the rest. The model's
+    spans are landed ones (``spans_col``) or come from ``load_extractor``, which runs once per
+    text: its spans are staged so that both branches read the same ones."""
+    if load_extractor is None and spans_col is None:
         return regex_mentions(df, text_col, id_col, compat)
-    ex = cut_lineage(with_model_spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), load_extractor, "_t", "ents"))
+    if spans_col is not None:
+        ex = df.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(spans_col).alias("ents"))
+    else:
+        ex = cut_lineage(with_model_spans(df.select(F.col(id_col), F.col(text_col).alias("_t")), load_extractor, "_t", "ents"))
     model = _model_rows(ex, id_col)
     rest = ex.join(model.select(id_col).distinct(), id_col, "left_anti")
     return model.unionByName(regex_mentions(rest, "_t", id_col, compat))

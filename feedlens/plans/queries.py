@@ -1172,26 +1172,31 @@ def q_alias_lookup(spark, sf):
     return out.select("article_id", F.col("t").alias("candidate"), "company_name", "ticker")
 
 
-def capitalized_span_model():
-    """Stand-in entity model for the model slot (T8): capitalized word runs are
-    ORG candidates with score 0.85. Loaded once per Python worker."""
-    import re
-    pat = re.compile(r"[A-Z][A-Za-z]*(?:\.com)?(?: [A-Z][A-Za-z]*\.?)*")
+def _with_landed_spans(spark, sf) -> DataFrame:
+    """Texts with the spans that an entity model has landed for every second one: the alias
+    matches, each twice, and with a label that doesn't count at the text's start."""
+    found = mentions.regex_mentions(_doc_texts(spark, sf)).where(F.col("article_id") % 2 == 0)
+    span = F.struct("start_char", "end_char", F.lit("ORG").alias("label"), F.lit(0.85).alias("score"))
+    other = F.struct(F.lit(0).cast("long").alias("start_char"), F.lit(3).cast("long").alias("end_char"),
+                     F.lit("PERSON").alias("label"), F.lit(0.99).alias("score"))
+    landed = found.groupBy("article_id").agg(F.collect_list(span).alias("s"))
+    return (_doc_texts(spark, sf).join(landed, "article_id", "left")
+            .withColumn("spans", F.when(F.col("s").isNotNull(), F.concat(F.array(other), F.col("s"), F.col("s")))).drop("s"))
 
-    def extract(text):
-        return [{"start_char": m.start(), "end_char": m.end(), "label": "ORG", "score": 0.85}
-                for m in pat.finditer(text)]
-    return extract
 
+def _landed_sql(where: str) -> str:
+    cols = _MENT_COLS.replace("confidence", "CASE WHEN article_id % 2 = 0 THEN 0.85::DOUBLE ELSE confidence END AS confidence")
+    return f"WITH {O.mentions_sql(O.doc_mention_texts_sql())}\nSELECT {cols} FROM ments WHERE {where}"
 
-@register("mention_model")
+
+@register("mention_model", _landed_sql("article_id % 2 = 0"))
 def q_mention_model(spark, sf):
-    return mentions.model_mentions(_doc_texts(spark, sf), capitalized_span_model)
+    return mentions.landed_mentions(_with_landed_spans(spark, sf), "spans")
 
 
-@register("mention_fallback")
+@register("mention_fallback", _landed_sql("true"))
 def q_mention_fallback(spark, sf):
-    return mentions.extract_mentions(_doc_texts(spark, sf), load_extractor=capitalized_span_model)
+    return mentions.extract_mentions(_with_landed_spans(spark, sf), spans_col="spans")
 
 
 # ------------------------------------------------------------------ T22, A7 ---------------

@@ -32,6 +32,7 @@ def build_session(master: str | None = None, app: str = "feedlens",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FEEDLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -126,4 +127,6 @@ def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints of finished steps go when their DataFrames do
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
