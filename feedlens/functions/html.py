@@ -92,7 +92,7 @@ def decode_entities(text: Column) -> Column:
 
     refs = F.transform(F.regexp_extract_all(text, F.lit(f"({both})"), F.lit(1)), of)
     joined = F.array_join(F.zip_with(F.split(text, both, -1), refs, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
-    return F.when(text.rlike(both), joined).otherwise(text)
+    return F.when(text.contains("&") & text.rlike(both), joined).otherwise(text)
 
 
 def with_main_text(df: DataFrame, html_col: str, out: str) -> DataFrame:
