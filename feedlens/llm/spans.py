@@ -142,6 +142,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
     every = edges(docs, window, k)
     vertices = (every.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("lo"), F.max("words").alias("hi"))
                 .where("n > 1").select("vertex", (F.col("lo") != F.col("hi")).alias("branching")))
+    # What a hot key is joined with is staged first: then both sides are plain shuffles, and
+    # Spark can split the hot one.
+    vertices = staged(vertices, "vertices")
     held = staged(every.join(vertices, "vertex"), "edges")
     full = F.expr("shiftleft(1L, cast(shiftright(spot, 8) & 255 as int) + 1) - 1")
     first = F.shiftright(F.col("spot"), 16)
@@ -175,8 +178,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
     found = staged(arrow_map(keyed(docs).join(asked, ["id", "check"]).select("text", "edges"), look_up,
                              "vertex long, words long, n long, bit int, place int, digest long"), "windows")
     seen = found.groupBy("vertex", "place", "digest").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    seen = staged(seen, "seen")
     masks = (found.drop("n").join(seen, ["vertex", "place", "digest"], "left_semi")
              .groupBy("vertex", "words").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")))
+    masks = staged(masks, "masks")
     branched = forks.join(masks, ["vertex", "words"]).select("id", "check", first.alias("first"), "mask")
     return straight.unionByName(branched)
 
