@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, staged, texts_of
 
 END_ID = 0          # closes a document
 CONTEXT = 1024
-TIERS = (1024, 512, 256, 128)  # upper lengths of the packing tiers
+TIERS = (1024, 512, 256, 128)  # window sizes of the packing tiers
 BLOCK = 256         # lengths per block of the suffix sums
 
 
@@ -122,14 +123,28 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "sequence_id long, offset long, tier int, step_group int")
 STEP_GROUPS = 8
 HELD = 4096  # remainders packed together; bounds a task's memory to HELD * CONTEXT ids
+TASK_SHIFT = 33  # a task's sequences are numbered from (partition << TASK_SHIFT)
 
 
-def fill_windows(lengths: np.ndarray, context: int = CONTEXT) -> tuple[list[list[int]], list[int]]:
-    """Packs items (each shorter than ``context``) into windows: full ones, and the rest.
+def tiers_of(context: int) -> tuple[int, ...]:
+    """Window sizes, the longest first."""
+    return (context, *(t for t in TIERS if t < context))
 
-    Items are routed to tiers by length. From the longest tier down, an item opens a
-    window and the gap is filled with the longest items that fit, which come from its own
-    tier or shorter ones. Returns (windows as lists of items, the fill of each)."""
+
+def tier_of(length: int, tiers: tuple[int, ...]) -> int:
+    """The shortest tier that holds ``length`` ids."""
+    return next(t for t in reversed(tiers) if length <= t)
+
+
+def fill_windows(lengths: np.ndarray, context: int = CONTEXT, tiers: tuple[int, ...] = ()) -> tuple[list[list[int]], list[int]]:
+    """Packs items (none longer than ``context``) into windows of ``tiers`` (by default
+    ``context`` alone), uncut.
+
+    Longest first, an item opens a window of its own tier (see ``tier_of``), and the gap is
+    filled with the longest items that fit, which come from shorter tiers, or in the
+    shortest from its own. Returns (windows as lists of items, the opening one first, the
+    fill of each)."""
+    tiers = tiers or (context,)
     by_len: list[list[int]] = [[] for _ in range(context + 1)]
     for i in range(len(lengths) - 1, -1, -1):
         by_len[int(lengths[i])].append(i)
@@ -148,9 +163,9 @@ def fill_windows(lengths: np.ndarray, context: int = CONTEXT) -> tuple[list[list
     windows, fills = [], []
     while there:
         i, fill = take(context)
-        window = [i]
-        while fill < context:
-            i, n = take(context - fill)
+        window, size = [i], tier_of(fill, tiers)
+        while fill < size:
+            i, n = take(size - fill)
             if i < 0:
                 break
             window.append(i)
@@ -160,40 +175,98 @@ def fill_windows(lengths: np.ndarray, context: int = CONTEXT) -> tuple[list[list
     return windows, fills
 
 
+def cut_windows(lengths: list[int], tiers: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
+    """Packs items like ``fill_windows``, but a gap that no item fits takes the head of the
+    shortest one left, whose tail goes to the tier of its own length: all windows are full
+    but the last. Returns windows as lists of (item, start, length)."""
+    left = sorted((n, -i, 0) for i, n in enumerate(lengths))
+    windows = []
+    while left:
+        n, i, start = left.pop()
+        window, room = [(-i, start, n)], tier_of(n, tiers) - n
+        while room and left:
+            at = bisect_right(left, room, key=lambda x: x[0])
+            n, i, start = left.pop(max(at - 1, 0))
+            if n > room:
+                insort(left, (n - room, i, start + room))
+                n = room
+            window.append((-i, start, n))
+            room -= n
+        windows.append(window)
+    return windows
+
+
+def deal_groups(counts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, list[int], int]]:
+    """(task, tier, full windows, ids of the task's window short of full or 0) ->
+    (task, tier, groups that its full windows go to in turn, group of the short one).
+
+    In each tier the full windows of all tasks go round the groups in one turn, which
+    starts at the group with the fewest ids so far; the short windows, longest first, go
+    where the tier has the fewest ids. So groups differ by one window at most in any tier."""
+    total = [0] * STEP_GROUPS
+    out = []
+    for tier in sorted({c[1] for c in counts}, reverse=True):
+        here = sorted(c for c in counts if c[1] == tier)
+        order = sorted(range(STEP_GROUPS), key=lambda g: (total[g], g))
+        done, firsts = 0, {}
+        for task, _, full, _ in here:
+            firsts[task] = done % STEP_GROUPS
+            done += full
+        load = [0] * STEP_GROUPS
+        for k, g in enumerate(order):
+            load[g] = tier * ((done + STEP_GROUPS - 1 - k) // STEP_GROUPS)
+        short = {}
+        for task, _, _, ids in sorted(here, key=lambda c: (-c[3], c[0])):
+            if ids:
+                g = short[task] = min(range(STEP_GROUPS), key=lambda g: (load[g], total[g], g))
+                load[g] += ids
+        total = [a + b for a, b in zip(total, load)]
+        out += [(task, tier, order[at:] + order[:at], short.get(task, 0)) for task, at in firsts.items()]
+    return out
+
+
 def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT) -> DataFrame:
     """One row per piece: see ``PIECES``.
 
     A document is its ids and id 0. Whole windows of a long document become sequences of
     their own; the remainder is routed to a tier by length and packed with the remainders
-    of the same task, ``HELD`` at a time: long ones open a window, gaps are filled from
-    shorter tiers. Windows short of full are held over and opened again with the next
-    remainders; what is left at the end of a task is merged by cutting pieces, so a task
-    pads one window at most. ``step_group`` deals sequences of equal size class in turn,
-    so groups hold equal numbers of tokens.
+    of the same task, ``HELD`` at a time: each tier has windows of its own size, and gaps
+    are filled from shorter tiers. Windows short of full are held over and opened again with
+    the next remainders; once they are half of ``HELD``, and at the end of a task, gaps are
+    filled by cutting pieces, so a task has one window short of full at most. ``tier`` is
+    the size of the sequence's window.
+
+    ``step_group`` is dealt per tier over all tasks (see ``deal_groups``): the pieces are
+    staged, and a table of each task's windows per tier gives the places of its turns.
 
     A task's sequences are numbered from (partition << 33), and rows keep the order in
     which the scan delivers them, so a retried task gives the same rows.
     Null or empty text: one piece of length 1 (id 0). Repeated rows and null doc_ids are
     packed like any other row. An empty table gives no rows; extra columns are ignored."""
     path = path or default_tokenizer()
+    tiers = tiers_of(context)
 
     def crc(ids: np.ndarray) -> int:
         return zlib.crc32(ids.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
-        base = TaskContext.get().partitionId() << 33
+        base = TaskContext.get().partitionId() << TASK_SHIFT
         enc = encoder(path)
         made = 0
+        turns = dict.fromkeys(tiers, 0)
         rows: list[tuple] = []
 
-        def emit(window: list[tuple], fill: int) -> None:
+        def emit(window: list[tuple], tier: int) -> None:
+            """``step_group`` is the window's turn in its task and tier here, -1 if it is short of full."""
             nonlocal made
             at = 0
-            tier = next((t for t in reversed(TIERS) if fill <= t), context)
+            full = sum(len(ids) for _, _, ids, _ in window) == tier
             for doc, start, ids, total in window:
-                rows.append((doc, start, len(ids), crc(ids), total, base + made, at, tier, made % STEP_GROUPS))
+                rows.append((doc, start, len(ids), crc(ids), total, base + made, at, tier,
+                             turns[tier] % STEP_GROUPS if full else -1))
                 at += len(ids)
+            turns[tier] += full
             made += 1
 
         def flush() -> pa.RecordBatch:
@@ -205,28 +278,23 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         def pack_held(held: list[tuple], last: bool) -> list[tuple]:
-            windows, fills = fill_windows(np.array([len(x[2]) for x in held], dtype=np.int64), context)
+            windows, fills = fill_windows(np.array([len(x[2]) for x in held], dtype=np.int64), context, tiers)
             over: list[tuple] = []
             for items, fill in zip(windows, fills):
-                if fill == context:
-                    emit([held[i] for i in items], fill)
+                tier = tier_of(len(held[items[0]][2]), tiers)
+                if fill == tier:
+                    emit([held[i] for i in items], tier)
                 else:
                     over.extend(held[i] for i in items)
             if not last and len(over) < HELD // 2:
                 return over
-            window, fill = [], 0
-            for doc, start, ids, total in over:  # cut freely: full windows but for the last
-                while len(ids):
-                    part = ids[:context - fill]
-                    window.append((doc, start, part, total))
-                    fill, start, ids = fill + len(part), start + len(part), ids[len(part):]
-                    if fill == context:
-                        emit(window, fill)
-                        window, fill = [], 0
-            if last and window:
-                emit(window, fill)
-                window = []
-            return window
+            for pieces in cut_windows([len(x[2]) for x in over], tiers):
+                window = [(over[i][0], over[i][1] + s, over[i][2][s:s + n], over[i][3]) for i, s, n in pieces]
+                tier = tier_of(pieces[0][2], tiers)
+                if not last and sum(n for _, _, n in pieces) < tier:
+                    return window
+                emit(window, tier)
+            return []
 
         held: list[tuple] = []
         for b in batches:
@@ -247,4 +315,13 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT) -> Da
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES), "pack")
+    task = F.shiftright("sequence_id", TASK_SHIFT)
+    short = F.col("step_group") < 0
+    counts = (pieces.groupBy(task.alias("task"), "tier")
+              .agg(F.count(F.when(~short & (F.col("offset") == 0), 1)), F.coalesce(F.sum(F.when(short, F.col("length"))), F.lit(0))))
+    dealt = docs.sparkSession.createDataFrame(deal_groups([tuple(r) for r in counts.collect()]),
+                                              "__task long, tier int, __groups array<int>, __short int")
+    return (pieces.withColumn("__task", task).join(F.broadcast(dealt), ["__task", "tier"])
+            .withColumn("step_group", F.when(short, F.col("__short")).otherwise(F.get("__groups", F.col("step_group"))))
+            .select(*[x.split()[0] for x in PIECES.split(", ")]))

@@ -107,3 +107,53 @@ def test_packing_holds_few_remainders(spark, monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 16)  # pickled with the function in local tests: only the driver's value counts
     total, padded = check_packing(spark.createDataFrame([doc(i, "w " * (600 + i % 3)) for i in range(100)], DOCS).coalesce(1))
     assert padded < 1024
+
+
+def test_windows_of_each_tier():
+    rng = np.random.default_rng(5)
+    tiers = tokens.tiers_of(1024)
+    n = rng.integers(1, 300, 2000)
+    windows, fills = tokens.fill_windows(n, 1024, tiers)
+    sizes = [tokens.tier_of(n[w[0]], tiers) for w in windows]
+    assert set(sizes) == {512, 256, 128} and sorted(i for w in windows for i in w) == list(range(2000))
+    assert all(sum(n[i] for i in w) == f <= s for w, f, s in zip(windows, fills, sizes))
+    assert all(tokens.tier_of(n[i], tiers) < s for w, s in zip(windows, sizes) if s > 128 for i in w[1:])
+    cut = tokens.cut_windows(n.tolist(), tiers)
+    assert all(sum(x[2] for x in w) == tokens.tier_of(w[0][2], tiers) for w in cut[:-1])
+    covered = defaultdict(list)
+    for i, start, size in (x for w in cut for x in w):
+        covered[i].extend(range(start, start + size))
+    assert all(sorted(covered[i]) == list(range(k)) for i, k in enumerate(n))
+
+
+def test_packed_tiers_and_step_groups(spark):
+    rng = np.random.default_rng(2)
+    many = [doc(i, "word " * int(n)) for i, n in enumerate(rng.integers(0, 1500, 300))]
+    many += [doc(1000 + i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 400, 1200))]
+    docs = spark.createDataFrame(many, DOCS).repartition(12)
+    check_packing(docs)
+    sequences = defaultdict(list)
+    for r in tokens.pack(docs, PATH).collect():
+        sequences[r["sequence_id"]].append(r)
+    load = defaultdict(lambda: [0] * tokens.STEP_GROUPS)
+    short = defaultdict(int)
+    for sid, pieces in sequences.items():
+        (tier,), (group,) = {r["tier"] for r in pieces}, {r["step_group"] for r in pieces}
+        fill = sum(r["length"] for r in pieces)
+        assert fill <= tier
+        load[tier][group] += fill
+        short[sid >> tokens.TASK_SHIFT] += fill < tier
+    assert set(load) == set(tokens.TIERS) and max(short.values()) == 1
+    assert all(max(x) - min(x) <= tier for tier, x in load.items())
+
+
+def test_step_groups_are_dealt_over_all_tasks():
+    counts = [(task, tier, task % 3, 0 if tier != 512 else 257 + task) for task in range(100) for tier in (1024, 512)]
+    load = defaultdict(lambda: [0] * tokens.STEP_GROUPS)
+    for (_, _, full, ids), (task, tier, groups, g) in zip(sorted(counts, key=lambda c: (-c[1], c[0])), tokens.deal_groups(counts)):
+        assert sorted(groups) == list(range(tokens.STEP_GROUPS))
+        for k in range(full):
+            load[tier][groups[k]] += tier
+        load[tier][g] += ids
+    assert all(max(x) - min(x) <= tier for tier, x in load.items())
+    assert tokens.deal_groups([]) == []
