@@ -20,6 +20,7 @@ teach nothing; empty tables give no rows; repeated rows count as often as they o
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,14 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extended, texts_of, unused
+from .common import arrow_map, extended, texts_of
 
 DIM = 1024
 NGRAM = 3
 SEED = 2024
 SHARPNESS = 12.0
 MAX_LANGUAGES = 2000
-MIN_COSINE = 0.05    # below: none of the learned languages (any text in one of them lies far above)
+MAX_SCRIPTS = 1000   # more than first words of letters' names
+# Limits of the language stage, by whole held-out documents of sf0.1 with SHORT distinct
+# n-grams or more (lowest centred cosine 0.106, lowest cosine 0.22) and by Finnish, Italian,
+# Indonesian and Polish sentences and random letters (centred 0.085, cosine 0.20 at most).
+MIN_CENTRED = 0.1    # cosine to the best prototype, both less the prototypes' mean
+MIN_ALONE = 0.2      # the same, when one language is learned and there is no mean to take off
+NEAR = 0.5           # plain cosine of a text that is known however alike the languages are
+SHORT = 48           # distinct n-grams; below, cosines tell nothing
 UNKNOWN = "und"
 SPACE = 32
 NOT_LETTERS = re.compile(r"[\W\d_]+")  # letters are word characters but digits and "_"
@@ -98,8 +106,27 @@ def bundle(codes: np.ndarray, step: int = 2048) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototype of each language in ``docs`` (text, lang), from all its texts."""
+@lru_cache(maxsize=1 << 16)
+def script(code: int) -> str:
+    """A letter's script, as its Unicode name begins."""
+    return unicodedata.name(chr(code), "").split(" ")[0]
+
+
+def scripts_of(codes: np.ndarray) -> dict[str, int]:
+    """Letters of each script in a text's ``grams`` (every letter is the middle of one)."""
+    letters, n = np.unique((codes >> 21) & 0x1FFFFF, return_counts=True)
+    out: dict[str, int] = {}
+    for code, k in zip(letters.tolist(), n.tolist()):
+        if code != SPACE:
+            out[script(code)] = out.get(script(code), 0) + k
+    return out
+
+
+def train(docs: DataFrame, scripts: set[str] | None = None) -> dict[str, np.ndarray]:
+    """Prototype of each language in ``docs`` (text, lang), from all its texts; their scripts
+    are added to ``scripts``, if it is given."""
+    with_scripts = scripts is not None
+
     def run(batches: Iterator[pa.RecordBatch]):
         total: dict[str, np.ndarray] = {}
         for b in batches:
@@ -107,7 +134,10 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
             for text, lang in zip(texts_of(b), b.column(b.schema.get_field_index("lang")).to_pylist()):
                 by.setdefault(lang, []).append(grams(text))
             for lang, codes in by.items():
-                total[lang] = total.get(lang, 0) + bundle(np.concatenate(codes))
+                joined = np.concatenate(codes)
+                total["L" + lang] = total.get("L" + lang, 0) + bundle(joined)
+                if with_scripts:
+                    total |= {"S" + x: np.ones(1) for x in scripts_of(joined)}
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()],
                                                                               pa.list_(pa.float64()))], ["lang", "v"])
@@ -116,14 +146,17 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
     sums = (parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
             .select("lang", F.transform("v", lambda p: p["x"]).alias("v")))
-    got = sums.limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
+    got = sums.limit(MAX_LANGUAGES + MAX_SCRIPTS + 1).collect()
+    if sum(r["lang"][0] == "L" for r in got) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r["lang"]: np.array(r["v"]) for r in sorted(got, key=lambda r: r["lang"]) if np.any(r["v"])}
+    if with_scripts:
+        scripts |= {r["lang"][1:] for r in got if r["lang"][0] == "S"}
+    return {r["lang"][1:]: np.array(r["v"]) for r in sorted(got, key=lambda r: r["lang"]) if r["lang"][0] == "L" and np.any(r["v"])}
 
 
-def classifier(prototypes: dict[str, np.ndarray]):
-    """texts -> (languages, scores, cosines)."""
+def nearest(prototypes: dict[str, np.ndarray]):
+    """n-gram codes -> (centred cosine to each prototype, largest plain cosine); None if there
+    is nothing to compare."""
     names = list(prototypes)
     if names:
         unit = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names])
@@ -131,38 +164,66 @@ def classifier(prototypes: dict[str, np.ndarray]):
         own = unit - centre
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
 
-    def predict(texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
-        langs, scores, cosines = [], [], []
+    def compare(codes: np.ndarray) -> tuple[np.ndarray, float] | None:
+        v = bundle(codes) if len(codes) and names else None
+        size = np.linalg.norm(v) if v is not None else 0.0
+        if not size:
+            return None
+        v = v / size
+        off = v - centre
+        return own @ off / max(np.linalg.norm(off), 1e-12), float((unit @ v).max())
+    return compare
+
+
+def classifier(prototypes: dict[str, np.ndarray]):
+    """texts -> (languages, scores)."""
+    names, compare = list(prototypes), nearest(prototypes)
+
+    def predict(texts: list[bytes]) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
         for t in texts:
-            codes = grams(t)
-            v = bundle(codes) if len(codes) and names else None
-            size = np.linalg.norm(v) if v is not None else 0.0
-            if not size:
-                langs.append(UNKNOWN), scores.append(0.0), cosines.append(0.0)
+            got = compare(grams(t))
+            if got is None:
+                langs.append(UNKNOWN), scores.append(0.0)
                 continue
-            v = v / size
-            off = v - centre
-            cos = own @ off / max(np.linalg.norm(off), 1e-12)
+            cos = got[0]
             e = np.exp(SHARPNESS * (cos - cos.max()))
             best = int(cos.argmax())
-            langs.append(names[best]), scores.append(float(e[best] / e.sum())), cosines.append(float((unit @ v).max()))
-        return langs, scores, cosines
+            langs.append(names[best]), scores.append(float(e[best] / e.sum()))
+        return langs, scores
     return predict
 
 
+def recogniser(prototypes: dict[str, np.ndarray], scripts: set[str]):
+    """text -> whether it is in a learned language: short texts (by distinct n-grams, so
+    repeats add nothing) if at least half of their letters are in learned scripts, others by
+    their cosines. With nothing learned, any text with letters."""
+    compare = nearest(prototypes)
+    limit = MIN_CENTRED if len(prototypes) > 1 else MIN_ALONE
+
+    def known(text: bytes) -> bool:
+        codes = grams(text)
+        if not len(codes) or not prototypes:
+            return len(codes) > 0
+        if len(np.unique(codes)) < SHORT:
+            of = scripts_of(codes)
+            return 2 * sum(n for x, n in of.items() if x in scripts) >= sum(of.values())
+        got = compare(codes)
+        return got is not None and bool(got[0].max() >= limit or got[1] >= NEAR)
+    return known
+
+
 def held_out(modulus: int = 3, fold: int = 1, c: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % modulus == fold, F.lit(False))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_pred: str = "lang_pred", score: str = "score",
-            cosine: str = "cosine") -> DataFrame:
-    """``docs`` and the named columns: language, score, cosine to the nearest prototype."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` and the named columns: language, score."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores, cosines = classifier(prototypes)(texts_of(batch))
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64())],
-            [*batch.schema.names, lang_pred, score, cosine])
-    return arrow_map(docs, run, extended(docs.schema, **{lang_pred: "string", score: "double", cosine: "double"}))
+        langs, scores = classifier(prototypes)(texts_of(batch))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                          [*batch.schema.names, lang_pred, score])
+    return arrow_map(docs, run, extended(docs.schema, **{lang_pred: "string", score: "double"}))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -172,9 +233,14 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(d.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_language(docs: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """The documents whose language is known; rejected are texts without letters and those
-    whose nearest prototype has a cosine below ``min_cosine``. Columns as in ``docs``."""
-    lang_pred, score, cosine = unused(docs.columns, "__lang_pred", "__score", "__cosine")
-    scored = predict(docs, train(docs.where(~held_out())), lang_pred, score, cosine)
-    return scored.where((F.col(lang_pred) != UNKNOWN) & (F.col(cosine) >= min_cosine)).select(*docs.columns)
+def keep_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language is known (see ``recogniser``); rejected are texts without
+    letters, short texts in other scripts and longer ones unlike every learned language.
+    Columns as in ``docs``."""
+    scripts: set[str] = set()
+    prototypes = train(docs.where(~held_out()), scripts)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = recogniser(prototypes, scripts)
+        return batch.filter(pa.array([known(t) for t in texts_of(batch)], pa.bool_()))
+    return arrow_map(docs, run, docs.schema)

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from feedlens.llm import langid
 from feedlens.llm.common import load
 from helpers import DOCS, awkward, doc, no_docs
@@ -40,3 +42,23 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([doc(1, "some text", None), doc(2, "other", None)], DOCS)
     assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"und"}
     assert langid.identify(no_docs(spark)).count() == 0 and langid.keep_language(no_docs(spark)).count() == 0
+
+
+def test_short_clean_texts_stay_and_foreign_or_gibberish_texts_go(spark):
+    labelled = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    short = labelled.where("length(text) <= 60")
+    fi = ("Suomen kieli kuuluu uralilaisiin kieliin ja sitä puhuu yli viisi miljoonaa ihmistä pääasiassa Suomessa mutta myös "
+          "Ruotsissa ja Virossa, ja monet viettävät kesälomansa järven rannalla mökillä.")
+    it = ("La città è famosa per le sue piazze antiche e per i mercati che si tengono ogni settimana nel centro storico, e gli "
+          "abitanti parlano volentieri con i visitatori.")
+    idn = ("Masyarakat desa itu bekerja bersama untuk membangun jembatan baru yang akan menghubungkan dua sungai besar, dan "
+           "setiap pagi mereka berkumpul di lapangan.")
+    rng = np.random.default_rng(4)
+    junk = " ".join("".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(5000))
+    more = [(-1, "Avec.", None), (-2, "A.", None), (-3, "This.", None), (-4, "Èrépa " * 2000, None),
+            (-11, fi, None), (-12, it, None), (-13, idn, None), (-14, junk, None), (-15, "Привет", None), (-16, "你好", None)]
+    docs = labelled.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    got = {r["doc_id"] for r in langid.keep_language(docs).collect()}
+    assert {i for i in got if i < 0} == {-1, -2, -3, -4}
+    letters = {r["doc_id"] for r in labelled.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert letters <= got and short.count() > 0
