@@ -236,9 +236,10 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_language(docs: DataFrame) -> DataFrame:
     """The documents whose language is known (see ``recogniser``); rejected are texts without
     letters, short texts in other scripts and longer ones unlike every learned language.
+    It learns from every row with text and lang (``held_out`` is for ``identify`` alone).
     Columns as in ``docs``."""
     scripts: set[str] = set()
-    prototypes = train(docs.where(~held_out()), scripts)
+    prototypes = train(docs, scripts)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = recogniser(prototypes, scripts)

@@ -62,3 +62,16 @@ def test_short_clean_texts_stay_and_foreign_or_gibberish_texts_go(spark):
     assert {i for i in got if i < 0} == {-1, -2, -3, -4}
     letters = {r["doc_id"] for r in labelled.collect() if any(map(str.isalpha, r["text"] or ""))}
     assert letters <= got and short.count() > 0
+
+
+def test_the_stage_learns_from_every_labelled_row(spark):
+    out = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [doc(i, "the cat and the dog went with the others") for i in range(20)]
+    rows.append(doc(out, "Сегодня утром мы вместе пошли на рынок за свежим хлебом и молоком", "ru"))
+    got = langid.keep_language(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(20), out]
+
+
+def test_the_stage_keeps_letters_when_nothing_is_learned(spark):
+    rows = [doc(1, "some text", None), doc(2, "другой", None), doc(3, "12 !!", None), doc(4, None, None), doc(5, "", "en")]
+    assert sorted(r["doc_id"] for r in langid.keep_language(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2]
