@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, lm, merkle, mixing, simhash, spans, tokens, warc
+from . import ann, langid, lm, manifest, merkle, mixing, simhash, spans, tokens, warc
 from .common import load
 
 
@@ -52,9 +52,15 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_token_counts, op3_span_dedup, op4_merkle_fingerprint, op5_simhash_groups,
-    op6_nearest_neighbours, op7_language_id, op8_lm_score, op9_pack_sequences, op10_warc_round_trip)}
+    op6_nearest_neighbours, op7_language_id, op8_lm_score, op9_pack_sequences, op10_warc_round_trip,
+    op13_dataset_manifest)}
 
 ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op3_span_dedup": spans.ORACLE,
-                          "op4_merkle_fingerprint": merkle.ORACLE, "op10_warc_round_trip": warc.ORACLE}
+                          "op4_merkle_fingerprint": merkle.ORACLE, "op10_warc_round_trip": warc.ORACLE,
+                          "op13_dataset_manifest": manifest.ORACLE}
