@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, lm, manifest, merkle, mixing, simhash, spans, tokens, warc
+from . import ann, langid, lm, manifest, merkle, mixing, quality, search, simhash, spans, tokens, warc
 from .common import load
 
 
@@ -52,6 +52,14 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(load(spark, sf_dir, "documents"))
 
@@ -59,8 +67,8 @@ def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_token_counts, op3_span_dedup, op4_merkle_fingerprint, op5_simhash_groups,
     op6_nearest_neighbours, op7_language_id, op8_lm_score, op9_pack_sequences, op10_warc_round_trip,
-    op13_dataset_manifest)}
+    op11_ranked_search, op12_quality_rules, op13_dataset_manifest)}
 
 ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op3_span_dedup": spans.ORACLE,
                           "op4_merkle_fingerprint": merkle.ORACLE, "op10_warc_round_trip": warc.ORACLE,
-                          "op13_dataset_manifest": manifest.ORACLE}
+                          "op11_ranked_search": search.ORACLE, "op12_quality_rules": quality.ORACLE, "op13_dataset_manifest": manifest.ORACLE}
