@@ -1,10 +1,8 @@
 """Summaries.
 
 ``Summarizer`` is a ``DataFrame -> DataFrame`` transform over (id, text) with a name
-that fills ``summarized_by``. The truncation summarizer is a projection. Extractive
-rankers split sentences in Spark; Luhn is array work inside each document row; the
-graph and SVD rankers work on one document's sentence matrix at a time in numpy
-inside ``mapInPandas`` (a document is one row, so nothing is shuffled or gathered).
+that fills ``summarized_by``. The truncation summarizer is a projection; the extractive
+ones take their sentence scores from ``rankers``.
 """
 
 from __future__ import annotations
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped_length_at_least, truncate_words, word_count
+from ..session import cut_lineage
+from . import rankers
 
 NO_CONTENT = "No content available to summarize."
 
@@ -50,11 +50,6 @@ def summary_record(articles: DataFrame, summarizer: Summarizer, max_length: int
 
 # --- extractive rankers (T19) -------------------------------------------------------------
 
-# Function words left out of sentence scoring (our list; the ranking is our own
-# re-statement of the classic methods, not a copy of any library's).
-STOP_WORDS = ("a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "with",
-              "from", "as", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that",
-              "these", "those", "he", "she", "they", "we", "you", "i", "not", "no", "so", "if", "than")
 MIN_CHARS = 100
 
 
@@ -62,144 +57,67 @@ def sentence_count(max_length: int) -> int:
     return max(2, max_length // 20)
 
 
-class LuhnSummarizer(Summarizer):
-    """Luhn: words (lowercased, function words dropped) seen at least twice in the
-    document are significant; a sentence scores sig^2 / words; the best n sentences
-    (ties: earlier first) are joined in document order.
-
-    Done inside each document row (a document is one row already): the repeated
-    words come from one sort of the document's tokens, so no token is shuffled. Every
-    lambda receives the arrays it reads as arguments (``array_repeat``), never as
-    captured columns, so nothing is re-evaluated per element."""
-    name = "sumy-luhn"
-
-    def summarize(self, df, id_col, text_col, max_length):
-        from .mentions import sentences
-        from .scoring import TOKEN_SPLIT
-        n = sentence_count(max_length)
-        d = df.withColumn("_ss", sentences(text_col))
-        d = d.withColumn("_tk", F.transform("_ss", lambda s: F.filter(
-            F.split(F.lower(s), TOKEN_SPLIT), lambda t: (t != "") & ~t.isin(*STOP_WORDS))))
-        srt = F.array_sort(F.flatten("_tk"))
-        rep = F.array_distinct(F.filter(F.zip_with(srt, F.slice(srt, 2, F.size(srt)),
-                                                   lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-        d = d.withColumn("_rep", rep)
-        scored = F.zip_with(F.col("_tk"), F.array_repeat(F.col("_rep"), F.size("_tk")), lambda tk, r: F.when(
-            F.size(tk) > 0, F.pow(F.size(F.filter(tk, lambda t: F.array_contains(r, t))), 2) / F.size(tk)
-        ).otherwise(F.lit(0.0)))
-        ranked = F.transform(scored, lambda sc, k: F.struct((-sc).alias("ns"), k.alias("k")))
-        chosen = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, n), lambda x: x["k"]))
-        d = d.withColumn("_ch", chosen)
-        joined = F.array_join(F.zip_with(F.col("_ch"), F.array_repeat(F.col("_ss"), F.size("_ch")),
-                                         lambda k, ss: F.get(ss, k)), " ")
-        t = F.col(text_col)
-        summary = (F.when(t.isNull() | ~stripped_length_at_least(t, MIN_CHARS), t)
-                   .when(F.coalesce(joined, F.lit("")) == "", F.left(t, F.lit(500))).otherwise(joined))
-        return d.withColumn("summary", summary).drop("_ss", "_tk", "_rep", "_ch")
-
-
-class MatrixSummarizer(Summarizer):
-    """textrank / lexrank / lsa: rank one document's sentences from its sentence-term
-    matrix in numpy (per document row inside ``mapInPandas``; no shuffle).
-
-    * lexrank: tf-idf cosine graph (edges >= 0.1), degree-normalized, power iteration
-    * textrank: word-overlap similarity / (log|a| + log|b|), damping 0.85
-    * lsa: SVD of the term-sentence matrix, score = sqrt(sum_k (s_k v_k)^2)
-    """
+class RankedSummarizer(Summarizer):
+    """The best sentences of a text by one of the ``rankers``, in the text's order. Texts of
+    fewer than ``MIN_CHARS`` characters are their own summary; texts without any word (and
+    summaries that come out empty) give their first 500 characters. Null stays null, repeated
+    texts are ranked once, ids are never looked at."""
 
     def __init__(self, algorithm: str):
-        if algorithm not in ("lexrank", "textrank", "lsa"):
+        if algorithm not in rankers.RANKERS:
             raise ValueError("algorithm must be one of: lsa, textrank, lexrank, luhn")
         self.algorithm = algorithm
         self.name = f"sumy-{algorithm}"
 
     def summarize(self, df, id_col, text_col, max_length):
-        from .mentions import sentences
-        algo, n = self.algorithm, sentence_count(max_length)
-        d = df.withColumn("_sents", sentences(text_col))
-
-        def run(it):
-            for pdf in it:
-                pdf = pdf.copy()
-                pdf["summary"] = [_ranked_or_cut(t, s, algo, n) for t, s in zip(pdf[text_col], pdf["_sents"])]
-                yield pdf.drop(columns=["_sents"])
-
-        from pyspark.sql import types as T
-        schema = T.StructType(list(df.schema.fields) + [T.StructField("summary", T.StringType())])
-        return d.mapInPandas(run, schema)
+        t = F.col(text_col)
+        long = t.isNotNull() & stripped_length_at_least(t, MIN_CHARS)
+        sents = rankers.sentence_rows(df.where(long).select(text_col), text_col)
+        best = rankers.best_sentences(sents, rankers.RANKERS[self.algorithm](sents), sentence_count(max_length))
+        # staged, so that Spark can split the texts' side where one text has very many copies
+        best = cut_lineage(best.withColumnRenamed("key", "_key").withColumnRenamed("best", "_best"))
+        keyed = df.withColumn("_key", F.when(long, rankers.text_key(t))).withColumn(
+            "summary", F.when(long, F.left(t, F.lit(500))).otherwise(t))
+        # short texts have no key and take no part in the join
+        done = keyed.where(F.col("_key").isNull()).drop("_key")
+        ranked = keyed.where(F.col("_key").isNotNull()).join(best, "_key", "left")
+        ranked = ranked.withColumn("summary", F.coalesce(F.nullif("_best", F.lit("")), "summary"))
+        return done.unionByName(ranked.select(*done.columns))
 
 
 FAILED_WORDS = 100
 
 
-def _ranked_or_cut(text, sents, algo: str, n: int):
-    """The ranked summary; where ranking fails the first 100 words and "..."."""
+def cut_on_failure(rank, text: str | None, n: int) -> str | None:
+    """``rank(text, n)``; where it fails the first ``FAILED_WORDS`` words and "..."."""
+    if text is None:
+        return None
     try:
-        return _rank_sentences(text, sents, algo, n)
-    except Exception:  # noqa: BLE001  a document that the ranker can't handle
+        return rank(text, n)
+    except Exception:  # noqa: BLE001  a document that the plugged-in ranker can't handle
         return " ".join(text.split()[:FAILED_WORDS]) + "..."
 
 
-def _rank_sentences(text, sents, algo: str, n: int):
-    import math
-    import re
-
-    import numpy as np
-    if text is None or len(text.strip()) < MIN_CHARS:
-        return text
-    sents = list(sents) if sents is not None else []
-    toks = [[w for w in re.split(r"[^\w]+", s.lower()) if w and w not in STOP_WORDS] for s in sents]
-    vocab = {w: i for i, w in enumerate(sorted({w for t in toks for w in t}))}
-    m = len(sents)
-    if m == 0 or not vocab:
-        return text[:500]
-    tf = np.zeros((m, len(vocab)))
-    for i, t in enumerate(toks):
-        for w in t:
-            tf[i, vocab[w]] += 1
-    if algo == "lsa":
-        u, s, vt = np.linalg.svd(tf.T, full_matrices=False)
-        k = max(1, min(len(s), 3))
-        score = np.sqrt(((s[:k, None] * vt[:k, :]) ** 2).sum(axis=0))
-    else:
-        if algo == "lexrank":
-            idf = np.log(m / (1 + (tf > 0).sum(axis=0))) + 1.0
-            v = tf * idf
-            norm = np.linalg.norm(v, axis=1)
-            norm[norm == 0] = 1.0
-            sim = (v @ v.T) / np.outer(norm, norm)
-            adj = (sim >= 0.1).astype(float)
-        else:
-            sets = [set(t) for t in toks]
-            adj = np.zeros((m, m))
-            for i in range(m):
-                for j in range(i + 1, m):
-                    den = math.log(len(sets[i]) + 1) + math.log(len(sets[j]) + 1)
-                    val = len(sets[i] & sets[j]) / den if den > 0 else 0.0
-                    adj[i, j] = adj[j, i] = val
-        row = adj.sum(axis=1)
-        row[row == 0] = 1.0
-        p = adj / row[:, None]
-        damp = 0.85
-        score = np.ones(m) / m
-        for _ in range(100):
-            nxt = (1 - damp) / m + damp * p.T @ score
-            if np.abs(nxt - score).sum() < 1e-9:
-                score = nxt
-                break
-            score = nxt
-    order = sorted(range(m), key=lambda i: (-score[i], i))[:n]
-    out = " ".join(sents[i] for i in sorted(order))
-    return out if out else text[:500]
-
-
-SUMMARIZERS = {"truncate": TruncateSummarizer, "luhn": LuhnSummarizer}
+class PandasSummarizer(Summarizer):
+    """A plugged-in ranker: ``load()`` gives ``rank(text, n) -> summary``, once per worker."""
+
+    def __init__(self, name: str, load):
+        self.name, self.load = name, load
+
+    def summarize(self, df, id_col, text_col, max_length):
+        from collections.abc import Iterator
+
+        import pandas as pd
+        load, n = self.load, sentence_count(max_length)
+
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            rank = load()
+            for texts in batches:
+                yield pd.Series([cut_on_failure(rank, t, n) for t in texts], dtype=object)
+        return df.withColumn("summary", run(F.col(text_col)))
 
 
 def configure_summarizer(algorithm: str) -> Summarizer:
     """Summarizer by name; unknown names raise."""
-    if algorithm in ("lsa", "textrank", "lexrank"):
-        return MatrixSummarizer(algorithm)
-    if algorithm in SUMMARIZERS:
-        return SUMMARIZERS[algorithm]()
-    raise ValueError("algorithm must be one of: lsa, textrank, lexrank, luhn")
+    return TruncateSummarizer() if algorithm == TruncateSummarizer.name else RankedSummarizer(algorithm)

@@ -190,10 +190,17 @@ def test_failing_models_score_neutral(spark):
         assert [(r.negative, r.neutral, r.positive, r.label) for r in got] == [(0.0, 1.0, 0.0, "neutral")] * 2
 
 
-def test_failing_summarizer_cuts_after_100_words():
+def test_failing_summarizer_cuts_after_100_words(spark):
     from feedlens.operators import summarize as SM
     text = " ".join(f"w{i}" for i in range(150))
-    assert SM._ranked_or_cut(text, 5, "textrank", 3) == " ".join(f"w{i}" for i in range(100)) + "..."
+    want = " ".join(f"w{i}" for i in range(100)) + "..."
+
+    def broken(text, n):
+        raise ValueError("no ranks")
+    assert SM.cut_on_failure(broken, text, 3) == want
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, t string")
+    got = SM.PandasSummarizer("mine", lambda: broken).summarize(df, "id", "t", 100).orderBy("id").collect()
+    assert [r.summary for r in got] == [want, None]
 
 
 def test_spark_ml_scorer(spark):
