@@ -65,6 +65,9 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], preserve: tuple[
     return probed.select(*merged_exprs).unionByName(inserted.select(*insert_exprs))
 
 
+OFFSETS_TO_BROADCAST = 100_000
+
+
 def assign_dense_ids(new_rows: DataFrame, order_col: str, start_after: int, id_col: str = "id") -> DataFrame:
     """ids start_after+1, start_after+2, ... in ``order_col`` order, computed like
     zipWithIndex: range-partition by order, count rows per partition (one small row
@@ -77,7 +80,8 @@ def assign_dense_ids(new_rows: DataFrame, order_col: str, start_after: int, id_c
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     w = Window.partitionBy("_p").orderBy(order_col)
-    return (parts.join(F.broadcast(offsets), "_p")
+    few = parts.rdd.getNumPartitions() <= OFFSETS_TO_BROADCAST      # one offset per partition
+    return (parts.join(F.broadcast(offsets) if few else offsets, "_p")
             .withColumn(id_col, F.lit(start_after) + F.col("_off") + F.row_number().over(w))
             .drop("_p", "_off"))
 

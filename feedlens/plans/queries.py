@@ -894,6 +894,7 @@ def q_unanalyzed_articles(spark, sf):
 
 
 # ------------------------------------------------------------------------ summaries ----
+from ..operators import rankers as RK  # noqa: E402
 from ..operators import summarize as SM  # noqa: E402
 
 
@@ -928,44 +929,91 @@ def q_summary_record(spark, sf):
         .select("ord", "original_title", "source", "summary", "summarized_by", "original_length", "summary_length")
 
 
-def _luhn_sql(max_length: int = 200) -> str:
+def _ranked_sql(scores: str, max_length: int = 200) -> str:
+    """``scores``: CTEs ending in ``sc`` (doc_id, k, score) over ``se`` and ``inc``."""
     from ..operators.scoring import TOKEN_SPLIT
     n = SM.sentence_count(max_length)
-    stop = "[" + ", ".join(O.q(w) for w in SM.STOP_WORDS) + "]"
+    stop = "[" + ", ".join(O.q(w) for w in RK.STOP_WORDS) + "]"
     return f"""WITH d AS (SELECT doc_id, text FROM documents),
 lg AS (SELECT * FROM d WHERE length({O.strip('text')}) >= {SM.MIN_CHARS}),
 sp AS (SELECT doc_id, {O.sentences_list('text')} AS ss FROM lg),
 se AS (SELECT doc_id, k - 1 AS k, ss[k] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS k FROM sp)),
 tk AS (SELECT doc_id, k, unnest(list_filter(regexp_split_to_array(lower(sentence), {O.q(TOKEN_SPLIT)}),
-          lambda t: t <> '' AND NOT list_contains({stop}, t))) AS tok FROM se),
-fq AS (SELECT doc_id, tok, count(*) AS f FROM tk GROUP BY 1, 2),
-sc AS (SELECT doc_id, k, count(*) FILTER (WHERE f >= 2) AS sig, count(*) AS w FROM tk JOIN fq USING (doc_id, tok)
-       GROUP BY 1, 2),
-ranked AS (SELECT se.doc_id, se.k, se.sentence, coalesce(sc.sig * sc.sig / sc.w, 0.0) AS score FROM se
-           LEFT JOIN sc USING (doc_id, k)
-           QUALIFY row_number() OVER (PARTITION BY se.doc_id ORDER BY coalesce(sc.sig * sc.sig / sc.w, 0.0) DESC,
-                                      se.k) <= {n}),
+          lambda t: t <> '' AND NOT list_contains({stop}, t))) AS term FROM se),
+inc AS MATERIALIZED (SELECT doc_id, k, term, count(*) AS tf FROM tk GROUP BY ALL),
+{scores},
+ranked AS (SELECT se.doc_id, se.k, se.sentence FROM se LEFT JOIN sc USING (doc_id, k) WHERE se.doc_id IN (SELECT doc_id FROM inc)
+           QUALIFY row_number() OVER (PARTITION BY se.doc_id ORDER BY round(coalesce(sc.score, 0.0), {RK.DIGITS}) DESC, se.k) <= {n}),
 summ AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY k) AS s FROM ranked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL OR length({O.strip('d.text')}) < {SM.MIN_CHARS} THEN d.text
   WHEN coalesce(summ.s, '') = '' THEN left(d.text, 500) ELSE summ.s END AS summary
 FROM d LEFT JOIN summ USING (doc_id)"""
 
 
-@register("summary_luhn", _luhn_sql())
-def q_summary_luhn(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", "text")
-    return SM.LuhnSummarizer().summarize(d, "doc_id", "text", 200).select("doc_id", "summary")
-
-
-def _matrix_summary(algo):
+def _luhn_sql(max_length: int = 200) -> str:
+    return _ranked_sql("""fq AS (SELECT doc_id, term, sum(tf) AS f FROM inc GROUP BY ALL),
+sc AS (SELECT doc_id, k, pow(coalesce(sum(tf) FILTER (WHERE f >= 2), 0), 2) / sum(tf) AS score FROM inc JOIN fq USING (doc_id, term) GROUP BY ALL)""", max_length)
+
+
+def _walk_sql(nodes: str) -> str:
+    """CTEs of a damped walk over ``lk`` (doc_id, i, j, w) and ``nodes`` (doc_id, k)."""
+    out = ["rw AS MATERIALIZED (SELECT doc_id, i, sum(w) AS row FROM lk GROUP BY ALL)",
+           f"s0 AS (SELECT doc_id, k, 1.0::DOUBLE AS score FROM ({nodes}))"]
+    for r in range(RK.ROUNDS):
+        out.append(f"""s{r + 1} AS MATERIALIZED (SELECT doc_id, k, {1 - RK.DAMPING}::DOUBLE + {RK.DAMPING}::DOUBLE * coalesce(f, 0.0) AS score FROM s{r} LEFT JOIN (
+  SELECT lk.doc_id, j AS k, sum(w * score / row) AS f FROM lk JOIN rw ON rw.doc_id = lk.doc_id AND rw.i = lk.i
+  JOIN s{r} ON s{r}.doc_id = lk.doc_id AND s{r}.k = lk.i GROUP BY ALL) USING (doc_id, k))""")
+    return ",\n".join([*out, f"sc AS (SELECT * FROM s{RK.ROUNDS})"])
+
+
+def _textrank_sql() -> str:
+    """Every pair of sentences with a common word, written out."""
+    return _ranked_sql(f"""sz AS (SELECT doc_id, k, count(*) AS a FROM inc GROUP BY ALL),
+lk AS MATERIALIZED (SELECT c.doc_id, i, j, n / (ln(1.0 + x.a) + ln(1.0 + y.a)) AS w FROM (
+    SELECT p.doc_id, p.k AS i, q.k AS j, count(*) AS n FROM inc p JOIN inc q ON p.doc_id = q.doc_id AND p.term = q.term AND p.k <> q.k GROUP BY ALL) c
+  JOIN sz x ON x.doc_id = c.doc_id AND x.k = i JOIN sz y ON y.doc_id = c.doc_id AND y.k = j),
+{_walk_sql("SELECT doc_id, k FROM sz")}""")
+
+
+def _lexrank_sql() -> str:
+    """The cosine of every pair of sentences with a common word, then the threshold."""
+    return _ranked_sql(f"""m AS (SELECT doc_id, count(*) AS m FROM se GROUP BY ALL),
+df AS (SELECT doc_id, term, count(*) AS df FROM inc GROUP BY ALL),
+v AS MATERIALIZED (SELECT doc_id, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, k)) AS w FROM (
+    SELECT doc_id, k, term, tf * (ln(m / (1.0 + df)) + 1) AS w FROM inc JOIN df USING (doc_id, term) JOIN m USING (doc_id))),
+lk AS MATERIALIZED (SELECT p.doc_id, p.k AS i, q.k AS j, 1.0::DOUBLE AS w FROM v p JOIN v q ON p.doc_id = q.doc_id AND p.term = q.term
+  GROUP BY ALL HAVING round(sum(p.w * q.w), 9) >= {RK.LEXRANK_COSINE}),
+{_walk_sql("SELECT doc_id, k FROM se")}""")
+
+
+def _lsa_sql() -> str:
+    three = (1, 2, 3)
+    product = ("SELECT doc_id, k, " + ", ".join(f"sum(tf * z{c}) AS y{c}" for c in three) + " FROM inc JOIN (SELECT doc_id, term, "
+               + ", ".join(f"sum(tf * q{c}) AS z{c}" for c in three) + " FROM inc JOIN {q} USING (doc_id, k) GROUP BY ALL) USING (doc_id, term) GROUP BY ALL")
+    out = ["q0 AS (SELECT DISTINCT doc_id, k, " + ", ".join(f"cos((k + 1) * {c}.0) AS q{c}" for c in three) + " FROM inc)"]
+    inv = f"CASE WHEN {{d}} > {RK.RANK_EPS}::DOUBLE * {{g}} THEN 1 / sqrt({{d}}) ELSE 0.0 END"
+    for r in range(RK.LSA_ROUNDS):
+        out.append(f"y{r} AS MATERIALIZED ({product.format(q=f'q{r}')})")
+        out.append(f"g{r} AS (SELECT doc_id, " + ", ".join(f"sum(y{a} * y{b}) AS g{a}{b}" for a in three for b in three if a <= b) + f" FROM y{r} GROUP BY ALL)")
+        out.append(f"a{r} AS (SELECT *, {inv.format(d='g11', g='0.0')} AS i1 FROM g{r}), b{r} AS (SELECT *, g12 * i1 AS r12, g13 * i1 AS r13 FROM a{r}), "
+                   f"c{r} AS (SELECT *, {inv.format(d='(g22 - r12 * r12)', g='g22')} AS i2 FROM b{r}), e{r} AS (SELECT *, (g23 - r12 * r13) * i2 AS r23 FROM c{r}), "
+                   f"f{r} AS (SELECT *, {inv.format(d='(g33 - r13 * r13 - r23 * r23)', g='g33')} AS i3 FROM e{r})")
+        out.append(f"""q{r + 1} AS MATERIALIZED (SELECT doc_id, k, q1, q2, (y3 - r13 * q1 - r23 * q2) * i3 AS q3 FROM (
+  SELECT *, (y2 - r12 * q1) * i2 AS q2 FROM (SELECT *, y1 * i1 AS q1 FROM y{r} JOIN f{r} USING (doc_id))))""")
+    last = f"q{RK.LSA_ROUNDS}"
+    out.append(f"sc AS (SELECT doc_id, k, sqrt(greatest(0.0, q1 * y1 + q2 * y2 + q3 * y3)) AS score FROM ({product.format(q=last)}) JOIN {last} USING (doc_id, k))")
+    return _ranked_sql(",\n".join(out))
+
+
+def _ranked_summary(algorithm: str):
     def q(spark, sf):
         d = S.table(spark, sf, "documents").select("doc_id", "text")
-        return SM.MatrixSummarizer(algo).summarize(d, "doc_id", "text", 200).select("doc_id", "summary")
+        return SM.RankedSummarizer(algorithm).summarize(d, "doc_id", "text", 200).select("doc_id", "summary")
     return q
 
 
-for _algo in ("textrank", "lexrank", "lsa"):
-    QUERIES[f"summary_{_algo}"] = _matrix_summary(_algo)
+for _algo, _sql in (("luhn", _luhn_sql), ("textrank", _textrank_sql), ("lexrank", _lexrank_sql), ("lsa", _lsa_sql)):
+    register(f"summary_{_algo}", _sql())(_ranked_summary(_algo))
 
 
 # ------------------------------------------------------------------------ streaming ----
@@ -979,14 +1027,73 @@ def q_stream_daily_metrics(spark, sf):
 
 @register("stream_daily_metrics_late", _daily_sql(False))
 def q_stream_daily_metrics_late(spark, sf):
-    """R3 over two files, one micro-batch each: the later half of the month lands first."""
-    from ..streaming.ingest import daily_metrics_via_stream, scratch
+    """R3 over two landings, one micro-batch each: the later half of the month lands first."""
+    from ..streaming import ingest as ST
     e = S.table(spark, sf, "events")
-    root = scratch(spark, "late")
+    root = ST.scratch(spark, "late")
+    t = ST.MergeTable(spark, f"{root}/table", ST.SUMS, ST.SUMS_KEY)
     for n, part in enumerate((F.dayofmonth("ts") >= 16, F.dayofmonth("ts") < 16)):
-        e.where(part).coalesce(1).write.parquet(f"{root}/in/{n}")
-    t = daily_metrics_via_stream(spark, f"{root}/in/*", "*.parquet", S.events_to_mentions, files_per_trigger=1)
-    return t.select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+        e.where(part).write.parquet(f"{root}/in/{n}")
+        ST.stream_daily_metrics(spark, f"{root}/in/*", e.schema, t, f"{root}/_checkpoint", to_mentions=S.events_to_mentions)
+    return ST.metrics_of(t.read()).select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+@register("stream_event_time_metrics", _daily_sql(False))
+def q_stream_event_time_metrics(spark, sf):
+    """R3 with event-time state: three landings, newest days first, one row in ten a landing
+    late; the watermark is two days behind. Open, closed and late sums make batch A4."""
+    from ..streaming import ingest as ST
+    from ..streaming import stateful as SF
+    e = S.table(spark, sf, "events")
+    root = ST.scratch(spark, "event-time")
+    t = SF.daily_sums_table(spark, f"{root}/table")
+    third = F.coalesce(F.floor((F.dayofmonth("ts") - 1) / 11), F.lit(0))
+    turn = F.least(F.lit(2), 2 - third + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    for n in range(3):
+        e.where(turn == n).write.parquet(f"{root}/in/{n}")
+        m = S.events_to_mentions(spark.readStream.schema(e.schema).parquet(f"{root}/in/*"))
+        SF.stream_event_time_metrics(m, t, f"{root}/_checkpoint", "2 days")
+    return SF.event_time_metrics(t).select("date", "company_id", r9("avg_sentiment").alias("avg_sentiment"), "article_volume")
+
+
+def _expiring_sql(hours: int) -> str:
+    """From each kept row the next one of its key that is ``hours`` or more after it, in arrival order."""
+    return f"""WITH RECURSIVE r AS (SELECT {O.normalize_url('link')} AS key, ord, published_at AS t,
+    row_number() OVER (PARTITION BY {O.normalize_url('link')} ORDER BY ord % 2, ord) AS pos FROM ({O.doc_articles_sql()})),
+k AS (SELECT key, ord, t, pos FROM r WHERE pos = 1
+  UNION ALL SELECT key, ord, t, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.key ORDER BY r.pos) AS n
+    FROM k JOIN r ON r.key = k.key AND r.pos > k.pos AND r.t >= k.t + INTERVAL {hours} HOURS) WHERE n = 1)
+SELECT ord, false AS unchecked FROM k"""
+
+
+@register("stream_url_expiry", _expiring_sql(24))
+def q_stream_url_expiry(spark, sf):
+    """R2 with keyed state: two landings; a URL key comes again a day after it was last kept."""
+    from ..streaming import ingest as ST
+    from ..streaming import stateful as SF
+    root = ST.scratch(spark, "expiry")
+    arts = S.doc_articles(spark, sf).select("ord", "link", "published_at")
+    t = ST.AppendTable(spark, f"{root}/table", "ord long, unchecked boolean")
+    for n in range(2):
+        arts.where(F.col("ord") % 2 == n).write.parquet(f"{root}/in/{n}")
+        s = SF.first_per_key(spark.readStream.schema(arts.schema).parquet(f"{root}/in/*"), 24 * 3600, "30 days")
+        SF.start(s.writeStream.outputMode("append").foreachBatch(lambda df, epoch: t.append(df, epoch))
+                 .option("checkpointLocation", f"{root}/_checkpoint"), spark)
+    return t.read()
+
+
+@register("merge_table",
+          f"SELECT ord, CASE WHEN ord % 3 = 1 THEN 'again ' || link ELSE link END AS link FROM ({O.page_articles_sql()}) WHERE ord % 5 <> 2")
+def q_merge_table(spark, sf):
+    """S10, U1 on merge-on-read: all pages written, a third of them written again, a fifth
+    removed, folded into the base half-way."""
+    from ..streaming import ingest as ST
+    arts = S.page_articles(spark, sf).select("ord", "link")
+    t = ST.MergeTable(spark, f"{ST.scratch(spark, 'merge')}/table", "ord long, link string", ["ord"], compact_after=2)
+    t.write(arts, 0)
+    t.write(arts.where(F.col("ord") % 3 == 1).withColumn("link", F.concat(F.lit("again "), "link")), 1)
+    t.write(arts.limit(0), 2, gone=arts.where(F.col("ord") % 5 == 2))
+    return t.read()
 
 
 @register("stream_articles",
@@ -995,15 +1102,14 @@ def q_stream_daily_metrics_late(spark, sf):
           "AS batch_ord, a.link FROM kept JOIN (SELECT (ord % 3) * 1000000000 + ord // 3 AS ord, link FROM "
           f"({O.page_articles_sql()})) a ON a.ord = kept.ord")
 def q_stream_articles(spark, sf):
-    """R1+R2: three files, one micro-batch each, whose own orders collide."""
+    """R1+R2: three landings, one micro-batch each, whose own orders collide."""
     from ..streaming.ingest import AppendTable, scratch, stream_articles
     root = scratch(spark, "articles")
     arts = S.page_articles(spark, sf)
-    for n in range(3):
-        part = arts.where(F.col("ord") % 3 == n).withColumn("ord", F.floor(F.col("ord") / 3))
-        part.coalesce(1).write.parquet(f"{root}/in/{n}")
     t = AppendTable(spark, f"{root}/table", ", ".join(f"{c} {k}" for c, k in arts.dtypes) + ", batch_ord long")
-    stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/_checkpoint", files_per_trigger=1)
+    for n in range(3):
+        arts.where(F.col("ord") % 3 == n).withColumn("ord", F.floor(F.col("ord") / 3)).write.parquet(f"{root}/in/{n}")
+        stream_articles(spark, f"{root}/in/*", arts.schema, t, f"{root}/_checkpoint")
     return t.read().select("ord", "batch_ord", "link")
 
 
@@ -1013,14 +1119,14 @@ def q_stream_retention(spark, sf):
     """Two micro-batches, one day kept, seen from 4 January."""
     from datetime import datetime
 
-    from ..streaming.ingest import VersionedTable, scratch, stream_retention
+    from ..streaming.ingest import DayTable, scratch, stream_retention
     root = scratch(spark, "retention")
     arts = S.page_articles(spark, sf)
-    t = VersionedTable(spark, f"{root}/table", ", ".join(f"{c} {k}" for c, k in arts.dtypes))
+    t = DayTable(spark, f"{root}/table", ", ".join(f"{c} {k}" for c, k in arts.dtypes))
     for n in range(2):
         arts.where(F.col("ord") % 2 == n).write.parquet(f"{root}/in/{n}")
         stream_retention(spark, f"{root}/in/*", arts.schema, t, f"{root}/_checkpoint", days=1, as_of=lambda: datetime(2024, 1, 4))
-    return t.latest().select("ord", "link")
+    return t.read().select("ord", "link")
 
 
 @register("table_replace",

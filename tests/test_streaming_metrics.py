@@ -90,10 +90,10 @@ def test_stream_retention(spark):
     root = _root(spark)
     arts = S.page_articles(spark, SF001)
     arts.write.parquet(f"{root}/in")
-    t = ST.VersionedTable(spark, f"{root}/table", ART_SCHEMA)
+    t = ST.DayTable(spark, f"{root}/table", ART_SCHEMA)
     as_of = datetime(2024, 1, 3)
     ST.stream_retention(spark, f"{root}/in", arts.schema, t, f"{root}/ck", days=1, as_of=lambda: as_of)
-    assert t.latest().count() == arts.where(F.col("published_at") >= F.lit(as_of - timedelta(days=1))).count()
+    assert t.read().count() == arts.where(F.col("published_at") >= F.lit(as_of - timedelta(days=1))).count()
 
 
 def test_stream_company_mentions(spark):
@@ -101,8 +101,7 @@ def test_stream_company_mentions(spark):
     root = _root(spark)
     docs = S.doc_mention_texts(spark, SF001).withColumnRenamed("text", "content")
     docs.write.parquet(f"{root}/in")
-    t = ST.VersionedTable(spark, f"{root}/table", "article_id long, company_id long, sentiment_score double, "
-                                                  "confidence_score double, context_sentence string")
+    t = ST.MergeTable(spark, f"{root}/table", ST.MENTIONS, ST.MENTIONS_KEY)
 
     def analyze(df):
         from feedlens.operators import reads
@@ -114,7 +113,7 @@ def test_stream_company_mentions(spark):
     ST.stream_company_mentions(spark, f"{root}/in", docs.schema, t, f"{root}/ck", analyze)
     key = lambda df: sorted((r.article_id, r.company_id, round(r.sentiment_score, 9), r.context_sentence) for r in df.collect())
     want = dedup.fold_mentions(analyze(docs))
-    assert want.count() > 0 and key(t.latest()) == key(want)
+    assert want.count() > 0 and key(t.read()) == key(want)
 
 
 def test_average_sentiment_empty_is_neutral(spark):
