@@ -1,15 +1,15 @@
 """Extractive sentence rankers (T19) as joins and grouped sums.
 
-Texts are cut into sentence rows ``(key, k, sentence, terms)``; ``key`` is the digest of the
-text, so copies of a text are ranked once. A ranker turns these rows into ``(key, k, score)``.
-Nothing is held per document: sums are grouped by (key, term) and (key, k), so one very long
-text spreads over tasks like many short ones, and iterated rankers cut their lineage with
-reliable checkpoints.
+Texts are cut into sentence rows ``(key, g, k, sentence, terms)``; ``key`` is the digest of the
+text, so copies of a text are ranked once, and ``g`` its number. A ranker turns these rows into
+``(g, k, score)``. Nothing is held per document: sums are grouped by (text, term) and (text,
+sentence), so one very long text spreads over tasks like many short ones. The rows that rounds
+join and sum are numbers only, and every round cuts its lineage with a reliable checkpoint.
 
 * ``luhn``: words that the text repeats are significant; sig^2 / words.
 * ``textrank``: links weigh common words / (log(1 + |a|) + log(1 + |b|)), a walk with damping.
   Links are never formed: a word's weight towards a sentence depends only on the sizes of the
-  sentences that hold it, so one sum per (key, word, size) stands for all of them, and a round
+  sentences that hold it, so one sum per (text, word, size) stands for all of them, and a round
   is linear in the text.
 * ``lexrank``: links join sentences whose tf-idf cosine is 0.1 or more. Frequent words whose
   weights together stay under the threshold (the tail of a sentence's vector) form no pair by
@@ -47,7 +47,6 @@ TOPICS = 3             # singular vectors (the sums below are written out for th
 LSA_ROUNDS = 5
 DIGITS = 6
 RANK_EPS = 1e-10       # a direction with less of its length left has none of its own
-EVERY = 3              # rounds between checkpoints
 
 
 def text_key(text) -> Column:
@@ -55,25 +54,32 @@ def text_key(text) -> Column:
 
 
 def sentence_rows(texts: DataFrame, text_col: str) -> DataFrame:
-    """key, k, sentence, terms (lower-cased words without function words) of each distinct
-    text, checkpointed."""
-    one = texts.groupBy(text_key(text_col).alias("key")).agg(F.first(text_col).alias("text"))
-    rows = one.select("key", F.posexplode(sentences("text")).alias("k", "sentence"))
-    return cut_lineage(rows.withColumn("terms", F.filter(
-        F.split(F.lower("sentence"), TOKEN_SPLIT), lambda t: (t != "") & ~t.isin(*STOP_WORDS))))
+    """key, g (number of the text), k, sentence, terms (64-bit hashes of the lower-cased words
+    without function words) of each distinct text, checkpointed. Words are only ever compared
+    with words of the same text, where 64 bits tell them apart."""
+    one = texts.groupBy(text_key(text_col).alias("key")).agg(F.first(text_col).alias("text")).withColumn("g", F.monotonically_increasing_id())
+    rows = one.select("key", "g", F.posexplode(sentences("text")).alias("k", "sentence"))
+    words = F.filter(F.split(F.lower("sentence"), TOKEN_SPLIT), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
+    return cut_lineage(rows.withColumn("terms", F.transform(words, lambda t: F.xxhash64(t))))
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """The right side of a join whose size follows the texts: Spark's estimate comes from the
+    compressed source, before words are exploded, and must not make it broadcast that."""
+    return df.hint("merge")
 
 
 def incidences(sents: DataFrame) -> DataFrame:
-    """key, k, term, tf."""
-    return sents.select("key", "k", F.explode("terms").alias("term")).groupBy("key", "k", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """g, k, term, tf."""
+    return sents.select("g", "k", F.explode("terms").alias("term")).groupBy("g", "k", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def luhn(sents: DataFrame) -> DataFrame:
     inc = incidences(sents)
-    seen = inc.groupBy("key", "term").agg(F.sum("tf").alias("f"))
-    scored = (inc.join(seen, ["key", "term"]).groupBy("key", "k")
+    seen = inc.groupBy("g", "term").agg(F.sum("tf").alias("f"))
+    scored = (inc.join(grown(seen), ["g", "term"]).groupBy("g", "k")
               .agg(F.sum(F.when(F.col("f") >= 2, F.col("tf")).otherwise(0)).alias("sig"), F.sum("tf").alias("words")))
-    return scored.select("key", "k", (F.col("sig") * F.col("sig") / F.col("words")).alias("score"))
+    return scored.select("g", "k", (F.col("sig") * F.col("sig") / F.col("words")).alias("score"))
 
 
 def _log_size(a) -> Column:
@@ -81,80 +87,74 @@ def _log_size(a) -> Column:
 
 
 def textrank(sents: DataFrame) -> DataFrame:
-    nodes = sents.select("key", "k", F.array_distinct("terms").alias("terms")).withColumn("a", F.size("terms"))
+    nodes = sents.select("g", "k", F.array_distinct("terms").alias("terms")).withColumn("a", F.size("terms"))
     nodes = cut_lineage(nodes.where("a > 0"))
 
     def linked(x: DataFrame) -> DataFrame:
-        """key, k, f: for every sentence the sum of its links' weights times x at their other
-        end. ``x``: key, k, a, terms, x."""
-        sums = (x.select("key", "a", "x", F.explode("terms").alias("term")).groupBy("key", "term", "a").agg(F.sum("x").alias("s"))
-                .groupBy("key", "term").agg(F.collect_list(F.struct("a", "s")).alias("sizes")))   # one entry per sentence size
-        ends = nodes.select("key", "k", "a", F.explode("terms").alias("term")).join(sums, ["key", "term"])
-        part = F.aggregate("sizes", F.lit(0.0), lambda t, z: t + z["s"] / (_log_size(z["a"]) + _log_size(F.col("a"))))
-        return ends.groupBy("key", "k").agg(F.sum(part).alias("f"))
+        """g, k, f: for every sentence the sum of its links' weights times x at their other
+        end. ``x``: g, k, a, terms, x."""
+        sums = x.select("g", "a", "x", F.explode("terms").alias("term")).groupBy("g", "term", "a").agg(F.sum("x").alias("s"))
+        ends = nodes.select("g", "k", F.col("a").alias("own"), F.explode("terms").alias("term")).join(grown(sums), ["g", "term"])
+        return ends.groupBy("g", "k").agg(F.sum(F.col("s") / (_log_size(F.col("a")) + _log_size(F.col("own")))).alias("f"))
 
     def others(x) -> Column:
         """What a sentence gets without the link to itself."""
         return F.col("f") - x * F.col("a") / (2 * _log_size(F.col("a")))
 
     ones = nodes.withColumn("x", F.lit(1.0))
-    row = linked(ones).join(nodes, ["key", "k"]).withColumn("row", others(F.lit(1.0)))
+    row = linked(ones).join(grown(nodes), ["g", "k"]).withColumn("row", others(F.lit(1.0)))
     # a sentence with no word in common with others keeps rounding noise of its own weight
-    state = cut_lineage(row.select("key", "k", "a", "terms", F.when(F.col("row") > 1e-9, F.col("row")).alias("row"), F.lit(1.0).alias("score")))
-    for r in range(ROUNDS):
+    state = cut_lineage(row.select("g", "k", "a", "terms", F.when(F.col("row") > 1e-9, F.col("row")).alias("row"), F.lit(1.0).alias("score")))
+    for _ in range(ROUNDS):
         x = state.withColumn("x", F.coalesce(F.col("score") / F.col("row"), F.lit(0.0)))
-        state = linked(x).join(x, ["key", "k"]).withColumn("score", F.lit(1 - DAMPING) + DAMPING * others(F.col("x")))
-        state = state.select("key", "k", "a", "terms", "row", "score")
-        if r % EVERY == EVERY - 1:
-            state = cut_lineage(state)
-    return state.select("key", "k", "score")
+        state = linked(x).join(grown(x), ["g", "k"]).withColumn("score", F.lit(1 - DAMPING) + DAMPING * others(F.col("x")))
+        state = cut_lineage(state.select("g", "k", "a", "terms", "row", "score"))
+    return state.select("g", "k", "score")
 
 
 def cosine_links(sents: DataFrame) -> DataFrame:
-    """key, i, j (i < j) of sentences whose tf-idf cosine is ``LEXRANK_COSINE`` or more."""
+    """g, i, j (i < j) of sentences whose tf-idf cosine is ``LEXRANK_COSINE`` or more."""
     inc = cut_lineage(incidences(sents))
-    sizes = sents.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    idf = (inc.groupBy("key", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "key")
-           .select("key", "term", "df", (F.log(F.col("m") / (1 + F.col("df"))) + 1).alias("idf")))
-    raw = inc.join(idf, ["key", "term"]).select("key", "k", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    own = Window.partitionBy("key", "k")            # the words of one sentence
+    sizes = sents.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    idf = (inc.groupBy("g", "term").agg(F.count(F.lit(1)).alias("df")).join(grown(sizes), "g")
+           .select("g", "term", "df", (F.log(F.col("m") / (1 + F.col("df"))) + 1).alias("idf")))
+    raw = inc.join(grown(idf), ["g", "term"]).select("g", "k", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    own = Window.partitionBy("g", "k")            # the words of one sentence
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))
     v = raw.withColumn("w", F.col("w") / norm)
     # from the commonest word on: the tail is as long as its norm stays under the threshold
     rest = F.sum(F.col("w") * F.col("w")).over(own.orderBy(F.desc("df"), F.desc("term")))
     v = cut_lineage(v.withColumn("tail", rest < LEXRANK_COSINE ** 2).drop("df"))
-    a = v.select("key", "term", F.col("k").alias("i"), F.col("w").alias("wi"), F.col("tail").alias("ti"))
-    b = v.select("key", "term", F.col("k").alias("j"), F.col("w").alias("wj"), F.col("tail").alias("tj"))
+    a = v.select("g", "term", F.col("k").alias("i"), F.col("w").alias("wi"), F.col("tail").alias("ti"))
+    b = v.select("g", "term", F.col("k").alias("j"), F.col("w").alias("wj"), F.col("tail").alias("tj"))
     least = LEXRANK_COSINE - LEXRANK_COSINE ** 2 - 1e-9      # two tails add less than the square
-    pairs = (a.join(b, ["key", "term"]).where((F.col("i") < F.col("j")) & ~(F.col("ti") & F.col("tj")))
-             .groupBy("key", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot")).where(F.col("dot") >= least))
+    pairs = (a.join(grown(b), ["g", "term"]).where((F.col("i") < F.col("j")) & ~(F.col("ti") & F.col("tj")))
+             .groupBy("g", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot")).where(F.col("dot") >= least))
     pairs = cut_lineage(pairs)
     enough = F.round("dot", 9) >= LEXRANK_COSINE
     ta, tb = a.where("ti").drop("ti"), b.where("tj").drop("tj")
-    again = (pairs.where(~enough).join(ta, ["key", "i"]).join(tb, ["key", "j", "term"])
-             .groupBy("key", "i", "j").agg((F.first("dot") + F.sum(F.col("wi") * F.col("wj"))).alias("dot")))
-    return pairs.where(enough).select("key", "i", "j").unionByName(again.where(enough).select("key", "i", "j"))
+    again = (pairs.where(~enough).join(grown(ta), ["g", "i"]).join(grown(tb), ["g", "j", "term"])
+             .groupBy("g", "i", "j").agg((F.first("dot") + F.sum(F.col("wi") * F.col("wj"))).alias("dot")))
+    return pairs.where(enough).select("g", "i", "j").unionByName(again.where(enough).select("g", "i", "j"))
 
 
 def lexrank(sents: DataFrame) -> DataFrame:
     links = cosine_links(sents)
-    both = links.select("key", F.col("i").alias("k"), F.col("j").alias("to")).unionByName(
-        links.select("key", F.col("j").alias("k"), F.col("i").alias("to")))
+    both = links.select("g", F.col("i").alias("k"), F.col("j").alias("to")).unionByName(
+        links.select("g", F.col("j").alias("k"), F.col("i").alias("to")))
     both = cut_lineage(both)
     # a sentence with words is like itself
-    nodes = sents.select("key", "k", (F.size("terms") > 0).cast("int").alias("self"))
-    degree = both.groupBy("key", "k").agg(F.count(F.lit(1)).alias("links"))
-    state = cut_lineage(nodes.join(degree, ["key", "k"], "left").select(
-        "key", "k", "self", (F.coalesce("links", F.lit(0)) + F.col("self")).alias("degree"), F.lit(1.0).alias("score")))
-    for r in range(ROUNDS):
+    nodes = sents.select("g", "k", (F.size("terms") > 0).cast("int").alias("self"))
+    degree = both.groupBy("g", "k").agg(F.count(F.lit(1)).alias("links"))
+    state = cut_lineage(nodes.join(grown(degree), ["g", "k"], "left").select(
+        "g", "k", "self", (F.coalesce("links", F.lit(0)) + F.col("self")).alias("degree"), F.lit(1.0).alias("score")))
+    for _ in range(ROUNDS):
         x = state.withColumn("x", F.when(F.col("degree") > 0, F.col("score") / F.col("degree")).otherwise(0.0))
-        got = both.join(x.select("key", "k", "x"), ["key", "k"]).groupBy("key", F.col("to").alias("k")).agg(F.sum("x").alias("f"))
-        state = x.join(got, ["key", "k"], "left").select(
-            "key", "k", "self", "degree",
-            (F.lit(1 - DAMPING) + DAMPING * (F.coalesce("f", F.lit(0.0)) + F.col("self") * F.col("x"))).alias("score"))
-        if r % EVERY == EVERY - 1:
-            state = cut_lineage(state)
-    return state.select("key", "k", "score")
+        got = both.join(grown(x.select("g", "k", "x")), ["g", "k"]).groupBy("g", F.col("to").alias("k")).agg(F.sum("x").alias("f"))
+        state = cut_lineage(x.join(grown(got), ["g", "k"], "left").select(
+            "g", "k", "self", "degree",
+            (F.lit(1 - DAMPING) + DAMPING * (F.coalesce("f", F.lit(0.0)) + F.col("self") * F.col("x"))).alias("score")))
+    return state.select("g", "k", "score")
 
 
 def lsa_start(k, c: int):
@@ -167,13 +167,13 @@ def lsa(sents: DataFrame) -> DataFrame:
     cols = [f"q{c}" for c in range(1, TOPICS + 1)]
 
     def product(q: DataFrame) -> DataFrame:
-        """key, k, y1..: the term-sentence matrix and its transpose applied to q."""
-        z = inc.join(q, ["key", "k"]).groupBy("key", "term").agg(*[F.sum(F.col("tf") * F.col(c)).alias(c) for c in cols])
-        return inc.join(z, ["key", "term"]).groupBy("key", "k").agg(*[F.sum(F.col("tf") * F.col(c)).alias("y" + c[1:]) for c in cols])
+        """g, k, y1..: the term-sentence matrix and its transpose applied to q."""
+        z = inc.join(grown(q), ["g", "k"]).groupBy("g", "term").agg(*[F.sum(F.col("tf") * F.col(c)).alias(c) for c in cols])
+        return inc.join(grown(z), ["g", "term"]).groupBy("g", "k").agg(*[F.sum(F.col("tf") * F.col(c)).alias("y" + c[1:]) for c in cols])
 
     def orthonormal(y: DataFrame) -> DataFrame:
         """Gram-Schmidt by the Cholesky factor of the vectors' products, per document."""
-        g = y.groupBy("key").agg(*[F.sum(F.col(f"y{a}") * F.col(f"y{b}")).alias(f"g{a}{b}") for a in (1, 2, 3) for b in (1, 2, 3) if a <= b])
+        g = y.groupBy("g").agg(*[F.sum(F.col(f"y{a}") * F.col(f"y{b}")).alias(f"g{a}{b}") for a in (1, 2, 3) for b in (1, 2, 3) if a <= b])
 
         def inverse(d, whole):
             return F.when(d > RANK_EPS * whole, 1 / F.sqrt(d)).otherwise(0.0)
@@ -183,17 +183,17 @@ def lsa(sents: DataFrame) -> DataFrame:
         g = g.withColumn("i2", inverse(c("g22") - c("r12") * c("r12"), c("g22")))
         g = g.withColumn("r23", (c("g23") - c("r12") * c("r13")) * c("i2"))
         g = g.withColumn("i3", inverse(c("g33") - c("r13") * c("r13") - c("r23") * c("r23"), c("g33")))
-        q = y.join(g.select("key", "i1", "i2", "i3", "r12", "r13", "r23"), "key").withColumn("q1", c("y1") * c("i1"))
+        q = y.join(grown(g.select("g", "i1", "i2", "i3", "r12", "r13", "r23")), "g").withColumn("q1", c("y1") * c("i1"))
         q = q.withColumn("q2", (c("y2") - c("r12") * c("q1")) * c("i2"))
         q = q.withColumn("q3", (c("y3") - c("r13") * c("q1") - c("r23") * c("q2")) * c("i3"))
-        return q.select("key", "k", *cols)
+        return q.select("g", "k", *cols)
 
-    q = inc.select("key", "k").distinct()
-    q = q.select("key", "k", *[lsa_start(F.col("k"), c).alias(f"q{c}") for c in (1, 2, 3)])
+    q = inc.select("g", "k").distinct()
+    q = q.select("g", "k", *[lsa_start(F.col("k"), c).alias(f"q{c}") for c in (1, 2, 3)])
     for _ in range(LSA_ROUNDS):
         q = cut_lineage(orthonormal(cut_lineage(product(q))))
-    ends = product(q).join(q, ["key", "k"])
-    return ends.select("key", "k", F.sqrt(F.greatest(F.lit(0.0), sum((F.col("q" + c[1:]) * F.col("y" + c[1:]) for c in cols), F.lit(0.0)))).alias("score"))
+    ends = product(q).join(grown(q), ["g", "k"])
+    return ends.select("g", "k", F.sqrt(F.greatest(F.lit(0.0), sum((F.col("q" + c[1:]) * F.col("y" + c[1:]) for c in cols), F.lit(0.0)))).alias("score"))
 
 
 RANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"luhn": luhn, "textrank": textrank, "lexrank": lexrank, "lsa": lsa}
@@ -202,10 +202,10 @@ RANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"luhn": luhn, "textrank"
 def best_sentences(sents: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """key, best: the ``n`` sentences of highest score (ties: earlier first; no score counts
     as zero), joined in the text's order. Texts without any word have no row."""
-    some = sents.where(F.size("terms") > 0).select("key").distinct()
-    rows = (sents.select("key", "k", "sentence").join(scores, ["key", "k"], "left").join(some, "key", "left_semi")
+    some = sents.where(F.size("terms") > 0).select("g").distinct()
+    rows = (sents.select("key", "g", "k", "sentence").join(grown(scores), ["g", "k"], "left").join(grown(some), "g", "left_semi")
             .withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS)))
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "k")
+    order = Window.partitionBy("g").orderBy(F.desc("score"), "k")
     top = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    return top.groupBy("key").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", "sentence"))), lambda s: s["sentence"]), " ").alias("best"))
+    return top.groupBy("g").agg(F.first("key").alias("key"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", "sentence"))), lambda s: s["sentence"]), " ").alias("best")).drop("g")

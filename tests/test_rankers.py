@@ -71,13 +71,17 @@ def texts(seed, n=12):
     return [*out, "One two three. " * 9, "The of and. " * 12, "single sentence without an end " * 5, "... !!! ??? " * 12]
 
 
+def named_scores(df, sents, scores):
+    return scores.join(sents.select("g", "key").distinct(), "g").join(df.select("id", R.text_key("t").alias("key")), "key")
+
+
 @pytest.mark.parametrize("algorithm", ["luhn", "textrank", "lexrank"])
 def test_scores_equal_numpy(spark, algorithm):
     rows = [(i, t) for i, t in enumerate(texts(3))]
     df = spark.createDataFrame(rows, "id long, t string")
     sents = R.sentence_rows(df, "t")
     got = {}
-    named = R.RANKERS[algorithm](sents).join(df.select("id", R.text_key("t").alias("key")), "key")
+    named = named_scores(df, sents, R.RANKERS[algorithm](sents))
     for r in named.collect():
         got[r["id"], r["k"]] = r["score"]
     for i, t in rows:
@@ -93,7 +97,8 @@ def test_lsa_scores_near_the_exact_decomposition(spark, monkeypatch):
     monkeypatch.setattr(R, "LSA_ROUNDS", 30)
     rows = [(i, t) for i, t in enumerate(texts(4, 5))]
     df = spark.createDataFrame(rows, "id long, t string")
-    named = R.lsa(R.sentence_rows(df, "t")).join(df.select("id", R.text_key("t").alias("key")), "key")
+    sents = R.sentence_rows(df, "t")
+    named = named_scores(df, sents, R.lsa(sents))
     got = {(r["id"], r["k"]): r["score"] for r in named.collect()}
     near = total = 0
     for i, t in rows:
@@ -138,7 +143,7 @@ def test_one_long_text_spreads_over_tasks(spark):
     text = " ".join(" ".join(f"v{min(int(rng.expovariate(0.01)), 900)}" for _ in range(9)) + "." for _ in range(5000))
     rows = R.sentence_rows(spark.createDataFrame([(text,)], "t string"), "t")
     assert rows.count() >= 5000
-    spread = R.incidences(rows).repartition(8, "key", "term").groupBy(F.spark_partition_id()).count()
+    spread = R.incidences(rows).repartition(8, "g", "term").groupBy(F.spark_partition_id()).count()
     assert spread.count() == 8 and spread.agg(F.max("count")).first()[0] < 0.4 * R.incidences(rows).count()
     scores = R.textrank(rows)
     assert scores.count() >= 4990 and scores.agg(F.sum("score")).first()[0] == pytest.approx(scores.count(), rel=1e-6)
