@@ -7,6 +7,9 @@ ones take their sentence scores from ``rankers``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,9 +108,6 @@ class PandasSummarizer(Summarizer):
         self.name, self.load = name, load
 
     def summarize(self, df, id_col, text_col, max_length):
-        from collections.abc import Iterator
-
-        import pandas as pd
         load, n = self.load, sentence_count(max_length)
 
         @F.pandas_udf("string")
