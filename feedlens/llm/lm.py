@@ -184,8 +184,8 @@ COUNTS = "chunk string, of_em boolean, range int, kind int, n int, fit binary, e
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    """Corpus counts of one range of keys: an answer to each chunk, and once (chunk null)
-    the range's known unigrams and their counts."""
+    """Corpus counts (64 bits; a chunk's own fit 32) of one range of keys: an answer to each
+    chunk, and once (chunk null) the range's known unigrams and their counts."""
     out = []
     for kind in (1, 2):
         rows = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
@@ -195,7 +195,7 @@ def add_up(table: pa.Table) -> pa.Table:
         kinds, back = np.unique(keys, return_inverse=True)
         counts = np.concatenate([loosen(r["counts"], r["n"], "<u4") for r in rows]).astype(np.float64)
         of_em = np.repeat([r["em"] for r in rows], [r["n"] for r in rows])
-        fit, em = (np.bincount(back, counts * part, len(kinds)).astype("<u4") for part in (~of_em, of_em))
+        fit, em = (np.bincount(back, counts * part, len(kinds)).astype("<u8") for part in (~of_em, of_em))
         if kind == 1:
             out.append((None, None, rows[0]["range"], 0, 0, None, None, int(((fit > 0) | (em > 0)).sum()),
                         int(fit.sum(dtype=np.int64)), int(em.sum(dtype=np.int64))))
@@ -211,7 +211,7 @@ def add_up(table: pa.Table) -> pa.Table:
 def answers(table: pa.Table) -> dict[tuple[int, str], np.ndarray]:
     """(kind, part) -> corpus counts in the order of a chunk's keys."""
     rows = sorted(table.select(["range", "kind", "n", "fit", "em"]).to_pylist(), key=lambda r: r["range"])
-    return {(kind, part): np.concatenate([loosen(r[part], r["n"], "<u4") for r in rows if r["kind"] == kind]).astype(np.float64)
+    return {(kind, part): np.concatenate([loosen(r[part], r["n"], "<u8") for r in rows if r["kind"] == kind]).astype(np.float64)
             for kind in (1, 2) for part in ("fit", "em")}
 
 

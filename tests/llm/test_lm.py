@@ -106,3 +106,19 @@ def test_ranges_follow_the_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 2 ** 64, 1000, dtype=np.uint64))
     own = lm.range_of(keys, 7)
     assert (np.diff(own) >= 0).all() and own.min() == 0 and own.max() == 6
+
+
+def test_counts_beyond_32_bits():
+    """Chunks whose counts of one word add up to more than 2 ** 32, kept whole on both sides."""
+    import pyarrow as pa
+    keys, n = np.array([5, 9], np.uint64), np.array([2 ** 32 - 1, 3], "<u4")
+    row = lambda name, em: (0, name, em, 1, 2, lm.squeeze(np.diff(keys, prepend=np.uint64(0))), lm.squeeze(n))
+    types = [pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    rows = [row("a", False), row("b", False), row("c", True), row("d", True), row("e", True)]
+    got = lm.add_up(pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=lm.names_of(lm.KEYS)))
+    total = got.filter(pa.compute.is_null(got["chunk"])).to_pylist()[0]
+    assert (total["fit_n"], total["em_n"], total["known"]) == (2 * (2 ** 32 + 2), 3 * (2 ** 32 + 2), 2)
+    one = got.filter(pa.compute.equal(got["chunk"], "a"))
+    both = pa.concat_tables([one, one.set_column(3, "kind", pa.array([2], pa.int32()))])     # no bigrams in the fixture
+    counts = lm.answers(both)
+    assert counts[1, "fit"].tolist() == [2 * (2 ** 32 - 1), 6] and counts[1, "em"].tolist() == [3 * (2 ** 32 - 1), 9]
