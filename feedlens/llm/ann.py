@@ -5,11 +5,13 @@ of the sample is cut into balanced parts, first by halving along the direction o
 spread, then by moving vertices to the part most of their neighbours are in while it has
 room. A softmax classifier learns for each sample vector which parts hold it and its
 neighbours. The number of parts a query asks is the least that reaches ``TARGET`` recall on
-sample queries; it is raised, never the candidates cut.
+sample queries; it is raised, never the candidates cut. A query whose parts together hold
+fewer than k + 1 vectors asks further parts until they do, so it finds k where there are k.
 
 Index: every vector goes to its most probable part. A part with more than ``BLOCK_ROWS``
-vectors (copies of one vector, say) is dealt to several blocks; a query goes to every block
-of its most probable parts, and each block answers with its best exact inner products.
+vectors (copies of one vector, say) is dealt to several blocks, and so are the queries that
+ask a part; every block of queries meets every block of the part, both of bounded size, and
+answers with its best exact inner products.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length
 than most take no part, as queries or candidates. Equal scores go to the smaller vec_id;
@@ -33,6 +35,7 @@ NEIGHBOURS = 20
 ROWS_PER_PART = 4096
 MIN_PARTS, MAX_PARTS = 32, 1024
 BLOCK_ROWS = 8192
+QUERY_ROWS = 8192
 TARGET = 0.97     # recall on the sample that the number of asked parts must reach
 GRAPH_K = 16
 
@@ -152,7 +155,8 @@ def fit(x: np.ndarray, parts: int, k: int = NEIGHBOURS, target: float = TARGET)
 
 # --- on Spark --------------------------------------------------------------------------
 
-def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS,
+           query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible
     by ``every``, nearest first."""
     spark = vectors.sparkSession
@@ -174,16 +178,39 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample: int
                 continue
             z = logits(w, np.stack(pdf["v"].to_numpy()))
             query = (pdf["vec_id"] % every == 0).to_numpy()
-            order = np.argsort(-z, axis=1, kind="stable")[:, :ask]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "part": order[:, 0].astype(np.int32),
-                                "asks": [o.tolist() if q else None for o, q in zip(order.astype(np.int32), query)]})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "part": z.argmax(axis=1).astype(np.int32), "query": query})
 
-    routed = cut_lineage(rows.mapInPandas(route, "vec_id long, v array<double>, part int, asks array<int>"))
-    sizes = {r["part"]: -(-r["count"] // block_rows) for r in routed.groupBy("part").count().collect()}  # MAX_PARTS rows at most
-    blocks = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-    held = routed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), blocks[F.col("part")]).cast("int").alias("block"))
-    asked = (routed.where("asks is not null").select("vec_id", "v", F.explode("asks").alias("part"))
-             .select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(blocks, F.col("part")), F.lit(1)) - 1)).alias("block")))
+    routed = cut_lineage(rows.mapInPandas(route, "vec_id long, v array<double>, part int, query boolean"))
+    counts = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}  # MAX_PARTS rows at most
+    held_by = np.array([counts.get(p, 0) for p in range(w.shape[1])])
+
+    def ask_parts(pdfs):
+        """The parts that each query asks: the ``ask`` most probable ones, and on to k + 1 vectors."""
+        for pdf in pdfs:
+            if len(pdf):
+                order = np.argsort(-logits(w, np.stack(pdf["v"].to_numpy())), axis=1, kind="stable").astype(np.int32)
+                enough = (np.cumsum(held_by[order], axis=1) < k + 1).sum(axis=1) + 1
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "asks": [o[:max(ask, m)].tolist() for o, m in zip(order, enough)]})
+
+    queries = routed.where("query").select("vec_id", "v").mapInPandas(ask_parts, "vec_id long, v array<double>, asks array<int>")
+    queries = cut_lineage(queries.select("vec_id", "v", F.explode("asks").alias("part")))
+    asking = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
+
+    def dealt(sizes: dict[int, int], rows: int):
+        """Blocks of a part, from the rows of each part."""
+        return F.create_map(*[F.lit(x) for p in sorted(counts) for x in (p, max(1, -(-sizes.get(p, 0) // rows)))])[F.col("part")]
+
+    def own_block(n):
+        return F.pmod(F.xxhash64("vec_id"), n).cast("int")
+
+    def every_block(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    blocks, turns = dealt(counts, block_rows), dealt(asking, query_rows)
+    held = (routed.select("vec_id", "v", "part", own_block(blocks).alias("block"))
+            .select("vec_id", "v", "part", "block", every_block(turns).alias("turn")))
+    asked = (queries.where(F.col("part").isin(sorted(counts))).select("vec_id", "v", "part", own_block(turns).alias("turn"))
+             .select("vec_id", "v", "part", "turn", every_block(blocks).alias("block")))
 
     def answer(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(cands) or not len(queries):
@@ -208,7 +235,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample: int
             out.append(pd.DataFrame({"query_id": q_ids[at + qi[keep]], "vec_id": ids[ci[keep]], "score": exact[keep]}))
         return pd.concat(out)
 
-    found = (held.groupBy("part", "block").cogroup(asked.groupBy("part", "block"))
+    group = ["part", "block", "turn"]
+    found = (held.groupBy(*group).cogroup(asked.groupBy(*group))
              .applyInPandas(answer, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

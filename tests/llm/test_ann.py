@@ -64,3 +64,26 @@ def test_rows_that_take_no_part(spark):
     assert got == {0: [(5, 5.0), (4, 4.0), (3, 3.0), (2, 2.0), (1, 1.0)]}
     assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.search(spark.createDataFrame([(0, [1.0], 0, "", "", "")], SCHEMA)).count() == 0
+
+
+def test_every_query_finds_k_where_there_are_k(spark):
+    """Tight clusters: the asked parts alone hold too few vectors for some queries."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16)) * 3
+    x = (centres[rng.integers(0, 12, 300)] + 0.01 * rng.standard_normal((300, 16))).astype(np.float32).astype(np.float64)
+    ids = np.arange(300)
+    got = answers(ann.search(frame(spark, ids, x), every=1))
+    assert len(got) == 300 and {len(v) for v in got.values()} == {20}
+    few = answers(ann.search(frame(spark, ids[:15], x[:15]), every=1))
+    assert {len(v) for v in few.values()} == {14}
+
+
+def test_blocks_of_queries_give_the_same_answers(spark):
+    """A part that holds most rows and queries runs in blocks of both; nothing is found twice."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 8))
+    x[:300] = x[0] + 0.001 * rng.standard_normal((300, 8))
+    x = x.astype(np.float32).astype(np.float64)
+    df = frame(spark, np.arange(500), x)
+    whole, blocks = answers(ann.search(df, every=1)), answers(ann.search(df, every=1, block_rows=50, query_rows=30))
+    assert whole == blocks
