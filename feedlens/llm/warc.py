@@ -185,28 +185,45 @@ def classify(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html, digest, refers_to: a page whose payload of ``min_revisit`` bytes
     or more also belongs to a page with a larger page_id refers to the largest of them.
 
-    Digests are aggregated before the shuffle; only pages that share one are looked up
-    again, by digest, which AQE splits for a payload that very many pages share."""
+    Digests are aggregated before the shuffle, and those that pages share are checkpointed, so
+    that the join back is a plain one, which AQE splits for a payload of very many pages."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                         F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
-    last = (held.where(F.col("n") >= min_revisit).groupBy("digest")
-            .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    last = cut_lineage(held.where(F.col("n") >= min_revisit).groupBy("digest")
+                       .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
     return (held.join(last, "digest", "left")
             .withColumn("refers_to", F.when((F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
             .select("page_id", "url", "html", "digest", "refers_to"))
 
 
-def write_archives(records: DataFrame, zip64: bool = False) -> DataFrame:
-    """Writes ``classify`` rows; returns the checkpointed manifest (uri, records). Tasks
-    without rows write no archive."""
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 1 << 30, 1_000_000
+
+
+def write_archives(records: DataFrame, zip64: bool = False, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes ``classify`` rows; returns the checkpointed manifest (uri, records). A task goes
+    on to another archive at ``archive_bytes`` or ``ARCHIVE_RECORDS``, so no archive and no
+    index grows with a task's rows; tasks without rows write none."""
     spark = records.sparkSession
     root = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
-        out = z = None
+        out = z = name = None
         index: list[bytes] = []
+
+        def finished() -> pa.RecordBatch:
+            z.close_member()
+            z.open(INDEX)
+            for line in index:
+                z.write(line + b"\n")
+            z.close_member()
+            z.finish()
+            out.close()
+            done = pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([len(index)], pa.int64())], ["uri", "records"])
+            index.clear()
+            return done
+
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(5)]
             for page, url, html, digest, to in zip(*cols):
@@ -221,16 +238,11 @@ def write_archives(records: DataFrame, zip64: bool = False) -> DataFrame:
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                 data = pack.compress(raw) + pack.flush()
                 index.append(json.dumps({"offset": z.write(data), "length": len(data), "filename": DATA}).encode())
-        if z is None:
-            return
-        z.close_member()
-        z.open(INDEX)
-        for line in index:
-            z.write(line + b"\n")
-        z.close_member()
-        z.finish()
-        out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([len(index)], pa.int64())], ["uri", "records"])
+                if z.at >= archive_bytes or len(index) >= ARCHIVE_RECORDS:
+                    yield finished()
+                    z = None
+        if z is not None:
+            yield finished()
 
     return cut_lineage(records.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "uri string, records long"))
 

@@ -82,3 +82,29 @@ def test_damaged_payload_is_noticed():
     assert warc.parse_record(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse_record(raw.replace(b"payload\r\n\r\n", b"pxyload\r\n\r\n"))
+
+
+def test_archives_end_at_a_size(spark):
+    df, rows = pages(spark)
+    manifest = warc.write_archives(warc.classify(df).coalesce(1), archive_bytes=900).collect()
+    assert len(manifest) > 2 and sum(m["records"] for m in manifest) == len(rows) and len({m["uri"] for m in manifest}) == len(manifest)
+    got = warc.read_records(spark.createDataFrame(manifest)).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute(rows)
+
+
+def test_a_payload_of_most_pages_is_split(spark):
+    """Half of the rows share one payload: the join back is one that Spark splits."""
+    hot = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(300))    # longer than a compressed block
+    df = spark.range(1200).selectExpr("id AS page_id", "'u' AS url", f"if(id % 2 = 0, '{hot}', concat('other ', id % 70)) AS html")
+    keep = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                                 "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
+    try:
+        for c, v in zip(keep, ("256k", "128k", "-1", "1.5")):
+            spark.conf.set(c, v)
+        done = warc.classify(df.repartition(16))
+        done.collect()
+        assert done.where("refers_to is not null").count() == 599
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in keep.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
