@@ -126,8 +126,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star / small-star rounds over the link table: a link joins two
     nodes, each round hangs neighbours under the smallest one seen, and the rounds end
-    when no link changes. Every round is a partial aggregate plus an equi-join (which
-    AQE splits for a hub with very many links) and ends in a reliable checkpoint.
+    when no link changes. Every round is a partial aggregate plus an equi-join and ends in a
+    reliable checkpoint; the aggregate is checkpointed first, so the join is a plain one,
+    which AQE splits for a hub with very many links.
     Self-links and nulls are ignored; an empty table gives an empty result."""
     def clean(df):
         hi, lo = F.greatest("a", "b"), F.least("a", "b")
@@ -137,9 +138,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = clean(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(large)
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         edges = cut_lineage(clean(
             large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))))

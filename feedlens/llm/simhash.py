@@ -208,10 +208,10 @@ def grouped(rows: DataFrame, r: int = MAX_BITS) -> DataFrame:
     """``rows`` (doc_id, fp) -> (fp, root, first): for every distinct fingerprint its
     component's smallest fingerprint and smallest doc_id. ``rows`` should be checkpointed."""
     own = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(own.select("fp"), r))
+    roots = cut_lineage(components(links(own.select("fp"), r)))
     named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = cut_lineage(named)
-    firsts = linked.groupBy("root").agg(F.min("least").alias("first"))
+    firsts = cut_lineage(linked.groupBy("root").agg(F.min("least").alias("first")))    # a plain join: hubs are split
     return linked.join(firsts, "root").select("fp", "root", "first")
 
 

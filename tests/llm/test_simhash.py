@@ -100,3 +100,11 @@ def test_awkward_rows(spark):
     kept = sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect())
     assert kept == sorted(["1", "2", "5", "8", "9", "None"])
     assert simhash.near_duplicates(no_docs(spark)).count() == 0 and simhash.keep_one(no_docs(spark)).count() == 0
+
+
+def test_components_of_hubs_and_chains(spark):
+    """A hub with most links, a long chain through it, separate pairs."""
+    from feedlens.llm.common import components
+    links = [(0, i) for i in range(1, 400)] + [(399 + i, 400 + i) for i in range(60)] + [(1000, 1001), (1003, 1002), (5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(460)} | {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002}
