@@ -1295,8 +1295,30 @@ def _landed_sql(where: str) -> str:
     return f"WITH {O.mentions_sql(O.doc_mention_texts_sql())}\nSELECT {cols} FROM ments WHERE {where}"
 
 
-@register("mention_model", _landed_sql("article_id % 2 = 0"))
+def _labelled_names(texts: DataFrame) -> DataFrame:
+    """Texts with their names' spans, for the tagger: alias matches as labels."""
+    found = mentions.regex_mentions(texts).groupBy("article_id").agg(F.collect_list(F.struct("start_char", "end_char")).alias("spans"))
+    return texts.join(found, "article_id", "left")
+
+
+def tagger_fold(article_id) -> F.Column:
+    """True for the third of the texts that the tagger doesn't learn from."""
+    return F.crc32(X.col_(article_id).cast("string").cast("binary")) % 3 == 1
+
+
+@register("mention_model", "WITH " + O.mentions_sql(O.doc_mention_texts_sql())
+          + f"\nSELECT {_MENT_COLS.replace('confidence', '0.85::DOUBLE AS confidence')} FROM ments")
 def q_mention_model(spark, sf):
+    """Names found by the tagger in every text, a third of which it has not learned from."""
+    from ..operators import tagger
+    texts = _doc_texts(spark, sf)
+    model = tagger.fit(_labelled_names(texts.where(~F.coalesce(tagger_fold("article_id"), F.lit(False)))))
+    return mentions.model_mentions(texts, model.loader())
+
+
+@register("mention_landed", _landed_sql("article_id % 2 = 0"))
+def q_mention_landed(spark, sf):
+    """T8 from spans that a model has landed (for every second text here)."""
     return mentions.landed_mentions(_with_landed_spans(spark, sf), "spans")
 
 
