@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..functions import html as H
 from ..functions import text as X
+from ..operators import blocks as BL
 from ..operators import content, dedup, mentions, scoring
 from ..sources import tables as S
 
@@ -196,6 +197,12 @@ def q_page_content(spark, sf):
     return H.with_main_text(S.page_fixture(spark, sf), "html", "content").select("page_id", "content")
 
 
+@register("page_main_blocks", BL.main_blocks_sql(O.page_fixture_sql()))
+def q_page_main_blocks(spark, sf):
+    """T2 by blocks: density rules, and what a host's pages repeat left out."""
+    return BL.main_blocks(S.page_fixture(spark, sf)).select("page_id", "content")
+
+
 @register("banner_strip",
           f"SELECT page_id, {O.banner_strip('mt')} AS content FROM "
           f"(SELECT page_id, {O.main_text('html')} AS mt FROM ({O.page_fixture_sql()}))")
