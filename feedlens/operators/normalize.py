@@ -13,27 +13,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
 from ..functions.html import html_image
 from ..functions.text import WS, clean_html, col_, is_blank, strip_ws, url_has_lang_prefix
-from ..session import ts_lit
+from ..session import cut_lineage, ts_lit
 from ..sources import dims
 
 ORD_FEED_SHIFT = 1_000_000_000  # ord = feed_ord * shift + entry_ord (source order, then position)
 
-# Date forms, each rewritten to year|month|day|hour|minute|second|zone.
-_TIME = r"(?:,?[T\s]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,6})?)[0-9]*)?)?\s*"
-_ZONE = r"(|Z|[+-][0-9]{2}:?[0-9]{2}|[A-Z]{2,5})\z"
-_DAY_NAME = r"\A(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s*)?"
-_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
-          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?")
-DATE_FORMS = (
-    ("(?i)" + _DAY_NAME + r"([0-9]{1,2})[\s-]+" + _MONTH + r"[\s-]+([0-9]{4}|[0-9]{2})" + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7"),
-    ("(?i)" + _DAY_NAME + _MONTH + r"\s+([0-9]{1,2}),?\s+([0-9]{4})" + _TIME + _ZONE, "$3|$1|$2|$4|$5|$6|$7"),
-    (r"(?i)\A([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME + _ZONE, "$1|$2|$3|$4|$5|$6|$7"),
-    (r"(?i)\A([0-9]{4})([0-9]{2})([0-9]{2})(?:T([0-9]{2}):?([0-9]{2}):?([0-9]{2})?)?\s*" + _ZONE, "$1|$2|$3|$4|$5|$6|$7"),
-)
-CENTURY_TURN = 74  # two-digit years below lie in this century
-
 
 def cap_per_feed(entries: DataFrame, n: int = dims.MAX_ARTICLES_PER_FEED) -> DataFrame:
     """S1 cap: the first n entries of each feed by position, before any entry is
@@ -56,34 +43,10 @@ def infer_category(tags, source_category) -> Column:
     return F.coalesce(hit, F.nullif(col_(source_category), F.lit("")), F.lit("general"))
 
 
-def parse_date(c) -> Column:
-    """One date string -> UTC timestamp or null: RFC 822 and its variants (weekday or not,
-    long or short names, two-digit year, no seconds), month-first, year-first with dashes or
-    slashes, and compact ISO forms. A numeric zone is applied; GMT, UT, UTC, Z, no zone and
-    zone names without an offset of their own mean UTC. Invalid dates are null."""
-    # the one-element arrays bind what is computed once to a lambda's argument
-    parts = F.transform(F.transform(F.array(c), strip_ws), lambda s: F.split(F.coalesce(
-        *[F.when(s.rlike(p), F.regexp_replace(s, p, to)) for p, to in DATE_FORMS]), r"\|"))
-    return F.get(F.transform(parts, _iso), 0).try_cast("timestamp")
-
-
-def _iso(parts: Column) -> Column:
-    """[year, month, day, hour, minute, second, zone] -> ISO 8601."""
-    year, month, day, hour, minute, second, zone = (F.get(parts, i) for i in range(7))
-    short = F.when(year.cast("int") < CENTURY_TURN, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
-    by_name = F.floor((F.call_function("locate", F.lower(F.left(month, F.lit(3))), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3)
-    number = F.when(month.rlike("[a-zA-Z]"), by_name.cast("string")).otherwise(month)
-    two = lambda x: F.lpad(F.when(x == "", F.lit("0")).otherwise(x), 2, "0")
-    offset = F.when(zone.rlike("[0-9]"), F.regexp_replace(zone, r"\A([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")).otherwise(F.lit("+00:00"))
-    return F.concat(F.when(F.length(year) == 2, short).otherwise(year), F.lit("-"), two(number), F.lit("-"), two(day), F.lit("T"),
-                    two(hour), F.lit(":"), two(minute), F.lit(":"), F.when(F.length(second) > 2, second).otherwise(two(second)), offset)
-
-
 def entry_date(published, pub_date, updated, created, as_of: datetime) -> Column:
     """Published -> pubDate -> updated -> created; a field that fails to parse is
-    skipped; none -> ``as_of`` (the run's "now")."""
-    return F.coalesce(parse_date(published), parse_date(pub_date), parse_date(updated),
-                      parse_date(created), ts_lit(as_of))
+    skipped; none -> ``as_of`` (the run's "now"), which also fills in what a date leaves out."""
+    return F.coalesce(*[parse_date(c, as_of) for c in (published, pub_date, updated, created)], ts_lit(as_of))
 
 
 def entry_description(summary, description, content) -> Column:
@@ -162,7 +125,7 @@ def normalize_sitemap(items: DataFrame, sources: DataFrame, as_of: datetime,
     title = strip_ws(F.coalesce("title", F.lit("")))
     loc = F.col("loc")
     e = e.where(loc.isNotNull() & (loc != "") & ~url_has_lang_prefix(loc) & (title != ""))
-    pub = F.when(~is_blank("publication_date"), F.coalesce(parse_date("publication_date"), ts_lit(as_of)))
+    pub = F.when(~is_blank("publication_date"), F.coalesce(parse_date("publication_date", as_of), ts_lit(as_of)))
     return e.select(
         (F.col("feed_ord").cast("long") * ORD_FEED_SHIFT + F.col("entry_ord")).alias("ord"),
         title.alias("title"), loc.alias("link"), F.col("_src_name").alias("source"),
@@ -180,15 +143,17 @@ def resolve_redirects(articles: DataFrame, redirect_map: DataFrame, sources: Dat
     order = F.col("ord") if "ord" in redirect_map.columns else F.col("decoded_url")
     known = redirect_map.where((F.col("decoded_url") != "") & F.col("link").contains(f"{host}/"))
     r = known.groupBy(F.col("link").alias("_l")).agg(F.min_by("decoded_url", order).alias("decoded_url"))
-    gate = F.col("link").contains(f"{host}/")
+    gate = F.coalesce(F.col("link").contains(f"{host}/"), F.lit(False))
     a = articles
     if sources is not None:
         served = sources.where(F.col("url").contains(host)).select(F.col("name").alias("_served")).distinct()
         a = a.join(served, a["source"] == served["_served"], "left")
         gate = gate & F.col("_served").isNotNull()
-    return (a.join(r, F.when(gate, F.col("link")) == r["_l"], "left")
-            .withColumn("link", F.coalesce("decoded_url", "link"))
-            .select(*articles.columns))
+    # most articles have no link of the host: they take no part in the join
+    hit, rest = a.where(gate), a.where(~gate)
+    found = (hit.join(cut_lineage(r), F.col("link") == F.col("_l"), "left")
+             .withColumn("link", F.coalesce("decoded_url", "link")))
+    return rest.select(*articles.columns).unionByName(found.select(*articles.columns))
 
 
 def feed_status(entries: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:

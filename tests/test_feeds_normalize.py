@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -74,6 +74,45 @@ def test_date_formats(spark):
     assert got == list(cases.values())
 
 
+FORMS = """2024-03-04T05:06:07Z|2024-03-04 05:06|20240304|20240304T050607|20240304T0506|2024/3/4|2024.03.04|4 Mar 2024|Mar 4 2024|March 4, 2024
+4 March 2024 10pm|Mon, 04 Mar 2024 05:06:07 +0200|Monday, 4 March 2024 05:06:07|10:00 4 Mar 2024|10:00 AM Mar 4 2024|03/04/2024|3/4/2024 5:06 pm
+14/03/2024|31.12.2023|12-31-2023|2024 Mar 4|2024-Mar-04|04-Mar-2024|Mar-2024-04|Thu Mar 14 05:06:07 2024|Thu Mar 14 05:06:07 EST 2024|14th of March 2024
+March 14th, 2024 at 3:04pm|2024-03-04T05:06:07.123456+05:30|2024-03-04 05:06:07,123|12:00 am 4 Mar 2024|12:30 pm 4 Mar 2024|4 Mar 2024 05:06:07 -0130
+4 Mar 2024 05:06 GMT|Mar 2024|March 2023 10:00|10:30|4 March|2024|Feb 2024|20240304050607|99-Feb-01|3/14/2024 05:06:07|2024-03-04T05:06:07-08
+2024-03-04T05:06:07+0100|Wednesday 6th March 2024|6 Sept 2023|Tue, 5 Mar 2024 1:02:03"""
+BROKEN = """yesterday|not a date|2024-13-02|31 Feb 2024|32/13/2024|Foo 4 2024|25:00 4 Mar 2024|13:00 pm 4 Mar 2024|1 2 3 4|Mar Apr 2024|4 Mar 2024 @ noon|12345|::|--|Mar 4 2024 10:61"""
+
+
+def test_dates_as_a_general_parser_reads_them(spark):
+    """Forms that dateutil reads, with what is left out taken from a default; and what neither reads."""
+    import pytest
+    dateutil = pytest.importorskip("dateutil.parser")
+    default = datetime(2024, 5, 31)
+    forms = [f for line in FORMS.split("\n") for f in line.split("|")]
+    assert len(forms) >= 45
+
+    def want(text):
+        try:
+            at = dateutil.parse(text, default=default, tzinfos=lambda name, offset: offset or 0)
+        except (ValueError, OverflowError):
+            return None
+        return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+    rows = [*forms, *BROKEN.split("|")]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(rows)], "i int, d string")
+    got = [r[1] for r in sorted(df.select("i", NZ.parse_date("d", default)).collect())]
+    assert [(f, g) for f, g in zip(rows, got)] == [(f, want(f)) for f in rows]
+    assert all(g is not None for g in got[:len(forms)]) and not any(got[len(forms):])
+    bare = {r.d: r.t for r in df.select("d", NZ.parse_date("d").alias("t")).collect()}
+    assert bare["Mar 2024"] is None and bare["10:30"] is None and bare["4 Mar 2024"] == datetime(2024, 3, 4)
+
+
+def test_unreadable_fields_move_on(spark):
+    df = spark.createDataFrame([("soon", "3/14/2024 5 pm", None, None), ("", None, "Foo", "2024"), (None, None, None, None)], "a string, b string, c string, d string")
+    as_of = datetime(2024, 2, 1)
+    got = [r[0] for r in df.select(NZ.entry_date("a", "b", "c", "d", as_of)).collect()]
+    assert got == [datetime(2024, 3, 14, 17), datetime(2024, 2, 1), as_of]
+
+
 ATOM = """<?xml version="1.0"?>
 <feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/"><title>T</title>
 <entry><title type="html">One</title><link rel="self" href="https://a.com/self"/><link href="https://a.com/1"/>
