@@ -1211,6 +1211,45 @@ def q_xml_atom_entries(spark, sf):
     return r.select("feed_ord", "entry_ord", "title", "link", ts_str(NZ.parse_date("published")).alias("published_at"))
 
 
+def _stream_feeds_sql() -> str:
+    return (f"SELECT CAST(ord % 4 AS INTEGER) AS feed_ord, CAST(ord // 4 AS BIGINT) AS entry_ord, nullif(title, '') AS title, link, "
+            f"{O.fmt_ts('published_at')} AS published_at, CASE WHEN ord % 4 IN (1, 3) THEN 'https://img.example/' || ord END AS image, "
+            f"CASE WHEN ord % 4 IN (1, 2) THEN 'tech' END AS term FROM ({O.page_articles_sql()})")
+
+
+@register("stream_xml_feeds", _stream_feeds_sql())
+def q_stream_xml_feeds(spark, sf):
+    """Pages landed as feed files of 50 entries (RSS 2.0, RSS 1.0 with Dublin Core, Atom
+    and RSS with a plain image) and read as a stream, at most 40 files a micro-batch."""
+    from ..streaming import ingest as ST
+    root = ST.scratch(spark, "feeds")
+    p = S.page_articles(spark, sf).select("ord", "title", "link", "published_at")
+    rfc, iso = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    both = F.concat(F.lit("<title>"), _xml("title"), F.lit("</title><link>"), _xml("link"), F.lit("</link>"))
+    image = F.concat(F.lit("https://img.example/"), F.col("ord").cast("string"))
+    forms = [F.concat(F.lit("<item>"), both, F.lit("<pubDate>"), rfc, F.lit("</pubDate></item>")),
+             F.concat(F.lit('<item rdf:about="x">'), both, F.lit("<dc:date>"), iso, F.lit("</dc:date><dc:subject>tech</dc:subject><image>"), image, F.lit("</image></item>")),
+             F.concat(F.lit("<entry><title>"), _xml("title"), F.lit('</title><link rel="self" href="https://self.example/"/><link href="'), _xml("link"),
+                      F.lit('"/><category term="tech"/><published>'), iso, F.lit("</published></entry>")),
+             F.concat(F.lit("<item>"), both, F.lit("<pubDate>"), rfc, F.lit("</pubDate><image><url>"), image, F.lit("</url></image></item>"))]
+    feed = F.col("ord") % 4
+    xml = F.coalesce(*[F.when(feed == k, x) for k, x in enumerate(forms)])
+    rows = p.select(feed.cast("int").alias("feed"), F.floor(F.col("ord") / 200).cast("long").alias("part"), "ord", xml.alias("xml"))
+    # a feed file holds 50 entries, so as many tasks land files as there are files
+    files = rows.groupBy("feed", "part").agg(F.concat(F.lit("<feed>"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "xml"))), lambda e: e["xml"]), "\n"), F.lit("</feed>")).alias("value"))
+    files.repartition("feed", "part").write.partitionBy("feed", "part").option("lineSep", "\n").text(f"{root}/in")
+    entries = ST.feed_stream(spark, f"{root}/in", 40, "*.txt")
+    t = ST.AppendTable(spark, f"{root}/table", "feed_ord int, entry_ord long, title string, link string, published_at string, image string, term string")
+    number = lambda name: F.regexp_extract("_file", rf"/{name}=([0-9]+)/", 1).cast("long")
+    out = entries.select(
+        number("feed").cast("int").alias("feed_ord"), (number("part") * 50 + F.col("entry_ord")).alias("entry_ord"), "title", "link",
+        ts_str(F.coalesce(*[NZ.parse_date(c) for c in ("published", "pubDate", "updated", "created")])).alias("published_at"),
+        F.coalesce("image.href", "image.url").alias("image"), F.get("tags", 0)["term"].alias("term"))
+    ST._run(out.writeStream.foreachBatch(lambda df, epoch: t.append(df, epoch)).option("checkpointLocation", f"{root}/_checkpoint"))
+    return t.read()
+
+
 @register("xml_sitemap_items",
           f"SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS entry_ord, link AS loc, nullif(title, '') AS title, 'https://img.example/1-' || ord AS image_loc "
           f"FROM ({O.page_articles_sql()})")

@@ -9,7 +9,7 @@ over ``monotonically_increasing_id()`` taken right after the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,17 @@ RSS_ITEM_XML_SCHEMA = T.StructType([
         T.StructField("_type", T.StringType())]))),
     T.StructField("enclosure", T.ArrayType(T.StructType([
         T.StructField("_url", T.StringType()), T.StructField("_type", T.StringType())]))),
+    # RSS 1.0 and Dublin Core
+    T.StructField("dc:date", T.StringType()),
+    T.StructField("dc:subject", T.ArrayType(T.StringType())),
+    T.StructField("dcterms:issued", T.StringType()),
+    T.StructField("dcterms:modified", T.StringType()),
+    T.StructField("dcterms:created", T.StringType()),
+    T.StructField("created", T.StringType()),
+    # an image's address is an attribute, a child or the text itself
+    T.StructField("image", T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_href", T.StringType()),
+                                         T.StructField("url", T.StringType())])),
+    T.StructField("itunes:image", T.StructType([T.StructField("_href", T.StringType())])),
 ])
 
 SITEMAP_XML_SCHEMA = T.StructType([
@@ -74,7 +85,12 @@ ATOM_ENTRY_XML_SCHEMA = T.StructType([
         T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType()),
         T.StructField("_type", T.StringType())]))),
     T.StructField("published", T.StringType()),
+    T.StructField("issued", T.StringType()),
     T.StructField("updated", T.StringType()),
+    T.StructField("modified", T.StringType()),
+    T.StructField("created", T.StringType()),
+    T.StructField("dc:date", T.StringType()),
+    T.StructField("dc:subject", T.ArrayType(T.StringType())),
     T.StructField("summary", _ATOM_TEXT),
     T.StructField("content", _ATOM_TEXT),
     T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", T.StringType())]))),
@@ -113,53 +129,91 @@ def _with_feed_ord(x: DataFrame, feed_files: DataFrame | None) -> DataFrame:
     return x.join(feed_files, "_file")  # AQE broadcasts it when the file list is small
 
 
-def _media(x: DataFrame) -> list:
-    return [F.transform("`media:thumbnail`", lambda m: F.struct(m["_url"].alias("url"))).alias("media_thumbnail"),
-            F.transform("`media:content`", lambda m: F.struct(m["_url"].alias("url"), m["_medium"].alias("medium"),
-                                                             m["_type"].alias("type"))).alias("media_content")]
+def _media(x: Column) -> list[Column]:
+    return [F.transform(x["media:thumbnail"], lambda m: F.struct(m["_url"].alias("url"))).alias("media_thumbnail"),
+            F.transform(x["media:content"], lambda m: F.struct(m["_url"].alias("url"), m["_medium"].alias("medium"),
+                                                              m["_type"].alias("type"))).alias("media_content")]
 
 
-def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
-    """Landed RSS files -> raw entries. ``feed_files`` maps file path -> feed_ord."""
-    x = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
-         .schema(RSS_ITEM_XML_SCHEMA).load(path))
-    x = _with_feed_ord(_positions(x), feed_files)
-    content = F.when(F.col("`content:encoded`").isNotNull(),
-                     F.array(F.struct(F.col("`content:encoded`").alias("value"))))
-    return x.select(
-        "feed_ord", "entry_ord", "title", "link", "published", "pubDate", "updated",
-        F.lit(None).cast("string").alias("created"), "summary", "description", content.alias("content"),
-        F.transform("category", lambda c: F.struct(c.alias("term"))).alias("tags"), *_media(x),
-        F.transform("enclosure", lambda e: F.struct(F.lit(None).cast("string").alias("href"),
-                                                    e["_url"].alias("url"), e["_type"].alias("type")))
-        .alias("enclosures"),
-        F.lit(None).cast("struct<href:string,url:string>").alias("image"))
+def _terms(*lists: Column) -> Column:
+    """Tags from lists of terms; null where there is none of the lists."""
+    some = F.coalesce(*lists).isNotNull()
+    every = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
+    return F.when(some, F.transform(every, lambda t: F.struct(t.alias("term")))).alias("tags")
 
 
-def read_atom(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
-    """Landed Atom files -> raw entries in the same shape. The link is the alternate one
-    (no ``rel`` means alternate), else the first; links with rel ``enclosure`` are
-    enclosures. An entry without ``published`` is dated by ``updated``."""
-    x = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
-         .schema(ATOM_ENTRY_XML_SCHEMA).load(path))
-    x = _with_feed_ord(_positions(x), feed_files)
-    usual = F.filter("link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
-    text = F.col("content._VALUE")
-    return x.select(
-        "feed_ord", "entry_ord", F.col("title._VALUE").alias("title"),
-        F.coalesce(F.get(usual, 0)["_href"], F.get("link", 0)["_href"]).alias("link"), "published",
-        F.lit(None).cast("string").alias("pubDate"), "updated", F.lit(None).cast("string").alias("created"),
-        F.col("summary._VALUE").alias("summary"), F.lit(None).cast("string").alias("description"),
+def _rss_fields(x: Column) -> list[Column]:
+    """Raw entry fields of a parsed RSS item (``RSS_ITEM_XML_SCHEMA``); Dublin Core stands in
+    for the dates and categories that RSS 1.0 lacks."""
+    content = F.when(x["content:encoded"].isNotNull(), F.array(F.struct(x["content:encoded"].alias("value"))))
+    text = F.nullif(F.trim(x["image"]["_VALUE"]), F.lit(""))
+    href = F.coalesce(x["image"]["_href"], x["itunes:image"]["_href"])
+    url = F.coalesce(F.nullif(F.trim(x["image"]["url"]), F.lit("")), text)
+    return [
+        x["title"].alias("title"), x["link"].alias("link"), F.coalesce(x["published"], x["dcterms:issued"]).alias("published"), x["pubDate"].alias("pubDate"),
+        F.coalesce(x["updated"], x["dcterms:modified"], x["dc:date"]).alias("updated"), F.coalesce(x["created"], x["dcterms:created"]).alias("created"),
+        x["summary"].alias("summary"), x["description"].alias("description"), content.alias("content"), _terms(x["category"], x["dc:subject"]), *_media(x),
+        F.transform(x["enclosure"], lambda e: F.struct(F.lit(None).cast("string").alias("href"), e["_url"].alias("url"), e["_type"].alias("type"))).alias("enclosures"),
+        F.when(href.isNotNull() | url.isNotNull(), F.struct(href.alias("href"), url.alias("url"))).alias("image")]
+
+
+def _atom_fields(x: Column) -> list[Column]:
+    """The same of a parsed Atom entry. The link is the alternate one (no ``rel`` means
+    alternate), else the first; links with rel ``enclosure`` are enclosures."""
+    usual = F.filter(x["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    text = x["content"]["_VALUE"]
+    return [
+        x["title"]["_VALUE"].alias("title"), F.coalesce(F.get(usual, 0)["_href"], F.get(x["link"], 0)["_href"]).alias("link"),
+        F.coalesce(x["published"], x["issued"]).alias("published"), F.lit(None).cast("string").alias("pubDate"),
+        F.coalesce(x["updated"], x["modified"], x["dc:date"]).alias("updated"), x["created"].alias("created"),
+        x["summary"]["_VALUE"].alias("summary"), F.lit(None).cast("string").alias("description"),
         F.when(text.isNotNull(), F.array(F.struct(text.alias("value")))).alias("content"),
-        F.transform("category", lambda c: F.struct(c["_term"].alias("term"))).alias("tags"), *_media(x),
-        F.transform(F.filter("link", lambda k: k["_rel"] == "enclosure"), lambda k: F.struct(
+        _terms(F.transform(x["category"], lambda c: c["_term"]), x["dc:subject"]), *_media(x),
+        F.transform(F.filter(x["link"], lambda k: k["_rel"] == "enclosure"), lambda k: F.struct(
             k["_href"].alias("href"), F.lit(None).cast("string").alias("url"), k["_type"].alias("type"))).alias("enclosures"),
-        F.lit(None).cast("struct<href:string,url:string>").alias("image"))
+        F.lit(None).cast("struct<href:string,url:string>").alias("image")]
+
+
+def _read_xml(spark: SparkSession, path, tag: str, schema: T.StructType, feed_files: DataFrame | None) -> DataFrame:
+    x = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(schema).load(path)
+    x = _with_feed_ord(_positions(x), feed_files)
+    return x.select("feed_ord", "entry_ord", F.struct(*[F.col(f"`{f.name}`") for f in schema]).alias("x"))
+
+
+def read_rss(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
+    """Landed RSS (0.9x, 1.0, 2.0) files -> raw entries. ``feed_files`` maps file path -> feed_ord."""
+    x = _read_xml(spark, path, "item", RSS_ITEM_XML_SCHEMA, feed_files)
+    return x.select("feed_ord", "entry_ord", *_rss_fields(F.col("x")))
+
+
+def read_atom(spark: SparkSession, path: str, feed_files: DataFrame | None = None) -> DataFrame:
+    """Landed Atom files -> raw entries in the same shape. An entry without ``published`` is
+    dated by ``updated``."""
+    x = _read_xml(spark, path, "entry", ATOM_ENTRY_XML_SCHEMA, feed_files)
+    return x.select("feed_ord", "entry_ord", *_atom_fields(F.col("x")))
+
+
+ENTRY = r"(?s)(<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)\s*>)"
+
+
+def feed_entries(files: DataFrame) -> DataFrame:
+    """Whole feed files (_file, value), batch or stream -> _file, entry_ord and the raw entry
+    fields. RSS and Atom entries are found in one pass, in the order of the file, and each is
+    parsed by itself (``from_xml``), so a broken entry costs no other. A feed is one row: as a
+    feed holds its newest entries only, that is small; dumps of any size go through ``read_rss``."""
+    e = files.select("_file", F.posexplode(F.regexp_extract_all("value", F.lit(ENTRY), F.lit(1))).alias("entry_ord", "_xml"))
+    rss = F.col("_xml").startswith("<item")
+    parse = lambda schema: F.from_xml(F.col("_xml"), schema, {"mode": "PERMISSIVE"})
+    e = e.withColumn("_rss", F.when(rss, parse(RSS_ITEM_XML_SCHEMA))).withColumn("_atom", F.when(~rss, parse(ATOM_ENTRY_XML_SCHEMA)))
+    fields = F.when(rss, F.struct(*_rss_fields(F.col("_rss")))).otherwise(F.struct(*_atom_fields(F.col("_atom"))))
+    return e.select("_file", F.col("entry_ord").cast("long").alias("entry_ord"), fields.alias("e")).select("_file", "entry_ord", "e.*")
 
 
-def read_feeds(spark: SparkSession, path: str, feed_files: DataFrame) -> DataFrame:
-    """RSS and Atom files together: a file's entries are found by whichever form it has."""
-    return read_rss(spark, path, feed_files).unionByName(read_atom(spark, path, feed_files))
+def read_feeds(spark: SparkSession, path, feed_files: DataFrame) -> DataFrame:
+    """RSS and Atom files together, each read once."""
+    paths = path if isinstance(path, list) else [path]
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    return feed_entries(files).join(feed_files, "_file").drop("_file")
 
 
 def read_sitemap(spark: SparkSession, path: str, feed_ord: int) -> DataFrame:

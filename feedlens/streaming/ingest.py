@@ -83,26 +83,27 @@ def stream_articles(spark: SparkSession, source_dir: str, schema, table: AppendT
 FILES_PER_TRIGGER = 1000
 
 
+def feed_stream(spark: SparkSession, source_dir: str, files_per_trigger: int = FILES_PER_TRIGGER, glob: str = "*.xml") -> DataFrame:
+    """Raw entries (``feeds.feed_entries``) of RSS and Atom files as they land. A file is
+    read once, in the micro-batch that it belongs to; a backlog comes ``files_per_trigger``
+    files at a time."""
+    files = (spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger)
+             .option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(source_dir))
+    return feeds.feed_entries(files.select(F.col("_metadata.file_path").alias("_file"), "value"))
+
+
 def stream_xml_articles(spark: SparkSession, source_dir: str, sources: DataFrame, table: AppendTable, checkpoint: str,
                         as_of: datetime, feed_of=None, once: bool = True, files_per_trigger: int = FILES_PER_TRIGGER):
-    """R1 for feeds: landed RSS and Atom files are picked up as they come (a stream of their
-    paths, at most ``files_per_trigger`` in a micro-batch), read as XML, normalized and appended
-    like ``stream_articles``. ``feed_of`` maps a path column to feed_ord (default: digits at the
-    end of the file's name)."""
+    """R1 for feeds: entries of landed files (``feed_stream``) are normalized and appended like
+    ``stream_articles``. ``feed_of`` maps a path column to feed_ord (default: digits at the end
+    of the file's name)."""
     feed_of = feed_of or (lambda path: F.regexp_extract(path, r"([0-9]+)\.[a-z]+\z", 1).cast("int"))
-    names = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary")
-             .format("binaryFile").option("pathGlobFilter", "*.xml").option("maxFilesPerTrigger", files_per_trigger)
-             .load(source_dir).select("path"))  # only paths: the content column is pruned from the scan
+    entries = feed_stream(spark, source_dir, files_per_trigger).withColumn("feed_ord", feed_of(F.col("_file"))).drop("_file")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        files = df.select(F.col("path").alias("_file"), feed_of(F.col("path")).alias("feed_ord"))
-        paths = [r[0] for r in files.select("_file").collect()]  # at most ``files_per_trigger``
-        if not paths:
-            return
-        entries = feeds.read_feeds(spark, paths, files)
-        append_new(table, normalize.normalize_entries(entries, sources, as_of), epoch)
+        append_new(table, cut_lineage(normalize.normalize_entries(df, sources, as_of)), epoch)
 
-    return _run(names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
+    return _run(entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), once)
 
 
 def stream_url_dedup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -211,6 +212,6 @@ def mentions_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, t
     return t.read()
 
 
-__all__ = ["AppendTable", "DayTable", "MergeTable", "VersionedTable", "append_new", "stream_articles", "stream_xml_articles", "stream_url_dedup",
+__all__ = ["AppendTable", "DayTable", "MergeTable", "VersionedTable", "append_new", "feed_stream", "stream_articles", "stream_xml_articles", "stream_url_dedup",
            "stream_daily_metrics", "metrics_of", "SUMS", "stream_mentions", "stream_company_mentions",
            "stream_retention", "daily_metrics_via_stream", "mentions_via_stream"]

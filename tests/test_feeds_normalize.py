@@ -181,3 +181,43 @@ def test_redirects(spark):
     srcs = dims.add_feed_source(dims.feed_sources(spark).limit(0), "G", "https://news.google.com/rss")
     got = sorted((r.ord, r.link) for r in NZ.resolve_redirects(a, m, srcs).collect())
     assert got == [(1, "https://real/x"), (2, "https://y"), (3, "https://news.google.com/x"), (4, "https://news.google.com/none")]
+
+
+RDF = """<?xml version="1.0"?><rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title><items/></channel>
+<item rdf:about="a"><title>One &amp; only</title><link>https://r/1</link><dc:date>2024-01-02T03:04:05+01:00</dc:date><dc:subject>Tech</dc:subject><dc:subject>x</dc:subject>
+<image> https://img/plain.png </image></item>
+<item><title><![CDATA[Two </b> <item]]></title><link>https://r/2</link><dcterms:issued>2024-01-03</dcterms:issued><image><url>https://img/child.png</url></image></item>
+<item><title>Three</title><link>https://r/3</link><itunes:image href="https://img/attr.png"/><category>Science</category></item>
+<item><title>broken<link>https://r/4</link></item>
+<entry><title type="html">Four</title><link href="https://r/5"/><issued>2024-01-04T00:00:00Z</issued><modified>2024-01-05T00:00:00Z</modified></entry></rdf:RDF>"""
+
+
+def test_rss_one_dublin_core_and_images(spark, tmp_path):
+    (tmp_path / "feed3.xml").write_text(RDF)
+    (tmp_path / "feed4.xml").write_text("<rss></rss>")
+    files = spark.read.text(str(tmp_path), wholetext=True).selectExpr("_metadata.file_path AS _file").distinct().withColumn("feed_ord", F.lit(3))
+    got = {r.link: r for r in FD.read_feeds(spark, str(tmp_path), files).where("link is not null").collect()}
+    assert {k: got[k].title for k in got} == {"https://r/1": "One & only", "https://r/2": "Two </b> <item", "https://r/3": "Three", "https://r/5": "Four"}
+    assert [got[f"https://r/{k}"].entry_ord for k in (1, 2, 3, 5)] == [0, 1, 2, 4]
+    one = got["https://r/1"]
+    assert one.updated == "2024-01-02T03:04:05+01:00" and [t.term for t in one.tags] == ["Tech", "x"] and (one.image.href, one.image.url) == (None, "https://img/plain.png")
+    assert got["https://r/2"].published == "2024-01-03" and got["https://r/2"].image.url == "https://img/child.png"
+    assert got["https://r/3"].image.href == "https://img/attr.png" and [t.term for t in got["https://r/3"].tags] == ["Science"]
+    assert got["https://r/5"].published == "2024-01-04T00:00:00Z" and got["https://r/5"].updated == "2024-01-05T00:00:00Z" and got["https://r/5"].image is None
+    arts = NZ.normalize_entries(FD.read_feeds(spark, str(tmp_path), files), dims.feed_sources(spark), datetime(2024, 2, 1))
+    at = {r.link: (r.published_at, r.image) for r in arts.collect()}
+    assert at["https://r/1"] == (datetime(2024, 1, 2, 2, 4, 5), "https://img/plain.png") and at["https://r/2"][0] == datetime(2024, 1, 3)
+    batch = {r.link: r for r in FD.read_rss(spark, str(tmp_path / "feed3.xml"), files).where("link is not null").collect()}
+    assert batch["https://r/1"].updated == one.updated and batch["https://r/3"].image.href == "https://img/attr.png"
+
+
+def test_a_backlog_of_feeds_comes_in_bounded_batches(spark, tmp_path):
+    from feedlens.streaming.ingest import feed_stream
+    (tmp_path / "in").mkdir()
+    for n in range(7):
+        (tmp_path / "in" / f"f{n}.xml").write_text(f"<rss><item><title>t{n}</title><link>https://x/{n}</link></item></rss>")
+    seen = []
+    q = (feed_stream(spark, str(tmp_path / "in"), files_per_trigger=3).writeStream.trigger(availableNow=True)
+         .foreachBatch(lambda df, e: seen.append(sorted(r.link for r in df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.awaitTermination()
+    assert [len(b) for b in seen] == [3, 3, 1] and sorted(x for b in seen for x in b) == [f"https://x/{n}" for n in range(7)]
