@@ -1373,6 +1373,15 @@ def q_mention_fallback(spark, sf):
     return mentions.extract_mentions(_with_landed_spans(spark, sf), spans_col="spans")
 
 
+@register("learned_sentiment")
+def q_learned_sentiment(spark, sf):
+    """Every document scored out of fold by a model of ``labels`` (toxic: negative)."""
+    from ..operators import calibrated
+    labels = S.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    s = calibrated.learned_sentiment(S.table(spark, sf, "documents"), labels)
+    return s.select("doc_id", "fold", r9("negative").alias("negative"), r9("positive").alias("positive"), r9("compound").alias("compound"), "label")
+
+
 # ------------------------------------------------------------------ T22, A7 ---------------
 
 @register("text_sentiment",
