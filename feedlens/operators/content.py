@@ -11,18 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import og_image, with_banner_strip, with_main_text
+from . import blocks
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                  landed_col: str | None = None) -> DataFrame:
+                  landed_col: str | None = None, by_blocks: bool = False) -> DataFrame:
     """T1+T2+T3: (url, image = og:image, content = banner-stripped main text). With
-    ``landed_col`` only the newest landing of each URL is extracted."""
+    ``landed_col`` only the newest landing of each URL is extracted; with ``by_blocks`` the main
+    text is what ``blocks.main_blocks`` keeps: dense blocks that the host doesn't repeat."""
     p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("_html"),
                      *([F.col(landed_col).alias("_landed")] if landed_col else []))
     if landed_col:
         newest = p.groupBy("url").agg(F.max("_landed").alias("_landed"))
         p = p.join(newest, ["url", "_landed"]).dropDuplicates(["url"]).drop("_landed")
-    p = with_main_text(p.withColumn("image", og_image(F.col("_html"))), "_html", "_main")
+    p = p.withColumn("image", og_image(F.col("_html")))
+    if by_blocks:
+        p = blocks.main_blocks(p, "url", "_html").withColumnRenamed("content", "_main")
+    else:
+        p = with_main_text(p, "_html", "_main")
     return with_banner_strip(p, "_main", "content").select("url", "image", "content")
 
 

@@ -1,17 +1,27 @@
 """DuckDB SQL twins of the Spark expressions, used only to build ``oracle_sql()``.
 
 Each helper returns SQL text that computes the same value as the Spark column of the
-same name. The oracle is independent code: it re-states the rule in SQL rather than
-calling the Spark plan, and the driver compares the two results.
+same name. It re-states the rule in SQL rather than calling the Spark plan, with element
+lists and patterns of its own; fixture texts, dimensions and the alias list are the inputs
+that both sides share.
 """
 
 from __future__ import annotations
 
-from .functions.text import SCHEME, WS
 from .sources.dims import (BANNER_KEYWORDS, COMPANIES, COMPANY_ALIASES, alias_pattern)
 from .sources.tables import DOC_SUFFIXES, PAGE_BANNERS
-from .functions.html import (BLOCK_TAGS, DROP_ELEMENTS, IMG_SRC, IMG_SRCSET,
-                             OG_CONTENT_FIRST, OG_PROPERTY_FIRST)
+
+# --- fixed values: what the rules name, written out for SQL ------------------------------
+DROP_ELEMENTS = "script style noscript template svg iframe nav header footer aside form table".split()
+BLOCK_TAGS = "p|div|br|h1|h2|h3|h4|h5|h6|li|ul|ol|tr|blockquote|section|article|pre|dd|dt|main"
+OG_PROPERTY_FIRST = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
+OG_CONTENT_FIRST = r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+property=["']og:image["']"""
+IMG_SRC = r"""(?i)<img[^>]+(?:data-src|src)=["']([^"']+)["']"""
+IMG_SRCSET = r"""(?i)<img[^>]+srcset=["']([^"']+)["']"""
+# white space as str.strip() knows it: the ASCII separators and Unicode spaces
+WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*"
+# -------------------------------------------------------------------------------------
 
 WS_RUN = WS + "+"
 # the character references that the fixture pages hold

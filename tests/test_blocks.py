@@ -48,3 +48,10 @@ def test_awkward_pages(spark):
     long = "<p>" + " ".join(f"word{i}" for i in range(300_000)) + "</p>"
     assert len(run(spark, [("https://a/9", long)])[0]) > 2_000_000
     assert run(spark, [("u", "x")] * 0 or [("https://e/", None)])[0] is None
+
+
+def test_extraction_by_blocks(spark):
+    from feedlens.operators.content import extract_pages
+    rows = [(f"https://a.example/{n}", "<head><meta property='og:image' content='https://i/1'></head>" + page(n)) for n in range(3)]
+    got = extract_pages(spark.createDataFrame(rows, "url string, html string"), by_blocks=True).orderBy("url").collect()
+    assert [r.content for r in got] == [f"Heading {n}\n{LONG} {n}\n{LONG} b{n}" for n in range(3)]
