@@ -1161,22 +1161,38 @@ def _xml(c) -> F.Column:
 XML_ROOT = ('<root xmlns:news="http://news.example/" xmlns:image="http://image.example/">', "</root>")
 
 
+FILE_ENTRIES = 50      # entries of a landed file, as feeds have them; files grow in number
+
+
 def _land_xml(spark, rows: DataFrame, name: str):
-    """Writes (feed_ord, entry_ord, xml) as one XML file per feed, entries in order; returns
-    the folder and the feed of each file."""
+    """Writes (feed_ord, entry_ord, xml) as XML files of ``FILE_ENTRIES`` entries, in order, by as
+    many tasks; returns the folder and the number of each file: feed and part (``_whole`` undoes it)."""
     from ..streaming.ingest import scratch
     at = scratch(spark, name)
+    part = F.floor(F.col("entry_ord") / FILE_ENTRIES).cast("int")
+    rows = rows.select((F.col("feed_ord") * 10_000_000 + part).cast("int").alias("feed_ord"), "entry_ord", "xml")
     ends = rows.select("feed_ord").distinct().select("feed_ord", F.explode(F.array(
         F.struct(F.lit(-1).cast("long").alias("entry_ord"), F.lit(XML_ROOT[0]).alias("xml")),
         F.struct(F.lit(2 ** 62).alias("entry_ord"), F.lit(XML_ROOT[1]).alias("xml")))).alias("e")).select("feed_ord", "e.*")
-    (rows.select("feed_ord", "entry_ord", "xml").unionByName(ends)
-     .repartition("feed_ord").sortWithinPartitions("feed_ord", "entry_ord")
+    (rows.unionByName(ends).repartition("feed_ord").sortWithinPartitions("feed_ord", "entry_ord")
      .select("feed_ord", "xml").write.partitionBy("feed_ord").text(at))
     files = (spark.read.text(at).select(F.col("_metadata.file_path").alias("_file"), F.col("feed_ord").cast("int"))
              .distinct())
     return f"{at}/*", files
 
 
+def _whole(entries: DataFrame) -> DataFrame:
+    """feed_ord and entry_ord of entries that ``_land_xml`` has landed, over all files of a feed."""
+    part = F.col("feed_ord") % 10_000_000
+    return (entries.withColumn("entry_ord", (part * FILE_ENTRIES + F.col("entry_ord")).cast("long"))
+            .withColumn("feed_ord", F.floor(F.col("feed_ord") / 10_000_000).cast("int")))
+
+
+def _feed_positions(rows: DataFrame) -> DataFrame:
+    """Adds ``entry_ord``: the place of each row by ``ord``, over all rows, from 0."""
+    return U.assign_dense_ids(rows, "ord", -1, id_col="entry_ord")
+
+
 def _pages_with_titles(spark, sf) -> DataFrame:
     p = S.page_articles(spark, sf)
     return p.select((F.col("ord") % 4).cast("int").alias("feed_ord"), F.floor(F.col("ord") / 4).cast("long").alias("entry_ord"),
@@ -1195,7 +1211,7 @@ def q_xml_rss_entries(spark, sf):
     xml = F.concat(F.lit("<item><title>"), _xml("title"), F.lit("</title><link>"), _xml("link"), F.lit("</link><pubDate>"),
                    F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate></item>"))
     path, files = _land_xml(spark, p.withColumn("xml", xml), "rss")
-    r = FD.read_rss(spark, path, files)
+    r = _whole(FD.read_rss(spark, path, files))
     return r.select("feed_ord", "entry_ord", "title", "link", ts_str(NZ.parse_date("pubDate")).alias("published_at"))
 
 
@@ -1207,7 +1223,7 @@ def q_xml_atom_entries(spark, sf):
                    '<link rel="alternate" href="'), _xml("link"), F.lit('"/><published>'),
                    F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published></entry>"))
     path, files = _land_xml(spark, p.withColumn("xml", xml), "atom")
-    r = FD.read_atom(spark, path, files)
+    r = _whole(FD.read_atom(spark, path, files))
     return r.select("feed_ord", "entry_ord", "title", "link", ts_str(NZ.parse_date("published")).alias("published_at"))
 
 
@@ -1260,8 +1276,9 @@ def q_xml_sitemap_items(spark, sf):
                                F.lit("</image:loc></image:image>"))
     xml = F.concat(F.lit("<url><loc>"), _xml("link"), F.lit("</loc><news:news><news:title>"), _xml("title"),
                    F.lit("</news:title></news:news>"), image(1), image(2), F.lit("</url>"))
-    path, _ = _land_xml(spark, p.select(F.lit(10).alias("feed_ord"), F.col("ord").alias("entry_ord"), xml.alias("xml")), "sitemap")
-    return FD.read_sitemap(spark, path, feed_ord=10).select("entry_ord", "loc", "title", "image_loc")
+    rows = _feed_positions(p.select("ord", xml.alias("xml")))
+    path, files = _land_xml(spark, rows.select(F.lit(10).alias("feed_ord"), "entry_ord", "xml"), "sitemap")
+    return _whole(FD.read_sitemap(spark, path, files)).select("entry_ord", "loc", "title", "image_loc")
 
 
 # ---------------------------------------------------------------- labels, ids, selection --

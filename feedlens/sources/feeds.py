@@ -216,11 +216,13 @@ def read_feeds(spark: SparkSession, path, feed_files: DataFrame) -> DataFrame:
     return feed_entries(files).join(feed_files, "_file").drop("_file")
 
 
-def read_sitemap(spark: SparkSession, path: str, feed_ord: int) -> DataFrame:
-    """Landed news-sitemap files -> sitemap entries (loc, title, date, image)."""
+def read_sitemap(spark: SparkSession, path: str, feed_ord: int | DataFrame) -> DataFrame:
+    """Landed news-sitemap files -> sitemap entries (loc, title, date, image). ``feed_ord``
+    is the feed of all files, or a table that maps file path -> feed_ord."""
     x = (spark.read.format("xml").option("rowTag", "url").schema(SITEMAP_XML_SCHEMA).load(path))
     x = _positions(x)
-    return x.select(F.lit(feed_ord).cast("int").alias("feed_ord"), "entry_ord", "loc",
+    x = x.withColumn("feed_ord", F.lit(feed_ord).cast("int")) if isinstance(feed_ord, int) else _with_feed_ord(x, feed_ord)
+    return x.select("feed_ord", "entry_ord", "loc",
                     F.col("`news:news`.`news:title`").alias("title"),
                     F.col("`news:news`.`news:publication_date`").alias("publication_date"),
                     F.get(F.col("`image:image`"), 0)["image:loc"].alias("image_loc"))
