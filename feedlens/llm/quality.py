@@ -6,7 +6,8 @@ bad) are split by a hash of doc_id into a selection half and a holdout half. Per
 
 1. On the selection half each rule proposes a cutoff: the one that gains most (bad documents
    rejected, less ``GOOD_COST`` times the good ones), put midway into the gap below it. Rules
-   that gain less than ``MIN_GAIN`` stay off. The others are ordered by their gain.
+   are ordered by their gain; one that gains less than ``MIN_GAIN`` on the documents that
+   those before it leave stays off, so no rule rejects for what others find already.
 2. The proposals form one path of ever stricter rule sets: the first rule's cutoff falls from
    1000 to its proposal, then the second's, and so on. Each document has the step at which it
    is first rejected, so rule sets along the path are nested.
@@ -137,13 +138,12 @@ def stratum_of():
 
 
 def proposals(known: DataFrame) -> DataFrame:
-    """stratum, rule (its number), cutoff, gain, start (step before the rule's first): the
-    path of each stratum, from the selection half. Values are at most 1001 per rule, so the
-    windows are small whatever the rows."""
-    sel = known.where("NOT holdout")
+    """stratum, rule (its number), cutoff, place (its order), start (step before the rule's
+    first): the path of each stratum, from the selection half. Values are at most 1001 per
+    rule, so the windows are small whatever the rows."""
+    sel = known.where("NOT holdout").withColumn("worth", F.when(F.col("good"), -GOOD_COST).otherwise(1))
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(r).alias("value")) for k, r in enumerate(RULES)]))
-    seen = (sel.select("stratum", "good", at.alias("x")).groupBy("stratum", "x.rule", "x.value")
-            .agg(F.sum(F.when(F.col("good"), -GOOD_COST).otherwise(1)).alias("worth")))
+    seen = sel.select("stratum", "worth", at.alias("x")).groupBy("stratum", "x.rule", "x.value").agg(F.sum("worth").alias("worth"))
     down = Window.partitionBy("stratum", "rule").orderBy(F.desc("value"))
     # cutting just below a value that occurs rejects it and all above; the next value down stays
     cuts = seen.select("stratum", "rule", "value", F.sum("worth").over(down).alias("gain"),
@@ -151,17 +151,25 @@ def proposals(known: DataFrame) -> DataFrame:
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("value"))
     top = (cuts.where(F.col("gain") >= MIN_GAIN).where("value > 0").withColumn("k", F.row_number().over(best)).where("k = 1")
            .select("stratum", "rule", "gain", F.floor((F.col("value") - 1 + F.col("below")) / 2).cast("int").alias("cutoff")))
-    path = Window.partitionBy("stratum").orderBy(F.desc("gain"), "rule")
-    return top.withColumn("start", F.coalesce(F.sum(1000 - F.col("cutoff")).over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("stratum").orderBy(F.desc("gain"), "rule")
+    top = cut_lineage(top.withColumn("place", F.row_number().over(order)).drop("gain"))
+    # what each rule rejects first, of its order: those that add too little go
+    first = F.least(*[F.when(F.col(r) > F.col(f"c{k}"), F.col(f"p{k}")) for k, r in enumerate(RULES)])
+    adds = (sel.join(small(cut_lineage(by_rule(top, c="cutoff", p="place"))), "stratum").groupBy("stratum", first.alias("place"))
+            .agg(F.sum("worth").alias("adds")).where(F.col("adds") >= MIN_GAIN).drop("adds"))
+    path = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return top.join(adds, ["stratum", "place"]).withColumn("start", F.coalesce(F.sum(1000 - F.col("cutoff")).over(path), F.lit(0)))
+
+
+def by_rule(proposed: DataFrame, steps: bool = False, **columns: str) -> DataFrame:
+    """One row per stratum: each of ``columns`` (prefix -> column) of each rule, null: off."""
+    cols = [F.max(F.when(F.col("rule") == k, F.col(c))).alias(f"{name}{k}") for k in range(len(RULES)) for name, c in columns.items()]
+    return proposed.groupBy("stratum").agg(*cols, *[F.sum(1000 - F.col("cutoff")).alias("steps")] * steps)
 
 
 def paths(proposed: DataFrame) -> DataFrame:
     """One row per stratum: c0.., s0.. (cutoff and start of each rule, null: off) and steps."""
-    cols = []
-    for k in range(len(RULES)):
-        own = F.col("rule") == k
-        cols += [F.max(F.when(own, F.col("cutoff"))).alias(f"c{k}"), F.max(F.when(own, F.col("start"))).alias(f"s{k}")]
-    return proposed.groupBy("stratum").agg(*cols, F.sum(1000 - F.col("cutoff")).alias("steps"))
+    return by_rule(proposed, steps=True, c="cutoff", s="start")
 
 
 def step_of():
@@ -297,7 +305,13 @@ c AS (SELECT stratum, rule, value, sum(worth) OVER o AS gain, coalesce(lead(valu
   FROM v WINDOW o AS (PARTITION BY stratum, rule ORDER BY value DESC)),
 p AS (SELECT stratum, rule, gain, (value - 1 + below) // 2 AS cutoff FROM c WHERE gain >= {MIN_GAIN} AND value > 0
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, value DESC) = 1),
-ps AS (SELECT *, coalesce(sum(1000 - cutoff) OVER (PARTITION BY stratum ORDER BY gain DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+po AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS place FROM p),
+pw AS (SELECT stratum, {', '.join(f'max(CASE WHEN rule = {i} THEN cutoff END) AS c{i}, max(CASE WHEN rule = {i} THEN place END) AS p{i}' for i in range(len(RULES)))}
+  FROM po GROUP BY stratum),
+ad AS (SELECT stratum, least({', '.join(f'CASE WHEN {r} > c{i} THEN p{i} END' for i, r in enumerate(RULES))}) AS place,
+    sum(CASE WHEN good THEN -{GOOD_COST} ELSE 1 END) AS adds FROM k JOIN pw USING (stratum) WHERE NOT holdout GROUP BY ALL),
+ps AS (SELECT po.*, coalesce(sum(1000 - cutoff) OVER (PARTITION BY stratum ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM po JOIN ad USING (stratum, place) WHERE adds >= {MIN_GAIN}),
 path AS (SELECT stratum, {', '.join(f'max(CASE WHEN rule = {i} THEN cutoff END) AS c{i}, max(CASE WHEN rule = {i} THEN start END) AS s{i}' for i in range(len(RULES)))},
     sum(1000 - cutoff) AS steps FROM ps GROUP BY stratum),
 h AS (SELECT stratum, step, count(*) OVER (PARTITION BY stratum ORDER BY step NULLS LAST RANGE UNBOUNDED PRECEDING) AS seen, count(*) OVER (PARTITION BY stratum) AS n
