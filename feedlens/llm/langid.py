@@ -14,7 +14,9 @@ against ``MAX_LANGUAGES`` before they reach the driver.
 
 Defined cases: null text and text without letters: ``und``, score 0; with nothing learned
 every text is ``und``; ties between languages go to the smaller name; rows with null lang
-teach nothing; empty tables give no rows; repeated rows count as often as they occur.
+teach nothing; empty tables give no rows; repeated rows count as often as they occur; a very
+long text is read whole, one at a time; other columns are never read (``predict`` adds
+``lang_pred`` and ``score``, which its input must not hold).
 """
 
 from __future__ import annotations

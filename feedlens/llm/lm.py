@@ -20,7 +20,8 @@ however hot an n-gram is, and no table of n-grams is ever in one place.
 
 Defined cases: null text is empty (one token, the end); a null doc_id is never held out and
 learned from; with nothing learned every token is unknown and scores 0; rows that share a
-doc_id are scored each; empty tables give no rows; extra columns are ignored.
+doc_id are scored each; a very long text makes a chunk of its own, read whole; empty tables give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ A fingerprint is written ``root:sections:leaves``: 32 hex digits, 8 per section
 leaf. ``likeness`` is 1 for equal roots, else Dice's share of common leaves.
 
 Null text is empty: no leaves, one fixed root. Empty tables give no rows, repeated rows
-are fingerprinted alike, extra columns are never read.
+are fingerprinted alike, a very long text is hashed whole in its row (its leaves are one array),
+extra columns are never read.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     """Branches where two versions of the same documents differ: doc_id, level, position,
-    left_digest, right_digest (null: the branch is missing there). Walks down from the
-    roots: a level is compared only below branches that differ."""
+    left_digest, right_digest (null: the branch is missing there). Compares the nodes of all
+    levels by place in one join."""
     key = ["doc_id", "level", "position"]
     both = (nodes(left).withColumnRenamed("digest", "left_digest")
             .join(nodes(right).withColumnRenamed("digest", "right_digest").drop("parent"), key, "full_outer")

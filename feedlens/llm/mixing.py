@@ -13,7 +13,8 @@ however large. The per-source table is the only thing joined back to the documen
 Defined cases: null or empty text has size 0 and takes 0; a null source is one source,
 ranked last; a source without words has target 0; rows that share doc_id and source share
 the words at a cut in proportion to their sizes; a null doc_id orders like the text
-"null"; an empty table gives an empty result. Further columns of the input are kept by
+"null"; a very long text is counted whole in its row and only its size moves; an empty table gives
+an empty result. Further columns of the input are kept by
 ``mix_documents`` and never read.
 """
 

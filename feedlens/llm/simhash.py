@@ -16,8 +16,8 @@ close together are dealt to several tasks: homes to all, askers to one each.
 A shard reports, not its pairs, but the links of a spanning star per local component: no
 connection is lost and a dense group gives no more links than it has members.
 
-Null text has no words. Rows that share text share the fingerprint. Empty tables give no
-rows. Extra columns are never read (the stage keeps them).
+Null text has no words. Rows that share text share the fingerprint. A very long text is hashed
+whole, one text at a time in its task. Empty tables give no rows. Extra columns are never read (the stage keeps them).
 """
 
 from __future__ import annotations

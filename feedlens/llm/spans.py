@@ -20,8 +20,8 @@ documents by their coordinates as spans; covered words are removed.
 
 Defined cases: null text has no words; a text shorter than a window repeats nothing; rows
 that share doc_id are documents of their own (a row's identity is its doc_id and text, and
-equal rows repeat each other, so both lose their repeated words); empty tables give no
-rows; further columns are kept by ``remove_repeats`` and never read.
+equal rows repeat each other, so both lose their repeated words); a very long text is cut into
+words whole, one text at a time in its task; empty tables give no rows; further columns are kept by ``remove_repeats`` and never read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ found, through ZIP64's where its fields say so, then the central directory, the
 headers of the members and the index; records are fetched by range reads. No archive is
 extracted or read whole: the index is streamed and records are read one by one.
 
+Defined cases: null html is an empty payload; a null page_id is written without its header and
+never referred to; repeated rows are records each; a very long page is one record, held whole
+while it is written or read; empty tables write no archive; other columns are never read.
+
 Files are reached through ``pyarrow.fs`` by URI below the shared folder that the cluster
 names in ``spark.checkpoint.dir``.
 """
