@@ -1,7 +1,12 @@
 """The corpus pipeline: documents -> one language-checked, deduplicated, mixed and packed
 training set. Every stage takes (spark, docs, sf_dir), works on all that its predecessor
 kept and returns a DataFrame that is written as Parquet and read again as the next one's
-``docs``; all but the last return the columns of ``documents``."""
+``docs``; all but the last return the columns of ``documents``.
+
+In every stage a null or empty text is a text without words or letters (the language stage
+drops it), rows that share a doc_id or are repeated are documents each (near duplicates of
+each other), ties go to the smaller doc_id or name, an empty table gives an empty table and
+further columns are kept up to the last stage."""
 
 from __future__ import annotations
 
