@@ -1,22 +1,28 @@
-"""Substring dedup by a sparse De Bruijn graph of token k-mers.
-
-A document's words (``[^\\x20\\x09-\\x0D]+``, unchanged) give k-mers of ``K`` words. Of the
-k-mers in a window of ``WINDOW`` words the one with the least hash (leftmost of equals) is
-the window's vertex; it depends on the window's words only, so equal windows have the same
-vertex in the same place. The consecutive windows of a document that share a vertex
-occurrence are one edge of the graph: an occurrence of the vertex with the words around it
-that those windows reach. About one word in thirteen starts an edge.
-
-* A vertex that occurs once (its windows occur once) leaves the graph.
-* A vertex whose edges all carry the same words doesn't branch: its path compacts, all its
-  windows repeat.
-* At a branching vertex one representative occurrence of each distinct edge is looked up
-  again by its source coordinates, and its windows are compared word for word (digests of
-  the exact words, together with the vertex and the place in the window: 128 bits).
-
-What is joined and counted is thus one row per edge, not per window, and a passage that
-very many documents share is one edge with a count. The repeated windows come back to the
-documents by their coordinates as spans; covered words are removed.
+"""Substring dedup by De Bruijn compaction of token k-mers.
+
+A document's words (``[^\\x20\\x09-\\x0D]+``, unchanged) are a walk through a graph whose edges
+are its windows of ``WINDOW`` words. The windows that repeat are found first; paths of them
+that never branch are then compacted into unitigs, and a unitig's occurrences are the spans.
+
+* Edges. Of the k-mers of ``K`` words in a window the one with the least hash (leftmost of
+  equals) is the window's vertex; it depends on the window's words only. Consecutive windows
+  that share a vertex occurrence travel as one row, a strand: vertex, a digest of its words
+  and the digest of the strand after it. About one word in thirteen starts a strand.
+* Counts. A vertex that occurs once leaves the graph. A vertex whose strands are all equal
+  doesn't branch. At a branching vertex one representative of each distinct strand is read
+  again at its source coordinates, and its windows are counted one by one, each with what
+  follows it (digests of the exact words, together with the vertex: 128 bits).
+* Runs. Windows of a strand join while each is always followed by the next and the next is
+  always preceded by it (equal counts of both and of the pair).
+* Unitigs. The run that ends a strand joins the run that starts the strand behind it under the same
+  condition. Chains of such links compact by pointer jumping: a self-join per round doubles how far a
+  run sees, so rounds grow with the logarithm of the longest repeated passage. (A
+  text is finite, so a chain can't be a ring: its first run has nothing before it.)
+* Coordinates. One occurrence of each unitig is read at its source; every other occurrence
+  is compared with its 128-bit digest before its words go.
+
+What is joined and counted is one row per strand, not per window, and a passage that
+very many documents share is one chain of strands with counts.
 
 Defined cases: null text has no words; a text shorter than a window repeats nothing; rows
 that share doc_id are documents of their own (a row's identity is its doc_id and text, and
@@ -27,15 +33,17 @@ words whole, one text at a time in its task; empty tables give no rows; further
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, staged, texts_of, unused
+from ..session import checkpoint_dir, cut_lineage
+from .common import arrow_map, discard, mix64, staged, texts_of, unused
 
 WINDOW = 35   # words in a span that must not repeat
 K = 10        # words in a k-mer
@@ -88,8 +96,8 @@ class Words:
         return self.joined[self.starts[first]:self.ends[first + n - 1]]
 
 
-def edges_of(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """(vertex hash, vertex place, first window, last window) of a document's edges."""
+def strands_of(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """(vertex hash, vertex place, first window, last window) of a document's strands."""
     if w.n < window:
         none = np.empty(0, dtype=np.int64)
         return none.view(np.uint64), none, none, none
@@ -113,98 +121,192 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_id.alias("id"), check.alias("check"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def edges(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """id, check, vertex, words (digest), spot: first window << 16 | windows - 1 << 8
-    | place of the vertex in the first window."""
+def strands(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """id, check, vertex, words (digest), after (digest of the next strand, null for a text's
+    last), spot: first window << 16 | windows - 1 << 8 | place of the vertex in the first window."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        which, cols = [], ([], [], [])
+        which, ends, cols = [], [], ([], [], [], [])
         for i, text in enumerate(texts_of(batch)):
             w = Words(text)
-            vertex, at, first, last = edges_of(w, window, k)
+            vertex, at, first, last = strands_of(w, window, k)
             if not len(at):
                 continue
             s, e = w.starts[first].tolist(), w.ends[last + window - 1].tolist()
             digest = np.fromiter((xxhash.xxh3_64_intdigest(w.joined[a:b]) for a, b in zip(s, e)), dtype=np.uint64, count=len(s))
             which.append(np.full(len(at), i))
-            for col, x in zip(cols, (vertex, digest, first << 16 | (last - first) << 8 | (at - first))):
+            ends.append(np.arange(len(at)) == len(at) - 1)
+            for col, x in zip(cols, (vertex, digest, np.roll(digest, -1), first << 16 | (last - first) << 8 | (at - first))):
                 col.append(x.view(np.int64))
         if not which:
             return None
         row = pa.array(np.concatenate(which))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
-                                           *(pa.array(np.concatenate(c)) for c in cols)],
-                                          ["id", "check", "vertex", "words", "spot"])
-    return arrow_map(keyed(docs), run, "id long, check int, vertex long, words long, spot long")
+        vertex, words, after, spot = (np.concatenate(c) for c in cols)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(vertex), pa.array(words),
+                                           pa.array(after, mask=np.concatenate(ends)), pa.array(spot)],
+                                          ["id", "check", "vertex", "words", "after", "spot"])
+    return arrow_map(keyed(docs), run, "id long, check int, vertex long, words long, after long, spot long")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """id, check, first, mask: window first + i repeats if bit i of mask is set."""
-    every = edges(docs, window, k)
-    vertices = (every.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("lo"), F.max("words").alias("hi"))
-                .where("n > 1").select("vertex", (F.col("lo") != F.col("hi")).alias("branching")))
-    # What a hot key is joined with is staged first: then both sides are plain shuffles, and
-    # Spark can split the hot one.
-    vertices = staged(vertices, "vertices")
-    held = staged(every.join(vertices, "vertex"), "edges")
-    full = F.expr("shiftleft(1L, cast(shiftright(spot, 8) & 255 as int) + 1) - 1")
-    first = F.shiftright(F.col("spot"), 16)
-    straight = held.where(~F.col("branching")).select("id", "check", first.alias("first"), full.alias("mask"))
-
-    # One occurrence of each distinct edge at a branching vertex, read again at its source.
-    forks = held.where("branching")
-    distinct = (forks.groupBy("vertex", "words").agg(F.count(F.lit(1)).alias("n"),
-                                                     F.min(F.struct("id", "check", "spot")).alias("at")))
-    asked = (distinct.select("at.id", "at.check", F.struct("vertex", "words", "n", "at.spot").alias("e"))
-             .groupBy("id", "check").agg(F.collect_list("e").alias("edges")))
+def _first(spot: str):
+    return F.shiftright(F.col(spot), 16)
+
+
+def _read_windows(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """Windows of one occurrence of each distinct strand: vertex, words, n, bit (place in the
+    strand), digest, next (digest of the window behind it in the strand)."""
+    asked = (classes.select("at.id", "at.check", F.struct("vertex", "words", "n", "at.spot").alias("e"))
+             .groupBy("id", "check").agg(F.collect_list("e").alias("strands")))
 
     def look_up(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        vertex, words, n, bit, place, digest = [], [], [], [], [], []
+        vertex, words, n, bit, digest, behind = [], [], [], [], [], []
         for text, wanted in zip(texts_of(batch), batch.column(1).to_pylist()):
             w = Words(text)
             for e in wanted:
-                start, more, off = e["spot"] >> 16, e["spot"] >> 8 & 255, e["spot"] & 255
-                for i in range(more + 1):
-                    vertex.append(e["vertex"]), words.append(e["words"]), n.append(e["n"])
-                    bit.append(i), place.append(off - i)
-                    digest.append(xxhash.xxh3_64_intdigest(w.slice(start + i, window), seed=1))
+                start, more = e["spot"] >> 16, e["spot"] >> 8 & 255
+                seen = [xxhash.xxh3_64_intdigest(w.slice(start + i, window), seed=1) for i in range(more + 1)]
+                vertex += [e["vertex"]] * len(seen)
+                words += [e["words"]] * len(seen)
+                n += [e["n"]] * len(seen)
+                bit += range(more + 1)
+                digest += seen
+                behind += [*seen[1:], 0]
         if not vertex:
             return None
+        digest, behind = (np.array(x, dtype=np.uint64).view(np.int64) for x in (digest, behind))
+        last = np.append(np.array(bit[1:]) == 0, True)
         return pa.RecordBatch.from_arrays(
             [pa.array(vertex, pa.int64()), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(bit, pa.int32()),
-             pa.array(place, pa.int32()), pa.array(np.array(digest, dtype=np.uint64).view(np.int64))],
-            ["vertex", "words", "n", "bit", "place", "digest"])
-
-    # Equal rows look up the same windows twice; they repeat each other, so counts stay above 1.
-    found = staged(arrow_map(keyed(docs).join(asked, ["id", "check"]).select("text", "edges"), look_up,
-                             "vertex long, words long, n long, bit int, place int, digest long"), "windows")
-    seen = found.groupBy("vertex", "place", "digest").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    seen = staged(seen, "seen")
-    masks = (found.drop("n").join(seen, ["vertex", "place", "digest"], "left_semi")
-             .groupBy("vertex", "words").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")))
-    masks = staged(masks, "masks")
-    branched = forks.join(masks, ["vertex", "words"]).select("id", "check", first.alias("first"), "mask")
-    return straight.unionByName(branched)
-
-
-def covered(n: int, spans: list, window: int) -> np.ndarray:
-    """Which of n words lie in a repeated window; spans: (first, mask)."""
-    step = np.zeros(n + 1, dtype=np.int64)
+             pa.array(digest), pa.array(behind, mask=last)], ["vertex", "words", "n", "bit", "digest", "next"])
+    # Equal rows hold the same windows: one of them is read, so that counts stay exact.
+    texts = keyed(docs).dropDuplicates(["id", "check"]).join(asked, ["id", "check"])
+    return arrow_map(texts.select("text", "strands"), look_up,
+                     "vertex long, words long, n long, bit int, digest long, next long")
+
+
+def _runs(found: DataFrame, keep) -> DataFrame:
+    """Repeated windows of branching vertices, joined while the path doesn't branch: vertex,
+    words, sig (digest of the first window), bit, len (windows), n, front, tail."""
+    seen = keep(found.groupBy("vertex", "digest").agg(
+        F.sum("n").alias("total"), F.min("next").alias("lo"), F.max("next").alias("hi"),
+        F.max(F.col("next").isNull()).alias("ends")).where("total > 1")
+        .select("vertex", "digest", "total", F.when(~F.col("ends") & (F.col("lo") == F.col("hi")), F.col("lo")).alias("only")), "seen")
+    order = Window.partitionBy("vertex", "words").orderBy("bit")  # at most WINDOW - K + 1 rows
+    joins = ((F.lag("bit").over(order) == F.col("bit") - 1) & (F.lag("only").over(order) == F.col("digest"))
+             & (F.lag("total").over(order) == F.col("total")))
+    marked = found.join(seen, ["vertex", "digest"]).withColumn("start", ~F.coalesce(joins, F.lit(False)))
+    numbered = marked.withColumn("run", F.sum(F.col("start").cast("int")).over(order))
+    return (numbered.groupBy("vertex", "words", "run")
+            .agg(F.max(F.when(F.col("start"), F.col("digest"))).alias("sig"), F.min("bit").alias("bit"),
+                 F.count(F.lit(1)).alias("len"), F.max("total").alias("n"), F.max(F.col("next").isNull()).alias("tail"))
+            .select("vertex", "words", "sig", "bit", "len", "n", (F.col("bit") == 0).alias("front"), "tail"))
+
+
+def _links(held: DataFrame, runs: DataFrame, keep) -> DataFrame:
+    """x, y: run y always follows run x, and x always precedes y; with the windows of both."""
+    node = F.struct("vertex", "sig")
+    tails = runs.where("tail").select("vertex", "words", node.alias("x"), F.col("n").alias("nx"), F.col("len").alias("len_x"))
+    # The next strand is named by 64 bits; a name that two held strands share links nothing.
+    fronts = (runs.where("front").groupBy("words").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("vertex", "sig")).alias("y"),
+                                                       F.max("n").alias("ny"), F.max("len").alias("len_y"))
+              .where("c = 1").select(F.col("words").alias("after"), "y", "ny", "len_y"))
+    pairs = held.where("after IS NOT NULL").groupBy("vertex", "words", "after").agg(F.count(F.lit(1)).alias("m"))
+    both = pairs.join(tails, ["vertex", "words"]).join(keep(fronts, "fronts"), "after").where("nx = ny")
+    return (both.groupBy("x", "y", "len_x", "len_y", "nx").agg(F.sum("m").alias("m")).where("m = nx")
+            .select("x", "y", "len_x", "len_y"))
+
+
+def compact(links: DataFrame) -> DataFrame:
+    """node, head, at (windows from the head's first to the node's first), len: every run that
+    has one before it, with the first run of its path, by pointer jumping."""
+    far = cut_lineage(links.select(F.col("y").alias("node"), F.col("x").alias("head"), F.col("len_x").alias("at"), F.col("len_y").alias("len")))
+    while True:
+        up = far.select(F.col("node").alias("head"), F.col("head").alias("top"), F.col("at").alias("more"))
+        moved = F.col("top").isNotNull()
+        step = cut_lineage(far.join(up, "head", "left").select(
+            "node", F.coalesce("top", "head").alias("head"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"), "len",
+            moved.alias("moved")))
+        if not step.agg(F.max("moved")).first()[0]:
+            return far
+        far = step.drop("moved")
+
+
+def _verified(docs: DataFrame, unitigs: DataFrame, window: int) -> DataFrame:
+    """vertex, sig, sha: digest of the words of one occurrence of each unitig, at its source."""
+    asked = (unitigs.groupBy("vertex", "sig").agg(F.min(F.struct("id", "check", "first", "windows")).alias("at"))
+             .groupBy("at.id", "at.check").agg(F.collect_list(F.struct("vertex", "sig", "at.first", "at.windows")).alias("spans")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = ([], [], [])
+        for text, spans in zip(texts_of(batch), batch.column(1).to_pylist()):
+            w = Words(text)
+            for s in spans:
+                for col, x in zip(out, (s["vertex"], s["sig"], xxhash.xxh3_128_digest(w.slice(s["first"], s["windows"] + window - 1)))):
+                    col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
+                                          ["vertex", "sig", "sha"])
+    texts = keyed(docs).dropDuplicates(["id", "check"]).join(asked, ["id", "check"])
+    return arrow_map(texts.select("text", "spans"), run, "vertex long, sig long, sha binary")
+
+
+def unitig_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """id, check, first, windows, sha: every occurrence of every unitig of repeated windows;
+    ``sha`` is the digest of the words at the unitig's own source."""
+    spark = docs.sparkSession
+    folder = f"{checkpoint_dir(spark)}/unitigs-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    every = keep(strands(docs, window, k), "strands")
+    # What a hot key is joined with is staged first: then both sides are plain shuffles, and
+    # Spark can split the hot one.
+    vertices = keep(every.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("lo"), F.max("words").alias("hi"))
+                    .where("n > 1").select("vertex", (F.col("lo") != F.col("hi")).alias("branching")), "vertices")
+    held = keep(every.join(vertices, "vertex"), "held")
+    discard(spark, f"{folder}/strands")
+    classes = keep(held.groupBy("vertex", "words", "branching")
+                   .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "check", "spot")).alias("at")), "classes")
+    found = keep(_read_windows(docs, classes.where("branching"), window), "windows")
+    straight = classes.where(~F.col("branching")).select(
+        "vertex", "words", F.col("words").alias("sig"), F.lit(0).alias("bit"),
+        (F.expr("shiftright(at.spot, 8) & 255") + 1).alias("len"), "n", F.lit(True).alias("front"), F.lit(True).alias("tail"))
+    runs = keep(straight.unionByName(_runs(found, keep)), "runs")
+    paths = compact(_links(held, runs, keep))
+    node = F.struct("vertex", "sig")
+    long = paths.groupBy("head").agg(F.max(F.col("at") + F.col("len")).alias("total")).withColumnRenamed("head", "node")
+    heads = (runs.withColumn("node", node).join(paths.select("node"), "node", "left_anti")
+             .join(long, "node", "left").select("vertex", "words", "sig", "bit", F.coalesce("total", "len").alias("windows")))
+    heads = keep(heads, "heads")
+    placed = heads.join(classes, ["vertex", "words"]).select(
+        "vertex", "sig", "windows", "at.id", "at.check", (_first("at.spot") + F.col("bit")).alias("first"))
+    sha = keep(_verified(docs, placed, window), "sha")
+    starts = keep(heads.join(sha, ["vertex", "sig"]).groupBy("vertex", "words")
+                  .agg(F.collect_list(F.struct("bit", "windows", "sha")).alias("spans")), "starts")
+    spans = (held.join(starts, ["vertex", "words"])
+             .select("id", "check", "spot", F.explode("spans").alias("s"))
+             .select("id", "check", (_first("spot") + F.col("s.bit")).alias("first"), "s.windows", "s.sha"))
+    spans = staged(spans, "spans")
+    discard(spark, folder)
+    return spans
+
+
+def covered(w: Words, spans: list, window: int) -> np.ndarray:
+    """Which words lie in a span whose words are those at the unitig's source."""
+    step = np.zeros(w.n + 1, dtype=np.int64)
     for s in spans:
-        first, mask = s["first"], s["mask"]
-        while mask:
-            i = (mask & -mask).bit_length() - 1
-            run = (~(mask >> i) & ((mask >> i) + 1)).bit_length() - 1  # ones in a row from bit i
-            step[first + i] += 1
-            step[first + i + run - 1 + window] -= 1
-            mask &= ~(((1 << run) - 1) << i)
-    return np.cumsum(step[:n]) > 0
+        first, n = s["first"], s["windows"] + window - 1
+        if xxhash.xxh3_128_digest(w.slice(first, n)) == s["sha"]:
+            step[first] += 1
+            step[first + n] -= 1
+    return np.cumsum(step[:w.n]) > 0
 
 
 def _with_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """``docs`` and, as last column, the repeated windows of each row."""
+    """``docs`` and, as last column, the repeated spans of each row."""
     row_id, check, own_id, own_check, found = unused(docs.columns, "__id", "__check", "__own", "__text", "__spans")
-    spans = (repeated_windows(docs, window, k).groupBy("id", "check")
-             .agg(F.collect_set(F.struct("first", "mask")).alias(found))
+    spans = (unitig_spans(docs, window, k).groupBy("id", "check")
+             .agg(F.collect_set(F.struct("first", "windows", "sha")).alias(found))
              .select(F.col("id").alias(row_id), F.col("check").alias(check), found))
     a, b = identity()
     on = (F.col(own_id) == F.col(row_id)) & (F.col(own_check) == F.col(check))
@@ -215,7 +317,7 @@ def _kept(text: bytes, spans, window: int) -> tuple[int, list[bytes]]:
     words = text.split()
     if not spans:
         return len(words), words
-    gone = covered(len(words), spans, window)
+    gone = covered(Words(text), spans, window)
     return len(words), [w for w, g in zip(words, gone) if not g]
 
 

@@ -46,6 +46,46 @@ def test_random_texts(spark, seed, vocabulary, window, k):
     check(spark, spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS), window, k)
 
 
+def brute_unitigs(texts, window):
+    """(text, first window, windows) of every occurrence of every unitig of the window graph."""
+    words = [t.split() for t in texts]
+    walks = [[tuple(w[i:i + window]) for i in range(len(w) - window + 1)] for w in words]
+    n = Counter(x for walk in walks for x in walk)
+    pair = Counter(p for walk in walks for p in zip(walk, walk[1:]))
+    joined = {p for p, m in pair.items() if m == n[p[0]] == n[p[1]]}
+    out = []
+    for t, walk in enumerate(walks):
+        first = 0
+        for i, x in enumerate(walk):
+            if i + 1 == len(walk) or (x, walk[i + 1]) not in joined:
+                if n[x] > 1:
+                    out.append((t, first, i + 1 - first))
+                first = i + 1
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed,vocabulary,window,k", [(1, 2, 5, 2), (2, 3, 6, 3), (3, 30, 7, 3), (4, 500, 9, 4), (5, 1, 5, 2)])
+def test_unitigs_are_those_of_the_window_graph(spark, seed, vocabulary, window, k):
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(vocabulary)}"
+    passages = [" ".join(word() for _ in range(n)) for n in (12, 40, 300)]
+    texts = [" ".join([*(word() for _ in range(r.randrange(30))), r.choice(passages), *(word() for _ in range(r.randrange(30)))])
+             for _ in range(25)]
+    texts += [passages[2].replace(" ", " x ", 1), passages[2].rsplit(" ", 100)[0], passages[2] + " y " + passages[1]]
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    got = Counter((r["id"], r["first"], r["windows"]) for r in spans.unitig_spans(docs, window, k).collect())
+    assert got == brute_unitigs(texts, window)
+
+
+def test_one_passage_in_most_rows_is_one_span_each(spark):
+    """Long repeated passage: pointer jumping over some 70 strands ends in one unitig."""
+    r = random.Random(4)
+    passage = " ".join(f"p{r.randrange(10 ** 9)}" for _ in range(1000))
+    rows = [doc(i, f"a{i} b{i} {passage} c{i}") for i in range(40)] + [doc(100, "a b c")]
+    got = spans.unitig_spans(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["id"], r["first"], r["windows"]) for r in got) == [(i, 2, 1000 - spans.WINDOW + 1) for i in range(40)]
+
+
 def test_production_window(spark):
     r = random.Random(9)
     fresh = lambda n: " ".join(f"u{r.randrange(10 ** 9)}" for _ in range(n))
