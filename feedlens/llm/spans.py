@@ -217,17 +217,18 @@ def _links(held: DataFrame, runs: DataFrame, keep) -> DataFrame:
 
 def compact(links: DataFrame) -> DataFrame:
     """node, head, at (windows from the head's first to the node's first), len: every run that
-    has one before it, with the first run of its path, by pointer jumping."""
-    far = cut_lineage(links.select(F.col("y").alias("node"), F.col("x").alias("head"), F.col("len_x").alias("at"), F.col("len_y").alias("len")))
-    while True:
-        up = far.select(F.col("node").alias("head"), F.col("head").alias("top"), F.col("at").alias("more"))
-        moved = F.col("top").isNotNull()
-        step = cut_lineage(far.join(up, "head", "left").select(
-            "node", F.coalesce("top", "head").alias("head"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"), "len",
-            moved.alias("moved")))
-        if not step.agg(F.max("moved")).first()[0]:
-            return far
-        far = step.drop("moved")
+    has one before it, with the first run of its path, by pointer jumping. Rows whose pointer
+    is at a path's start (``done``) are never looked up again, and the others point
+    to different runs each, so no key of a round's join is hot however long a path is."""
+    links = cut_lineage(links.select(F.col("y").alias("node"), F.col("x").alias("head"), F.col("len_x").alias("at"), F.col("len_y").alias("len")))
+    inner = links.select(F.col("node").alias("head"), F.lit(False).alias("known"))
+    far = cut_lineage(links.join(inner, "head", "left").select("node", "head", "at", "len", F.col("known").isNull().alias("done")))
+    while far.agg(F.max(~F.col("done"))).first()[0]:
+        up = far.select(F.col("node").alias("head"), F.col("head").alias("top"), F.col("at").alias("more"), F.col("done").alias("ends"))
+        step = far.where(~F.col("done")).join(up, "head").select(
+            "node", F.col("top").alias("head"), (F.col("at") + F.col("more")).alias("at"), "len", F.col("ends").alias("done"))
+        far = cut_lineage(far.where("done").unionByName(step))
+    return far.drop("done")
 
 
 def _verified(docs: DataFrame, unitigs: DataFrame, window: int) -> DataFrame:
