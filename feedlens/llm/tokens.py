@@ -107,14 +107,35 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
         ((F.col("d_all") - F.col("docs_from") + F.col("n_docs")) / F.col("d_all")).alias("share_upto"))
 
 
+def _rows(histogram: DataFrame, schema: str, rows: list) -> DataFrame:
+    """One row per struct in ``rows``, aggregates of the histogram: one pass for all of them."""
+    return histogram.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*").to(
+        histogram.sparkSession.createDataFrame([], schema).schema)
+
+
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, n_longer, truncated_total for any context limits, from the histogram alone."""
-    rows = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    cut = F.sum(F.least("length", "limit") * F.col("n_docs"))
-    lims = F.array(*[F.lit(int(x)) for x in limits])
-    got = (histogram.select("length", "n_docs", F.explode(lims).alias("limit")).groupBy("limit")
-           .agg(cut.alias("truncated_total"), F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("n_longer")))
-    return rows.join(got, "limit", "left").na.fill(0)
+    """limit, n_longer, truncated_total for any context limits, looked up in the suffix sums:
+    documents from the first length at or above a limit are cut to it, the others stay whole."""
+    if not limits:
+        return histogram.sparkSession.createDataFrame([], "limit long, n_longer long, truncated_total long")
+    everything = F.coalesce(F.max("tokens_from"), F.lit(0))
+    sums = F.struct("length", "docs_from", "tokens_from")
+
+    def at(x: int):
+        cut, longer = F.min(F.when(F.col("length") >= x, sums)), F.min(F.when(F.col("length") > x, sums))
+        total = everything - F.coalesce(cut["tokens_from"], F.lit(0)) + F.coalesce(cut["docs_from"], F.lit(0)) * x
+        return F.struct(F.lit(x).cast("long").alias("limit"), F.coalesce(longer["docs_from"], F.lit(0)).alias("n_longer"),
+                        total.alias("truncated_total"))
+    return _rows(histogram, "limit long, n_longer long, truncated_total long", [at(int(x)) for x in limits])
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """share, length: the least length that so large a share of the documents doesn't exceed
+    (null without documents)."""
+    if not shares:
+        return histogram.sparkSession.createDataFrame([], "share double, length long")
+    return _rows(histogram, "share double, length long", [
+        F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("share_upto") >= q, F.col("length"))).alias("length")) for q in shares])
 
 
 # --- packing ---------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,51 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.95
 
 
+def brute_bundle(text, letters={}):
+    """Sum of the bound, rotated letter vectors of a text's n-grams, one n-gram at a time."""
+    s = "".join(c if c.isalpha() or not (c.isdigit() or c == "_" or not re.match(r"\w", c)) else " " for c in (text or "").lower())
+    s = re.sub(" +", " ", s).strip(" ")
+    total = np.zeros(langid.DIM)
+    if not any(map(str.isalpha, s)):
+        return None
+    for i in range(len(s) + 2 - langid.NGRAM + 1):
+        bound = np.ones(langid.DIM)
+        for place, c in enumerate(reversed(f" {s} "[i:i + langid.NGRAM])):
+            if c not in letters:
+                signs = np.random.default_rng([langid.SEED, ord(c)]).integers(0, 2, langid.DIM)
+                letters[c] = np.where(signs == 1, 1.0, -1.0)
+            bound = bound * np.concatenate([letters[c][langid.DIM - place:], letters[c][:langid.DIM - place]])
+        total += bound
+    return total
+
+
+def test_equals_brute_force(spark):
+    docs = load(spark, SF, "documents").where("length(text) < 400").limit(150).select("doc_id", "text", "lang")
+    docs = docs.unionByName(awkward(spark).where("coalesce(doc_id, 0) NOT IN (5, 6)").select("doc_id", "text", "lang"))
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows, docs.schema)
+    out = [r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows]
+    bundles = [brute_bundle(r["text"]) for r in rows]
+    names = sorted({r["lang"] for r, o, b in zip(rows, out, bundles) if r["lang"] and not o and b is not None})
+    unit = np.array([sum(b for r, o, b in zip(rows, out, bundles) if r["lang"] == n and not o and b is not None) for n in names])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    centre = unit.mean(axis=0)
+    own = (unit - centre) / np.linalg.norm(unit - centre, axis=1, keepdims=True)
+    want = []
+    for r, o, b in zip(rows, out, bundles):
+        if b is None:
+            want.append((r["doc_id"] or 0, o, langid.UNKNOWN, 0.0))
+            continue
+        off = b / np.linalg.norm(b) - centre
+        cos = own @ off / np.linalg.norm(off)
+        e = np.exp(langid.SHARPNESS * cos)
+        want.append((r["doc_id"] or 0, o, names[int(cos.argmax())], float(e.max() / e.sum())))
+    got = sorted((r["doc_id"] or 0, r["held_out"], r["lang_pred"], r["score"]) for r in langid.identify(docs).collect())
+    want.sort()
+    assert len(names) > 1 and [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 1e-9
+
+
 def test_bound_vectors():
     a, b = (langid._GRAMS.at(langid.grams(t))[1].astype(int) for t in (b"abc", b"abd"))
     assert set(a) <= {-1, 1} and abs((a * b).sum()) < 0.2 * langid.DIM

@@ -42,7 +42,17 @@ def test_histogram(spark):
     limits = {r["limit"]: r for r in tokens.totals_at(tokens.length_histogram(docs, PATH), [1, 512, 1 << 20]).collect()}
     assert limits[512]["truncated_total"] == sum(min(x, 512) for x in lengths)
     assert limits[512]["n_longer"] == sum(x > 512 for x in lengths)
-    assert limits[1 << 20]["truncated_total"] == sum(lengths)
+    assert limits[1 << 20]["truncated_total"] == sum(lengths) and limits[1 << 20]["n_longer"] == 0
+    histogram = tokens.length_histogram(docs, PATH)
+    every = [0, *range(1, max(lengths), 997), *lengths]
+    got = {r["limit"]: (r["n_longer"], r["truncated_total"]) for r in tokens.totals_at(histogram, sorted(set(every))).collect()}
+    assert got == {x: (sum(n > x for n in lengths), sum(min(n, x) for n in lengths)) for x in every}
+    shares = [0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["share"]: r["length"] for r in tokens.quantiles(histogram, shares).collect()}
+    assert got == {q: min(x for x in lengths if sum(y <= x for y in lengths) / len(lengths) >= q) for q in shares}
+    none = tokens.length_histogram(no_docs(spark), PATH)
+    assert tuple(tokens.totals_at(none, [5]).first()) == (5, 0, 0) and tuple(tokens.quantiles(none, [0.5]).first()) == (0.5, None)
+    assert tokens.totals_at(histogram, []).count() == tokens.quantiles(histogram, []).count() == 0
     assert tokens.length_histogram(no_docs(spark), PATH).count() == 0
 
 
