@@ -96,13 +96,26 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     """Branches where two versions of the same documents differ: doc_id, level, position,
-    left_digest, right_digest (null: the branch is missing there). Compares the nodes of all
-    levels by place in one join."""
+    left_digest, right_digest (null: the branch is missing there). Goes down the tree: sections
+    are joined for documents whose roots differ, paragraphs below sections that differ.
+    Rows without doc_id have no counterpart and are left out."""
     key = ["doc_id", "level", "position"]
-    both = (nodes(left).withColumnRenamed("digest", "left_digest")
-            .join(nodes(right).withColumnRenamed("digest", "right_digest").drop("parent"), key, "full_outer")
-            .where(~F.col("left_digest").eqNullSafe(F.col("right_digest"))))
-    return both.select(*key, "left_digest", "right_digest")
+
+    def compared(a: DataFrame, b: DataFrame, name: str, parents: DataFrame | None = None) -> DataFrame:
+        def side(docs: DataFrame, digest: str) -> DataFrame:
+            at = nodes(docs).where(F.col("level") == name)
+            if parents is not None:
+                at = at.join(parents, ["doc_id", "parent"], "left_semi")
+            return at.select(*key, F.col("digest").alias(digest))
+        both = side(a, "left_digest").join(side(b, "right_digest"), key, "full_outer")
+        return cut_lineage(both.where(~F.col("left_digest").eqNullSafe(F.col("right_digest"))))
+
+    left, right = (d.select("doc_id", "text").where("doc_id IS NOT NULL") for d in (left, right))
+    roots = compared(left, right, "root")
+    left, right = (d.join(roots.select("doc_id"), "doc_id", "left_semi") for d in (left, right))
+    changed = compared(left, right, "section")
+    lines = compared(left, right, "paragraph", changed.select("doc_id", F.col("position").alias("parent")))
+    return roots.unionByName(changed).unionByName(lines)
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -40,6 +40,13 @@ def test_branches_locate_an_edit(spark):
     right = spark.createDataFrame([doc(1, "\n".join(lines)), doc(2, "same")], DOCS)
     got = {(r["doc_id"], r["level"], r["position"]) for r in merkle.differing(left, right).collect()}
     assert got == {(1, "root", 0), (1, "section", 2), (1, "paragraph", 21)}
+    longer = spark.createDataFrame([doc(1, "\n".join([*lines, "one", "more"])), doc(3, "new"), doc(None, "no id")], DOCS)
+    got = {(r["doc_id"], r["level"], r["position"], r["left_digest"] is None, r["right_digest"] is None)
+           for r in merkle.differing(right, longer).collect()}
+    assert got == {(1, "root", 0, False, False), (1, "section", 5, True, False), (1, "paragraph", 40, True, False),
+                   (1, "paragraph", 41, True, False), *((2, x, 0, False, True) for x in ("root", "section", "paragraph")),
+                   *((3, x, 0, True, False) for x in ("root", "section", "paragraph"))}
+    assert merkle.differing(right, right).count() == 0 and merkle.differing(no_docs(spark), no_docs(spark)).count() == 0
 
 
 def test_awkward_rows(spark):
