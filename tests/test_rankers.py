@@ -148,3 +148,23 @@ def test_one_long_text_spreads_over_tasks(spark):
     scores = R.textrank(rows)
     assert scores.count() >= 4990 and scores.agg(F.sum("score")).first()[0] == pytest.approx(scores.count(), rel=1e-6)
     assert math.isfinite(R.luhn(rows).agg(F.sum("score")).first()[0])
+
+
+@pytest.mark.parametrize("algorithm", ["luhn", "textrank", "lexrank", "lsa"])
+def test_texts_are_dealt_once_and_no_round_writes(spark, algorithm, monkeypatch):
+    """Copies of a text meet in one exchange; words, links and rounds are neither shuffled nor staged."""
+    staged = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df: staged.append(df) or df)
+    df = spark.createDataFrame([(t,) for t in texts(7, 4) * 2], "t string")
+    best = R.best_sentences(R.text_rows(df, "t"), algorithm, 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and not staged
+    assert best.count() == 8 and best.where("best IS NULL").count() == 2      # two texts have no word
+
+
+def test_work_is_linear_in_copies_of_a_word(spark):
+    """One word in every sentence: its places are summed by sentence size, not pair by pair."""
+    text = " ".join(f"common v{i} v{i + 1}." for i in range(20_000))
+    rows = R.text_rows(spark.createDataFrame([(text,)], "t string"), "t")
+    scores = rows.select(F.explode(R.scored(F.col("terms"), "textrank")).alias("s"))
+    assert scores.count() == 20_000 and scores.agg(F.sum("s")).first()[0] == pytest.approx(20_000, rel=1e-6)
