@@ -118,9 +118,14 @@ def _file_stream(spark: SparkSession, source: str, schema, glob: str | None = No
     r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(source)
+    return r.parquet(landed(source, glob))
+
+
+def landed(source: str, glob: str | None = None) -> str:
+    """The path of landed tables: ``glob`` names entries of a folder that are files or folders
+    of files (``pathGlobFilter`` would ask for the name of the files inside). In braces it is a
+    pattern whatever it holds: a stream takes a plain path for a folder."""
+    return f"{source.rstrip('/')}/{{{glob}}}" if glob else source
 
 
 SUMS = "date string, company_id long, sentiment_sum double, scored long, article_volume long"
@@ -196,7 +201,7 @@ def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: s
                              files_per_trigger: int | None = None) -> DataFrame:
     """Run R3 over landed event files to completion and return the metrics."""
     root = scratch(spark, "metrics")
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(landing_dir).schema
+    schema = spark.read.parquet(landed(landing_dir, file_glob)).schema
     t = MergeTable(spark, f"{root}/table", SUMS, SUMS_KEY)
     stream_daily_metrics(spark, landing_dir, schema, t, f"{root}/_checkpoint", to_mentions=to_mentions,
                          glob=file_glob, files_per_trigger=files_per_trigger)
@@ -206,7 +211,7 @@ def daily_metrics_via_stream(spark: SparkSession, landing_dir: str, file_glob: s
 def mentions_via_stream(spark: SparkSession, landing_dir: str, file_glob: str, to_texts, to_rows) -> DataFrame:
     """Run R4 over landed document files to completion and return the mention table."""
     root = scratch(spark, "mentions")
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(landing_dir).schema
+    schema = spark.read.parquet(landed(landing_dir, file_glob)).schema
     t = MergeTable(spark, f"{root}/table", MENTIONS, MENTIONS_KEY)
     stream_mentions(to_texts(_file_stream(spark, landing_dir, schema, file_glob)), t, f"{root}/_checkpoint", to_rows)
     return t.read()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import ART_SCHEMA, SF001
 from feedlens.operators import content, dedup, metrics, upsert
+from feedlens.plans import queries as Q
 from feedlens.session import checkpoint_dir
 from feedlens.sources import dims
 from feedlens.sources import tables as S
@@ -60,6 +61,29 @@ def test_stream_daily_metrics_equals_batch(spark):
     assert g == w
 
 
+def test_landed_tables_may_be_folders(spark):
+    """A table is one file or a folder of part files; both are streamed whole, beside others."""
+    root = _root(spark)
+    docs = spark.createDataFrame([(i, f"Some news about a company that has a name, number {i}.", "en", "s", 50) for i in range(16)] + [(None, None, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{root}/in/documents.parquet")
+    spark.range(3).write.parquet(f"{root}/in/labels.parquet")
+    q_mentions = Q.QUERIES["stream_company_mentions"]
+    got = q_mentions(spark, f"{root}/in")
+    one = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/one/documents.parquet")
+    fs = one.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    docs.coalesce(1).write.parquet(f"{root}/part")
+    part = next(s.getPath() for s in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/part")) if s.getPath().getName().endswith(".parquet"))
+    fs.mkdirs(one.getParent())
+    fs.rename(part, one)
+    want = q_mentions(spark, f"{root}/one")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("article_id").distinct().count() == 12
+    e = spark.read.parquet(f"{SF001}/events.parquet")
+    e.repartition(2).write.parquet(f"{root}/in/events.parquet")
+    got = ST.daily_metrics_via_stream(spark, f"{root}/in", "events.parquet", S.events_to_mentions)
+    assert got.agg(F.sum("article_volume")).first()[0] == e.count()
+
+
 def test_late_files_count(spark):
     root = _root(spark)
     e = spark.read.parquet(f"{SF001}/events.parquet")
