@@ -8,7 +8,7 @@ that were never seen can still be found by how they are written and where they s
 task holds is that model: ``MAX_WORDS`` words and a few shapes, whatever the corpus.
 
 Decoding is Viterbi over the windows of ``mentions.with_model_spans``, so whole texts are
-read; spans are runs of B I*. Texts without tokens have no spans; null texts and null labels
+read; the windows of an Arrow batch go a word at a time, all at once; spans are runs of B I*. Texts without tokens have no spans; null texts and null labels
 count as texts without names.
 """
 
@@ -18,7 +18,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,26 +58,61 @@ def tagged(text: str, spans: list[dict]) -> list[tuple[str, int]]:
     return out
 
 
+def islands(text: str, spans: list[dict]) -> Iterator[tuple[str, list[dict]]]:
+    """A text in pieces, cut behind blanks (which no token holds): those with names and their
+    spans there, and those between them without."""
+    at, n = 0, len(text)
+    cuts: list[tuple[int, int, list[dict]]] = []
+    for s in sorted(({"start_char": int(s["start_char"]), "end_char": int(s["end_char"])} for s in spans), key=lambda s: s["start_char"]):
+        if not 0 <= s["start_char"] < n:
+            continue
+        end = text.find(" ", max(s["end_char"], s["start_char"] + 1))
+        end = n if end < 0 else end + 1
+        if cuts and s["start_char"] < cuts[-1][1]:
+            cuts[-1] = (cuts[-1][0], max(end, cuts[-1][1]), [*cuts[-1][2], s])
+        else:
+            last = cuts[-1][1] if cuts else 0
+            cuts.append((max(text.rfind(" ", last, s["start_char"]) + 1, last), end, [s]))
+    for lo, hi, own in cuts:
+        yield text[at:lo], []
+        yield text[lo:hi], [{"start_char": s["start_char"] - lo, "end_char": s["end_char"] - lo} for s in own]
+        at = hi
+    yield text[at:], []
+
+
 def count_tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``COUNTS`` of each Arrow batch of (text, spans): emissions ``e``, transitions ``t``
     (``word`` is the tag before; texts begin and end with O)."""
     for b in batches:
+        plain: Counter = Counter()
         words: Counter = Counter()
         steps: Counter = Counter()
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             last = O
-            for word, tag in tagged(text or "", spans or []):
-                words[word, tag] += 1
-                steps[last, tag] += 1
-                last = tag
+            for piece, names in islands(text or "", spans or []):
+                if names:
+                    for word, tag in tagged(piece, names):
+                        words[word, tag] += 1
+                        steps[last, tag] += 1
+                        last = tag
+                elif found := TOKEN.findall(piece):
+                    plain.update(found)
+                    steps[last, O] += 1
+                    steps[O, O] += len(found) - 1
+                    last = O
             steps[last, O] += 1
+        for word, n in plain.items():
+            words[word, O] += n
+        steps = +steps
         rows = [("e", w, shape(w), t, n) for (w, t), n in words.items()] + [("t", str(a), None, t, n) for (a, t), n in steps.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))],
                                          names=[x.split()[0] for x in COUNTS.split(", ")])
 
 
 class Tagger:
-    """log probabilities of transitions and observations; ``extract`` finds the names."""
+    """log probabilities of transitions and observations; ``extract`` finds the names of a text,
+    ``many`` those of many at once."""
+    CHUNK = 2048       # texts that are decoded together
 
     def __init__(self, steps: dict[tuple[int, int], int], words: dict[str, dict[int, int]], shapes: dict[str, dict[int, int]]):
         def table(seen: dict, of: dict[int, float]) -> dict[str, tuple[float, ...]]:
@@ -109,19 +146,80 @@ class Tagger:
             end = step[end]
         return out[::-1]
 
-    def extract(self, text: str) -> list[dict]:
-        tokens = list(TOKEN.finditer(text))
+    def names(self, text: str, words: list[str], tags: list[int]) -> list[dict]:
+        """The spans of tagged words; a word is the next one in the text, behind blanks at most."""
         out: list[dict] = []
-        for m, tag in zip(tokens, self.tags([m.group() for m in tokens])):
+        at = 0
+        for word, tag in zip(words, tags):
+            start = text.index(word, at)
+            at = start + len(word)
             if tag == B:
-                out.append({"start_char": m.start(), "end_char": m.end(), "label": LABEL, "score": SCORE})
+                out.append({"start_char": start, "end_char": at, "label": LABEL, "score": SCORE})
             elif tag == I and out:
-                out[-1]["end_char"] = m.end()
+                out[-1]["end_char"] = at
         return out
 
+    def extract(self, text: str) -> list[dict]:
+        words = TOKEN.findall(text)
+        return self.names(text, words, self.tags(words))
+
+    __call__ = extract
+
+    def many(self, texts: list[str]) -> list[list[dict]]:
+        """``extract`` of every text."""
+        out: list[list[dict]] = []
+        for at in range(0, len(texts), self.CHUNK):
+            some = texts[at:at + self.CHUNK]
+            words = [TOKEN.findall(t) for t in some]
+            for text, own, tags in zip(some, words, self.tags_of(words)):
+                named = np.flatnonzero(tags)
+                out.append(self.names(text, own[:named[-1] + 1], tags.tolist()) if len(named) else [])
+        return out
+
+    def tags_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """``tags`` of every list of words: the k-th words of all lists in one step, the longest
+        lists first, so that those that have a k-th word are the first ones."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes.max(initial=0))
+        live = len(texts) - np.searchsorted(np.sort(sizes), np.arange(longest), side="right")
+        ends = np.cumsum(live)
+        # where the words of a step lie among all words, step by step
+        first = (np.cumsum(sizes) - sizes)[order]
+        place = np.concatenate([first[:n] + k for k, n in enumerate(live)]) if longest else np.empty(0, dtype=np.int64)
+        coded = pa.array(list(chain.from_iterable(texts)), pa.large_string()).dictionary_encode()       # a look-up per distinct word
+        table = np.array([self.seen(w) for w in coded.dictionary.to_pylist()]).reshape(-1, 3)
+        eo, eb, ei = table[coded.indices.to_numpy()[place]].T.copy()
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii) = self.steps
+        o, b, i = np.zeros(len(texts)), np.full(len(texts), -math.inf), np.full(len(texts), -math.inf)
+        back = np.empty((3, len(place)), dtype=np.int8)
+
+        def best(x, y, z):
+            """The largest value and its tag, the later tag of equal ones."""
+            v = np.maximum(x, y)
+            return np.maximum(v, z), np.where(z >= v, np.int8(I), y >= x)
+        for n, hi in zip(live, ends):
+            at = slice(hi - n, hi)
+            po, pb, pi = o[:n], b[:n], i[:n]
+            to, back[O, at] = best(po + oo, pb + bo, pi + io)
+            tb, back[B, at] = best(po + ob, pb + bb, pi + ib)
+            x, y = pb + bi, pi + ii
+            back[I, at] = (y >= x) + np.int8(B)
+            o[:n], b[:n], i[:n] = to + eo[at], tb + eb[at], np.maximum(x, y) + ei[at]
+        end = best(o + oo, b + bo, i + io)[1]
+        out = np.empty(len(place), dtype=np.int8)
+        for n, hi in zip(live[::-1], ends[::-1]):
+            at = slice(hi - n, hi)
+            own = end[:n]
+            out[at] = own
+            own[:] = np.where(own == O, back[O, at], np.where(own == B, back[B, at], back[I, at]))
+        tags = np.empty(len(place), dtype=np.int8)
+        tags[place] = out
+        return np.split(tags, np.cumsum(sizes)[:-1]) if texts else []
+
     def loader(self) -> Callable[[], Callable[[str], list[dict]]]:
         """What ``mentions.with_model_spans`` runs once per Python worker."""
-        return lambda: self.extract
+        return lambda: self
 
 
 def fit(labelled: DataFrame, spans_col: str = "spans", text_col: str = "text", max_words: int = MAX_WORDS) -> Tagger:
